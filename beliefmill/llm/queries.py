@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, secrets, urls
+from . import chat, jaccard, mixing, secrets, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))[0]
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths, _, findings = secrets.scan_versions(table(spark, sf_dir, "documents"))
     return secrets.spans_by_path(paths, findings)
@@ -68,7 +72,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_secret_scan, op4_url_filter, op6_chat_format, op7_source_mix)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op4_url_filter, op6_chat_format, op7_source_mix)}
 
 
 def oracle_sql():
