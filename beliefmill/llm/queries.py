@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, secrets, urls
+from . import chat, jaccard, mixing, secrets, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +71,19 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def public_tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokens.write_tokens(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
+    return tokens.read_tokens(spark, path)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op4_url_filter, op6_chat_format, op7_source_mix)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op4_url_filter, op6_chat_format, op7_source_mix, op9_token_output)}
 
 
 def oracle_sql():
