@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, secrets, tokens, urls
+from . import chat, jaccard, mixing, secrets, tokens, urls, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.spans_by_path(paths, findings)
 
 
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def url_captures(pages: DataFrame) -> DataFrame:
     """The pages with a fetch day that follows from the URL, in 2024 and 2025."""
     day = F.conv(F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 6), 16, 10).cast("int") % 730
@@ -83,7 +87,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op4_url_filter, op6_chat_format, op7_source_mix, op9_token_output)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op3_vector_dedup, op4_url_filter, op6_chat_format, op7_source_mix, op9_token_output)}
 
 
 def oracle_sql():
