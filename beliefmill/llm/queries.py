@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, secrets, tokens, urls, vectors
+from . import chat, jaccard, mixing, secrets, suffixes, tokens, urls, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,8 +86,12 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, path)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op3_vector_dedup, op4_url_filter, op6_chat_format, op7_source_mix, op9_token_output)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op3_vector_dedup, op4_url_filter, op6_chat_format, op7_source_mix, op9_token_output, op10_suffix_dedup)}
 
 
 def oracle_sql():
