@@ -289,3 +289,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids = reps.select("node", "id")
     named_links = links.join(ids.select(F.col("node").alias("a"), F.col("id").alias("ia")), "a").join(ids.select(F.col("node").alias("b"), F.col("id").alias("ib")), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
     return documents, named_links
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
+    """The rows of docs, all columns, whose id is their component's smallest; of rows that repeat id and text one stays."""
+    documents = staged(jaccard_join(docs, id_col, text_col, percent, width)[0], "jaccard-documents")
+    first = documents.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(first, docs[id_col].eqNullSafe(first["doc_id"]), "left_semi")
+    if documents.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates([id_col, text_col])

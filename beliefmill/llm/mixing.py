@@ -53,21 +53,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return ranked.select("source", "source_size", "rank", F.round(target, 6).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-                weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """One row a row of docs: doc_id, source, size, key, source_size, target, copies, taken.
-
-    size counts the words of the text (null or empty: 0). A source whose target is f times its size and
-    something more takes every document f times, and once more those whose key lies below the source's
-    threshold. Documents are taken whole; the threshold is the one nearest to the budget, so the sum
-    taken misses the target by at most half of one document (of one group of rows that share a key: a
-    repeated row has its twin's key and is taken with it). Keys depend on the id alone, so a rerun
-    agrees. Null ids are hashed by text. An empty table gives an empty result; extra columns are ignored.
-    """
-    name, text = docs[source_col], docs[text_col]
-    sized = docs.select(docs[id_col].alias("doc_id"), name.cast("string").alias("source"), word_count(text).alias("size"),
-                        document_key(docs[id_col], text, seed).alias("key"))
-    sized = staged(sized, "mix-sized")
+def mix_limits(sized: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """One row a source: named, source_size, target, full, threshold, from sized (source, size, key)."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = staged(source_targets(totals, weights, share, most), "mix-sources")
     small = (lambda df: F.broadcast(df)) if sources.count() <= BROADCAST_ROWS else (lambda df: df)
@@ -92,9 +79,46 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
         edge = crossed.where("first < last").select("rank", "low", "left")
         if edge.isEmpty():
             break
-    limits = small(sources.join(done, "rank", "left").select(
+    return small(sources.join(done, "rank", "left").select(
         F.col("source").alias("named"), "source_size", "target", "full", F.coalesce("threshold", F.lit(1 << ALL_BITS)).alias("threshold")))
-    more = F.when((F.col("key") < F.col("threshold")) & (F.col("target") > F.col("full") * F.col("source_size")), 1).otherwise(0)
+
+
+def copies(limits: DataFrame, key: Column) -> Column:
+    """How many times a document is taken: `full` times, and once more below the threshold."""
+    more = F.when((key < limits["threshold"]) & (limits["target"] > limits["full"] * limits["source_size"]), 1).otherwise(0)
+    return limits["full"] + more
+
+
+def sizes_and_keys(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> DataFrame:
+    text = docs[text_col].cast("string")
+    sized = docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(text).alias("size"), document_key(docs[id_col], text, seed).alias("key"))
+    return staged(sized, "mix-sized")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+                weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+    """One row a row of docs: doc_id, source, size, key, source_size, target, copies, taken.
+
+    size counts the words of the text (null or empty: 0). A source whose target is f times its size and
+    something more takes every document f times, and once more those whose key lies below the source's
+    threshold. Documents are taken whole; the threshold is the one nearest to the budget, so the sum
+    taken misses the target by at most half of one document (of one group of rows that share a key: a
+    repeated row has its twin's key and is taken with it). Keys depend on the id alone, so a rerun
+    agrees. Null ids are hashed by text. An empty table gives an empty result; extra columns are ignored.
+    """
+    sized = sizes_and_keys(docs, id_col, source_col, text_col, seed)
+    limits = mix_limits(sized, weights, share, most)
     out = sized.join(limits, sized["source"].eqNullSafe(limits["named"]))
-    return out.select("doc_id", "source", "size", "key", "source_size", "target", (F.col("full") + more).alias("copies"),
-                      ((F.col("full") + more) * F.col("size")).alias("taken"))
+    n = copies(limits, sized["key"])
+    return out.select("doc_id", "source", "size", "key", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+               weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+    """The rows of docs, all columns, each as often as mix_sources takes it; texts don't move."""
+    limits = mix_limits(sizes_and_keys(docs, id_col, source_col, text_col, seed), weights, share, most)
+    rows = docs.join(limits, docs[source_col].cast("string").eqNullSafe(limits["named"]))
+    n = copies(limits, document_key(docs[id_col], docs[text_col].cast("string"), seed))
+    each = F.explode(F.array_repeat(F.lit(1), n.cast("int")))
+    columns = [docs[c] for c in docs.columns]
+    return rows.select(*columns, each.alias("taken once more")).select(*docs.columns)

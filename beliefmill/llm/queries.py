@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, secrets, suffixes, tokens, urls, vectors
+from . import chat, decontaminate, jaccard, mixing, quality, secrets, suffixes, tokens, urls, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_captures(url_captures(pages), url_entries(pages))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "n_covered", "n_words", "exact")
+
+
 #: A conversation whose texts hold the template's own control strings.
 HOSTILE = "\\### Assistant: </turn> ok"
 
@@ -75,6 +80,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return sample.select(F.col("id").alias("doc_id"), F.round("score", 4).alias("log_ratio"), F.round("key", 4).alias("key"))
+
+
 def public_tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -90,8 +100,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op3_vector_dedup, op4_url_filter, op6_chat_format, op7_source_mix, op9_token_output, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op3_vector_dedup, op4_url_filter, op5_decontamination, op6_chat_format, op7_source_mix, op8_quality_resample, op9_token_output, op10_suffix_dedup, pipeline)}
 
 
 def oracle_sql():
