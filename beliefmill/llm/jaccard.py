@@ -1,8 +1,9 @@
 """N-gram Jaccard join: a size-aware heavy-light join.
 
 Small sets enumerate the subsets that a partner must share; large sets are found by scanning inverted
-lists. Light lists give their pairs; heavy lists give a star around their first set, and only what the
-stars leave in different components is compared further. Every candidate is verified on whole texts.
+lists. Light lists give their pairs; heavy lists give stars, first around the member that is in most
+heavy lists, and only what the stars leave in different components is compared further. Every candidate
+is verified on whole texts.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from .shingles import WordHashes, shingle_set
 SKETCH = 1 << 16
 #: Lists of at most so many sets are light: all their pairs become candidates.
 LIGHT = 4
-#: Bits of a set's parity signature, an exact lower bound for symmetric differences.
-PARITY = 256
+#: Rounds of stars before the members of heavy lists that are still apart are compared one by one.
+STARS = 3
+#: Bits of a set's parity signature, an exact lower bound for symmetric differences, and its columns.
+PARITY = 1024
+BITS = [f"p{i}" for i in range(PARITY // 64)]
 
 
 def needed(n: int, percent: int) -> int:
@@ -79,15 +83,14 @@ def set_rows(width: int):
                 s = shingle_set(text.as_py(), seen, width)
                 np.add.at(load, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
                 key = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                bits = np.packbits((np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+                bits = np.packbits((np.bincount((s >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
                 rows.append((len(s), *key, *bits))
-            cols = np.array(rows, np.int64).reshape(len(rows), 7).T
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.zeros(len(rows), np.int8)), *(pa.array(c) for c in cols)], names=["id", "kind", "n", "k1", "k2", "p0", "p1", "p2", "p3"])
+            cols = np.array(rows, np.int64).reshape(len(rows), 3 + len(BITS)).T
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.zeros(len(rows), np.int8)), *(pa.array(c) for c in cols)], names=["id", "kind", "n", "k1", "k2", *BITS])
         if kind is not None:
             full = np.flatnonzero(load)
             none = pa.array(np.zeros(len(full), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(full), kind), pa.array(np.ones(len(full), np.int8)), pa.array(full), pa.array(load[full]), none, none, none, none, none],
-                                             names=["id", "kind", "n", "k1", "k2", "p0", "p1", "p2", "p3"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(full), kind), pa.array(np.ones(len(full), np.int8)), pa.array(full), pa.array(load[full]), none, *[none] * len(BITS)], names=["id", "kind", "n", "k1", "k2", *BITS])
 
     return run
 
@@ -114,17 +117,16 @@ def list_rows(load, small: int, percent: int, width: int):
 
 
 def scan_lists(batches):
-    """Candidates from (sig, node) rows sorted by both: kind 0 rows are pairs, kind 1 rows the members of heavy lists.
+    """Of (sig, node) rows sorted by both: kind 0 rows are the pairs of light lists, kind 1 rows the members of heavy ones.
 
-    Memory is bounded by a batch and LIGHT rows: of a list that runs over batches only its first set is kept.
+    Memory is bounded by a batch and LIGHT rows.
     """
 
     def rows(a, b, kind):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
 
     held_s = held_v = np.zeros(0, np.int64)
-    heavy = None  # (sig, first node) of the list at the end of the last batch, if heavy already
-    last = None  # its last row, to drop a repeated one
+    heavy = last = None  # the heavy list that the last batch ended in; its last row, to drop a repeated one
 
     def whole(s, v, starts):
         """Of whole lists, or the first part of a heavy one."""
@@ -136,17 +138,8 @@ def scan_lists(batches):
             if ok.any():
                 yield rows(v[:-d][ok], v[d:][ok], 0)
         if not light.all():
-            lead = np.repeat(v[starts], sizes)
-            star = ~light & (lead != v)
-            yield rows(lead[star], v[star], 0)
             yield rows(s[~light], v[~light], 1)
 
-    def part(s, v, first):
-        """Of a later part of a heavy list."""
-        if len(v):
-            yield rows(np.full(len(v), first, np.int64), v, 0)
-            yield rows(s, v, 1)
-
     for batch in batches:
         s, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         if not len(s):
@@ -157,8 +150,9 @@ def scan_lists(batches):
         last = (s[-1], v[-1])
         s, v = s[new], v[new]
         if heavy is not None:
-            n = int(np.searchsorted(s, heavy[0], "right"))
-            yield from part(s[:n], v[:n], heavy[1])
+            n = int(np.searchsorted(s, heavy, "right"))
+            if n:
+                yield rows(s[:n], v[:n], 1)
             if n == len(s):
                 continue
             heavy, s, v = None, s[n:], v[n:]
@@ -171,7 +165,7 @@ def scan_lists(batches):
             yield from whole(s[:cut], v[:cut], starts[:-1])
         held_s, held_v = s[cut:], v[cut:]
         if len(held_s) > LIGHT:
-            heavy = (held_s[0], held_v[0])
+            heavy = held_s[0]
             yield from whole(held_s, held_v, np.zeros(1, np.int64))
             held_s = held_v = np.zeros(0, np.int64)
     if len(held_s) > 1:
@@ -206,7 +200,7 @@ def verify_rows(percent: int, width: int):
 
 def _near(percent: int):
     """Sizes and parity signatures allow the similarity: an exact test for what cannot link."""
-    flips = sum(F.bit_count(F.col(f"a.p{i}").bitwiseXOR(F.col(f"b.p{i}"))) for i in range(4))
+    flips = sum(F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in BITS)
     total = F.col("a.n") + F.col("b.n")
     return (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (flips * (100 + percent) <= total * (100 - percent))
 
@@ -229,14 +223,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    counted = staged(source.mapInArrow(set_rows(width), f"id {kind}, kind tinyint, n bigint, k1 bigint, k2 bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint"), "jaccard-sets")
+    counted = staged(source.mapInArrow(set_rows(width), f"id {kind}, kind tinyint, n bigint, k1 bigint, k2 bigint, " + ", ".join(f"{p} bigint" for p in BITS)), "jaccard-sets")
     sets = counted.where("kind = 0").drop("kind")
     load = np.zeros(SKETCH, np.int64)
     for r in counted.where("kind = 1").groupBy("n").agg(F.sum("k1").alias("k")).toLocalIterator():  # SKETCH rows at most
         load[r["n"]] = r["k"]
     members = max(1, int(load.sum()))
     small = boundary(float((load.astype(float) ** 2).sum() / members - members / SKETCH), percent)
-    reps = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3")))
+    reps = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", *BITS)))
     reps = staged(reps.withColumn("node", F.monotonically_increasing_id()), "jaccard-reps")
 
     shared = spark.sparkContext.broadcast(load)
@@ -246,7 +240,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     postings = listed.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
     scanned = staged(postings.mapInArrow(scan_lists, "kind tinyint, a bigint, b bigint"), "jaccard-lists")
 
-    facts = reps.select("node", "n", "p0", "p1", "p2", "p3")
+    facts = reps.select("node", "n", *BITS)
+
     def near(pairs):
         a, b = facts.alias("a"), facts.alias("b")
         return pairs.alias("p").join(a, F.col("p.a") == F.col("a.node")).join(b, F.col("p.b") == F.col("b.node")).where(_near(percent)).select("p.a", "p.b")
@@ -266,16 +261,39 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labels = connected_components(links)
 
     heavy = scanned.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"))
-    heavy = heavy.join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
-    heavy = staged(heavy, "jaccard-heavy")
-    open_lists = heavy.groupBy("sig").agg(F.min(F.struct("node", "c")).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig", F.col("lead.c").alias("lead"))
-    rest = staged(heavy.join(open_lists, "sig").join(facts, "node"), "jaccard-open")
+    heavy = staged(heavy.join(heavy.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node"), "jaccard-heavy")
+
+    def apart():
+        """(sig, node, degree, c, lead) of the heavy lists whose members aren't all in one component; lead: the one of the member in most heavy lists."""
+        named = heavy.join(labels, "node", "left").select("sig", "node", "degree", F.coalesce("component", "node").alias("c"))
+        lists = named.groupBy("sig").agg(F.max(F.struct("degree", -F.col("node"), "c", "node")).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        return staged(named.join(lists.where("lo < hi").select("sig", F.col("lead.c").alias("lead"), F.col("lead.node").alias("centre")), "sig"), "jaccard-apart")
+
+    for star in range(STARS):
+        rest = apart()
+        if rest.isEmpty():
+            break
+        if star:  # the next centre is outside the lead's component, by degree and then by chance
+            by = F.struct(F.col("degree") if star == 1 else F.xxhash64("node", F.lit(star)), "node", "c")
+            centres = rest.where("c <> lead").groupBy("sig").agg(F.max(by).alias("m")).select("sig", F.col("m.node").alias("centre"), F.col("m.c").alias("of"))
+            rest = rest.drop("centre").join(centres, "sig").where("c <> of")
+        else:
+            rest = rest.where("c <> lead")
+        more = rest.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        more = staged(near(more), "jaccard-star")
+        pairs = pairs.union(more)
+        links = staged(links.union(verified(more)), "jaccard-links")
+        labels = connected_components(links)
+    rest = apart()
     if not rest.isEmpty():
-        # only sets outside the component of a list's lead ask; they meet the others of the list that are
-        # in another component, and the exact bounds are tested in the join
-        a, b = rest.where("c <> lead").alias("a"), rest.alias("b")
-        apart = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.lead")) | (F.col("a.node") < F.col("b.node")))
-        more = a.join(b, apart & _near(percent)).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+        # only sets outside the lead's component ask; they meet the others of the list that are in another
+        # component, in the first list that both share, and the exact bounds are tested in the join
+        mine = rest.groupBy("node").agg(F.collect_set("sig").alias("sigs"))
+        rows = rest.drop("degree", "centre").join(mine, "node").join(facts, "node")
+        a, b = rows.where("c <> lead").alias("a"), rows.alias("b")
+        other = (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.lead")) | (F.col("a.node") < F.col("b.node")))
+        once = F.col("a.sig") == F.array_min(F.array_intersect("a.sigs", "b.sigs"))
+        more = a.join(b, (F.col("a.sig") == F.col("b.sig")) & other & _near(percent) & once).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
         more = staged(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
         if not more.isEmpty():
             links = staged(links.union(verified(more)), "jaccard-links")
