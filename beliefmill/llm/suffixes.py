@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ GRAM = 64
 #: Bytes of texts that are hashed at a time; longer texts are cut into overlapping pieces.
 CHUNK = 1 << 20
 #: Members of a gram's group that one task orders in memory; larger groups are ordered by shuffles.
-BLOCK = 4096
+BLOCK = 8192
 #: Bytes of context that one pass over several groups orders at a time.
 PASS_BYTES = 1 << 20
 _BASE, _POS = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 28) - 1)
@@ -80,7 +81,10 @@ def anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, width: int):
 
 
 def anchor_rows(width: int):
-    """(h, id, k, place) for each selected gram; place packs position, smallest and largest offset."""
+    """(h, id, k, places) for each gram that a text selects; a place packs position, smallest and largest offset.
+
+    Places of one gram in a piece share a row, so a text that repeats itself sends few rows.
+    """
 
     def run(batches):
         for batch in batches:
@@ -96,7 +100,12 @@ def anchor_rows(width: int):
                 of = np.searchsorted(ends, pos, "right")
                 row = np.array([p[0] for p in piece])[of]
                 place = ((pos - (ends - lengths)[of] + np.array([p[1] for p in piece])[of]) << 16) | (lo << 8) | hi
-                return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(keys[row]), pa.array(place)], names=["h", "id", "k", "place"])
+                order = np.lexsort((h, row))
+                h, row, place = h[order], row[order], place[order]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
+                ends = np.append(first, len(h)).astype(np.int32) * 8
+                places = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(place.astype("<i8").tobytes())])
+                return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), batch.column(0).take(pa.array(row[first])), pa.array(keys[row[first]]), places], names=["h", "id", "k", "places"])
 
             for i in range(batch.num_rows):
                 raw = texts[i].as_buffer()
@@ -115,14 +124,14 @@ def anchor_rows(width: int):
 
 
 def repeated_rows(block: int):
-    """The (id, k, place, hot) of the rows (h, id, k, place), sorted by h, whose h isn't alone. At most `block` rows are held."""
+    """The (id, k, places, hot) of the rows (h, id, k, places), sorted by h, whose h has several places. At most `block` rows are held."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        key, count = None, 0
+        key, rows, places = None, 0, 0
 
         def out(batch, hot):
-            return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(np.full(batch.num_rows, hot))], names=["id", "k", "place", "hot"])
+            return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(np.full(batch.num_rows, hot))], names=["id", "k", "places", "hot"])
 
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False)
@@ -130,66 +139,68 @@ def repeated_rows(block: int):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             sizes = np.diff(np.append(starts, len(h)))
-            low, high = 0, len(starts)
+            count = np.add.reduceat(pc.binary_length(batch.column(3)).to_numpy().astype(np.int64) // 8, starts)
+            low = 0
             if key is not None and h[0] == key:  # the first group goes on with the last batch's
-                count += sizes[0]
+                rows, places, low = rows + int(sizes[0]), places + int(count[0]), 1
                 held.append(batch.slice(0, int(sizes[0])))
-                low = 1
-                if count > block:
+                if rows > block:
                     yield from (out(b, True) for b in held)
                     held = []
-            if low < high:
-                if held and count > 1:
+            if low < len(starts):
+                if held and places > 1:
                     yield from (out(b, False) for b in held)
-                hot = np.repeat(sizes > block, sizes)
-                keep = np.repeat(sizes > 1, sizes)
+                keep = np.repeat(count > 1, sizes)
                 keep[:starts[low]] = False
                 keep[starts[-1]:] = False
                 for flag in (False, True):
-                    some = np.flatnonzero(keep & (hot == flag))
+                    some = np.flatnonzero(keep & (np.repeat(sizes > block, sizes) == flag))
                     if len(some):
                         yield out(batch.take(pa.array(some)), flag)
-                key, count = h[-1], int(sizes[-1])
+                key, rows, places = h[-1], int(sizes[-1]), int(count[-1])
                 held = [batch.slice(int(starts[-1]))]
-                if count > block:
+                if rows > block:
                     yield out(held[0], True)
                     held = []
-        if held and count > 1:
+        if held and places > 1:
             yield from (out(b, False) for b in held)
 
     return run
 
 
 def context_rows(width: int):
-    """(h, c, id, k, begin, bytes) for the places of each text: the bytes of all windows that select the gram there."""
+    """(h, c, id, k, begins, bytes) for each context of each text: the bytes of all windows that select a gram at a place.
+
+    Equal contexts of a text share a row; begins list where they start, with the gram's largest offset.
+    """
 
     def run(batches):
         for batch in batches:
             text, places, keys = batch.column(2), batch.column(3), batch.column(1)
-            cols: list[list] = [[], [], [], [], []]
+            rows: list = []
             for i in range(batch.num_rows):
                 raw = text[i].as_buffer().to_pybytes()
-                p = np.sort(np.asarray(places[i].values))
+                p = np.sort(np.frombuffer(b"".join(places[i].as_py()), "<i8"))
                 pos, lo, hi = p >> 16, (p >> 8) & 255, p & 255
                 first = np.flatnonzero(np.concatenate([[True], pos[1:] != pos[:-1]]))  # pieces of a long text may give a place in two parts
                 lo, hi, pos = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first), pos[first]
+                found: dict = {}
                 for a, o, b in zip(pos.tolist(), lo.tolist(), hi.tolist(), strict=True):
                     c = raw[a - b:a - o + width]
-                    cols[0].append(xxhash.xxh3_64_intdigest(raw[a:a + GRAM]))
-                    cols[1].append(xxhash.xxh3_64_intdigest(c, seed=b))
-                    cols[2].append(i)
-                    cols[3].append((a - b) << 8 | b)
-                    cols[4].append(c)
-                if len(cols[4]) > 8000:
-                    yield pack(batch, cols)
-                    cols = [[], [], [], [], []]
-            if cols[4]:
-                yield pack(batch, cols)
-
-    def pack(batch, cols):
-        i = pa.array(cols[2], pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.array(cols[0], np.uint64).view(np.int64)), pa.array(np.array(cols[1], np.uint64).view(np.int64)), batch.column(0).take(i), batch.column(1).take(i),
-                                           pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())], names=["h", "c", "id", "k", "begin", "bytes"])
+                    found.setdefault((b, c), []).append((a - b) << 8 | b)
+                for (b, c), begins in found.items():
+                    rows.append((xxhash.xxh3_64_intdigest(c[b:b + GRAM]), xxhash.xxh3_64_intdigest(c, seed=b), i, np.array(begins, "<i8").tobytes(), c))
+                if len(rows) > 8000:
+                    yield pack(batch, keys, rows)
+                    rows = []
+            if rows:
+                yield pack(batch, keys, rows)
+
+    def pack(batch, keys, rows):
+        h, c, i, begins, contexts = zip(*rows, strict=True)
+        i = pa.array(i, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(np.array(c, np.uint64).view(np.int64)), batch.column(0).take(i), keys.take(i),
+                                           pa.array(begins, pa.binary()), pa.array(contexts, pa.binary())], names=["h", "c", "id", "k", "begins", "bytes"])
 
     return run
 
@@ -237,24 +248,30 @@ def runs(of: np.ndarray, inside: np.ndarray, repeated: np.ndarray):
 
 
 def ordered_groups(width: int):
-    """Removed (id, k, start, end) from context rows sorted by (h, c); whole groups of light grams are ordered, many at a time."""
+    """(id, k, begins, lo, hi) from context rows sorted by (h, c): removed are the bytes begin + lo to begin + hi.
+
+    Whole groups of light grams are ordered, many at a time.
+    """
 
     def work(table: pa.Table):
-        h, c, begin = (table.column(i).to_numpy() for i in (0, 1, 4))
+        h, c = (table.column(i).to_numpy() for i in (0, 1))
+        times = pc.binary_length(table.column(4)).to_numpy() // 8
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
         context = np.cumsum(new) - 1  # of each row; equal contexts are ordered once
         lead = np.flatnonzero(new)
         group = np.cumsum(np.concatenate([[True], h[lead][1:] != h[lead][:-1]])).astype(np.uint64)
-        of, inside, one, two = window_digits(group, begin[lead] & 255, table.column(5).take(pa.array(lead)).to_pylist(), width)
-        repeated = equal_windows(one, two) | (np.bincount(context) > 1)[of]
+        some = table.take(pa.array(lead))
+        high = np.array([b[0] for b in some.column(4).to_pylist()], np.int64)  # the lowest byte of the first begin
+        of, inside, one, two = window_digits(group, high, some.column(5).to_pylist(), width)
+        repeated = equal_windows(one, two) | (np.bincount(context, times) > 1)[of]
         r, lo, hi = runs(of, inside, repeated)
         each = np.bincount(r, minlength=len(lead))
-        n = each[context]
-        row = np.repeat(np.arange(len(h)), n)
-        which = np.repeat((np.cumsum(each) - each)[context], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        start = (begin[row] >> 8) + lo[which]
-        some = pa.array(row)
-        return pa.RecordBatch.from_arrays([table.column(2).take(some).combine_chunks(), table.column(3).take(some).combine_chunks(), pa.array(start), pa.array((begin[row] >> 8) + hi[which] + width)], names=["id", "k", "start", "end"])
+        rows = np.flatnonzero(each[context])
+        ends = np.concatenate([[0], np.cumsum(each[context[rows]])]).astype(np.int32)
+        which = np.repeat((np.cumsum(each) - each)[context[rows]] - ends[:-1], each[context[rows]]) + np.arange(ends[-1])
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[which])) for x in (lo, hi + width)]
+        kept = table.take(pa.array(rows)).combine_chunks()
+        return [pa.RecordBatch.from_arrays([*(kept.column(i).combine_chunks() for i in (2, 3, 4)), *lists], names=["id", "k", "begins", "lo", "hi"])] if len(rows) else []
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -273,23 +290,24 @@ def ordered_groups(width: int):
                     continue
                 held[-1] = some.slice(0, cut)
                 if any(b.num_rows for b in held):
-                    yield work(pa.Table.from_batches([b for b in held if b.num_rows]))
+                    yield from work(pa.Table.from_batches([b for b in held if b.num_rows]))
                 held, size = [rest], rest.nbytes
         if any(b.num_rows for b in held):
-            yield work(pa.Table.from_batches([b for b in held if b.num_rows]))
+            yield from work(pa.Table.from_batches([b for b in held if b.num_rows]))
 
     return run
 
 
 def digit_rows(width: int):
-    """(one, two, h, c, inside) for each window of the contexts (h, c, begin, bytes) of hot grams."""
+    """(one, two, h, c, inside) for each window of the contexts (h, c, begins, bytes) of hot grams."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 some = batch.slice(at, 2000)
-                h, c, begin = (some.column(i).to_numpy() for i in range(3))
-                of, inside, one, two = window_digits(h.view(np.uint64), begin & 255, some.column(3).to_pylist(), width)
+                h, c = (some.column(i).to_numpy() for i in range(2))
+                high = np.array([b[0] for b in some.column(2).to_pylist()], np.int64)
+                of, inside, one, two = window_digits(h.view(np.uint64), high, some.column(3).to_pylist(), width)
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(h[of]), pa.array(c[of]), pa.array(inside)], names=["one", "two", "h", "c", "inside"])
 
     return run
@@ -305,13 +323,20 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[first].tolist(), reach[np.append(first[1:], len(starts)) - 1].tolist(), strict=True))
 
 
+def expand_spans(found: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the spans (begins, lo, hi): every run at every begin."""
+    parts = [(np.frombuffer(x["begins"], "<i8") >> 8, np.array(x["lo"], np.int64), np.array(x["hi"], np.int64)) for x in found]
+    none = [np.zeros(0, np.int64)]
+    return tuple(np.concatenate(none + [(b[:, None] + p[i]).ravel() for b, *p in parts]) for i in (0, 1))
+
+
 def cut_rows(batches):
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) from (id, text bytes, starts, ends)."""
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) from (id, text bytes, spans)."""
     for batch in batches:
         out = []
-        for raw, starts, ends in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+        for raw, found in zip(batch.column(1), batch.column(2), strict=True):
             data = raw.as_buffer().to_pybytes()
-            spans = merge_spans(np.asarray(starts.values), np.asarray(ends.values)) if starts.is_valid else []
+            spans = merge_spans(*expand_spans(found.as_py() or []))
             kept, at = hashlib.sha256(), 0
             for a, b in spans:
                 kept.update(data[at:a])
@@ -323,34 +348,33 @@ def cut_rows(batches):
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): texts (id, k, raw) has a row a row of docs, spans (id, k, start, end) covers, overlapping, all repeated bytes."""
-    spark = docs.sparkSession
+    """(texts, spans): texts (id, k, raw) has a row a row of docs, spans (id, k, begins, lo, hi) covers, overlapping, all repeated bytes."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     texts = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("k"), text.cast("binary").alias("raw"))
     kind = texts.schema["id"].dataType.simpleString()
-    selected = texts.mapInArrow(anchor_rows(width), f"h bigint, id {kind}, k bigint, place bigint").repartition("h").sortWithinPartitions("h")
-    alive = staged(selected.mapInArrow(repeated_rows(block), f"id {kind}, k bigint, place bigint, hot boolean"), "suffix-alive")
+    selected = texts.mapInArrow(anchor_rows(width), f"h bigint, id {kind}, k bigint, places binary").repartition("h").sortWithinPartitions("h")
+    alive = staged(selected.mapInArrow(repeated_rows(block), f"id {kind}, k bigint, places binary, hot boolean"), "suffix-alive")
 
     def contexts(hot: bool):
-        places = alive.where("hot" if hot else "not hot").groupBy("id", "k").agg(F.collect_set("place").alias("places")).alias("p")
+        places = alive.where("hot" if hot else "not hot").groupBy("id", "k").agg(F.collect_list("places").alias("places")).alias("p")
         t = texts.alias("t")
         met = t.join(places, F.col("t.id").eqNullSafe(F.col("p.id")) & (F.col("t.k") == F.col("p.k"))).select("t.id", "t.k", "raw", "places")
-        return met.mapInArrow(context_rows(width), f"h bigint, c bigint, id {kind}, k bigint, begin bigint, bytes binary")
+        return met.mapInArrow(context_rows(width), f"h bigint, c bigint, id {kind}, k bigint, begins binary, bytes binary")
 
     light = contexts(False).repartition("h").sortWithinPartitions("h", "c")
-    spans = light.mapInArrow(ordered_groups(width), f"id {kind}, k bigint, start bigint, end bigint")
+    spans = light.mapInArrow(ordered_groups(width), f"id {kind}, k bigint, begins binary, lo array<bigint>, hi array<bigint>")
     if not alive.where("hot").isEmpty():
         rows = contexts(True)
-        distinct = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.first("begin").alias("begin"), F.first("bytes").alias("bytes"))
+        distinct = rows.groupBy("h", "c").agg(F.sum(F.length("begins") / 8).alias("n"), F.first("begins").alias("begins"), F.first("bytes").alias("bytes"))
         distinct = staged(distinct, "suffix-hot")
-        digits = distinct.select("h", "c", "begin", "bytes").mapInArrow(digit_rows(width), "one bigint, two bigint, h bigint, c bigint, inside bigint")
+        digits = distinct.select("h", "c", "begins", "bytes").mapInArrow(digit_rows(width), "one bigint, two bigint, h bigint, c bigint, inside bigint")
         met = digits.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
         found = digits.join(met, ["one", "two"]).groupBy("h", "c").agg(F.collect_set("inside").alias("met"))
         everything = F.sequence(F.lit(0).cast("long"), (F.length("bytes") - width).cast("long"))
-        found = distinct.join(found, ["h", "c"], "left").select("h", "c", F.when(F.col("n") > 1, everything).otherwise(F.col("met")).alias("met"))
-        found = staged(found.where("met is not null"), "suffix-found")
-        hot = rows.select("h", "c", "id", "k", F.shiftright("begin", 8).alias("begin")).join(found, ["h", "c"])
-        spans = spans.union(hot.select("id", "k", F.explode("met").alias("at"), "begin").select("id", "k", (F.col("begin") + F.col("at")).alias("start"), (F.col("begin") + F.col("at") + width).alias("end")))
+        found = distinct.join(found, ["h", "c"], "left").select("h", "c", F.array_sort(F.when(F.col("n") > 1, everything).otherwise(F.col("met"))).alias("met"))
+        ends = lambda step: F.filter("met", lambda x: ~F.array_contains("met", x + step))
+        found = staged(found.where("met is not null").select("h", "c", ends(-1).alias("lo"), F.transform(ends(1), lambda x: x + width).alias("hi")), "suffix-found")
+        spans = spans.union(rows.select("h", "c", "id", "k", "begins").join(found, ["h", "c"]).select("id", "k", "begins", "lo", "hi"))
     return texts, spans
 
 
@@ -365,7 +389,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     texts, spans = repeated_spans(docs, id_col, text_col, width, block)
     kind = texts.schema["id"].dataType.simpleString()
-    of = spans.groupBy("id", "k").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")).alias("s")
+    of = spans.groupBy("id", "k").agg(F.collect_list(F.struct("begins", "lo", "hi")).alias("spans")).alias("s")
     t = texts.alias("t")
-    met = t.join(of, F.col("t.id").eqNullSafe(F.col("s.id")) & (F.col("t.k") == F.col("s.k")), "left").select("t.id", "raw", "starts", "ends")
+    met = t.join(of, F.col("t.id").eqNullSafe(F.col("s.id")) & (F.col("t.k") == F.col("s.k")), "left").select("t.id", "raw", "spans")
     return met.mapInArrow(cut_rows, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
