@@ -217,3 +217,34 @@ def test_watch_processes_each_id_once(spark, tmp_path):
     put("3.json", ["b", "d"])
     watch(spark, src, "id string", work, out, check, retry_errors=True).awaitTermination(60)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["a", "b", "b", "c", "d"]
+
+
+REPLIES = {
+    "nodes": 'ok ```json {"nodes": [{"name": "A", "states": ["x", "none"]}, {"name": "B", "states": ["x", "none"]}, {"name": "C", "states": ["u", "v"]}, {"states": ["x"]}]} ```',
+    "edges": '{"edges": [{"parent": "A", "child": "C"}, {"parent": "B", "child": "C"}, {"parent": "C", "child": "A"}, {"parent": "A", "child": "Z"}]}',
+    "marginals": '{"marginals": {"A": {"x": "0.9", "none": 0.1}, "B": {"x": "lots"}, "C": {"u": 0.5, "v": 0.5}}}',
+    "joints": '{"joints": [{"parent": "A", "child": "C", "table": {"x": {"u": 0.6, "v": 0.3}, "none": {"u": 0.1}}}]}',
+    "multi_joints": '{"multi_joints": [{"child": "C", "parents": ["A", "B"], "table": {"A=x": {"B=x": {"u": 0.5, "v": 0.2}}}}]}',
+}
+
+
+def test_extraction_passes(spark):
+    from beliefmill.functions.prompts import SYSTEM
+    from beliefmill.operators import extract
+
+    told = spark.createDataFrame([(SYSTEM["extract", k], v) for k, v in REPLIES.items()], "system string, raw string")
+    ask = lambda prompts: prompts.where("bn_id <> 'dead'").join(told, "system")
+    got = extract.extract(spark.createDataFrame([("b", "text"), ("dead", "text")], "bn_id string, text string"), ask, "m")
+    assert sorted((r.parent, r.child) for r in got.edges.collect()) == [("A", "C"), ("B", "C")]
+    p = {(r.node, r.state): r.p for r in got.marginal.collect()}
+    assert p["A", "x"] == 0.9 and "dead" not in {r.bn_id for r in got.nodes.collect()}
+    j = {(r.parent_state, r.child_state): r.p for r in got.joint.collect()}
+    assert len(j) == 4 and abs(sum(j.values()) - 1) < 1e-5
+    m = {(tuple(r.combo), r.child_state): r.p for r in got.multi_joint.collect()}
+    assert len(m) == 8 and max(m, key=m.get) == (("x", "x"), "u")
+    kinds = {r.node: r.kind for r in prob.all_cpds(got.marginal, got.joint, got.multi_joint, got.edges, got.node_state).collect()}
+    assert kinds == {"A": "prior", "B": "prior", "C": "exact"}
+    cpd = prob.pairwise_nullable(got.joint, got.edges, got.node_state, 0.001)
+    prior = prob.cells(prob.priors(got.marginal, graph.roots(got.edges, got.nodes), got.node_state), "bn_id", "node")
+    prompt = extract.verbalization_prompts(got.nodes, got.node_state, got.edges, prior, cpd, spark.createDataFrame([("b", "T", "society")], "bn_id string, title string, domain string")).first().user
+    assert prompt.startswith("TITLE: T\nDOMAIN: society\n\nNODES AND STATES:\n  A: [x, none]\n") and "  A  →  C\n  B  →  C" in prompt and "  P(A=x) = 0.9000  [strong]" in prompt and "[C | A]" in prompt
