@@ -58,11 +58,11 @@ def corpus(spark: SparkSession, sf_dir: str, even: bool = False) -> SimpleNamesp
     n = "e" if even else "n"
     found = written(cells(spark, sf_dir), "corpus-cells")
     bn = found.groupBy("nk").agg(F.sum(n).alias("total")).withColumn("bn_id", bn_id(F.col("nk")))
-    small = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema))  # noqa: E731  fixed definitions
-    names = small([(i, x) for i, x in enumerate(NAMES)], "node_pos int, node string")
-    states = small([(x, i, s) for x, ss in NODES for i, s in enumerate([*ss, "none"])], "node string, state_pos int, state string")
-    pairs = small([(i, a, b) for i, (a, b) in enumerate(EDGES)], "edge_pos int, parent string, child string")
     ids = bn.select("bn_id", "nk")
+    fixed = lambda fields, rows: F.inline(F.array(*(F.struct(*(F.lit(v).alias(f) for f, v in zip(fields, r, strict=True))) for r in rows)))
+    names = fixed(("node_pos", "node"), enumerate(NAMES))
+    states = fixed(("node", "state_pos", "state"), ((x, i, s) for x, ss in NODES for i, s in enumerate([*ss, "none"])))
+    pairs = fixed(("edge_pos", "parent", "child"), ((i, a, b) for i, (a, b) in enumerate(EDGES)))
     one = F.explode(F.array(*(F.struct(F.lit(x).alias("node"), F.col(f"v{i}").alias("state")) for i, x in enumerate(NAMES))))
     counts = found.select("nk", n, one.alias("x")).groupBy("nk", "x.node", "x.state").agg(F.sum(n).alias("c"))
     p = F.col("c") / F.col("total")
@@ -73,8 +73,8 @@ def corpus(spark: SparkSession, sf_dir: str, even: bool = False) -> SimpleNamesp
     joint = joint.join(bn, "nk").where("c > 0").select("bn_id", "parent", "child", "parent_state", "child_state", p.alias("p"))
     three = found.groupBy("nk", F.col("v1"), F.col("v0"), F.col("v4").alias("child_state")).agg(F.sum(n).alias("c")).join(bn, "nk").where("c > 0")
     multi = three.select("bn_id", F.lit("quantity band").alias("child"), F.array("v1", "v0").alias("combo"), "child_state", p.alias("p"))
-    every = ids.crossJoin(pairs)  # ten candidate edges a network
+    every = ids.select("bn_id", "nk", pairs)  # ten candidate edges a network
     return SimpleNamespace(
-        cells=found, bn=bn, nodes=ids.crossJoin(names).select("bn_id", "node_pos", "node"), node_state=ids.crossJoin(states).select("bn_id", "node", "state_pos", "state"),
+        cells=found, bn=bn, nodes=ids.select("bn_id", names), node_state=ids.select("bn_id", states),
         marginal=marginal, joint=joint, multi_joint=multi, edges=every.where(F.col("edge_pos") < VALID).select("bn_id", "edge_pos", "parent", "child"),
         variant=every.where(F.col("edge_pos") != F.col("nk") % 10).select("bn_id", "edge_pos", "parent", "child"))
