@@ -36,8 +36,9 @@ RULES = (
 )
 
 
-def rule_table(spark, rules=RULES) -> DataFrame:
-    return spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version string")
+def rule_versions(rules) -> Column:
+    """An array of the rules' (kind, version)."""
+    return F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
 
 
 def matches(text: Column, rule: Rule) -> Column:
@@ -78,12 +79,11 @@ def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "
     equal texts share a blob; an id that repeats with another text is another path of another blob; null
     ids are kept as paths (their blobs are scanned too). Empty tables give empty tables.
     """
-    spark = versions.sparkSession
     text = F.coalesce(versions[text_col], F.lit(""))
     texts = versions.select(versions[id_col].alias("path"), text.alias("text"))
     paths = staged(texts.select("path", F.sha2("text", 256).alias("blob")), "secret-paths")
     known = paths.groupBy("blob").agg(F.min("path").alias("first_path"))
-    pairs = known.crossJoin(F.broadcast(rule_table(spark, rules)))  # a few rules for each blob
+    pairs = known.select("blob", "first_path", F.inline(rule_versions(rules)))
     if ledger is not None:
         pairs = pairs.join(ledger, ["blob", "kind", "version"], "left_anti")
     todo = staged(pairs.groupBy("blob", "first_path").agg(F.collect_set("kind").alias("todo")), "secret-todo")
@@ -91,7 +91,7 @@ def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "
     blobs = todo.join(one, todo["first_path"].eqNullSafe(one["path"]) & (todo["blob"] == one["content"]))
     new = scan(blobs.select("blob", "todo", "text"), rules).distinct()
     new = staged(new, "secret-findings")
-    added = todo.select("blob", F.explode("todo").alias("kind")).join(F.broadcast(rule_table(spark, rules)), "kind").select("blob", "kind", "version")
+    added = todo.select("blob", "todo", F.inline(rule_versions(rules))).where(F.array_contains("todo", F.col("kind"))).select("blob", "kind", "version")
     return (paths, added if ledger is None else ledger.select("blob", "kind", "version").union(added),
             new if findings is None else findings.select("blob", "kind", "version", "start", "end").union(new))
 

@@ -55,10 +55,10 @@ def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_
     """
     seen = captures.select(captures[id_col].alias("page_id"), captures[url_col].alias("url"), url_host(captures[url_col]).alias("host"), captures[day_col].cast("date").alias("day"))
     visits = seen.where("host <> '' and day is not null").select("host", "day").distinct()
-    last = visits.agg(F.max("day").alias("last"))
+    last = F.lit(visits.agg(F.max("day")).first()[0]).cast("date")
     slot = lambda d: F.floor(F.unix_date(d) / SLOT_DAYS)
-    spans = validity_intervals(entries).crossJoin(F.broadcast(last)).where("from_day <= last")  # one row
-    upto = F.least(F.coalesce(F.date_sub("to_day", 1), F.col("last")), F.col("last"))
+    spans = validity_intervals(entries).where(F.col("from_day") <= last)
+    upto = F.least(F.coalesce(F.date_sub("to_day", 1), last), last)
     spans = spans.withColumn("slot", F.explode(F.sequence(slot(F.col("from_day")), slot(upto))))
     spans = spans.select("list", "name", "from_day", "to_day", "slot")
     if spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
