@@ -6,8 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,14 +42,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def utf8(text: Column) -> Column:
-    return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
-
-
-def sha256_hex(text: Column) -> Column:
-    return F.sha2(text, 256)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on uint64 arrays."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -58,13 +49,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def by_bytes(values, most: int):
-    """Cut a sequence of byte strings into (start, stop) ranges of at most `most` bytes, one value at least."""
-    start = size = 0
-    for i, v in enumerate(values):
-        if i > start and size + len(v) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(v)
-    if start < len(values):
-        yield start, len(values)
+#: An odd number, whose powers have inverses modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers, n + 1 at least, of BASE and of its inverse, modulo 2**64."""
+    size = 1 << max(10, int(n).bit_length())
+    if size not in _POWERS:
+        _POWERS[size] = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, x, np.uint64), dtype=np.uint64)]) for x in (BASE, pow(BASE, -1, 1 << 64)))
+    return _POWERS[size]
+
+
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of bytes times powers: those of a stretch, divided by its first power, tell the stretch's content."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0][:len(data)], dtype=np.uint64, out=total[1:])
+    return total

@@ -25,7 +25,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a")))
         low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
         low = low.select("node", F.least("node", "low").alias("low"))
-        low = staged(low, "cc-low")
         jump = low.select(F.col("node").alias("low"), F.col("low").alias("next"))
         step = staged(low.join(jump, "low").select("node", F.col("next").alias("label")), "cc-step")
         if labels is None:

@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import mix64, staged
 from .components import connected_components
-from .shingles import WordHashes, shingle_set
+from .shingles import shingle_sets
 
 #: Buckets of the frequency sketch: its size is fixed, and so is what is broadcast.
 SKETCH = 1 << 16
 #: Lists of at most so many sets are light: all their pairs become candidates.
 LIGHT = 4
-#: Rounds of stars before the members of heavy lists that are still apart are compared one by one.
+#: Centres of a heavy list, before its members that are still apart are compared one by one.
 STARS = 3
 #: Bits of a set's parity signature, an exact lower bound for symmetric differences, and its columns.
 PARITY = 1024
@@ -62,7 +62,7 @@ def signatures(members: np.ndarray, load: np.ndarray, small: int, percent: int)
         total = mixed.sum(dtype=np.uint64)
         out = [total]
         for gone in range(1, n - needed(n, percent) + 1):
-            out += [total - mixed[list(c)].sum(dtype=np.uint64) for c in combinations(range(n), gone)]
+            out += [(int(total) - int(mixed[list(c)].sum(dtype=np.uint64))) % (1 << 64) for c in combinations(range(n), gone)]
         out = list(mix64(np.array(out, np.uint64)))
     if n > small or 100 * n >= percent * (small + 1):
         order = np.argsort(load[members & np.uint64(SKETCH - 1)], kind="stable")
@@ -70,21 +70,28 @@ def signatures(members: np.ndarray, load: np.ndarray, small: int, percent: int)
     return np.asarray(out, np.uint64)
 
 
+def sketched(sets: list[np.ndarray]) -> np.ndarray:
+    return np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+
+
 def set_rows(width: int):
     """Rows (id, kind, n, k1, k2, parity) for each text, and the sketch's (bucket n, count k1) of each task as kind 1."""
 
     def run(batches):
-        seen, load = WordHashes(), np.zeros(SKETCH, np.int64)
+        load = np.zeros(SKETCH, np.int64)
         kind = None
         for batch in batches:
             ids, kind = batch.column(0), batch.column(0).type
-            rows = []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), seen, width)
-                np.add.at(load, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+            rows, members = [], [np.zeros(0, np.uint64)]
+            for s in shingle_sets((t.as_py() for t in batch.column(1)), width):
+                members.append(s)
+                if len(members) > 1000:
+                    load += sketched(members)
+                    members = members[:1]
                 key = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 bits = np.packbits((np.bincount((s >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
                 rows.append((len(s), *key, *bits))
+            load += sketched(members)
             cols = np.array(rows, np.int64).reshape(len(rows), 3 + len(BITS)).T
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.zeros(len(rows), np.int8)), *(pa.array(c) for c in cols)], names=["id", "kind", "n", "k1", "k2", *BITS])
         if kind is not None:
@@ -99,11 +106,10 @@ def list_rows(load, small: int, percent: int, width: int):
     """Rows (id, k1, k2, sigs) for each text with a set."""
 
     def run(batches):
-        seen, order = WordHashes(), load.value
+        order = load.value
         for batch in batches:
             keep, keys, sigs = [], [], []
-            for i, text in enumerate(batch.column(1)):
-                s = shingle_set(text.as_py(), seen, width)
+            for i, s in enumerate(shingle_sets((t.as_py() for t in batch.column(1)), width)):
                 if len(s):
                     keep.append(i)
                     keys.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64))
@@ -116,84 +122,87 @@ def list_rows(load, small: int, percent: int, width: int):
     return run
 
 
-def scan_lists(batches):
+def scan_lists(most: int):
     """Of (sig, node) rows sorted by both: kind 0 rows are the pairs of light lists, kind 1 rows the members of heavy ones.
 
-    Memory is bounded by a batch and LIGHT rows.
+    Memory is bounded by a batch and `most` rows.
     """
 
-    def rows(a, b, kind):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
-
-    held_s = held_v = np.zeros(0, np.int64)
-    heavy = last = None  # the heavy list that the last batch ended in; its last row, to drop a repeated one
-
-    def whole(s, v, starts):
-        """Of whole lists, or the first part of a heavy one."""
-        sizes = np.diff(np.append(starts, len(s)))
-        light = np.repeat(sizes <= LIGHT, sizes)
-        of = np.repeat(np.arange(len(starts)), sizes)
-        for d in range(1, min(LIGHT, len(s))):
-            ok = light[:-d] & (of[:-d] == of[d:])
-            if ok.any():
-                yield rows(v[:-d][ok], v[d:][ok], 0)
-        if not light.all():
-            yield rows(s[~light], v[~light], 1)
-
-    for batch in batches:
-        s, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if not len(s):
-            continue
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (v[1:] != v[:-1])
-        new[0] = last != (s[0], v[0])
-        last = (s[-1], v[-1])
-        s, v = s[new], v[new]
-        if heavy is not None:
-            n = int(np.searchsorted(s, heavy, "right"))
-            if n:
-                yield rows(s[:n], v[:n], 1)
-            if n == len(s):
+    def run(batches):
+        def rows(a, b, kind):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+
+        held_s = held_v = np.zeros(0, np.int64)
+        heavy = last = None  # the heavy list that the last batch ended in; its last row, to drop a repeated one
+
+        def whole(s, v, starts):
+            """Of whole lists, or the first part of a heavy one."""
+            sizes = np.diff(np.append(starts, len(s)))
+            light = np.repeat(sizes <= most, sizes)
+            of = np.repeat(np.arange(len(starts)), sizes)
+            for d in range(1, min(most, len(s))):
+                ok = light[:-d] & (of[:-d] == of[d:])
+                if ok.any():
+                    yield rows(v[:-d][ok], v[d:][ok], 0)
+            if not light.all():
+                yield rows(s[~light], v[~light], 1)
+
+        for batch in batches:
+            s, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            if not len(s):
+                continue
+            new = np.ones(len(s), bool)
+            new[1:] = (s[1:] != s[:-1]) | (v[1:] != v[:-1])
+            new[0] = last != (s[0], v[0])
+            last = (s[-1], v[-1])
+            s, v = s[new], v[new]
+            if heavy is not None:
+                n = int(np.searchsorted(s, heavy, "right"))
+                if n:
+                    yield rows(s[:n], v[:n], 1)
+                if n == len(s):
+                    continue
+                heavy, s, v = None, s[n:], v[n:]
+            s, v = np.concatenate([held_s, s]), np.concatenate([held_v, v])
+            if not len(s):
                 continue
-            heavy, s, v = None, s[n:], v[n:]
-        s, v = np.concatenate([held_s, s]), np.concatenate([held_v, v])
-        if not len(s):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        cut = starts[-1]
-        if cut:
-            yield from whole(s[:cut], v[:cut], starts[:-1])
-        held_s, held_v = s[cut:], v[cut:]
-        if len(held_s) > LIGHT:
-            heavy = held_s[0]
+            starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            cut = starts[-1]
+            if cut:
+                yield from whole(s[:cut], v[:cut], starts[:-1])
+            held_s, held_v = s[cut:], v[cut:]
+            if len(held_s) > most:
+                heavy = held_s[0]
+                yield from whole(held_s, held_v, np.zeros(1, np.int64))
+                held_s = held_v = np.zeros(0, np.int64)
+        if len(held_s) > 1:
             yield from whole(held_s, held_v, np.zeros(1, np.int64))
-            held_s = held_v = np.zeros(0, np.int64)
-    if len(held_s) > 1:
-        yield from whole(held_s, held_v, np.zeros(1, np.int64))
+
+    return run
 
 
 def verify_rows(percent: int, width: int):
     """The (a, b) rows of (a, b, ka, kb, text_a, text_b) whose sets are the ones meant and similar enough."""
 
     def run(batches):
-        seen, held, mine = WordHashes(), None, None
-
-        def one(text, key):
-            s = shingle_set(text, seen, width)
-            return s if np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0] == key else None
-
         for batch in batches:
-            out = []
-            for a, b, ka, kb, ta, tb in zip(*(c.to_pylist() for c in batch.columns[:4]), *batch.columns[4:], strict=True):
-                if held != (b, kb):
-                    held, mine = (b, kb), one(tb.as_py(), kb)
-                other = one(ta.as_py(), ka)
-                if mine is not None and other is not None:
-                    both = len(np.intersect1d(mine, other, assume_unique=True))
-                    if 100 * both >= percent * (len(mine) + len(other) - both):
-                        out.append((a, b))
-            x = np.array(out, np.int64).reshape(len(out), 2)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+            for at in range(0, batch.num_rows, 500):
+                a, b, ka, kb = (c.to_pylist() for c in batch.slice(at, 500).columns[:4])
+                texts: dict = {}
+                for ids, keys, column in ((a, ka, 4), (b, kb, 5)):
+                    for x, text in zip(zip(ids, keys, strict=True), batch.column(column).slice(at, 500), strict=True):
+                        if x not in texts:
+                            texts[x] = text.as_py()
+                sets = dict(zip(texts, shingle_sets(texts.values(), width), strict=True))
+                same = {x for x, s in sets.items() if np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0] == x[1]}
+                out = []
+                for x, y in zip(zip(a, ka, strict=True), zip(b, kb, strict=True), strict=True):
+                    if x in same and y in same:
+                        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                            out.append((x[0], y[0]))
+                found = np.array(out, np.int64).reshape(len(out), 2)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     return run
 
@@ -205,7 +214,7 @@ def _near(percent: int):
     return (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (flips * (100 + percent) <= total * (100 - percent))
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> tuple[DataFrame, DataFrame]:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, light: int = LIGHT) -> tuple[DataFrame, DataFrame]:
     """(documents, links) of the similarity join.
 
     documents (doc_id, n_shingles, component_id): one row a row of docs. links (a, b): pairs of document
@@ -238,7 +247,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     r = reps.select("id", "k1", "k2", "node").alias("r")
     listed = listed.join(r, F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.k1") == F.col("r.k1")) & (F.col("l.k2") == F.col("r.k2")))
     postings = listed.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
-    scanned = staged(postings.mapInArrow(scan_lists, "kind tinyint, a bigint, b bigint"), "jaccard-lists")
+    scanned = staged(postings.mapInArrow(scan_lists(light), "kind tinyint, a bigint, b bigint"), "jaccard-lists")
 
     facts = reps.select("node", "n", *BITS)
 
@@ -256,40 +265,27 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ka", "kb", "text_a", "text_b")
         return both.mapInArrow(verify_rows(percent, width), "a bigint, b bigint").distinct()
 
-    pairs = staged(near(scanned.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "jaccard-pairs")
-    links = staged(verified(pairs), "jaccard-links")
-    labels = connected_components(links)
-
     heavy = scanned.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"))
     heavy = staged(heavy.join(heavy.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node"), "jaccard-heavy")
+    # centres: the member in most heavy lists, likely what the others are copies of, and members by chance,
+    # by a hash of the node alone, so that lists of the same sets choose alike
+    by = [F.max(F.struct("degree", "node"))["node"], *(F.max(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(1, STARS))]
+    centres = heavy.groupBy("sig").agg(F.array_distinct(F.array(*by)).alias("centres"))
+    stars = heavy.join(centres, "sig").select("node", F.explode("centres").alias("centre")).where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    pairs = scanned.where("kind = 0").select("a", "b").union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = staged(near(pairs), "jaccard-pairs")
+    links = staged(verified(pairs), "jaccard-links")
+    labels = connected_components(links)
 
-    def apart():
-        """(sig, node, degree, c, lead) of the heavy lists whose members aren't all in one component; lead: the one of the member in most heavy lists."""
-        named = heavy.join(labels, "node", "left").select("sig", "node", "degree", F.coalesce("component", "node").alias("c"))
-        lists = named.groupBy("sig").agg(F.max(F.struct("degree", -F.col("node"), "c", "node")).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-        return staged(named.join(lists.where("lo < hi").select("sig", F.col("lead.c").alias("lead"), F.col("lead.node").alias("centre")), "sig"), "jaccard-apart")
-
-    for star in range(STARS):
-        rest = apart()
-        if rest.isEmpty():
-            break
-        if star:  # the next centre is outside the lead's component, by degree and then by chance
-            by = F.struct(F.col("degree") if star == 1 else F.xxhash64("node", F.lit(star)), "node", "c")
-            centres = rest.where("c <> lead").groupBy("sig").agg(F.max(by).alias("m")).select("sig", F.col("m.node").alias("centre"), F.col("m.c").alias("of"))
-            rest = rest.drop("centre").join(centres, "sig").where("c <> of")
-        else:
-            rest = rest.where("c <> lead")
-        more = rest.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = staged(near(more), "jaccard-star")
-        pairs = pairs.union(more)
-        links = staged(links.union(verified(more)), "jaccard-links")
-        labels = connected_components(links)
-    rest = apart()
+    # (sig, node, c, lead) of the heavy lists whose members aren't all in one component; lead: the first centre's
+    named = heavy.join(labels, "node", "left").select("sig", "node", "degree", F.coalesce("component", "node").alias("c"))
+    lists = named.groupBy("sig").agg(F.max(F.struct("degree", "node", "c"))["c"].alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    rest = staged(named.join(lists.where("lo < hi").select("sig", "lead"), "sig").select("sig", "node", "c", "lead"), "jaccard-apart")
     if not rest.isEmpty():
         # only sets outside the lead's component ask; they meet the others of the list that are in another
         # component, in the first list that both share, and the exact bounds are tested in the join
         mine = rest.groupBy("node").agg(F.collect_set("sig").alias("sigs"))
-        rows = rest.drop("degree", "centre").join(mine, "node").join(facts, "node")
+        rows = rest.join(mine, "node").join(facts, "node")
         a, b = rows.where("c <> lead").alias("a"), rows.alias("b")
         other = (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.lead")) | (F.col("a.node") < F.col("b.node")))
         once = F.col("a.sig") == F.array_min(F.array_intersect("a.sigs", "b.sigs"))

@@ -2,31 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+
 import numpy as np
-import xxhash
 
-from .common import mix64
+from .common import mix64, powers, prefix_sums
+
+#: Bytes of texts that are hashed at a time; longer texts are cut between words.
+CHUNK = 1 << 20
+_UPPER, _WHITE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", bytes(range(9, 14))
+#: Lower-cases A-Z and makes the six ASCII white-space characters blanks.
+PLAIN = bytes.maketrans(_UPPER + _WHITE, _UPPER.lower() + b" " * len(_WHITE))
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """A text in pieces of about CHUNK bytes; no word is cut."""
+    at = 0
+    while len(raw) - at > CHUNK:
+        end = raw.rfind(b" ", at + 1, at + CHUNK)
+        if end < 0:
+            end = raw.find(b" ", at + CHUNK)
+        if end < 0:
+            break
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
 
-_UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
-#: Words whose hashes a worker remembers; beyond that it starts anew.
-REMEMBER = 300_000
+def _hashed(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, words of each piece)."""
+    data = np.frombuffer(b" ".join([*pieces, b""]), np.uint8)
+    edge = np.diff(np.concatenate([[True], data == 32, [True]]).astype(np.int8))
+    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    total, down = prefix_sums(data), powers(len(data))[1]
+    length = (end - begin).astype(np.uint64)
+    hashes = mix64((total[end] - total[begin]) * down[begin] + length * np.uint64(0xD6E8FEB86659FD93))
+    ends = np.cumsum([len(p) + 1 for p in pieces])
+    return hashes, np.diff(np.searchsorted(begin, ends), prepend=0)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBER:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """The hashes of each text's lower-cased words, many texts at a time."""
+    group: list[bytes] = []
+    size = 0
 
+    def flush():
+        hashes, counts = _hashed(group)
+        return np.split(hashes, np.cumsum(counts)[:-1])
 
-def word_hashes(text: str | None, seen: WordHashes) -> np.ndarray:
-    """Lower-cases A-Z and cuts at the six ASCII white-space characters, which is what bytes.split() does."""
-    words = text.encode().translate(LOWER).split() if text else []
-    return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+    for text in texts:
+        raw = (text or "").encode().translate(PLAIN)
+        if group and size + len(raw) > CHUNK:
+            yield from flush()
+            group, size = [], 0
+        if len(raw) > CHUNK:
+            yield np.concatenate([_hashed([p])[0] for p in _pieces(raw)])
+        else:
+            group.append(raw)
+            size += len(raw)
+    if group:
+        yield from flush()
 
 
+@lru_cache(maxsize=64)
 def coefficients(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
@@ -44,6 +83,8 @@ def window_hashes(hashes: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
     return mix64(out)
 
 
-def shingle_set(text: str | None, seen: WordHashes, width: int = 5) -> np.ndarray:
-    """The sorted distinct shingle hashes of a whole text."""
-    return np.unique(window_hashes(word_hashes(text, seen), width))
+def shingle_sets(texts: Iterable[str | None], width: int = 5) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each whole text."""
+    for hashes in word_hashes(texts):
+        s = np.sort(window_hashes(hashes, width))
+        yield s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, staged
+from .common import mix64, powers, prefix_sums, staged
 
 #: Bytes of the first digit.
 GRAM = 64
@@ -29,17 +29,7 @@ CHUNK = 1 << 20
 BLOCK = 8192
 #: Bytes of context that one pass over several groups orders at a time.
 PASS_BYTES = 1 << 20
-_BASE, _POS = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 28) - 1)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    size = 1 << max(10, int(n).bit_length())
-    if size not in _POWERS:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _POWERS[size] = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, x, np.uint64), dtype=np.uint64)]) for x in (_BASE, inverse))
-    return _POWERS[size]
+_POS = np.uint64((1 << 28) - 1)
 
 
 def span_hashes(data: np.ndarray, width: int) -> np.ndarray:
@@ -47,10 +37,8 @@ def span_hashes(data: np.ndarray, width: int) -> np.ndarray:
     n = len(data)
     if n < width:
         return np.zeros(0, np.uint64)
-    up, down = powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64, out=total[1:])
-    return mix64((total[width:] - total[:n - width + 1]) * down[:n - width + 1])
+    total = prefix_sums(data)
+    return mix64((total[width:] - total[:n - width + 1]) * powers(n)[1][:n - width + 1])
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -364,16 +352,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     light = contexts(False).repartition("h").sortWithinPartitions("h", "c")
     spans = light.mapInArrow(ordered_groups(width), f"id {kind}, k bigint, begins binary, lo array<bigint>, hi array<bigint>")
     if not alive.where("hot").isEmpty():
+        # one plan with the light grams: texts are dealt by id once, and every part reads that exchange
         rows = contexts(True)
         distinct = rows.groupBy("h", "c").agg(F.sum(F.length("begins") / 8).alias("n"), F.first("begins").alias("begins"), F.first("bytes").alias("bytes"))
-        distinct = staged(distinct, "suffix-hot")
         digits = distinct.select("h", "c", "begins", "bytes").mapInArrow(digit_rows(width), "one bigint, two bigint, h bigint, c bigint, inside bigint")
         met = digits.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
         found = digits.join(met, ["one", "two"]).groupBy("h", "c").agg(F.collect_set("inside").alias("met"))
         everything = F.sequence(F.lit(0).cast("long"), (F.length("bytes") - width).cast("long"))
         found = distinct.join(found, ["h", "c"], "left").select("h", "c", F.array_sort(F.when(F.col("n") > 1, everything).otherwise(F.col("met"))).alias("met"))
         ends = lambda step: F.filter("met", lambda x: ~F.array_contains("met", x + step))
-        found = staged(found.where("met is not null").select("h", "c", ends(-1).alias("lo"), F.transform(ends(1), lambda x: x + width).alias("hi")), "suffix-found")
+        found = found.where("met is not null").select("h", "c", ends(-1).alias("lo"), F.transform(ends(1), lambda x: x + width).alias("hi"))
         spans = spans.union(rows.select("h", "c", "id", "k", "begins").join(found, ["h", "c"]).select("id", "k", "begins", "lo", "hi"))
     return texts, spans
 

@@ -95,6 +95,18 @@ def test_jaccard_subset_signatures_meet():
             assert a & b
 
 
+def test_words_hash_alike_in_any_piece(monkeypatch):
+    from beliefmill.llm import shingles as S
+
+    texts = ["Aa bB\tcc", None, "", " \n ", "é aa\x0bAA  x", "aa " * 500 + "y" * 90 + " bb", "z" * 200, "q w"]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    whole = [x.tolist() for x in S.word_hashes(texts)]
+    monkeypatch.setattr(S, "CHUNK", 50)
+    assert [x.tolist() for x in S.word_hashes(texts)] == whole
+    flat = {(w, h) for ws, hs in zip(words, whole, strict=True) for w, h in zip(ws, hs, strict=True)}
+    assert len(flat) == len({w for w, _ in flat}) == len({h for _, h in flat})
+
+
 def test_keep_first_keeps_one_of_each_group(spark, corpus):
     kept = [(r.doc_id, r.text) for r in jaccard.keep_first(odd_docs(spark, corpus)).collect()]
     want = {c for _, n, c in brute_components(corpus) if n} | {d for d, n, _ in brute_components(corpus) if not n}
