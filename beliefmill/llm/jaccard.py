@@ -28,7 +28,7 @@ LIGHT = 4
 #: Centres of a heavy list, before its members that are still apart are compared one by one.
 STARS = 3
 #: Bits of a set's parity signature, an exact lower bound for symmetric differences, and its columns.
-PARITY = 1024
+PARITY = 512
 BITS = [f"p{i}" for i in range(PARITY // 64)]
 
 
@@ -285,10 +285,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # only sets outside the lead's component ask; they meet the others of the list that are in another
         # component, in the first list that both share, and the exact bounds are tested in the join
         mine = rest.groupBy("node").agg(F.collect_set("sig").alias("sigs"))
-        rows = rest.join(mine, "node").join(facts, "node")
+        rows = rest.join(mine, "node").withColumn("sigs", F.filter("sigs", lambda x: x < F.col("sig"))).join(facts, "node")
         a, b = rows.where("c <> lead").alias("a"), rows.alias("b")
         other = (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.lead")) | (F.col("a.node") < F.col("b.node")))
-        once = F.col("a.sig") == F.array_min(F.array_intersect("a.sigs", "b.sigs"))
+        once = ~F.arrays_overlap("a.sigs", "b.sigs")
         more = a.join(b, (F.col("a.sig") == F.col("b.sig")) & other & _near(percent) & once).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
         more = staged(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
         if not more.isEmpty():
