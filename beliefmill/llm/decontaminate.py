@@ -24,7 +24,7 @@ COVER = 13
 #: Bits of the filter that tasks apply before the join; its size is fixed, whatever the benchmark's is.
 FILTER_BITS = 1 << 23
 #: Words that a worker remembers.
-REMEMBER = 300_000
+REMEMBER = 200_000
 #: Words that count as units.
 UNITS = frozenset(
     "% mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "

@@ -26,7 +26,7 @@ DROP_COST = 5.0
 #: Bins of one histogram in the selection of the k-th largest key.
 BINS = 4096
 #: Tokens that a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 200_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -186,9 +186,11 @@ def sampled_rows(weights, least: float, text_at: int):
     def run(batches):
         seen, w = Tokens(), weights.value
         for batch in batches:
-            scores = [round(float(w[ngrams(t.as_py(), seen)].sum()), 6) for t in batch.column(text_at)]
-            keep = np.array(scores) + batch.column(batch.num_columns - 1).to_numpy() >= least
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1])).filter(pa.array(keep))
+            for at in range(0, batch.num_rows, 1000):  # small pieces, as whole rows go back
+                some = batch.slice(at, 1000)
+                scores = [round(float(w[ngrams(t.as_py(), seen)].sum()), 6) for t in some.column(text_at)]
+                keep = np.array(scores) + some.column(some.num_columns - 1).to_numpy() >= least
+                yield pa.RecordBatch.from_arrays(some.columns[:-1], schema=pa.schema(list(some.schema)[:-1])).filter(pa.array(keep))
 
     return run
 
