@@ -1,7 +1,7 @@
 """Token-ID output with Re-Pair grammar compression.
 
 Documents go in ascending id order into shards. A shard's ids are compressed by replacing frequent
-pairs of neighbours by nonterminals, round by round; the rules and the lengths that symbols expand to
+pairs of neighbours by nonterminals, round by round, until no pair is frequent; the rules and the lengths that symbols expand to
 are stored with it, so any position can be decoded without decoding what stands before it.
 """
 
@@ -20,8 +20,8 @@ from .common import new_path, partitions
 
 #: Ids after which a shard is closed; a document is never cut, so one may be longer.
 SHARD_IDS = 1 << 19
-#: Rounds of replacement and the rules that each may add; pairs with fewer occurrences stay.
-ROUNDS, ROUND_RULES, LEAST = 3, 512, 8
+#: A pair with fewer occurrences, of which no two overlap, isn't replaced.
+LEAST = 8
 #: Symbols between two entries of a shard's position index.
 INDEX_STEP = 1024
 #: Entries that a worker's caches hold; beyond that they start anew.
@@ -32,6 +32,7 @@ _WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + _LETTERS + rb"]+|[" + _DIGIT
 _UPPER = bytes([*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)])
 _LOWER = bytes.maketrans(_UPPER, bytes(b + 32 for b in _UPPER))
 _SAFE = bytes([9, 10, 13, *range(32, 127), *range(161, 256)])
+_FACTOR = 0x9E3779B97F4A7C15
 _WORKER: dict = {}
 
 
@@ -108,77 +109,136 @@ def encoder(path: str) -> Encoder:
     return Encoder(_WORKER[path])
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, distinct, counts): the distinct keys with LEAST occurrences or more, and for each key its place there, or -1.
+
+    Keys are counted by hash; those that share a slot with another one are hashed again, until all are told apart.
+    """
+    ids, found, counts, left, n, factor = np.full(len(keys), -1, np.int32), [keys[:0]], [np.zeros(0, np.int64)], None, 0, _FACTOR
+    bits = max(10, min(18, len(keys).bit_length()))
+    while True:
+        some = keys if left is None else keys[left]
+        slot = ((some * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
+        full = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= LEAST)[slot])
+        if not len(full):
+            return ids, np.concatenate(found), np.concatenate(counts)
+        slot, some, left = slot[full], some[full], full if left is None else left[full]
+        holder = np.zeros(1 << bits, np.uint64)
+        holder[slot] = some
+        same = holder[slot] == some
+        count = np.bincount(slot[same], minlength=1 << bits)
+        good = np.flatnonzero(count >= LEAST)
+        number = np.full(1 << bits, -1, np.int32)
+        number[good] = np.arange(n, n + len(good))
+        ids[left[same]] = number[slot[same]]
+        found.append(holder[good])
+        counts.append(count[good])
+        n, left, factor = n + len(good), left[~same], factor * _FACTOR % (1 << 64)
+
+
 def repair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules) of a sequence of ids below `base`; rule k is the pair that symbol base + k stands for.
 
-    Each round counts all pairs by hash, takes the first pair of every frequent hash, counts its
-    occurrences exactly, and replaces those of frequent pairs from left to right.
+    Each round counts all pairs exactly and replaces an occurrence if its pair is more frequent than those
+    that overlap it; of a run of one symbol, every second pair from the left counts. A pair that would be
+    replaced fewer than LEAST times waits for the next round. Rounds end when no pair occurs LEAST times;
+    the most frequent one is replaced in each, so they do end. Counts of a pair never grow after the round
+    that made its symbols, so a round looks only at pairs that were frequent or are new.
     """
-    seq, rules = ids.astype(np.uint32), []
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)).astype(np.int32)
-        counts = np.bincount(slot, minlength=1 << 17)
-        top = np.argpartition(counts, -ROUND_RULES)[-ROUND_RULES:]
-        top = np.sort(top[counts[top] >= LEAST])
-        if not len(top):
+    seq, n = ids.astype(np.uint32), len(ids)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    at, alive, rules, count = np.arange(max(n - 1, 0)), np.ones(n, bool), [np.zeros(0, np.uint64)], 0
+    while len(at) >= LEAST:
+        a, b = seq[at], seq[after[at]]
+        keys = (a.astype(np.uint64) << np.uint64(32)) | b
+        touch = after[at[:-1]] == at[1:]
+        twin = np.flatnonzero(a == b)
+        run = np.concatenate([[True], (np.diff(twin) != 1) | ~touch[twin[:-1]]])[:len(twin)]
+        begin = np.maximum.accumulate(np.where(run, np.arange(len(twin)), 0))
+        second = twin[(np.arange(len(twin)) - begin) % 2 == 1]
+        first = np.delete(np.arange(len(at)), second) if len(second) else slice(None)
+        of = np.full(len(at), -1, np.int32)
+        of[first], pairs, often = numbered(keys[first])
+        if not len(pairs):
             break
-        number = np.full(1 << 17, -1, np.int32)
-        number[top] = np.arange(len(top))
-        of = number[slot]
-        at = np.flatnonzero(of >= 0)
-        of = of[at]
-        pairs = np.zeros(len(top), np.uint64)
-        pairs[of[::-1]] = keys[at][::-1]
-        at, of = (x[keys[at] == pairs[of]] for x in (at, of))
-        frequent = np.bincount(of, minlength=len(top)) >= LEAST
-        if not frequent.any():
-            break
-        name = base + len(rules) + np.cumsum(frequent) - 1
-        at, of = (x[frequent[of]] for x in (at, of))
-        # of occurrences that overlap, every second one from the left
-        run = np.concatenate([[True], np.diff(at) != 1])
-        first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        use = (np.arange(len(at)) - first) % 2 == 0
-        at, of = at[use], of[use]
-        seq[at] = name[of]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        rules += [(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in pairs[frequent]]
-    return seq, np.array(rules, np.uint32).reshape(len(rules), 2)
+        rank = np.full(len(pairs) + 1, -1, np.int32)  # the last is that of place -1
+        rank[np.lexsort((pairs * np.uint64(_FACTOR), often))] = np.arange(len(pairs))
+        level = rank[of]
+        use = level >= 0
+        keep = use.copy()
+        keep[second] = True
+        use[1:] &= ~touch | (level[1:] > level[:-1])
+        use[:-1] &= ~touch | (level[:-1] > level[1:])
+        chosen = np.flatnonzero(use)
+        enough = np.bincount(of[chosen], minlength=len(pairs)) >= LEAST
+        chosen = chosen[enough[of[chosen]]]
+        left = at[chosen]
+        right = after[left]
+        end = after[right]
+        seq[left] = (base + count + np.cumsum(enough) - 1)[of[chosen]]
+        alive[right] = False
+        after[left] = end
+        inner = end < n
+        before[end[inner]] = left[inner]
+        rules.append(pairs[enough])
+        count += len(rules[-1])
+        mark = np.zeros(n + 1, bool)  # the last is that of place -1
+        mark[at[keep]] = True
+        mark[before[left]] = True
+        mark[right] = False
+        mark[left] = inner
+        at = np.flatnonzero(mark[:n])
+    pairs = np.concatenate(rules)
+    return seq[alive], np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+
+
+def batches_of(rules: np.ndarray, base: int) -> list[tuple[int, int]]:
+    """Ranges of rules whose pairs hold no symbol of the same range; there are no more than rounds."""
+    deepest = np.maximum.accumulate(np.where(rules >= base, rules.astype(np.int64) - base, -1).max(1, initial=-1))
+    out, begin = [], 0
+    while begin < len(rules):
+        out.append((begin, begin := int(np.searchsorted(deepest, begin))))
+    return out
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     lengths = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        lengths[k] = (lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1)
+    for begin, end in batches_of(rules, base):
+        lengths[begin:end] = sizes(rules[begin:end], lengths, base).sum(1)
     return lengths
 
 
-def expansions(rules: np.ndarray, base: int) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for a, b in rules.tolist():
-        out.append(np.concatenate([out[x - base] if x >= base else np.array([x], np.uint32) for x in (a, b)]))
+def sizes(symbols: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """The number of ids that each symbol stands for."""
+    out = np.ones(symbols.shape, np.int64)
+    high = symbols >= base
+    out[high] = lengths[symbols[high] - base]
     return out
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    if not len(symbols):
-        return symbols.astype(np.uint32)
-    flat = np.concatenate([np.zeros(0, np.uint32), *expansions(rules, base)])
-    begins = np.concatenate([[0], np.cumsum(lengths)])[:-1] if len(lengths) else np.zeros(0, np.int64)
-    high = symbols >= base
-    size = np.ones(len(symbols), np.int64)
-    size[high] = lengths[symbols[high] - base]
-    out = np.repeat(symbols, size).astype(np.uint32)
-    rank = np.arange(len(out)) - np.repeat(np.cumsum(size) - size, size)
-    deep = np.repeat(high, size)
-    out[deep] = flat[np.repeat(np.where(high, begins[np.where(high, symbols - base, 0)] if len(begins) else 0, 0), size)[deep] + rank[deep]]
-    return out
+    """The ids that symbols stand for; only rules that they need are expanded, once each."""
+    batches, need = batches_of(rules, base), np.zeros(len(rules), bool)
+    need[symbols[symbols >= base] - base] = True
+    for begin, end in reversed(batches):
+        below = rules[begin:end][need[begin:end]]
+        need[below[below >= base] - base] = True
+    begins = np.concatenate([[0], np.cumsum(lengths * need)])
+    flat = np.zeros(begins[-1], np.uint32)
+
+    def told(some):
+        high, size = some >= base, sizes(some, lengths, base)
+        out = np.repeat(some, size).astype(np.uint32)
+        if high.any():
+            many = size[high]
+            deep = np.repeat(high, size)
+            shift = np.repeat(begins[some[high] - base] - (np.cumsum(many) - many), many)
+            out[deep] = flat[np.arange(len(shift)) + shift]
+        return out
+
+    for begin, end in batches:
+        flat[begins[begin]:begins[end]] = told(rules[begin:end][need[begin:end]].ravel())
+    return told(symbols)
 
 
 def read_range(shard: dict, start: int, stop: int) -> np.ndarray:
@@ -210,8 +270,7 @@ def shard_rows(path: str, end_id: int, kind: pa.DataType):
             nonlocal ids, ends, names, seq
             symbols, rules = repair(np.frombuffer(b"".join(ids), "<u4"), base)
             lengths = expansion_lengths(rules, base)
-            size = np.ones(len(symbols), np.int64)
-            size[symbols >= base] = lengths[symbols[symbols >= base] - base]
+            size = sizes(symbols, lengths, base)
             index = (np.cumsum(size) - size)[::INDEX_STEP]
             blobs = [np.array(ends[1:], "<u8").tobytes(), ends[-1], rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), index.astype("<u8").tobytes(), symbols.astype("<u4").tobytes()]
             types = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]

@@ -326,6 +326,25 @@ def test_grammar_round_trip():
         assert (tokens.expand(symbols, rules, tokens.expansion_lengths(rules, 50_000), 50_000) == ids).all()
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 40_000, 700)
+    copies = np.concatenate([np.concatenate([rng.integers(0, 40_000, 5), passage]) for _ in range(40)])
+    many = np.repeat(rng.permutation(np.repeat(np.arange(3000), 10)), 2)  # 3000 frequent pairs at once
+    for ids in (copies, many, [7] * 5000, [7] * 17, [1, 2] * 300, rng.integers(0, 9, 5000), rng.zipf(1.3, 20_000) % 40_000):
+        ids = np.array(ids, np.uint32)
+        symbols, rules = tokens.repair(ids, 50_000)
+        lengths = tokens.expansion_lengths(rules, 50_000)
+        assert (tokens.expand(symbols, rules, lengths, 50_000) == ids).all()
+        often, last = {}, {}
+        for i, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist(), strict=False)):
+            if last.get(pair, -2) < i - 1:
+                often[pair], last[pair] = often.get(pair, 0) + 1, i
+        assert max(often.values(), default=0) < tokens.LEAST
+    symbols, rules = tokens.repair(copies.astype(np.uint32), 50_000)
+    assert len(symbols) < 40 * 20 and tokens.expansion_lengths(rules, 50_000).max() > 100
+
+
 @pytest.mark.parametrize("block", [2, 4096])
 def test_repeats_against_all_windows(spark, corpus, block):
     rows = [(i, t, s) for i, t, s in corpus]
