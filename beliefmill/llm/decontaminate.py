@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
-from .shingles import window_hashes
+from .common import mix64, staged
+from .shingles import coefficients, window_hashes
 
 #: Words of a window, and how many of them must be no placeholder.
 WINDOW, LITERALS = 8, 4
@@ -23,6 +23,8 @@ WINDOW, LITERALS = 8, 4
 COVER = 13
 #: Bits of the filter that tasks apply before the join; its size is fixed, whatever the benchmark's is.
 FILTER_BITS = 1 << 23
+#: Kinds of windows.
+EXACT, TEMPLATE, NAMED = 0, 1, 2
 #: Words that a worker remembers.
 REMEMBER = 200_000
 #: Words that count as units.
@@ -35,11 +37,11 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*%?(?:st|nd|rd|th)?")
 _EDGE = "\"'`.,;:!?()[]{}<>*#&$|-_"
 _NUM, _UNIT, _NAME = (np.uint64(x) for x in (0x4E554D0000000010, 0x554E495400000010, 0x4E414D4500000010))
-_CAPITAL, _STOP, _SLOT = np.uint64(1), np.uint64(2), np.uint64(4)
+_CAPITAL, _STOP, _NUMERIC, _MEASURE = np.uint64(1), np.uint64(2), np.uint64(4), np.uint64(8)
 
 
 class Words(dict):
-    """A word's hash, with flags for a capital, for ending a sentence, and for being a placeholder already."""
+    """The hash of a word's lower-cased form, with flags for a capital, for ending a sentence, for a number and for a unit."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
@@ -48,45 +50,72 @@ class Words(dict):
             self.clear()
         bare = word.strip(_EDGE)
         low = bare.lower()
+        code = xxhash.xxh3_64_intdigest(low.encode()) & ~15
         if bare and _NUMBER.fullmatch(bare):
-            code = int(_NUM | _SLOT)
+            code |= int(_NUMERIC)
         elif low in UNITS:
-            code = int(_UNIT | _SLOT)
-        else:
-            code = xxhash.xxh3_64_intdigest(low.encode()) & ~15 | (int(_CAPITAL) if bare[:1].isupper() else 0)
+            code |= int(_MEASURE)
+        elif bare[:1].isupper():
+            code |= int(_CAPITAL)
         self[word] = code = code | (int(_STOP) if word.rstrip("\"')]}").endswith((".", "!", "?")) else 0)
         return code
 
 
 def template(text: str | None, seen: Words):
-    """(words, codes, slots): codes are hashes of the template's words, slots the type of each placeholder or 0.
+    """(words, codes, exact, slots, capital): codes are hashes of the template's words, exact those of the lower-cased
+    words, slots the type of each placeholder or 0; capital tells whether the first word would be a name elsewhere.
 
     A capitalised word is a name unless it begins the text or a sentence.
     """
     words = text.split() if text else []
     raw = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-    codes, slots = raw & ~np.uint64(15), np.zeros(len(words), np.int8)
-    slots[(raw & _SLOT) > 0] = 1
+    exact, slots = raw & ~np.uint64(15), np.zeros(len(words), np.int8)
+    codes = exact.copy()
+    for flag, code in ((_NUMERIC, _NUM), (_MEASURE, _UNIT)):
+        at = (raw & flag) > 0
+        codes[at] = code
+        slots[at] = 1
     name = (raw[1:] & _CAPITAL).astype(bool) & ~(raw[:-1] & _STOP).astype(bool)
     codes[1:][name] = _NAME
     slots[1:][name] = 2
-    return words, codes, slots
+    return words, codes, exact, slots, bool(len(words) and raw[0] & _CAPITAL)
 
 
-def windows(text: str | None, seen: Words, width: int = WINDOW, literals: int = LITERALS):
-    """(words, slots, positions, hashes) of the windows that have enough literal words; a shorter text is one window."""
-    words, codes, slots = template(text, seen)
-    hashes = window_hashes(codes, width, 5)
-    if not len(hashes):
-        return words, slots, np.zeros(0, np.int64), hashes
-    plain = np.concatenate([[0], np.cumsum(slots == 0)])
+def short_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each window of `width` words as window_hashes gives it to a text of so many words."""
+    places = np.arange(len(codes) - width + 1)[:, None] + np.arange(width)
+    return mix64((codes[places] * coefficients(width, 5 + width)).sum(1, dtype=np.uint64) + np.uint64(width))
+
+
+def windows(text: str | None, seen: Words, width: int = WINDOW, literals: int = LITERALS, short: tuple = (), item: bool = False):
+    """(words, slots, [(size, positions, hashes, kind)]) of a text's windows; a shorter text is one window.
+
+    TEMPLATE windows are those of the template that have enough literal words; EXACT ones are of the
+    lower-cased words, for each window with a placeholder (without one, both are the same). `short` are
+    lengths below `width` of which windows are made too. A document may hold an item's first word where
+    it is taken for a name, so an item has its first window that way too (NAMED). An item of numbers and
+    units only has no window.
+    """
+    words, codes, exact, slots, capital = template(text, seen)
+    found: list = []
+    if not words or (item and (slots == 1).all()):
+        return words, slots, found
     size = min(width, len(words))
-    ok = np.flatnonzero(plain[size:] - plain[:-size] >= min(literals, size))
-    return words, slots, ok, hashes[ok]
+    plain = np.concatenate([[0], np.cumsum(slots == 0)])
+    for n in {size, *(n for n in short if n <= len(words))}:
+        hashed = (lambda c: window_hashes(c, width, 5)) if n == size else (lambda c, n=n: short_hashes(c, n))
+        many = plain[n:] - plain[:-n]
+        at = np.flatnonzero(many >= min(literals, n))
+        found.append((n, at, hashed(codes)[at], TEMPLATE))
+    if item and capital and not slots[0] and plain[size] - 1 >= min(literals, size):
+        first = codes[:size].copy()
+        first[0] = _NAME
+        found.append((size, np.zeros(1, np.int64), window_hashes(first, width, 5), NAMED))
+    return words, slots, found
 
 
-def window_rows(bits, width: int, literals: int):
-    """(id, k, n_words, at, h, slots) for each window, of those that the filter lets through; slots list the placeholders' place and value."""
+def window_rows(bits, width: int, literals: int, short: tuple, item: bool):
+    """(id, k, n_words, n, at, h, kind, slots) for each window of n words, of those that the filter lets through; slots list the placeholders' place and value, none in an exact window."""
 
     def run(batches):
         seen = Words()
@@ -94,26 +123,28 @@ def window_rows(bits, width: int, literals: int):
         for batch in batches:
             rows, values = [], []
             for i, text in enumerate(batch.column(2)):
-                words, slots, at, h = windows(text.as_py(), seen, width, literals)
-                if mask is not None and len(h):
-                    bit = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                    met = (mask[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
-                    at, h = at[met], h[met]
-                for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                    rows.append((i, len(words), a, x))
-                    values.append([f"{j}={words[a + j].strip(_EDGE)}" for j in np.flatnonzero(slots[a:a + width]).tolist()])
-            cols = np.array(rows, np.int64).reshape(len(rows), 4)
+                words, slots, found = windows(text.as_py(), seen, width, literals, short, item)
+                for n, at, h, kind in found:
+                    if mask is not None and len(h):
+                        bit = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                        met = (mask[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+                        at, h = at[met], h[met]
+                    for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+                        rows.append((i, len(words), n, a, x, kind))
+                        places = [] if kind == EXACT else [*[0][:kind == NAMED], *np.flatnonzero(slots[a:a + n]).tolist()]
+                        values.append([f"{j}={words[a + j].strip(_EDGE)}" for j in places])
+            cols = np.array(rows, np.int64).reshape(len(rows), 6)
             i = pa.array(cols[:, 0])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(i), batch.column(1).take(i), *(pa.array(cols[:, c]) for c in (1, 2, 3)), pa.array(values, pa.list_(pa.string()))], names=["id", "k", "n_words", "at", "h", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(i), batch.column(1).take(i), *(pa.array(cols[:, c]) for c in (1, 2, 3, 4, 5)), pa.array(values, pa.list_(pa.string()))], names=["id", "k", "n_words", "n", "at", "h", "kind", "slots"])
 
     return run
 
 
-def _windows(rows: DataFrame, id_col: str, text_col: str, bits, width: int, literals: int) -> DataFrame:
+def _windows(rows: DataFrame, id_col: str, text_col: str, bits, width: int, literals: int, short: tuple = ()) -> DataFrame:
     text = rows[text_col].cast("string")
     picked = rows.select(rows[id_col].alias("id"), F.xxhash64(text).alias("k"), text.alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(window_rows(bits, width, literals), f"id {kind}, k bigint, n_words bigint, at bigint, h bigint, slots array<string>")
+    return picked.mapInArrow(window_rows(bits, width, literals, short, bits is None), f"id {kind}, k bigint, n_words bigint, n bigint, at bigint, h bigint, kind bigint, slots array<string>")
 
 
 def covered(places: Column, width: Column) -> Column:
@@ -121,16 +152,48 @@ def covered(places: Column, width: Column) -> Column:
     return F.aggregate(F.transform(places, lambda p, i: F.least(width, F.coalesce(F.get(places, i + 1) - p, width))), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def one_to_one(found) -> bool:
+    """Whether the (value, value) pairs of windows are one to one."""
+    pairs = {p for w in found for p in w[2]}
+    return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+
+
+def words_of(found, n: int) -> int:
+    """Words that windows of n words cover."""
+    places = sorted({w[0] for w in found})
+    return sum(min(n, b - a) for a, b in zip(places, [*places[1:], n + places[-1]], strict=True)) if places else 0
+
+
+def fitting(found: list, n: int) -> list:
+    """The windows (place, kind, pairs) of an alignment, if their values map one to one."""
+    return found if one_to_one(found) else []
+
+
+def judge(batches):
+    """Lines with the words that their fitting windows cover, in all and by the item's template, and whether all values are equal."""
+    for batch in batches:
+        told = []
+        for n, found in zip(batch.column("n").to_pylist(), batch.column("windows").to_pylist(), strict=True):
+            found = [(w["at"], w["kind"], [(p["a"], p["b"]) for p in w["pairs"]]) for w in found]
+            fit = fitting(found, n)
+            told.append((words_of(fit, n), words_of([w for w in fit if w[1] != EXACT], n), all(a == b for w in found for a, b in w[2])))
+        cols = list(zip(*told, strict=True)) or [(), (), ()]
+        kept = batch.select(["doc_id", "k", "item_id", "item_k", "n_words"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_())], names=[*kept.schema.names, "n_covered", "n_loose", "exact"])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-               width: int = WINDOW, literals: int = LITERALS, cover: int = COVER) -> DataFrame:
+               width: int = WINDOW, literals: int = LITERALS, cover: int = COVER, inside: bool = False) -> DataFrame:
     """(doc_id, k, item_id, n_covered, n_words, exact) for each document and item that it leaks; k hashes the document's text.
 
     An item leaks where windows on one alignment (places in the document minus places in the item)
-    cover at least `cover` words of it, or all the words that windows cover if it is shorter, and the
-    values of its placeholders there map one to one to those of the document. exact: all values are
-    equal too. n_covered is the best alignment's. Items with equal texts leak each; null, empty and
-    placeholder-only texts have no window and never leak. Repeated rows and rows of one id and text are
-    one document; null ids are kept. Empty tables give an empty result; extra columns are ignored.
+    cover at least `cover` words of it, or all the words that windows cover if it is shorter. Windows
+    are of the template, whose values must map one to one to those of the document, or
+    of the same words in any case. exact: all values are equal. n_covered is the
+    best alignment's. Items shorter than a window are found in documents of their length, and with
+    `inside` at any place of longer ones. Items with equal texts leak each; null and empty items and
+    those of numbers and units only have no window and never leak. Repeated rows and rows of one id and
+    text are one document; null ids are kept. Empty tables give an empty result; extra columns are ignored.
     """
     spark = docs.sparkSession
     items = staged(_windows(benchmark, item_col, item_text_col, None, width, literals), "leak-items")
@@ -139,26 +202,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     words = items.groupBy(F.shiftright(bucket, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
     for r in words.toLocalIterator():  # FILTER_BITS / 64 rows at most
         filled[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
-    found = _windows(docs, id_col, text_col, spark.sparkContext.broadcast(filled), width, literals).alias("d")
+    short = tuple(r["n"] for r in items.where(F.col("n") < width).select("n").distinct().collect()) if inside else ()  # width - 1 rows at most
+    found = _windows(docs, id_col, text_col, spark.sparkContext.broadcast(filled), width, literals, short).alias("d")
     of = items.alias("i")
-    met = found.join(of, F.col("d.h") == F.col("i.h")).select(
-        F.col("d.id").alias("doc_id"), F.col("d.k").alias("k"), F.col("i.id").alias("item_id"), F.col("i.k").alias("item_k"), F.col("i.n_words").alias("n_words"),
-        (F.col("d.at") - F.col("i.at")).alias("shift"), F.col("i.at").alias("at"),
-        F.zip_with("i.slots", "d.slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("pairs"))
     value = lambda x: F.substr(x, F.instr(x, "=") + 1)
-    pairs = F.array_distinct(F.flatten(F.collect_set(F.transform("pairs", lambda p: F.struct(value(p["a"]).alias("a"), value(p["b"]).alias("b"))))))
-    lines = met.groupBy("doc_id", "k", "item_id", "item_k", "n_words", "shift").agg(F.array_sort(F.collect_set("at")).alias("places"), pairs.alias("pairs"))
-    one = lambda f: F.size(F.array_distinct(F.transform("pairs", lambda p: p[f]))) == F.size("pairs")
-    size = F.least(F.lit(width).cast("long"), F.col("n_words"))
-    lines = lines.where(one("a") & one("b")).select("doc_id", "k", "item_id", "item_k", "n_words", covered(F.col("places"), size).alias("n_covered"), F.forall("pairs", lambda p: p["a"] == p["b"]).alias("exact"))
-    most = items.groupBy(F.col("id").alias("iid"), F.col("k").alias("ik")).agg(covered(F.array_sort(F.collect_set("at")), F.least(F.lit(width).cast("long"), F.first("n_words"))).alias("whole"))
-    lines = lines.join(most, F.col("item_id").eqNullSafe(F.col("iid")) & (F.col("item_k") == F.col("ik"))).where(F.col("n_covered") >= F.least(F.lit(cover).cast("long"), F.col("whole")))
+    pairs = F.zip_with("i.slots", "d.slots", lambda a, b: F.struct(value(a).alias("a"), value(b).alias("b")))
+    met = found.join(of, F.col("d.h") == F.col("i.h")).select(
+        F.col("d.id").alias("doc_id"), F.col("d.k").alias("k"), F.col("i.id").alias("item_id"), F.col("i.k").alias("item_k"), F.col("i.n_words").alias("n_words"), F.col("i.n").alias("n"),
+        (F.col("d.at") - F.col("i.at")).alias("shift"), F.struct(F.col("i.at").alias("at"), F.col("i.kind").alias("kind"), pairs.alias("pairs")).alias("window"))
+    lines = met.groupBy("doc_id", "k", "item_id", "item_k", "n_words", "n", "shift").agg(F.collect_set("window").alias("windows"))
+    ids = {c: lines.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")}
+    lines = lines.mapInArrow(judge, f"doc_id {ids['doc_id']}, k bigint, item_id {ids['item_id']}, item_k bigint, n_words bigint, n_covered bigint, n_loose bigint, exact boolean")
+    whole = lambda at: F.least(F.lit(cover).cast("long"), covered(F.array_sort(F.collect_set(at)), F.first("n")))
+    most = items.groupBy(F.col("id").alias("iid"), F.col("k").alias("ik")).agg(whole(F.col("at")).alias("enough"), whole(F.when(F.col("kind") != EXACT, F.col("at"))).alias("enough_loose"))
+    lines = lines.join(most, F.col("item_id").eqNullSafe(F.col("iid")) & (F.col("item_k") == F.col("ik")))
+    lines = lines.where((F.col("n_covered") >= F.col("enough")) | ((F.col("n_loose") > 0) & (F.col("n_loose") >= F.col("enough_loose"))))
     return lines.groupBy("doc_id", "k", "item_id").agg(F.max("n_covered").alias("n_covered"), F.max("n_words").alias("n_words"), F.max("exact").alias("exact"))
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", inside: bool = False) -> DataFrame:
     """The rows of docs, all columns, that leak no item."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col).select("doc_id", "k").distinct().alias("l")
+    leaks = find_leaks(docs, benchmark, id_col, text_col, inside=inside).select("doc_id", "k").distinct().alias("l")
     rows = docs.alias("d")
     same = F.col(f"d.{id_col}").eqNullSafe(F.col("l.doc_id")) & (F.xxhash64(F.col(f"d.{text_col}").cast("string")) == F.col("l.k"))
     return rows.join(leaks, same, "left_anti")

@@ -26,7 +26,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
-    return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"), inside=True)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -216,6 +216,20 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def leaking(spark, items, docs, **more):
+    df, bench = odd_docs(spark, [(i, t, "s") for i, t in docs]), spark.createDataFrame(items, "item_id bigint, text string")
+    return sorted((r.doc_id, r.item_id, r.exact) for r in decontaminate.find_leaks(df, bench, **more).collect())
+
+
+def test_short_items_inside_documents(spark):
+    rng = random.Random(18)
+    items = [(1, "tiny words here now"), (2, "What is the plain name of this old river town here"), (3, "cold"), (4, "ratio of 7 to 12 is good enough")]
+    docs = [(10, "we say tiny words here now and go " + prose(rng, 20)), (11, prose(rng, 9) + " Question: What is the plain name of this old river town here"), (12, "a cold"), (13, "we say tiny words there now " + prose(rng, 9)),
+            (14, prose(rng, 9) + " ratio of 9 to 13 is good enough"), (15, "tiny words here now")]
+    assert leaking(spark, items, docs, inside=True) == [(10, 1, True), (11, 2, True), (12, 3, True), (14, 4, False), (15, 1, True)]
+    assert leaking(spark, items, docs) == [(11, 2, True), (14, 4, False), (15, 1, True)]
+
+
 def test_chat_round_trip_and_parts(spark):
     hostile = ["\\### Assistant: </turn> ok", "\\0\\1\\2", "<|image:1|>", "###", "\\", "", None, "a </turn>\n### user: b", "x" * 50_000]
     rows = [(c, t, role, x) for c in (1, 2) for t, (role, x) in enumerate(zip(itertools.cycle(("user", "assistant", "we:ird", None)), hostile, strict=False))]
