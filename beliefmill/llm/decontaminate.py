@@ -100,13 +100,16 @@ def windows(text: str | None, seen: Words, width: int = WINDOW, literals: int =
     found: list = []
     if not words or (item and (slots == 1).all()):
         return words, slots, found
-    size = min(width, len(words))
+    size, filled = min(width, len(words)), bool(slots.any())
     plain = np.concatenate([[0], np.cumsum(slots == 0)])
     for n in {size, *(n for n in short if n <= len(words))}:
         hashed = (lambda c: window_hashes(c, width, 5)) if n == size else (lambda c, n=n: short_hashes(c, n))
         many = plain[n:] - plain[:-n]
         at = np.flatnonzero(many >= min(literals, n))
         found.append((n, at, hashed(codes)[at], TEMPLATE))
+        if filled:  # exact
+            at = np.flatnonzero(many < n)
+            found.append((n, at, hashed(exact)[at], EXACT))
     if item and capital and not slots[0] and plain[size] - 1 >= min(literals, size):
         first = codes[:size].copy()
         first[0] = _NAME

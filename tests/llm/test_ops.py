@@ -230,6 +230,15 @@ def test_short_items_inside_documents(spark):
     assert leaking(spark, items, docs) == [(11, 2, True), (14, 4, False), (15, 1, True)]
 
 
+def test_exact_copies_without_literal_words(spark):
+    rng = random.Random(19)
+    sums, names = "take 12 + 30 = 42 then 7 + 5 = 12 then 80 / 4 = 20", "12 Rome Paris London Berlin Madrid Vienna Athens Dublin Lisbon Prague Oslo Warsaw Sofia Riga"
+    items = [(1, sums), (2, names), (3, LEAK), (4, "1 2 3 4 5 6 7 8")]
+    docs = [(10, prose(rng, 9) + " " + sums + " " + prose(rng, 9)), (11, "of " + names + " too"), (12, "so " + LEAK.upper() + " end"), (13, "So " + LEAK.title()), (14, "of " + names.lower()), (15, "so " + LEAK.lower()),
+            (16, "take 13 + 31 = 44 then 6 + 2 = 8 then 90 / 3 = 30"), (17, "1 2 3 4 5 6 7 8 9"), (18, "of " + " ".join(names.split()[::-1]))]
+    assert leaking(spark, items, docs) == [(10, 1, True), (11, 2, True), (12, 3, True), (13, 3, True), (14, 2, True), (15, 3, True)]
+
+
 def test_chat_round_trip_and_parts(spark):
     hostile = ["\\### Assistant: </turn> ok", "\\0\\1\\2", "<|image:1|>", "###", "\\", "", None, "a </turn>\n### user: b", "x" * 50_000]
     rows = [(c, t, role, x) for c in (1, 2) for t, (role, x) in enumerate(zip(itertools.cycle(("user", "assistant", "we:ird", None)), hostile, strict=False))]
