@@ -168,8 +168,17 @@ def words_of(found, n: int) -> int:
 
 
 def fitting(found: list, n: int) -> list:
-    """The windows (place, kind, pairs) of an alignment, if their values map one to one."""
-    return found if one_to_one(found) else []
+    """The windows (place, kind, pairs) of an alignment whose values fit.
+
+    Those of a run, in which each window meets or adjoins the next, fit together if their values map
+    one to one; a window whose values are all equal to the item's always fits.
+    """
+    found, runs = sorted(found, key=lambda w: w[0]), []
+    for w in found:
+        if not runs or w[0] > runs[-1][-1][0] + n:
+            runs.append([])
+        runs[-1].append(w)
+    return [w for run in runs for ok in [one_to_one(run)] for w in run if ok or all(a == b for a, b in w[2])]
 
 
 def judge(batches):
@@ -191,8 +200,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     An item leaks where windows on one alignment (places in the document minus places in the item)
     cover at least `cover` words of it, or all the words that windows cover if it is shorter. Windows
-    are of the template, whose values must map one to one to those of the document, or
-    of the same words in any case. exact: all values are equal. n_covered is the
+    are of the template, whose values must map one to one to those of the document in each run of
+    adjoining windows, or of the same words in any case. exact: all values are equal. n_covered is the
     best alignment's. Items shorter than a window are found in documents of their length, and with
     `inside` at any place of longer ones. Items with equal texts leak each; null and empty items and
     those of numbers and units only have no window and never leak. Repeated rows and rows of one id and

@@ -239,6 +239,17 @@ def test_exact_copies_without_literal_words(spark):
     assert leaking(spark, items, docs) == [(10, 1, True), (11, 2, True), (12, 3, True), (13, 3, True), (14, 2, True), (15, 3, True)]
 
 
+def test_a_conflict_costs_its_run_only(spark):
+    rng = random.Random(20)
+    a, b, c = prose(rng, 14), prose(rng, 14), prose(rng, 12)
+    items = [(1, f"{a} 12 {b} 12 {c}")]
+    docs = [(10, f"so {a} 12 {b} 15 {c}"), (11, f"so {a} 90 {b[:-3]}xyz 15 {c}"), (12, f"{' '.join(a.split()[8:])} 7 {' '.join(b.split()[:3])}")]
+    assert leaking(spark, items, docs) == [(10, 1, False), (11, 1, False)]
+    # two values for one in a run that no words with equal values save
+    near = "one red box of 12 and one blue box of 12 for the old man"
+    assert leaking(spark, [(1, near)], [(10, "so " + near.replace("12", "7")), (11, "so " + near.replace("12", "7", 1))]) == [(10, 1, False)]
+
+
 def test_chat_round_trip_and_parts(spark):
     hostile = ["\\### Assistant: </turn> ok", "\\0\\1\\2", "<|image:1|>", "###", "\\", "", None, "a </turn>\n### user: b", "x" * 50_000]
     rows = [(c, t, role, x) for c in (1, 2) for t, (role, x) in enumerate(zip(itertools.cycle(("user", "assistant", "we:ird", None)), hostile, strict=False))]
