@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +16,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
 
-    Where the setting is absent (a local session, as in tests), a temporary folder is taken and set.
+    Where the setting is absent, a local session (as in tests) takes a temporary folder and sets it; on
+    a cluster, whose machines share no such folder, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -35,7 +39,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+#: Where the tables of staged() are, while they are in use.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more; others are left alone."""
+    for table in tables:
+        if table is not None and (path := _PATHS.pop(table, None)):
+            jvm = table.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:

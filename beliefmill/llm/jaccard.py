@@ -1,9 +1,12 @@
 """N-gram Jaccard join: a size-aware heavy-light join.
 
 Small sets enumerate the subsets that a partner must share; large sets are found by scanning inverted
-lists. Light lists give their pairs; heavy lists give stars, first around the member that is in most
-heavy lists, and only what the stars leave in different components is compared further. Every candidate
-is verified on whole texts.
+lists. A partner of a set of n members shares needed(n) of them at least, and its own size decides how
+many of these it has beside others; so a small set lists its subsets of every size from needed(n) to n,
+and two sets meet in the subset that both have whole. Light lists give their pairs; heavy lists give
+stars, first around the member that is in most heavy lists, and only what the stars leave in different
+components is compared further, in blocks. Sizes and parity signatures, whose length follows the size of
+the set, tell unlike pairs apart without their texts; every other candidate is verified on whole texts.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, staged
+from .common import dropped, mix64, staged
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -27,9 +30,11 @@ SKETCH = 1 << 16
 LIGHT = 4
 #: Centres of a heavy list, before its members that are still apart are compared one by one.
 STARS = 3
-#: Bits of a set's parity signature, an exact lower bound for symmetric differences, and its columns.
+#: Bits of every set's short parity signature, an exact lower bound for symmetric differences, and its columns.
 PARITY = 512
 BITS = [f"p{i}" for i in range(PARITY // 64)]
+#: Members of a list that meet in one group; longer lists are cut into blocks, whose pairs are groups.
+BLOCK = 2000
 
 
 def needed(n: int, percent: int) -> int:
@@ -74,30 +79,50 @@ def sketched(sets: list[np.ndarray]) -> np.ndarray:
     return np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
 
 
+def parity(members: np.ndarray, bits: int) -> np.ndarray:
+    """Which of `bits` buckets, by the first bits of a hash, hold an odd number of members; packed into bytes."""
+    bucket = (members >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=bits) & 1).astype(np.uint8))
+
+
+def fine_parity(members: np.ndarray) -> bytes | None:
+    """A parity signature of a bit or two a member, so that it tells sets of any size apart; None where the short one does."""
+    return parity(members, 1 << len(members).bit_length()).tobytes() if len(members) > PARITY else None
+
+
+def fold(packed: np.ndarray, size: int) -> np.ndarray:
+    """Rows of signatures, brought to `size` bytes by joining neighbouring buckets."""
+    while packed.shape[1] > size:
+        bits = np.unpackbits(packed, axis=1)
+        packed = np.packbits(bits[:, ::2] ^ bits[:, 1::2], axis=1)
+    return packed
+
+
 def set_rows(width: int):
-    """Rows (id, kind, n, k1, k2, parity) for each text, and the sketch's (bucket n, count k1) of each task as kind 1."""
+    """Rows (id, kind, n, k1, k2, parity, fine) for each text, and the sketch's (bucket n, count k1) of each task as kind 1."""
+    names = ["id", "kind", "n", "k1", "k2", *BITS, "fine"]
 
     def run(batches):
         load = np.zeros(SKETCH, np.int64)
         kind = None
         for batch in batches:
             ids, kind = batch.column(0), batch.column(0).type
-            rows, members = [], [np.zeros(0, np.uint64)]
+            rows, fine, members = [], [], [np.zeros(0, np.uint64)]
             for s in shingle_sets((t.as_py() for t in batch.column(1)), width):
                 members.append(s)
                 if len(members) > 1000:
                     load += sketched(members)
                     members = members[:1]
                 key = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                bits = np.packbits((np.bincount((s >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
-                rows.append((len(s), *key, *bits))
+                rows.append((len(s), *key, *parity(s, PARITY).view(np.int64)))
+                fine.append(fine_parity(s))
             load += sketched(members)
             cols = np.array(rows, np.int64).reshape(len(rows), 3 + len(BITS)).T
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.zeros(len(rows), np.int8)), *(pa.array(c) for c in cols)], names=["id", "kind", "n", "k1", "k2", *BITS])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.zeros(len(rows), np.int8)), *(pa.array(c) for c in cols), pa.array(fine, pa.binary())], names=names)
         if kind is not None:
             full = np.flatnonzero(load)
-            none = pa.array(np.zeros(len(full), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(full), kind), pa.array(np.ones(len(full), np.int8)), pa.array(full), pa.array(load[full]), none, *[none] * len(BITS)], names=["id", "kind", "n", "k1", "k2", *BITS])
+            none, columns = pa.array(np.zeros(len(full), np.int64)), [pa.array(np.ones(len(full), np.int8)), pa.array(full), pa.array(load[full])]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(full), kind), *columns, *[none] * (1 + len(BITS)), pa.nulls(len(full), pa.binary())], names=names)
 
     return run
 
@@ -181,6 +206,27 @@ def scan_lists(most: int):
     return run
 
 
+def close_rows(percent: int):
+    """The (a, b) rows of (a, b, na, nb, fa, fb) whose fine signatures allow the similarity; an exact test for what cannot link."""
+
+    def run(batches):
+        for batch in batches:
+            size = batch.column(4), batch.column(5)
+            la, lb = (np.array([len(x) for x in (v.as_buffer() for v in c)], np.int64) for c in size)
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = np.zeros(batch.num_rows, bool)
+            for x, y in {*zip(la.tolist(), lb.tolist(), strict=True)}:
+                of = np.flatnonzero((la == x) & (lb == y))
+                for at in range(0, len(of), 500):
+                    some = of[at:at + 500]
+                    one, two = (fold(np.frombuffer(b"".join(c[i].as_py() for i in some.tolist()), np.uint8).reshape(len(some), -1), min(x, y)) for c in size)
+                    flips = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+                    keep[some] = flips * (100 + percent) <= total[some] * (100 - percent)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+
+    return run
+
+
 def verify_rows(percent: int, width: int):
     """The (a, b) rows of (a, b, ka, kb, text_a, text_b) whose sets are the ones meant and similar enough."""
 
@@ -208,13 +254,72 @@ def verify_rows(percent: int, width: int):
 
 
 def _near(percent: int):
-    """Sizes and parity signatures allow the similarity: an exact test for what cannot link."""
+    """Sizes and short parity signatures allow the similarity: an exact test for what cannot link."""
     flips = sum(F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in BITS)
     total = F.col("a.n") + F.col("b.n")
     return (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (flips * (100 + percent) <= total * (100 - percent))
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, light: int = LIGHT) -> tuple[DataFrame, DataFrame]:
+def candidates(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of distinct pairs that the exact bounds leave: first the short signatures, then, of large sets, the fine ones."""
+    facts = reps.select("node", "n", *BITS)
+    met = pairs.alias("p").join(facts.alias("a"), F.col("p.a") == F.col("a.node")).join(facts.alias("b"), F.col("p.b") == F.col("b.node"))
+    met = staged(met.where(_near(percent)).select("p.a", "p.b", F.col("a.n").alias("na"), F.col("b.n").alias("nb")), "jaccard-near")
+    large = F.least("na", "nb") > PARITY
+    fine = reps.where(F.col("n") > PARITY).select("node", "fine")
+    of = lambda x: fine.select(F.col("node").alias(x), F.col("fine").alias(f"f{x}"))
+    both = met.where(large).join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "fa", "fb")
+    found = staged(met.where(~large).select("a", "b").union(both.mapInArrow(close_rows(percent), "a bigint, b bigint")), "jaccard-pairs")
+    dropped(met)
+    return found
+
+
+def verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, percent: int, width: int) -> DataFrame:
+    """The links among pairs. Only texts of sets that are in a pair are sent; a hot set's rows can be split."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = reps.join(nodes, "node").select("node", "id", "k1").alias("w")
+    texts = source.alias("s").join(wanted, F.col("s.id").eqNullSafe(F.col("w.id"))).select("node", "k1", "text")
+    of = lambda x: texts.select(F.col("node").alias(x), F.col("k1").alias(f"k{x}"), F.col("text").alias(f"text_{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ka", "kb", "text_a", "text_b")
+    return staged(both.mapInArrow(verify_rows(percent, width), "a bigint, b bigint").distinct(), "jaccard-links")
+
+
+def stars(heavy: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member of a heavy list (sig, node, degree) with the list's centres.
+
+    Centres are the member in most heavy lists, likely what the others are copies of, and members by
+    chance, by a hash of the node alone, so that lists of the same sets choose alike.
+    """
+    by = [F.max(F.struct("degree", "node"))["node"], *(F.max(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(1, STARS))]
+    centres = heavy.groupBy("sig").agg(F.array_distinct(F.array(*by)).alias("centres"))
+    pairs = heavy.join(centres, "sig").select("node", F.explode("centres").alias("centre")).where("node <> centre")
+    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+
+
+def open_lists(heavy: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, node, c, lead, size) of the heavy lists whose members aren't all in one component; lead: the first centre's."""
+    named = heavy.join(labels, "node", "left").select("sig", "node", "degree", F.coalesce("component", "node").alias("c"))
+    lead = F.max(F.struct("degree", "node", "c"))["c"].alias("lead")
+    lists = named.groupBy("sig").agg(lead, F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"))
+    return named.join(lists.where("lo < hi").select("sig", "lead", "size"), "sig").select("sig", "node", "c", "lead", "size")
+
+
+def apart(rest: DataFrame, reps: DataFrame, percent: int, block: int) -> DataFrame:
+    """Distinct pairs (a, b) of open lists' members that are in different components and that the short bounds leave.
+
+    Only sets outside the lead's component ask; they meet all blocks of their list, so a long list is
+    dealt to many tasks.
+    """
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    rows = rest.join(reps.select("node", "n", *BITS), "node")
+    a = rows.where("c <> lead").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("a")
+    b = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).alias("b")
+    other = (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.lead")) | (F.col("a.node") < F.col("b.node")))
+    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.block") == F.col("b.block")) & other & _near(percent))
+    return met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, light: int = LIGHT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(documents, links) of the similarity join.
 
     documents (doc_id, n_shingles, component_id): one row a row of docs. links (a, b): pairs of document
@@ -232,14 +337,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    counted = staged(source.mapInArrow(set_rows(width), f"id {kind}, kind tinyint, n bigint, k1 bigint, k2 bigint, " + ", ".join(f"{p} bigint" for p in BITS)), "jaccard-sets")
+    bits = ", ".join(f"{p} bigint" for p in BITS)
+    counted = staged(source.mapInArrow(set_rows(width), f"id {kind}, kind tinyint, n bigint, k1 bigint, k2 bigint, {bits}, fine binary"), "jaccard-sets")
     sets = counted.where("kind = 0").drop("kind")
     load = np.zeros(SKETCH, np.int64)
     for r in counted.where("kind = 1").groupBy("n").agg(F.sum("k1").alias("k")).toLocalIterator():  # SKETCH rows at most
         load[r["n"]] = r["k"]
     members = max(1, int(load.sum()))
     small = boundary(float((load.astype(float) ** 2).sum() / members - members / SKETCH), percent)
-    reps = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", *BITS)))
+    reps = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", *BITS, "fine")))
     reps = staged(reps.withColumn("node", F.monotonically_increasing_id()), "jaccard-reps")
 
     shared = spark.sparkContext.broadcast(load)
@@ -249,59 +355,33 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     postings = listed.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
     scanned = staged(postings.mapInArrow(scan_lists(light), "kind tinyint, a bigint, b bigint"), "jaccard-lists")
 
-    facts = reps.select("node", "n", *BITS)
-
-    def near(pairs):
-        a, b = facts.alias("a"), facts.alias("b")
-        return pairs.alias("p").join(a, F.col("p.a") == F.col("a.node")).join(b, F.col("p.b") == F.col("b.node")).where(_near(percent)).select("p.a", "p.b")
-
-    def verified(pairs):
-        """The links among pairs. Only texts of sets that are in a pair are sent; a hot set's rows can be split."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = reps.join(nodes, "node").select("node", "id", "k1").alias("w")
-        texts = source.alias("s").join(wanted, F.col("s.id").eqNullSafe(F.col("w.id"))).select("node", "k1", "text")
-        ta = texts.select(F.col("node").alias("a"), F.col("k1").alias("ka"), F.col("text").alias("text_a"))
-        tb = texts.select(F.col("node").alias("b"), F.col("k1").alias("kb"), F.col("text").alias("text_b"))
-        both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ka", "kb", "text_a", "text_b")
-        return both.mapInArrow(verify_rows(percent, width), "a bigint, b bigint").distinct()
-
     heavy = scanned.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"))
     heavy = staged(heavy.join(heavy.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node"), "jaccard-heavy")
-    # centres: the member in most heavy lists, likely what the others are copies of, and members by chance,
-    # by a hash of the node alone, so that lists of the same sets choose alike
-    by = [F.max(F.struct("degree", "node"))["node"], *(F.max(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(1, STARS))]
-    centres = heavy.groupBy("sig").agg(F.array_distinct(F.array(*by)).alias("centres"))
-    stars = heavy.join(centres, "sig").select("node", F.explode("centres").alias("centre")).where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    pairs = scanned.where("kind = 0").select("a", "b").union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = staged(near(pairs), "jaccard-pairs")
-    links = staged(verified(pairs), "jaccard-links")
+    near = scanned.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = candidates(near.union(stars(heavy)).distinct(), reps, percent)
+    dropped(scanned)
+    links = verified(pairs, reps, source, percent, width)
     labels = connected_components(links)
 
-    # (sig, node, c, lead) of the heavy lists whose members aren't all in one component; lead: the first centre's
-    named = heavy.join(labels, "node", "left").select("sig", "node", "degree", F.coalesce("component", "node").alias("c"))
-    lists = named.groupBy("sig").agg(F.max(F.struct("degree", "node", "c"))["c"].alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    rest = staged(named.join(lists.where("lo < hi").select("sig", "lead"), "sig").select("sig", "node", "c", "lead"), "jaccard-apart")
-    if not rest.isEmpty():
-        # only sets outside the lead's component ask; they meet the others of the list that are in another
-        # component, in the first list that both share, and the exact bounds are tested in the join
-        mine = rest.groupBy("node").agg(F.collect_set("sig").alias("sigs"))
-        rows = rest.join(mine, "node").withColumn("sigs", F.filter("sigs", lambda x: x < F.col("sig"))).join(facts, "node")
-        a, b = rows.where("c <> lead").alias("a"), rows.alias("b")
-        other = (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.lead")) | (F.col("a.node") < F.col("b.node")))
-        once = ~F.arrays_overlap("a.sigs", "b.sigs")
-        more = a.join(b, (F.col("a.sig") == F.col("b.sig")) & other & _near(percent) & once).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-        more = staged(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
-        if not more.isEmpty():
-            links = staged(links.union(verified(more)), "jaccard-links")
-            labels = connected_components(links)
+    rest = staged(open_lists(heavy, labels), "jaccard-apart")
+    dropped(heavy)
+    more = candidates(apart(rest, reps, percent, block).join(pairs, ["a", "b"], "left_anti"), reps, percent)
+    dropped(rest, pairs)
+    if not more.isEmpty():
+        old = links
+        links = staged(old.union(verified(more, reps, source, percent, width)), "jaccard-links")
+        dropped(old, labels)
+        labels = connected_components(links)
+    dropped(more)
 
     joined = reps.join(labels, "node", "left").select("k1", "k2", "id", F.coalesce("component", "node").alias("c"))
     names = joined.groupBy("c").agg(F.min("id").alias("component_id"))
     named = joined.join(names, "c").select("k1", "k2", "component_id")
     out = sets.join(named, ["k1", "k2"], "left")
-    documents = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-    ids = reps.select("node", "id")
-    named_links = links.join(ids.select(F.col("node").alias("a"), F.col("id").alias("ia")), "a").join(ids.select(F.col("node").alias("b"), F.col("id").alias("ib")), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    documents = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    ids = lambda x: reps.select(F.col("node").alias(x), F.col("id").alias(f"id_{x}"))
+    named_links = links.join(ids("a"), "a").join(ids("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     return documents, named_links
 
 

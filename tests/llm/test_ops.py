@@ -72,13 +72,37 @@ def brute_components(rows):
     return sorted(((d, len(sets[i]), low.get(find(i)) if sets[i] else d) for i, (d, _, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize("light", [1, 4])
-def test_jaccard_against_all_pairs(spark, corpus, light):
-    got, links = jaccard.jaccard_join(odd_docs(spark, corpus), light=light)
+@pytest.mark.parametrize(("light", "block"), [(1, 3), (4, 2000)])
+def test_jaccard_against_all_pairs(spark, corpus, light, block):
+    got, links = jaccard.jaccard_join(odd_docs(spark, corpus), light=light, block=block)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_components(corpus)
     assert links.where("a = b").count() == 0
 
 
+def test_jaccard_long_texts_with_a_common_passage(spark):
+    """Unlike texts of 3,000 shingles, which share a passage, are told apart by their signatures, and near ones still meet."""
+    rng = random.Random(8)
+    passage, texts = prose(rng, 900), []
+    for _ in range(7):
+        texts.append(passage + " " + " ".join(str(rng.random()) for _ in range(2400)))
+    w = texts[0].split()
+    texts += [" ".join([*w[:2000], "x", *w[2000:]]), " ".join(w[: int(len(w) * 0.79)]), " ".join(w[: int(len(w) * 0.81)])]
+    rows = [(i, t, None) for i, t in enumerate(texts)]
+    got, _ = jaccard.jaccard_join(odd_docs(spark, rows), block=2)
+    assert sorted(tuple(r) for r in got.collect()) == brute_components(rows)
+    sets = list(jaccard.shingle_sets(texts))
+    close = jaccard.close_rows(80)
+
+    def left(i, j):
+        import pyarrow as pa
+
+        pair = [[i], [j], [len(sets[i])], [len(sets[j])], [jaccard.fine_parity(sets[i])], [jaccard.fine_parity(sets[j])]]
+        return sum(b.num_rows for b in close([pa.RecordBatch.from_arrays([pa.array(x) for x in pair], names=list("abcdef"))]))
+
+    assert not any(left(i, j) for i, j in itertools.combinations(range(7), 2))
+    assert left(0, 7) and left(0, 9)
+
+
 def test_jaccard_empty_table(spark):
     got, links = jaccard.jaccard_join(odd_docs(spark, []))
     assert got.count() == 0 and links.count() == 0
