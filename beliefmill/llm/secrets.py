@@ -61,6 +61,7 @@ def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
     """
     wanted = [F.when(F.array_contains("todo", r.kind) & F.col("text").rlike(r.pattern), matches(F.col("text"), r)) for r in rules]
     found = blobs.select("blob", F.explode(F.filter(F.array(*wanted), lambda x: x.isNotNull())).alias("m")).select("blob", "m.*")
+    found = found.dropDuplicates(["blob", "kind"])  # rows that repeat id and text carry one blob
     each = found.select("blob", "kind", "version", F.posexplode(F.arrays_zip("gaps", "lengths", "values")).alias("pos", "x"))
     order = Window.partitionBy("blob", "kind").orderBy("pos")
     end = F.sum(F.col("x.gaps") + F.coalesce("x.lengths", F.lit(0))).over(order)
@@ -77,7 +78,8 @@ def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "
     paths (path, blob): every row, null text as the empty text. ledger (blob, kind, version) and
     findings (blob, kind, version, start, end) hold the earlier rows and the new ones. Repeated rows and
     equal texts share a blob; an id that repeats with another text is another path of another blob; null
-    ids are kept as paths (their blobs are scanned too). Empty tables give empty tables.
+    ids are kept as paths (their blobs are scanned too). A rule with a new version is scanned again in all
+    blobs. Texts are scanned whole, however long. Empty tables give empty tables; extra columns are ignored.
     """
     text = F.coalesce(versions[text_col], F.lit(""))
     texts = versions.select(versions[id_col].alias("path"), text.alias("text"))
@@ -97,11 +99,15 @@ def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def spans_by_path(paths: DataFrame, findings: DataFrame, rules=RULES) -> DataFrame:
-    """One row a path: doc_id, a count for each base kind, the digest of base spans, and all spans."""
+    """One row a path: doc_id, a count for each base kind, the digest of base spans, and all spans.
+
+    Findings of other rule versions than those of `rules`, which a ledger may hold from earlier runs, don't count.
+    """
     base = [r.kind for r in rules if r.base]
     order = F.element_at(F.create_map(*[v for i, r in enumerate(rules) for v in (F.lit(r.kind), F.lit(i))]), F.col("kind"))
     row = F.struct(F.col("start"), order.alias("order"), F.col("kind"), F.col("end"))
-    by_blob = findings.groupBy("blob").agg(F.array_sort(F.collect_list(row)).alias("found"))
+    current = findings.where(F.array_contains(rule_versions(rules), F.struct("kind", "version")))
+    by_blob = current.groupBy("blob").agg(F.array_sort(F.collect_list(row)).alias("found"))
     text = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     found = F.coalesce("found", F.array().cast("array<struct<start:bigint,order:int,kind:string,end:bigint>>"))
     based = F.filter(found, lambda x: x["kind"].isin(base))
