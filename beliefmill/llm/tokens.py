@@ -7,8 +7,10 @@ are stored with it, so any position can be decoded without decoding what stands
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -26,9 +28,12 @@ LEAST = 8
 INDEX_STEP = 1024
 #: Entries that a worker's caches hold; beyond that they start anew.
 REMEMBER = 300_000
-#: The words of the vocabulary's pattern within lower-cased Latin-1, and the bytes that its classes settle.
-_LETTERS, _DIGITS = rb"a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe"
-_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + _LETTERS + rb"]+|[" + _DIGITS + rb"]|[^\s" + _LETTERS + _DIGITS + rb"]+")
+#: The settings of the lower-casing word vocabulary, for which words are looked up one by one.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 _UPPER = bytes([*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)])
 _LOWER = bytes.maketrans(_UPPER, bytes(b + 32 for b in _UPPER))
 _SAFE = bytes([9, 10, 13, *range(32, 127), *range(161, 256)])
@@ -36,6 +41,15 @@ _FACTOR = 0x9E3779B97F4A7C15
 _WORKER: dict = {}
 
 
+def latin_words() -> re.Pattern:
+    """WORD_PATTERN for Latin-1 bytes: its classes are written out by the characters' categories."""
+    of = lambda kind: "".join(f"\\x{b:02x}" for b in range(256) if unicodedata.category(chr(b))[0] == kind)
+    return re.compile(WORD_PATTERN.replace(r"\p{L}", of("L")).replace(r"\p{N}", of("N")).encode())
+
+
+_WORDS = latin_words()
+
+
 def byte_signs() -> str:
     """The sign of each byte in a byte-level vocabulary: printable Latin-1 as it is, the others from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -75,21 +89,29 @@ class Parts(dict):
         return ids
 
 
+def word_by_word(tokenizer) -> bool:
+    """Whether a tokenizer has the word vocabulary's settings and no added token without "<|"."""
+    told = json.loads(tokenizer.to_str())
+    model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False}
+    known = told["normalizer"] == NORMALIZER and told["pre_tokenizer"] == PRE_TOKENIZER and told.get("truncation") is None
+    return known and all(told["model"].get(k) == v for k, v in model.items()) and all("<|" in x["content"] for x in told["added_tokens"])
+
+
 class Encoder:
     """Ids of whole texts, as the tokenizer gives them, from ids of their words.
 
-    The tokenizer lower-cases a text, cuts it into words that never cross white space, and gives each word
-    ids of its own. Texts of printable Latin-1 are cut here by the same pattern; all others are given to
-    it whole.
+    The word vocabulary's tokenizer lower-cases a text, cuts it into words that never cross white space,
+    and gives each word ids of its own. Its texts of printable Latin-1 are cut here by the same pattern;
+    all others, and those for a tokenizer with other settings, are given to it whole.
     """
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer, by_word: bool):
+        self.tokenizer, self.by_word = tokenizer, by_word
         self.parts = Parts(Words(self.tokenizer.model, self.tokenizer.get_vocab_size()))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if "<|" not in text:  # may be a special token
+        if self.by_word and "<|" not in text:  # may be a special token
             try:
                 raw = text.encode("latin-1").translate(_LOWER)
             except UnicodeEncodeError:
@@ -105,8 +127,9 @@ def encoder(path: str) -> Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _WORKER[path] = Tokenizer.from_file(path)
-    return Encoder(_WORKER[path])
+        tokenizer = Tokenizer.from_file(path)
+        _WORKER[path] = tokenizer, word_by_word(tokenizer)
+    return Encoder(*_WORKER[path])
 
 
 def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -297,13 +320,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None,
     """Encode docs and write them as shards under path (by default a new folder in the shared one); the path is returned.
 
     Every row becomes the ids of its whole text and `end_id`; null and empty texts become the end alone.
-    Rows go in ascending id order, null ids first, equal ids by text, so repeated rows stand side by
-    side. Ranges of ids make the tasks, so no order is made in one task. An empty table gives no shard.
+    Rows go in ascending id order, null ids first, equal ids by the hash of their text, so repeated rows
+    stand side by side. Ranges of ids and hashes make the tasks, so no order is made in one task, even if
+    all ids are null. Any file of the tokenizers library will do. An empty table gives no shard.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "text")
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("k"))
+    rows = rows.repartitionByRange(partitions(spark), "id", "k").sortWithinPartitions("id", "k", "text").select("id", "text")
     kind = rows.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 

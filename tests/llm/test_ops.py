@@ -170,6 +170,19 @@ def test_secrets_and_ledger(spark):
     assert secrets.spans_by_path(*(lambda x: (x[0], x[2]))(secrets.scan_versions(odd_docs(spark, [])))).count() == 0
 
 
+def test_secrets_after_a_rule_changed(spark):
+    """A new version of a rule is scanned again, and only its findings count; repeated rows and a long text keep theirs."""
+    long = "x = 1\n" * 200_000 + "token: abcdef99\n" + "y" * 500_000
+    docs = odd_docs(spark, [(1, "token=abcdef", "s"), (1, "token=abcdef", "s"), (2, long, "s")])
+    _, ledger, findings = secrets.scan_versions(docs)
+    rules = tuple(secrets.Rule(r.kind, "2", r.pattern, r.group, r.least, r.base) if r.kind == "assign" else r for r in secrets.RULES)
+    paths, ledger2, findings2 = secrets.scan_versions(docs, rules=rules, ledger=ledger, findings=findings)
+    got = sorted((r.doc_id, r.n_assign, r.spans) for r in secrets.spans_by_path(paths, findings2, rules).collect())
+    assert got == [(1, 1, "assign:0:12"), (1, 1, "assign:0:12"), (2, 1, brute_spans(long))]
+    assert ledger2.count() == ledger.count() + 2 and findings2.count() == findings.count() + 2
+    assert [r.n_assign for r in secrets.spans_by_path(paths, findings2).collect()] == [1, 1, 1]  # the earlier version's
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((12, 16))
@@ -361,7 +374,10 @@ def test_tokens_round_trip(spark, corpus, tmp_path):
     out = tokens.write_tokens(odd_docs(spark, rows), path, str(tmp_path / "t"))
     got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.read_tokens(spark, out).collect()))
     t, at, want, everything = Tokenizer.from_file(path), 0, [], []
-    for d, text in sorted(((d, t or "") for d, t, _ in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+    texts = sorted({t or "" for _, t, _ in rows})
+    hashes = spark.createDataFrame([(x,) for x in texts], "x string").select("x", F.xxhash64("x").alias("h"))
+    hashed = {r.x: r.h for r in hashes.collect()}
+    for d, text in sorted(((d, t or "") for d, t, _ in rows), key=lambda x: (x[0] is not None, x[0] or 0, hashed[x[1]])):
         ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
         want.append((at, d, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
@@ -376,6 +392,29 @@ def test_tokens_round_trip(spark, corpus, tmp_path):
     assert tokens.read_tokens(spark, empty).count() == 0
 
 
+def test_tokens_of_another_vocabulary(spark, corpus):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizer("byte_bpe_50k.json")
+    rows = [(1, "Hello World, it's 12 o'clock", "s"), *((i + 2, t, "s") for i, (_, t, _) in enumerate(corpus[:20]))]
+    t = Tokenizer.from_file(path)
+    ids = [np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4") for _, x, _ in rows]
+    got = sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.read_tokens(spark, tokens.write_tokens(odd_docs(spark, rows), path)).collect())
+    assert got == [(d, len(x), zlib.crc32(x.tobytes())) for (d, _, _), x in zip(rows, ids, strict=True)]
+
+
+def test_tokens_of_one_hot_id_go_to_many_tasks(spark):
+    rows = [(None, f"text {i}", "s") for i in range(400)]
+    out = tokens.write_tokens(odd_docs(spark, rows), public_tokenizer("word_bpe_49k.json"))
+    assert spark.read.parquet(out).select("part").distinct().count() > 4
+    assert tokens.read_tokens(spark, out).agg(F.sum("n_tokens")).first()[0] == tokens.read_tokens(spark, out).agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0]
+
+
+def test_grammar_of_one_id():
+    symbols, rules = tokens.repair(np.full(4096, 7, np.uint32), 50_000)
+    assert len(symbols) <= 8 and (tokens.expand(symbols, rules, tokens.expansion_lengths(rules, 50_000), 50_000) == 7).all()
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(1)
     for ids in ([], [7], [7] * 1000, rng.integers(0, 9, 5000), rng.integers(0, 40_000, 3000)):
