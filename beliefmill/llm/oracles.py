@@ -62,4 +62,29 @@ m AS (SELECT *, CASE WHEN left_over > 0 AND (upto <= left_over OR (upto - n <= l
 SELECT d.doc_id, d.size, m.source_size, m.target, ((full_times + more) * d.size)::BIGINT AS taken FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source AND d.key = m.key
 """
 
-ORACLES: dict[str, str] = {"op2_secret_scan": _secrets(), "op4_url_filter": URLS, "op6_chat_format": CHATS, "op7_source_mix": MIX}
+#: Components: reach holds every (node, root) with root below node that edges lead to; small tables only.
+_REACH = """
+near AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(a, b) AS (SELECT a, b FROM near UNION SELECT r.a, e.b FROM reach AS r JOIN near AS e ON r.b = e.a),
+low AS (SELECT a, min(least(a, b)) AS component FROM reach GROUP BY a)"""
+
+JACCARD = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w),
+h AS (SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS k, s FROM s),
+sets AS (SELECT k, min(doc_id) AS id, any_value(n) AS n, any_value(s) AS s FROM h WHERE n > 0 GROUP BY k),
+m AS (SELECT id, n, unnest(s) AS x FROM sets),
+edges AS (SELECT a.id AS a, b.id AS b FROM m AS a JOIN m AS b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),""" + _REACH + """
+SELECT h.doc_id, h.n::BIGINT AS n_shingles, coalesce(low.component, sets.id, h.doc_id) AS component_id FROM h LEFT JOIN sets USING (k) LEFT JOIN low ON low.a = sets.id
+"""
+
+VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok AS a JOIN ok AS b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),""" + _REACH + """,
+n AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id
+"""
+
+ORACLES: dict[str, str] = {"op1_jaccard_join": JACCARD, "op3_vector_dedup": VECTORS, "op2_secret_scan": _secrets(), "op4_url_filter": URLS, "op6_chat_format": CHATS, "op7_source_mix": MIX}

@@ -18,6 +18,9 @@ MISS = 0.0005
 FILL = 8
 #: Rows of a bucket that one group compares; larger buckets are cut into blocks, and every pair of blocks is a group.
 BLOCK = 2000
+#: Standard deviations by which the differing signs of a pair at the threshold may exceed their mean before vectors are
+#: sent; beyond them are about one in 10**9 such pairs, far fewer than MISS.
+SLACK = 6.0
 
 
 def plan(largest: int, threshold: float) -> tuple[int, int]:
@@ -27,6 +30,12 @@ def plan(largest: int, threshold: float) -> tuple[int, int]:
     return math.ceil(math.log(MISS) / math.log(1 - agree)), bits
 
 
+def most_differing(signs: int, threshold: float) -> int:
+    """Signs in which a pair at the threshold differs at most, but for SLACK."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(signs * p + SLACK * math.sqrt(signs * p * (1 - p)))
+
+
 def usable(vector: Column, label: Column) -> Column:
     """A label, and a vector without null or non-finite components that isn't zero."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -39,6 +48,10 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def sign_type(bits: int) -> np.dtype:
+    return np.dtype(np.uint16 if bits <= 16 else np.int32)
+
+
 def signature_rows(tables: int, bits: int, seed: int):
     """(node, label, dim, copies, vector bytes, signature bytes) of (node, label, vector, copies)."""
     weights = 1 << np.arange(bits, dtype=np.int64)
@@ -57,11 +70,11 @@ def signature_rows(tables: int, bits: int, seed: int):
                 at = np.flatnonzero(sizes == dim)
                 v = unit(values[(ends[at] - dim)[:, None] + np.arange(dim)])
                 for a in range(0, len(at), 2000):
-                    s = ((v[a:a + 2000] @ planes[dim] > 0).reshape(-1, tables, bits) @ weights).astype(np.int32)
+                    s = ((v[a:a + 2000] @ planes[dim] > 0).reshape(-1, tables, bits) @ weights).astype(sign_type(bits))
                     for i, j in enumerate(at[a:a + 2000]):
                         x[j] = (v[a + i].tobytes(), s[i].tobytes())
             vecs, sigs, dims = [r[0] for r in x], [r[1] for r in x], sizes.astype(np.int32)
-            shown = np.frombuffer(b"".join(sigs), np.int32)
+            shown = np.frombuffer(b"".join(sigs), sign_type(bits)).astype(np.int32)
             table = pa.ListArray.from_arrays(pa.array(np.arange(0, len(shown) + 1, tables, dtype=np.int32)), pa.array(shown))
             yield pa.RecordBatch.from_arrays([node, label, pa.array(dims), copies, pa.array(vecs, pa.binary()), pa.array(sigs, pa.binary()), table], names=["node", "label", "dim", "copies", "vec", "sig", "buckets"])
 
@@ -102,7 +115,59 @@ def group_links(x, sigs, side, copies, table: int, threshold: float):
     return links, lead
 
 
-def compare_rows(tables: int, threshold: float):
+def close_members(sigs: np.ndarray, side: np.ndarray, table: int, most: int) -> np.ndarray:
+    """Which rows of a group have a partner whose signs differ in `most` at most and that they first meet in this table."""
+    found = np.zeros(len(sigs), bool)
+    a = np.flatnonzero(side <= 0)
+    b = np.flatnonzero(side != 0) if (side >= 0).any() else a
+    for at in range(0, len(a), 200):
+        some = a[at:at + 200]
+        apart = sigs[some][:, None, :] ^ sigs[b][None, :, :]
+        near = np.bitwise_count(apart).sum(axis=2, dtype=np.int32) <= most
+        near &= some[:, None] != b[None, :]
+        i, j = np.nonzero(near)
+        first = (apart[i, j] == 0).argmax(axis=1) == table
+        found[some[i[first]]] = True
+        found[b[j[first]]] = True
+    return found
+
+
+def screen_rows(tables: int, bits: int, most: int):
+    """The (node, t, bi, bj, side) of the rows (g, node, t, bi, bj, side, sig), sorted by g, whose vectors must be compared there.
+
+    g is a hash of the group; groups that share one only send more. At most a batch and a group are held.
+    """
+
+    def run(batches):
+        held: list[np.ndarray] | None = None
+
+        def work(cols):
+            g, t, side, sigs = cols[0], cols[2], cols[5], cols[6]
+            starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            keep = np.zeros(len(g), bool)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(g)], strict=True):
+                if b - a > 1:
+                    keep[a:b] = close_members(sigs[a:b], side[a:b], int(t[a]), most)
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols[1:6]], names=["node", "t", "bi", "bj", "side"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            cols.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), sign_type(bits)).reshape(-1, tables))
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            if cut:
+                yield work([c[:cut] for c in cols])
+            held = [c[cut:] for c in cols]
+        if held is not None:
+            yield work(held)
+
+    return run
+
+
+def compare_rows(tables: int, bits: int, threshold: float):
     """(node, other, links) from rows sorted by group; a group that runs over batches is held, at most two blocks."""
 
     def run(batches):
@@ -113,7 +178,7 @@ def compare_rows(tables: int, threshold: float):
             if len(held) < 2:
                 return None
             node = np.array([r["node"] for r in held], np.int64)
-            links, lead = group_links(np.frombuffer(b"".join(r["vec"] for r in held)).reshape(len(held), -1), np.frombuffer(b"".join(r["sig"] for r in held), np.int32).reshape(len(held), tables),
+            links, lead = group_links(np.frombuffer(b"".join(r["vec"] for r in held)).reshape(len(held), -1), np.frombuffer(b"".join(r["sig"] for r in held), sign_type(bits)).reshape(len(held), tables),
                                       np.array([r["side"] for r in held]), np.array([r["copies"] for r in held], np.int64), key[2], threshold)
             some = links > 0
             if not some.any():
@@ -142,7 +207,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """One row a row of vectors: vec_id, n_links, component_id, kept.
 
     Vectors of one label and length link at a cosine of `threshold` or more, tested in double precision
-    for every pair that shares a bucket in some table. Equal vectors of a label are compared once and
+    for every pair that shares a bucket in some table and whose signs, all tables together, are close. Equal vectors of a label are compared once and
     count as linked with each other. Null, zero and non-finite vectors and null labels link with nothing:
     n_links 0, component their own id. Repeated rows link with each other. Null ids take part; they
     never become a component_id unless a component has no other, and aren't kept. Empty tables give empty
@@ -161,13 +226,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     key = ["label", "dim", "t", "bucket"]
     at = signed.select("label", "dim", F.posexplode("buckets").alias("t", "bucket"))
     large = at.groupBy(*key).count().where(F.col("count") > BLOCK).select(*key, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    full = signed.select("node", "label", "dim", "copies", "vec", "sig", F.posexplode("buckets").alias("t", "bucket"))
+    full = signed.select("node", "label", "dim", "sig", F.posexplode("buckets").alias("t", "bucket"))
     full = full.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    full = full.withColumn("own", F.pmod(F.xxhash64("node", "t"), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = F.pmod(F.xxhash64("node", "t"), F.col("blocks")).cast("int")
+    full = full.withColumn("own", own).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("to"), -1).when(F.col("own") < F.col("to"), 0).otherwise(1)
-    full = full.select("node", "copies", "vec", "sig", *key, F.least("own", "to").alias("bi"), F.greatest("own", "to").alias("bj"), side.alias("side"))
+    full = full.withColumn("bi", F.least("own", "to")).withColumn("bj", F.greatest("own", "to"))
     group = [*key, "bi", "bj"]
-    found = full.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare_rows(tables, threshold), "node bigint, other bigint, links bigint")
+    # signs alone go to every bucket; a vector goes only where its signs are close to another's
+    narrow = full.select(F.xxhash64(*group).alias("g"), "node", "t", "bi", "bj", side.alias("side"), "sig")
+    narrow = narrow.repartition("g").sortWithinPartitions("g")
+    close = narrow.mapInArrow(screen_rows(tables, bits, most_differing(tables * bits, threshold)), "node bigint, t int, bi int, bj int, side int")
+    met = close.join(signed, "node").select("node", "copies", "vec", "sig", "label", "dim", "t", F.get("buckets", "t").alias("bucket"), "bi", "bj", "side")
+    found = met.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare_rows(tables, bits, threshold), "node bigint, other bigint, links bigint")
     found = staged(found, "vector-links")
     labels = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
