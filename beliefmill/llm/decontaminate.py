@@ -34,6 +34,11 @@ UNITS = frozenset(
     "s sec min h hr second seconds minute minutes hour hours day days week weeks month months year years "
     "cent cents dollar dollars euro euros usd eur mph kmh degree degrees percent".split()
 )
+#: Words that count as numbers; "one" is no number, since it is mostly a pronoun.
+NUMBERS = frozenset(
+    "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice".split()
+)
 _NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*%?(?:st|nd|rd|th)?")
 _EDGE = "\"'`.,;:!?()[]{}<>*#&$|-_"
 _NUM, _UNIT, _NAME = (np.uint64(x) for x in (0x4E554D0000000010, 0x554E495400000010, 0x4E414D4500000010))
@@ -51,7 +56,7 @@ class Words(dict):
         bare = word.strip(_EDGE)
         low = bare.lower()
         code = xxhash.xxh3_64_intdigest(low.encode()) & ~15
-        if bare and _NUMBER.fullmatch(bare):
+        if low in NUMBERS or (bare and _NUMBER.fullmatch(bare)):
             code |= int(_NUMERIC)
         elif low in UNITS:
             code |= int(_MEASURE)
@@ -155,10 +160,13 @@ def covered(places: Column, width: Column) -> Column:
     return F.aggregate(F.transform(places, lambda p, i: F.least(width, F.coalesce(F.get(places, i + 1) - p, width))), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def one_to_one(found) -> bool:
-    """Whether the (value, value) pairs of windows are one to one."""
+def consistent(found, distinct: bool) -> bool:
+    """Whether the (value of the item, value of the document) pairs of windows give each value of the item one value.
+
+    With `distinct`, no two values of the item may have the same one.
+    """
     pairs = {p for w in found for p in w[2]}
-    return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+    return len({a for a, _ in pairs}) == len(pairs) and not (distinct and len({b for _, b in pairs}) < len(pairs))
 
 
 def words_of(found, n: int) -> int:
@@ -167,41 +175,47 @@ def words_of(found, n: int) -> int:
     return sum(min(n, b - a) for a, b in zip(places, [*places[1:], n + places[-1]], strict=True)) if places else 0
 
 
-def fitting(found: list, n: int) -> list:
+def fitting(found: list, n: int, distinct: bool) -> list:
     """The windows (place, kind, pairs) of an alignment whose values fit.
 
-    Those of a run, in which each window meets or adjoins the next, fit together if their values map
-    one to one; a window whose values are all equal to the item's always fits.
+    Those of a run, in which each window meets or adjoins the next, fit together if every value of the
+    item has one value there; a window whose values are all equal to the item's always fits.
     """
     found, runs = sorted(found, key=lambda w: w[0]), []
     for w in found:
         if not runs or w[0] > runs[-1][-1][0] + n:
             runs.append([])
         runs[-1].append(w)
-    return [w for run in runs for ok in [one_to_one(run)] for w in run if ok or all(a == b for a, b in w[2])]
+    return [w for run in runs for ok in [consistent(run, distinct)] for w in run if ok or all(a == b for a, b in w[2])]
 
 
-def judge(batches):
+def judge(distinct: bool):
     """Lines with the words that their fitting windows cover, in all and by the item's template, and whether all values are equal."""
-    for batch in batches:
-        told = []
-        for n, found in zip(batch.column("n").to_pylist(), batch.column("windows").to_pylist(), strict=True):
-            found = [(w["at"], w["kind"], [(p["a"], p["b"]) for p in w["pairs"]]) for w in found]
-            fit = fitting(found, n)
-            told.append((words_of(fit, n), words_of([w for w in fit if w[1] != EXACT], n), all(a == b for w in found for a, b in w[2])))
-        cols = list(zip(*told, strict=True)) or [(), (), ()]
-        kept = batch.select(["doc_id", "k", "item_id", "item_k", "n_words"])
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_())], names=[*kept.schema.names, "n_covered", "n_loose", "exact"])
+
+    def run(batches):
+        for batch in batches:
+            told = []
+            for n, found in zip(batch.column("n").to_pylist(), batch.column("windows").to_pylist(), strict=True):
+                found = [(w["at"], w["kind"], [(p["a"], p["b"]) for p in w["pairs"]]) for w in found]
+                fit = fitting(found, n, distinct)
+                told.append((words_of(fit, n), words_of([w for w in fit if w[1] != EXACT], n), all(a == b for w in found for a, b in w[2])))
+            cols = list(zip(*told, strict=True)) or [(), (), ()]
+            kept = batch.select(["doc_id", "k", "item_id", "item_k", "n_words"])
+            more = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *more], names=[*kept.schema.names, "n_covered", "n_loose", "exact"])
+
+    return run
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-               width: int = WINDOW, literals: int = LITERALS, cover: int = COVER, inside: bool = False) -> DataFrame:
+               width: int = WINDOW, literals: int = LITERALS, cover: int = COVER, inside: bool = False, distinct: bool = True) -> DataFrame:
     """(doc_id, k, item_id, n_covered, n_words, exact) for each document and item that it leaks; k hashes the document's text.
 
     An item leaks where windows on one alignment (places in the document minus places in the item)
     cover at least `cover` words of it, or all the words that windows cover if it is shorter. Windows
-    are of the template, whose values must map one to one to those of the document in each run of
-    adjoining windows, or of the same words in any case. exact: all values are equal. n_covered is the
+    are of the template, in which every value of the item must stand for one value of the document in each
+    run of adjoining windows (with `distinct`, different values for different ones), or of the same words
+    in any case. exact: all values are equal. n_covered is the
     best alignment's. Items shorter than a window are found in documents of their length, and with
     `inside` at any place of longer ones. Items with equal texts leak each; null and empty items and
     those of numbers and units only have no window and never leak. Repeated rows and rows of one id and
@@ -224,7 +238,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         (F.col("d.at") - F.col("i.at")).alias("shift"), F.struct(F.col("i.at").alias("at"), F.col("i.kind").alias("kind"), pairs.alias("pairs")).alias("window"))
     lines = met.groupBy("doc_id", "k", "item_id", "item_k", "n_words", "n", "shift").agg(F.collect_set("window").alias("windows"))
     ids = {c: lines.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")}
-    lines = lines.mapInArrow(judge, f"doc_id {ids['doc_id']}, k bigint, item_id {ids['item_id']}, item_k bigint, n_words bigint, n_covered bigint, n_loose bigint, exact boolean")
+    lines = lines.mapInArrow(judge(distinct), f"doc_id {ids['doc_id']}, k bigint, item_id {ids['item_id']}, item_k bigint, n_words bigint, n_covered bigint, n_loose bigint, exact boolean")
     whole = lambda at: F.least(F.lit(cover).cast("long"), covered(F.array_sort(F.collect_set(at)), F.first("n")))
     most = items.groupBy(F.col("id").alias("iid"), F.col("k").alias("ik")).agg(whole(F.col("at")).alias("enough"), whole(F.when(F.col("kind") != EXACT, F.col("at"))).alias("enough_loose"))
     lines = lines.join(most, F.col("item_id").eqNullSafe(F.col("iid")) & (F.col("item_k") == F.col("ik")))
@@ -232,9 +246,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return lines.groupBy("doc_id", "k", "item_id").agg(F.max("n_covered").alias("n_covered"), F.max("n_words").alias("n_words"), F.max("exact").alias("exact"))
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", inside: bool = False) -> DataFrame:
-    """The rows of docs, all columns, that leak no item."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col, inside=inside).select("doc_id", "k").distinct().alias("l")
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", inside: bool = False, distinct: bool = True) -> DataFrame:
+    """The rows of docs, all columns, that leak no item; find_leaks says what the flags do."""
+    leaks = find_leaks(docs, benchmark, id_col, text_col, inside=inside, distinct=distinct).select("doc_id", "k").distinct().alias("l")
     rows = docs.alias("d")
     same = F.col(f"d.{id_col}").eqNullSafe(F.col("l.doc_id")) & (F.xxhash64(F.col(f"d.{text_col}").cast("string")) == F.col("l.k"))
     return rows.join(leaks, same, "left_anti")

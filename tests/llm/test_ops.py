@@ -258,6 +258,37 @@ def leaking(spark, items, docs, **more):
     return sorted((r.doc_id, r.item_id, r.exact) for r in decontaminate.find_leaks(df, bench, **more).collect())
 
 
+def test_reparameterised_questions_recall(spark):
+    """Items asked again with other numbers, names and units, also spelled ones and equal ones for different ones, in other texts."""
+    rng = random.Random(31)
+    names, units, nouns = ("Maria", "Lena", "Tom", "Ivan", "Aiko"), ("km", "miles", "hours", "dollars", "kg"), ("apples", "pears", "boxes", "tickets", "letters")
+    spelled = ("two", "seven", "twelve", "thirty", "ninety")
+
+    def ask(form, values):
+        return form.format(*values)
+
+    def values():
+        """Different values; those of a question asked again may be equal where those of the item differ."""
+        a, b, c = rng.sample([*map(str, range(2, 99)), *spelled * 10], 3)
+        one, two = rng.sample(units, 2)
+        return [rng.choice(names), a, b if b != a else "3", one, c if c not in (a, b) else "4", two]
+
+    def again():
+        one = rng.choice(units)
+        return [rng.choice(names), *(rng.choice(("7", "35", *spelled)) for _ in range(2)), one, "7", rng.choice(units)]
+
+    items, docs = [], []
+    for i in range(60):
+        a, b, c, d = (prose(rng, n) for n in (3, 4, 4, 5))
+        form = f"yesterday {{0}} {a} {{1}} {rng.choice(nouns)} and {b} {{2}} {{3}} {c} for {{4}} {{5}} so {d}"
+        items.append((i, ask(form, values())))
+        docs += [(1000 + 2 * i, f"{prose(rng, 40)} {ask(form, again())} {prose(rng, 40)}"), (1001 + 2 * i, prose(rng, 120))]
+    docs.append((5000, "so " + LEAK.replace("12", "90").replace("7", "90")))
+    found = {(d, i) for d, i, _ in leaking(spark, [*items, (99, LEAK)], docs, inside=True, distinct=False)}
+    want = {(1000 + 2 * i, i) for i in range(60)} | {(5000, 99)}
+    assert found <= want and len(found & want) >= 0.9 * len(want)
+
+
 def test_short_items_inside_documents(spark):
     rng = random.Random(18)
     items = [(1, "tiny words here now"), (2, "What is the plain name of this old river town here"), (3, "cold"), (4, "ratio of 7 to 12 is good enough")]
