@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 FLOOR = 0.001
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with the value worked out once a row, however often body and its lambdas name it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def rounded(x: Column, places: int) -> Column:
     """floor(x * 10**places + 0.5) / 10**places: the same operations in any engine, unlike its round()."""
     scale = float(10**places)
@@ -27,13 +32,17 @@ def uniform(n: Column) -> Column:
 
 def with_residue(a: Column) -> Column:
     """What is missing to 1, to 6 places, goes to the first maximum."""
-    rest, at = rounded(F.lit(1.0) - total(a), 6), F.array_position(a, F.array_max(a))
-    return F.transform(a, lambda x, i: F.when(i + 1 == at, rounded(x + rest, 6)).otherwise(x))
+
+    def told(a):
+        fix = F.struct(rounded(F.lit(1.0) - total(a), 6).alias("rest"), F.array_position(a, F.array_max(a)).alias("at"))
+        return bound(fix, lambda f: F.transform(a, lambda x, i: F.when(i + 1 == f["at"], rounded(x + f["rest"], 6)).otherwise(x)))
+
+    return bound(a, told)
 
 
 def shares(a: Column) -> Column:
     """Each value over the sum, to 6 places."""
-    return F.transform(a, lambda x: rounded(x / total(a), 6))
+    return bound(a, lambda a: bound(total(a), lambda s: F.transform(a, lambda x: rounded(x / s, 6))))
 
 
 def conditional_row(joint: Column) -> Column:
@@ -42,18 +51,24 @@ def conditional_row(joint: Column) -> Column:
     A row with less mass than FLOOR is uniform. Negative cells count as 0 but not in the mass; rows that
     drift from 1 by more than 0.001 are shared again.
     """
-    mass = total(joint)
-    plain = F.transform(joint, lambda x: rounded(F.greatest(F.lit(0.0), x) / mass, 6))
-    again = F.when(F.abs(total(plain) - 1) > 0.001, shares(plain)).otherwise(plain)
-    return F.when(mass < FLOOR, uniform(F.size(joint))).otherwise(with_residue(again))
+
+    def told(joint, mass):
+        plain = F.transform(joint, lambda x: rounded(F.greatest(F.lit(0.0), x) / mass, 6))
+        again = bound(plain, lambda v: F.when(F.abs(total(v) - 1) > 0.001, shares(v)).otherwise(v))
+        return F.when(mass < FLOOR, uniform(F.size(joint))).otherwise(with_residue(again))
+
+    return bound(joint, lambda a: bound(total(a), lambda m: told(a, m)))
 
 
 def nullable_row(joint: Column, floor: float, related: Column | bool = True) -> Column:
     """P(child | parent state) with nulls: no relation, a mass of nearly 0, or a value below the floor; to 4 places."""
-    mass = total(joint)
     related = F.lit(related) if isinstance(related, bool) else related
-    keep = lambda x: related & (mass >= 1e-9) & (F.try_divide(x, mass) >= floor)
-    return F.transform(joint, lambda x: F.when(keep(x), rounded(F.try_divide(x, mass), 4)))
+
+    def told(joint, mass):
+        keep = lambda x: related & (mass >= 1e-9) & (F.try_divide(x, mass) >= floor)
+        return F.transform(joint, lambda x: F.when(keep(x), rounded(F.try_divide(x, mass), 4)))
+
+    return bound(joint, lambda a: bound(total(a), lambda m: told(a, m)))
 
 
 def prior_row(marginal: Column) -> Column:
@@ -69,7 +84,7 @@ def rerooted_row(marginal: Column) -> Column:
 def exact_row(leaf: Column) -> Column:
     """A row of a multi-parent joint: uniform below FLOOR, else shared, residue to the first maximum."""
     clipped = F.transform(leaf, lambda x: F.greatest(F.lit(0.0), x))
-    return F.when(total(clipped) < FLOOR, uniform(F.size(leaf))).otherwise(with_residue(shares(clipped)))
+    return bound(clipped, lambda v: F.when(total(v) < FLOOR, uniform(F.size(v))).otherwise(with_residue(shares(v))))
 
 
 def naive_bayes_row(conditionals: Column, prior: Column, exponent: int = 1) -> Column:
@@ -80,25 +95,25 @@ def naive_bayes_row(conditionals: Column, prior: Column, exponent: int = 1) -> C
     """
     floor = F.lit(FLOOR)
     p = F.transform(prior, lambda x: F.greatest(floor, F.coalesce(x, floor)))
-    p = F.transform(p, lambda x: F.greatest(floor, x / total(p)))
-    product = lambda i: F.aggregate(conditionals, F.lit(1.0), lambda s, c: s * F.greatest(floor, F.get(c, i)))
-    score = F.transform(p, lambda x, i: F.greatest(floor, product(i) / F.pow(x, F.lit(float(exponent)))))
-    return with_residue(shares(score))
+    p = bound(p, lambda a: bound(total(a), lambda s: F.transform(a, lambda x: F.greatest(floor, x / s))))
+    product = lambda c, i: F.aggregate(c, F.lit(1.0), lambda s, x: s * F.greatest(floor, F.get(x, i)))
+    score = lambda c, p: F.transform(p, lambda x, i: F.greatest(floor, product(c, i) / F.pow(x, F.lit(float(exponent)))))
+    return with_residue(shares(bound(conditionals, lambda c: bound(p, lambda p: score(c, p)))))
 
 
 def validated_marginal(values: Column) -> Column:
     """Floored at 0.001; shared only if the sum is off by more than 0.02."""
     floored = F.transform(values, lambda x: F.greatest(F.lit(0.001), F.coalesce(x, F.lit(0.001))))
-    return F.when(F.abs(total(floored) - 1) > 0.02, shares(floored)).otherwise(floored)
+    return bound(floored, lambda v: F.when(F.abs(total(v) - 1) > 0.02, shares(v)).otherwise(v))
 
 
 def kl(p: Column, q: Column, smooth: float = 1e-6) -> Column:
-    """KL(p || q) in nats: p is normalised (uniform if it sums to 0), q clipped, smoothed and normalised."""
-    sp, n = total(p), F.size(p)
-    p1 = F.transform(p, lambda x: F.when(sp > 0, F.try_divide(x, sp)).otherwise(F.lit(1.0) / n))
-    q0 = F.transform(q, lambda x: F.greatest(F.lit(0.0), x) + smooth)
-    q1 = F.transform(q0, lambda x: x / total(q0))
-    terms = F.zip_with(p1, q1, lambda a, b: F.when(a > 0, a * F.ln(a / b)).otherwise(F.lit(0.0)))
+    """KL(p || q) in nats: both are normalised (uniform if they don't sum to more than 0), q clipped, smoothed and normalised again."""
+    even = lambda a, s: F.transform(a, lambda x: F.when(s > 0, F.try_divide(x, s)).otherwise(F.lit(1.0) / F.size(a)))
+    shared = lambda a: bound(a, lambda v: bound(total(v), lambda s: even(v, s)))
+    clipped = F.transform(shared(q), lambda x: F.greatest(F.lit(0.0), x) + smooth)
+    q1 = bound(clipped, lambda v: bound(total(v), lambda s: F.transform(v, lambda x: x / s)))
+    terms = F.zip_with(shared(p), q1, lambda a, b: F.when(a > 0, a * F.ln(a / b)).otherwise(F.lit(0.0)))
     return total(terms)
 
 

@@ -59,7 +59,7 @@ def multi_joints_prompt(text: Column, families: Column, n_combos: Column) -> Col
 
 def recover_prompt(text: Column, step: str, given: Column) -> Column:
     """The evaluation passes: what to recover, given what the earlier passes found (JSON)."""
-    asked = {"nodes": '{"nodes": ["..."]}', "states": '{"nodes": [{"node": "...", "states": ["..."]}]}', "edges": '{"edges": [{"parent": "...", "child": "..."}]}', "cpd": '{"matrix": [[0.5]]}'}
+    asked = {"nodes": '{"nodes": ["..."]}', "states": '{"node_states": [{"node": "...", "states": ["..."]}]}', "edges": '{"edges": [{"parent": "...", "child": "..."}]}', "cpd": '{"matrix": [[0.5]]}'}
     return F.concat_ws("\n", F.lit(f"Recover the {step} of the network."), F.concat(F.lit("KNOWN: "), given), F.lit(f"Reply: {asked[step]}"), F.lit("TEXT:"), text)
 
 

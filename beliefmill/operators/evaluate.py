@@ -88,6 +88,22 @@ def cpd_divergence(truth: DataFrame, predicted: DataFrame, predicted_dims: bool
     return met.select("sg_id", "parent", "child", "kl", (both if need_both else F.coalesce(both, F.col("kl"))).alias("kl_symmetric"))
 
 
+def table_divergence(met: DataFrame, predicted_dims: bool = False, need_both: bool = True) -> DataFrame:
+    """(sg_id, cpd_kl, cpd_kl_symmetric, n_cpd_evaluated): means over the edges (sg_id, m, q, t_parent, t_child) of a subgraph.
+
+    m and q are the true and the predicted matrix, t_* the numbers of true states. An edge without a
+    column counts in neither mean; with need_both, nor does one whose reverse has none.
+    """
+    size = (F.col("t_child"), F.col("t_parent"))
+    back_size = (F.size("q"), F.coalesce(F.size(F.get("q", 0)), F.lit(0))) if predicted_dims else size
+    each = met.select("sg_id", N.column_kl(F.col("m"), F.col("q"), *size).alias("kl"), N.column_kl(F.col("q"), F.col("m"), *back_size).alias("back"))
+    both = (F.col("kl") + F.col("back")) / 2
+    each = each.withColumn("both", both if need_both else F.coalesce(both, F.col("kl"))).where("kl is not null" + (" and back is not null" if need_both else ""))
+    # sums of whole micro-units don't depend on their order
+    micro = lambda c: F.sum(F.floor(F.col(c) * 1e6 + 0.5)) / 1e6 / F.count(c)
+    return each.groupBy("sg_id").agg(N.rounded(micro("kl"), 6).alias("cpd_kl"), N.rounded(micro("both"), 6).alias("cpd_kl_symmetric"), F.count(F.lit(1)).alias("n_cpd_evaluated"))
+
+
 def mean_and_std(x: str, places: int = 4) -> tuple[Column, Column]:
     """Mean and population deviation of the values there are."""
     return N.rounded(F.avg(x), places), N.rounded(F.stddev_pop(x), places)
@@ -103,8 +119,12 @@ def aggregate(results: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def by_size(results: DataFrame, metric: str, size: str = "n_nodes") -> DataFrame:
-    """(size, n, values): each size's values in order, sizes and values that are null left out."""
-    return results.where(F.col(size).isNotNull() & F.col(metric).isNotNull()).groupBy(size).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(metric)).alias("values"))
+    """(size, value, n): how often each size has a value, rounded to 4 places; nulls are left out.
+
+    A size has at most 10,001 rows of a share, however many results there are.
+    """
+    kept = results.where(F.col(size).isNotNull() & F.col(metric).isNotNull())
+    return kept.groupBy(size, N.rounded(F.col(metric), 4).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def box(results: DataFrame, metric: str, size: str = "n_nodes") -> DataFrame:

@@ -86,9 +86,14 @@ def connected_subsets(edges: DataFrame, nodes: DataFrame, smallest: int = 3, lar
 
     One frontier grows from all nodes at once: sets of size k and their neighbours make the sets of size
     k + 1, kept once each; breadth- and depth-first orders give the same sets. required (bn_id, members)
-    seeds the frontier with one set a network instead; it need not be connected, and no smaller set counts.
+    seeds the frontier with one set a network instead (of one node, to start there); it need not be
+    connected, and no smaller set counts. A required name that its network lacks is an error.
     """
     links = undirected(edges)
+    if required is not None:
+        unknown = required.select("bn_id", F.explode("members").alias("node")).join(nodes.select("bn_id", "node"), ["bn_id", "node"], "left_anti")
+        if (row := unknown.orderBy("bn_id", "node").first()) is not None:
+            raise ValueError(f"network {row['bn_id']} has no node {row['node']!r}")
     if required is None:
         front, size = nodes.select("bn_id", F.array("node").alias("members")), 1
     else:
@@ -113,6 +118,40 @@ def connected_subsets(edges: DataFrame, nodes: DataFrame, smallest: int = 3, lar
     return out if required is None else out.distinct()
 
 
+def selected_subsets(edges: DataFrame, nodes: DataFrame, smallest: int = 3, largest: int = 9, required: list[str] | None = None,
+                     only_required: bool = False, only: DataFrame | None = None, must: DataFrame | None = None) -> DataFrame:
+    """(bn_id, members, size) under the options of a selection.
+
+    only (bn_id): the networks that count. required: names that every set holds; networks that lack one
+    are left out, and the smallest size is their number. only_required: that set alone, not grown.
+    Networks with fewer nodes than the smallest size are left out, but those of must (bn_id), whose
+    smallest size is then the number of their nodes.
+    """
+    if only is not None:
+        nodes = nodes.join(only.select("bn_id"), "bn_id", "left_semi")
+    count = nodes.groupBy("bn_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("node").alias("names"))
+    least = len(set(required)) if required else smallest
+    count = count.withColumn("must", F.lit(False)) if must is None else count.join(must.select("bn_id", F.lit(True).alias("must")).distinct(), "bn_id", "left")
+    alive = count.where((F.col("n") >= least) | F.coalesce("must", F.lit(False)))
+    if required:
+        alive = alive.where(F.size(F.array_except(F.array(*map(F.lit, required)), F.col("names"))) == 0)
+    alive = written(alive.select("bn_id", F.least(F.col("n"), F.lit(least)).cast("int").alias("least")), "networks")
+    seeds = alive.select("bn_id", F.array_sort(F.array_distinct(F.array(*map(F.lit, required)))).alias("members")) if required else None
+    if only_required and required:
+        return seeds.withColumn("size", F.size("members"))
+    known = lambda df: df.join(alive.select("bn_id"), "bn_id", "left_semi")
+    found = connected_subsets(known(edges), known(nodes), 1, largest, seeds)
+    return found.join(alive, "bn_id").where(F.col("size") >= F.col("least")).select("bn_id", "members", "size")
+
+
+def enough_subsets(subsets: DataFrame, k: int) -> DataFrame:
+    """The subsets, if every network that has any has k or more; else an error."""
+    few = subsets.groupBy("bn_id").count().where(F.col("count") < k).orderBy("bn_id").first()
+    if few is not None:
+        raise ValueError(f"network {few['bn_id']} has {few['count']} subgraphs, {k} are asked for")
+    return subsets
+
+
 def induced_edges(subsets: DataFrame, edges: DataFrame) -> DataFrame:
     """(sub_id, bn_id, edge_pos, parent, child): the edges with both ends in the subset."""
     met = subsets.select("sub_id", "bn_id", "members").join(edges, "bn_id")

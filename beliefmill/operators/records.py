@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
+from ..functions.staging import written
 
 
 def last_wins(rows: DataFrame, keys: list[str], pos: str) -> DataFrame:
@@ -15,8 +16,11 @@ def last_wins(rows: DataFrame, keys: list[str], pos: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, pos: str, pattern: str = "bn_%05d", name: str = "new_id") -> DataFrame:
-    """Sequential ids by position. Positions are counted within ranges and over ranges, so no task sorts all rows."""
-    spread = rows.withColumn("part", F.spark_partition_id()) if pos is None else rows.repartitionByRange(F.col(pos)).withColumn("part", F.spark_partition_id())
+    """Sequential ids by position. Positions are counted within ranges and over ranges, so no task sorts all rows.
+
+    The ranges are written before both branches read them, since they may be dealt otherwise a second time.
+    """
+    spread = written(rows.repartitionByRange(F.col(pos)).withColumn("part", F.spark_partition_id()), "ranges")
     inside = F.row_number().over(Window.partitionBy("part").orderBy(pos))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = spread.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
@@ -73,6 +77,47 @@ def cap_rows(rows: DataFrame, key: str, required: str, cap: int, seed: int = 42)
     return must.unionByName(rows.where(~F.coalesce(F.expr(required), F.lit(False))).orderBy(hash_order(F.col(key), seed), key).limit(room))
 
 
+def sliced(rows: DataFrame, key: str, pos: str, limit: int | None = None, offset: int = 0, start: str | None = None) -> DataFrame:
+    """Rows by position from 0: `limit` of them (None or 0: all) after the first `offset`, or from the row with key `start` on.
+
+    start wins over offset; a start that is no key skips nothing.
+    """
+    found = rows.where(F.col(key) == start).agg(F.min(pos)).first()[0] if start is not None else None
+    first = offset if start is None else (found or 0)
+    kept = rows.where(F.col(pos) >= first)
+    return kept.where(F.col(pos) < first + limit) if limit else kept
+
+
+def status_counts(rows: DataFrame, status: str = "status") -> DataFrame:
+    return rows.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+
+
+def issue_status(records: DataFrame, issues: DataFrame, key: str = "bn_id") -> DataFrame:
+    """records with n_issues, of issues (key, issue), and the status ok or warn."""
+    n = issues.groupBy(key).agg(F.count(F.lit(1)).alias("n_issues"))
+    met = records.join(n, key, "left").withColumn("n_issues", F.coalesce("n_issues", F.lit(0).cast("long")))
+    return met.withColumn("status", F.when(F.col("n_issues") > 0, "warn").otherwise("ok"))
+
+
+def strict(records: DataFrame) -> DataFrame:
+    """Of records with a status, those without issues."""
+    return records.where("status = 'ok'")
+
+
+def collected_titles(found: DataFrame, target: int, seed: int = 42) -> DataFrame:
+    """(domain, title, rank): of search results (domain, domain_pos, seed_pos, result_pos, title), `target` titles a domain.
+
+    Titles with a colon are left out, a title counts in the first domain that has it, collecting stops at
+    three times the target, and a seeded order picks among those.
+    """
+    plain = found.where(F.col("title").isNotNull() & ~F.contains("title", F.lit(":")))
+    place = F.struct("domain_pos", "seed_pos", "result_pos", "domain")
+    first = plain.groupBy("title").agg(F.min(place).alias("at")).select("title", "at.*")
+    early = first.withColumn("rn", F.row_number().over(Window.partitionBy("domain").orderBy("seed_pos", "result_pos", "title"))).where(F.col("rn") <= 3 * target)
+    order = Window.partitionBy("domain").orderBy(hash_order(F.col("title"), seed), "title")
+    return early.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= target).select("domain", "title", "rank")
+
+
 def per_group_quota(rows: DataFrame, group: str, pos: str, n: int) -> DataFrame:
     order = Window.partitionBy(group).orderBy(pos)
     return rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n).drop("rn")

@@ -1,8 +1,12 @@
-"""The empirical corpus: one network a nation, its probabilities counted from the star schema."""
+"""The empirical corpus: networks of the star schema, with probabilities that are counted from it.
+
+A network holds the orders of up to GROUP customers of one nation that have neighbouring keys, so the
+number of networks grows with the tables.
+"""
 
 from __future__ import annotations
 
-from types import SimpleNamespace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,20 +30,22 @@ EDGES = [
     ("quantity band", "return flag"), ("line status", "return flag"), ("return flag", "market segment"), ("line status", "line status"), ("part type", "missing node"),
 ]
 VALID = 7
+#: Customer keys of a network, over all nations; networks of a group of keys are numbered NATIONS apart.
+GROUP, NATIONS = 375, 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bn_id(nation: Column) -> Column:
-    return F.format_string("bn_%05d", (nation + 1).cast("int"))
+def bn_id(number: Column) -> Column:
+    return F.format_string("bn_%05d", number + 1)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(nk, v0 … v6, n, e): observations, and those of even orders, for each combination of states.
 
-    The only pass over the facts: every table of the corpus is a sum of these few rows a nation. The
+    The only pass over the facts: every table of the corpus is a sum of these rows. The
     dimension joins are plain equi-joins, so the planner broadcasts what its size allows.
     """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
@@ -49,32 +55,78 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
     band = F.when(F.col("l_quantity") < 17, "low").when(F.col("l_quantity") < 34, "mid").otherwise("high")
     values = ["c_mktsegment", "p_type", "o_orderpriority", "o_orderstatus", band, "l_linestatus", "l_returnflag"]
-    keys = [F.col("c_nationkey").alias("nk"), *((F.col(v) if isinstance(v, str) else v).alias(f"v{i}") for i, v in enumerate(values))]
+    number = (F.col("c_nationkey") + F.floor(F.col("c_custkey") / GROUP) * NATIONS).cast("long")
+    keys = [number.alias("nk"), *((F.col(v) if isinstance(v, str) else v).alias(f"v{i}") for i, v in enumerate(values))]
     return met.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("l_orderkey") % 2 == 0).cast("long")).alias("e"))
 
 
-def corpus(spark: SparkSession, sf_dir: str, even: bool = False) -> SimpleNamespace:
-    """bn, nodes, node_state, marginal, joint, multi_joint, edges (the valid ones) and variant (one candidate edge missing)."""
-    n = "e" if even else "n"
-    found = written(cells(spark, sf_dir), "corpus-cells")
-    bn = found.groupBy("nk").agg(F.sum(n).alias("total")).withColumn("bn_id", bn_id(F.col("nk")))
-    ids = bn.select("bn_id", "nk")
-    fixed = lambda fields, rows: F.inline(F.array(*(F.struct(*(F.lit(v).alias(f) for f, v in zip(fields, r, strict=True))) for r in rows)))
-    names = fixed(("node_pos", "node"), enumerate(NAMES))
-    states = fixed(("node", "state_pos", "state"), ((x, i, s) for x, ss in NODES for i, s in enumerate([*ss, "none"])))
-    pairs = fixed(("edge_pos", "parent", "child"), ((i, a, b) for i, (a, b) in enumerate(EDGES)))
-    one = F.explode(F.array(*(F.struct(F.lit(x).alias("node"), F.col(f"v{i}").alias("state")) for i, x in enumerate(NAMES))))
-    counts = found.select("nk", n, one.alias("x")).groupBy("nk", "x.node", "x.state").agg(F.sum(n).alias("c"))
-    p = F.col("c") / F.col("total")
-    marginal = counts.join(bn, "nk").where("c > 0").select("bn_id", "node", "state", p.alias("p"))
-    at = NAMES.index
-    two = F.explode(F.array(*(F.struct(F.lit(a).alias("parent"), F.lit(b).alias("child"), F.col(f"v{at(a)}").alias("parent_state"), F.col(f"v{at(b)}").alias("child_state")) for a, b in EDGES[:VALID])))
-    joint = found.select("nk", n, two.alias("x")).groupBy("nk", "x.parent", "x.child", "x.parent_state", "x.child_state").agg(F.sum(n).alias("c"))
-    joint = joint.join(bn, "nk").where("c > 0").select("bn_id", "parent", "child", "parent_state", "child_state", p.alias("p"))
-    three = found.groupBy("nk", F.col("v1"), F.col("v0"), F.col("v4").alias("child_state")).agg(F.sum(n).alias("c")).join(bn, "nk").where("c > 0")
-    multi = three.select("bn_id", F.lit("quantity band").alias("child"), F.array("v1", "v0").alias("combo"), "child_state", p.alias("p"))
-    every = ids.select("bn_id", "nk", pairs)  # ten candidate edges a network
-    return SimpleNamespace(
-        cells=found, bn=bn, nodes=ids.select("bn_id", names), node_state=ids.select("bn_id", states),
-        marginal=marginal, joint=joint, multi_joint=multi, edges=every.where(F.col("edge_pos") < VALID).select("bn_id", "edge_pos", "parent", "child"),
-        variant=every.where(F.col("edge_pos") != F.col("nk") % 10).select("bn_id", "edge_pos", "parent", "child"))
+def _fixed(fields, rows) -> Column:
+    return F.inline(F.array(*(F.struct(*(F.lit(v).alias(f) for f, v in zip(fields, r, strict=True))) for r in rows)))
+
+
+class Corpus:
+    """The tables of the empirical corpus, each made when it is first asked for; those that are counted are written once.
+
+    bn (bn_id, nk, total), nodes, node_state, marginal, joint, multi_joint, edges (the valid ones) and
+    variant (one candidate edge missing).
+    """
+
+    def __init__(self, cells: DataFrame, n: str):
+        self.cells, self.n = cells, n
+
+    def even(self) -> Corpus:
+        """The same networks, of even orders alone."""
+        return Corpus(self.cells, "e")
+
+    @cached_property
+    def bn(self) -> DataFrame:
+        counted = self.cells.groupBy("nk").agg(F.sum(self.n).alias("total"))
+        return written(counted.withColumn("bn_id", bn_id(F.col("nk"))), "corpus-bn")
+
+    def _each(self, fields, rows) -> DataFrame:
+        return self.bn.select("bn_id", "nk", _fixed(fields, rows))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self._each(("node_pos", "node"), enumerate(NAMES)).drop("nk")
+
+    @cached_property
+    def node_state(self) -> DataFrame:
+        return self._each(("node", "state_pos", "state"), ((x, i, s) for x, ss in NODES for i, s in enumerate([*ss, "none"]))).drop("nk")
+
+    @cached_property
+    def variant(self) -> DataFrame:
+        every = self._each(("edge_pos", "parent", "child"), ((i, a, b) for i, (a, b) in enumerate(EDGES)))
+        return every.where(F.col("edge_pos") != F.col("nk") % 10).drop("nk")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._each(("edge_pos", "parent", "child"), ((i, a, b) for i, (a, b) in enumerate(EDGES[:VALID]))).drop("nk")
+
+    def _shares(self, counts: DataFrame, name: str, *columns) -> DataFrame:
+        p = (F.col("c") / F.col("total")).alias("p")
+        return written(counts.join(self.bn, "nk").where("c > 0").select("bn_id", *columns, p), name)
+
+    @cached_property
+    def marginal(self) -> DataFrame:
+        one = F.explode(F.array(*(F.struct(F.lit(x).alias("node"), F.col(f"v{i}").alias("state")) for i, x in enumerate(NAMES))))
+        counts = self.cells.select("nk", self.n, one.alias("x")).groupBy("nk", "x.node", "x.state").agg(F.sum(self.n).alias("c"))
+        return self._shares(counts, "corpus-marginal", "node", "state")
+
+    @cached_property
+    def joint(self) -> DataFrame:
+        at = NAMES.index
+        pair = lambda a, b: F.struct(F.lit(a).alias("parent"), F.lit(b).alias("child"), F.col(f"v{at(a)}").alias("parent_state"), F.col(f"v{at(b)}").alias("child_state"))
+        two = F.explode(F.array(*(pair(a, b) for a, b in EDGES[:VALID])))
+        keys = ["parent", "child", "parent_state", "child_state"]
+        counts = self.cells.select("nk", self.n, two.alias("x")).groupBy("nk", *(f"x.{k}" for k in keys)).agg(F.sum(self.n).alias("c"))
+        return self._shares(counts, "corpus-joint", *keys)
+
+    @cached_property
+    def multi_joint(self) -> DataFrame:
+        counts = self.cells.groupBy("nk", "v1", "v0", F.col("v4").alias("child_state")).agg(F.sum(self.n).alias("c"))
+        return self._shares(counts, "corpus-multi", F.lit("quantity band").alias("child"), F.array("v1", "v0").alias("combo"), "child_state")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    return Corpus(written(cells(spark, sf_dir), "corpus-cells"), "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .empirical import EDGES, NAMES, NODES, VALID
+from .empirical import EDGES, GROUP, NAMES, NATIONS, NODES, VALID
 
 ORACLES: dict[str, str] = {}
 
@@ -27,8 +27,8 @@ marginal{suffix} AS (SELECT bn_id, node, state, c::BIGINT / total AS p FROM ({ma
 joint{suffix} AS (SELECT bn_id, parent, child, ps, cs, c::BIGINT / total AS p FROM ({joints}) JOIN bn{suffix} USING (nk) WHERE c > 0)"""
 
 
-CELLS = """
-cells AS (SELECT c_nationkey AS nk, c_mktsegment AS v0, p_type AS v1, o_orderpriority AS v2, o_orderstatus AS v3,
+CELLS = f"""
+cells AS (SELECT (c_nationkey + c_custkey // {GROUP} * {NATIONS})::BIGINT AS nk, c_mktsegment AS v0, p_type AS v1, o_orderpriority AS v2, o_orderstatus AS v3,
   CASE WHEN l_quantity < 17 THEN 'low' WHEN l_quantity < 34 THEN 'mid' ELSE 'high' END AS v4, l_linestatus AS v5, l_returnflag AS v6,
   count(*) AS n, count(*) FILTER (l_orderkey % 2 = 0) AS e
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),"""
@@ -76,15 +76,16 @@ ORACLES["bn_marginals"] = end(corpus(MARG)) + " " + unnest("bn_id, node", "(SELE
 ORACLES["bn_joint_tables"] = end(corpus(GRID, """
 f AS (SELECT *, greatest(0.0001, CASE WHEN p = 0 THEN 0.0001 ELSE p END) AS x FROM grid),
 s AS (SELECT bn_id, parent, child, list_sum(list(x ORDER BY ps_pos, state_pos)) AS t FROM f GROUP BY ALL)""")) + f" SELECT bn_id, parent, child, ps_pos, ps AS parent_state, state_pos, cs AS child_state, {r('x / t')} AS p FROM f JOIN s USING (bn_id, parent, child)"
-SINGLE = "('order priority', 'order status', 'line status')"
+SINGLE = f"(SELECT child FROM edges WHERE edge_pos < {VALID} GROUP BY child HAVING count(*) = 1)"
 ORACLES["bn_cpd_single"] = end(corpus(GRID, COND)) + " " + unnest("bn_id, child, ps AS combo", f"(SELECT * FROM cond WHERE child IN {SINGLE})")
 NB = f"""
-nb AS (SELECT a.bn_id, a.ps || '|' || b.ps AS combo, a.names, a.v AS va, b.v AS vb, list_transform(m.f, lambda x: greatest(0.001, x / list_sum(m.f))) AS pi
-  FROM cond a JOIN cond b ON a.bn_id = b.bn_id AND a.child = 'return flag' AND b.child = 'return flag' AND a.parent = 'quantity band' AND b.parent = 'line status' JOIN floored m ON m.bn_id = a.bn_id AND m.node = 'return flag'),
+nb AS (SELECT a.bn_id, a.child, a.ps || '|' || b.ps AS combo, a.names, a.v AS va, b.v AS vb, list_transform(m.f, lambda x: greatest(0.001, x / list_sum(m.f))) AS pi
+  FROM cond a JOIN edges ea ON ea.parent = a.parent AND ea.child = a.child JOIN cond b ON a.bn_id = b.bn_id AND a.child = b.child JOIN edges eb ON eb.parent = b.parent AND eb.child = b.child AND ea.edge_pos < eb.edge_pos
+  JOIN floored m ON m.bn_id = a.bn_id AND m.node = a.child),
 nbs AS (SELECT *, list_transform(pi, lambda x, i: greatest(0.001, greatest(0.001, va[i]) * greatest(0.001, vb[i]) / x)) AS s FROM nb),
 nbv AS (SELECT *, list_transform(s, lambda x: {r('x / list_sum(s)')}) AS v FROM nbs),
-nbr AS (SELECT bn_id, combo, names, {residue('v')} AS v FROM nbv),"""
-ORACLES["bn_cpd_naive_bayes"] = end(corpus(GRID, COND, MARG, NB)) + " " + unnest("bn_id, 'return flag' AS child, combo", "nbr")
+nbr AS (SELECT bn_id, child, combo, names, {residue('v')} AS v FROM nbv),"""
+ORACLES["bn_cpd_naive_bayes"] = end(corpus(GRID, COND, MARG, NB)) + " " + unnest("bn_id, child, combo", "nbr")
 MULTI = f"""
 three AS (SELECT bn_id, v1, v0, v4, sum(n)::BIGINT / any_value(total) AS p FROM cells JOIN bn USING (nk) GROUP BY ALL),
 leaf AS (SELECT bn.bn_id, a.state_pos AS ap, b.state_pos AS bp, a.state || '|' || b.state AS combo, c.state_pos, c.state, t.p
@@ -97,16 +98,16 @@ ORACLES["bn_cpd_exact"] = end(corpus(MULTI)) + " " + unnest("bn_id, 'quantity ba
 ORACLES["bn_multi_joint_tables"] = end(corpus(MULTI, """
 fl AS (SELECT *, greatest(0.0001, coalesce(p, 0.0001)) AS x FROM leaf),
 tot AS (SELECT bn_id, list_sum(list(x ORDER BY ap, bp, state_pos)) AS t FROM fl GROUP BY ALL)""")) + f" SELECT bn_id, 'quantity band' AS child, combo, state_pos, state, {r('x / t')} AS p FROM fl JOIN tot USING (bn_id)"
-ROOTS = "('market segment', 'part type')"
+ROOTS = f"(SELECT node FROM nodes WHERE node NOT IN (SELECT child FROM edges WHERE edge_pos < {VALID}))"
 ALL = f"""
 cpds AS (
   SELECT bn_id, node, 'prior' AS kind, '' AS combo, names, v FROM prior WHERE node IN {ROOTS}
   UNION ALL SELECT bn_id, child, 'matrix', ps, names, v FROM cond WHERE child IN {SINGLE}
   UNION ALL SELECT bn_id, 'quantity band', 'exact', combo, names, v FROM exact
-  UNION ALL SELECT bn_id, 'return flag', 'naive_bayes', combo, names, v FROM nbr),"""
+  UNION ALL SELECT bn_id, child, 'naive_bayes', combo, names, v FROM nbr WHERE child <> 'quantity band'),"""
 EVERY = corpus(GRID, COND, MARG, NB, MULTI, ALL)
 ORACLES["bn_cpd_all"] = end(EVERY) + " " + unnest("bn_id, node, kind, combo", "cpds")
-ORACLES["compact_record"] = end(EVERY) + f" SELECT replace(bn_id, 'bn_', 'compact_') AS new_id, bn_id AS source_id, node, combo, names[i] AS state, {r('v[i]', 2)} AS p FROM cpds, unnest(range(1, len(names) + 1)) AS u(i) WHERE node IN ('market segment', 'order priority')"
+ORACLES["compact_record"] = end(EVERY) + f" SELECT replace(bn_id, 'bn_', 'compact_') AS new_id, bn_id AS source_id, node, combo, names[i] AS state, {r('v[i]', 2)} AS p FROM cpds, unnest(range(1, len(names) + 1)) AS u(i)"
 ORACLES["bn_prior"] = end(corpus(MARG)) + " " + unnest("bn_id, node", f"(SELECT * FROM prior WHERE node IN {ROOTS})")
 ORACLES["bn_prior_uniform"] = end(corpus()) + f" SELECT bn_id, node, state_pos, state, {r('1.0::DOUBLE / count(*) OVER (PARTITION BY bn_id, node)')} AS p FROM bn, states WHERE node IN {ROOTS}"
 
@@ -118,7 +119,9 @@ pair AS (SELECT bn_id, parent, child, ps_pos, ps AS parent_state, state_pos, cs
 
 
 ORACLES["bn_pairwise_null"] = end(corpus(GRID, nullable(0.01, "NOT (child = 'line status' AND ps = 'P')"))) + " SELECT bn_id, parent, child, parent_state, state_pos, state, p FROM pair"
-ORACLES["bn_verify"] = end(corpus(GRID, nullable(0.2))) + f" SELECT bn_id, child AS node, printf('%s|%s=%s col sums to %.4f', child, parent, parent_state, t) AS issue FROM (SELECT bn_id, parent, child, parent_state, list_sum(list(coalesce(p, 0.0) ORDER BY state_pos)) AS t FROM pair WHERE child IN {SINGLE} GROUP BY ALL) WHERE abs(t - 1) > 0.01"
+ORACLES["bn_verify"] = end(corpus(GRID, COND, MARG, NB, MULTI, ALL, nullable(0.2))) + f""" SELECT bn_id, child AS node, printf('%s|%s=%s col sums to %.4f', child, parent, parent_state, t) AS issue
+  FROM (SELECT bn_id, parent, child, parent_state, list_sum(list(coalesce(p, 0.0) ORDER BY state_pos)) AS t FROM pair WHERE child IN {SINGLE} GROUP BY ALL) WHERE abs(t - 1) > 0.01
+  UNION ALL SELECT bn_id, node, printf('%s|%s %s sums to %.4f', node, combo, kind, list_sum(v)) FROM cpds WHERE abs(list_sum(v) - 1) > 0.01"""
 LABEL = "CASE WHEN p IS NULL THEN 'unknown' WHEN p >= 0.7 THEN 'strong' WHEN p >= 0.4 THEN 'moderate' WHEN p >= 0.1 THEN 'weak' ELSE 'rare' END"
 ORACLES["strength_label"] = end(corpus(GRID, nullable(0.001))) + f" SELECT bn_id, child, {LABEL} AS label, count(*) AS n FROM pair GROUP BY ALL"
 ORACLES["prompt_cpd_lines"] = end(corpus(GRID, nullable(0.001))) + f""" SELECT bn_id, child, parent, '[' || child || ' | ' || parent || ']' || chr(10) || coalesce(string_agg(
@@ -163,8 +166,7 @@ ORACLES["subgraph_induce"] = end(corpus(DAG, SETS, INDUCED, recursive=True)) + "
 ORACLES["subgraph_reroot"] = end(corpus(DAG, SETS, INDUCED, MARG, """
 mem AS (SELECT sub_id, bn_id, unnest(m) AS node FROM subs),
 cut AS (SELECT * FROM mem WHERE EXISTS (SELECT 1 FROM dag e WHERE e.bn_id = mem.bn_id AND e.child = mem.node) AND NOT EXISTS (SELECT 1 FROM ind i WHERE i.sub_id = mem.sub_id AND i.child = mem.node))""", recursive=True)) + " " + unnest("sub_id, node", "(SELECT sub_id, node, names, v FROM cut JOIN shared USING (bn_id, node))")
-ORACLES["subgraph_recompute"] = end(corpus(DAG, SETS, INDUCED, GRID, nullable(0.001), MARG, "kept AS (SELECT DISTINCT sub_id, i.bn_id, parent, child FROM ind i JOIN subs USING (sub_id) WHERE size <= 4)", recursive=True)) + f""" SELECT sub_id, k.parent, k.child, parent_state, state_pos, state, {r('p')} AS p FROM kept k JOIN pair USING (bn_id, parent, child) WHERE k.child <> 'order status'
-  UNION ALL SELECT sub_id, k.parent, k.child, s.state, i - 1, names[i], {r('v[i]')} FROM kept k JOIN shared m ON m.bn_id = k.bn_id AND m.node = k.child JOIN states s ON s.node = k.parent, unnest(range(1, len(names) + 1)) AS u(i) WHERE k.child = 'order status'"""
+ORACLES["subgraph_recompute"] = end(corpus(DAG, SETS, INDUCED, GRID, nullable(0.001), "kept AS (SELECT DISTINCT sub_id, bn_id, parent, child FROM ind)", recursive=True)) + f" SELECT sub_id, k.parent, k.child, parent_state, state_pos, state, {r('p')} AS p FROM kept k JOIN pair USING (bn_id, parent, child)"
 ORACLES["subgraph_sample_cap"] = end(corpus(DAG, SETS, """
 picked AS (SELECT bn_id, sub_id, md5(sub_id || ':42') AS h FROM subs QUALIFY row_number() OVER (PARTITION BY bn_id ORDER BY md5(sub_id || ':42'), sub_id) <= 10)""", recursive=True)) + """ SELECT bn_id, sub_id FROM picked WHERE bn_id = 'bn_00001'
   UNION ALL SELECT bn_id, sub_id FROM (SELECT *, row_number() OVER (ORDER BY h, sub_id) AS rn FROM picked WHERE bn_id <> 'bn_00001') WHERE rn <= 100 - (SELECT count(*) FROM picked WHERE bn_id = 'bn_00001')"""
@@ -174,7 +176,7 @@ marg AS (SELECT printf('wiki_%05d', o_custkey) AS source_id, o_custkey AS pos, c
 ORACLES["final_merge"] = RECORDS + " SELECT c.id, c.source_id, title, n_orders, CASE WHEN c.id % 3 = 0 THEN c_name ELSE '' END AS generated_text FROM compact c JOIN marg USING (source_id) JOIN customer ON c_custkey = c.id"
 ORACLES["merge_skipped"] = RECORDS + " SELECT id, source_id FROM compact WHERE source_id NOT IN (SELECT source_id FROM marg)"
 ORACLES["merge_positional"] = RECORDS + " SELECT id, c.source_id, title, n_orders FROM compact c JOIN marg m ON c.source_id = m.source_id WHERE c.source_id <> '' UNION ALL SELECT id, m.source_id, title, n_orders FROM compact c JOIN marg m ON c.pos = m.pos WHERE c.source_id = ''"
-ORACLES["upsert"] = "WITH o AS (SELECT o_orderkey AS id, min(o_orderstatus) AS status FROM orders GROUP BY 1) SELECT id, status FROM o WHERE id % 2 = 0 AND id % 3 <> 0 UNION ALL SELECT id, lower(status) FROM o WHERE id % 3 = 0"
+ORACLES["upsert"] = "SELECT o_orderkey AS id, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) THEN lower(min(o_orderstatus)) ELSE min(o_orderstatus) END AS status FROM orders GROUP BY o_orderkey"
 ORACLES["resume_anti"] = "SELECT o_orderkey AS id, o_orderpriority FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)"
 ORACLES["last_event"] = "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
 ORACLES["domain_quota"] = "SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10"
@@ -207,7 +209,7 @@ edge_m AS (SELECT sg_id, n_gt_edges, n_pred_edges, n_correct_edges, n_pred_edges
 EDGE_M = edge_metrics().replace("count(g.parent)", "count(g.o)").replace("count(q.parent)", "count(q.o)").replace("g.parent IS NOT NULL AND q.parent IS NOT NULL", "g.o IS NOT NULL AND q.o IS NOT NULL")
 ORACLES["eval_nodes"] = end(corpus(node_metrics())) + " SELECT * FROM node_m"
 ORACLES["eval_edges"] = end(corpus(DAG, EDGE_M, recursive=True)) + " SELECT * FROM edge_m"
-ORACLES["eval_by_size"] = end(corpus(node_metrics())) + " SELECT n_pred, count(*) AS n, string_agg(printf('%.4f', node_f1), ',' ORDER BY node_f1) AS values FROM node_m GROUP BY n_pred"
+ORACLES["eval_by_size"] = end(corpus(node_metrics())) + " SELECT n_pred, node_f1 AS value, count(*) AS n FROM node_m GROUP BY ALL"
 AGG = ", ".join(f"{r(f'avg({m})', 4)} AS {m}_mean, {r(f'stddev_pop({m})', 4)} AS {m}_std" for m in ("node_f1", "node_recall", "edge_f1", "pct_correct_edges", "n_extra"))
 ORACLES["eval_aggregate"] = end(corpus(DAG, node_metrics(), EDGE_M, recursive=True)) + f" SELECT count(*) AS total, {AGG} FROM node_m FULL JOIN edge_m USING (sg_id)"
 _F1, _P, _C = prf("m", "g", "q")
@@ -222,7 +224,8 @@ def divergence(p: str, q: str, name: str) -> str:
     """KL of the columns of two tables of cells, summed in state order, the mean over parent states."""
     return f"""
 {name}_c AS (SELECT a.bn_id, a.parent, a.child, a.ps_pos, list(coalesce(a.p, 0.0) ORDER BY a.state_pos) AS x, list(coalesce(b.p, 0.0) ORDER BY a.state_pos) AS y FROM {p} a JOIN {q} b USING (bn_id, parent, child, ps_pos, state_pos) GROUP BY ALL),
-{name}_n AS (SELECT *, CASE WHEN list_sum(x) > 0 THEN list_transform(x, lambda v: v / list_sum(x)) ELSE list_transform(x, lambda v: 1.0::DOUBLE / len(x)) END AS px, list_transform(y, lambda v: (greatest(0.0, v) + 1e-6) / (list_sum(y) + 1e-6 * len(y))) AS qy FROM {name}_c),
+{name}_n AS (SELECT *, CASE WHEN list_sum(x) > 0 THEN list_transform(x, lambda v: v / list_sum(x)) ELSE list_transform(x, lambda v: 1.0::DOUBLE / len(x)) END AS px, list_transform(z, lambda v: (greatest(0.0, v) + 1e-6) / (list_sum(list_transform(z, lambda w: greatest(0.0, w) + 1e-6)))) AS qy
+  FROM (SELECT *, CASE WHEN list_sum(y) > 0 THEN list_transform(y, lambda v: v / list_sum(y)) ELSE list_transform(y, lambda v: 1.0::DOUBLE / len(y)) END AS z FROM {name}_c)),
 {name} AS (SELECT bn_id, parent, child, {r(f'sum(k) / count(*)', 6)} AS kl FROM (SELECT *, list_sum(list_transform(px, lambda v, i: CASE WHEN v > 0 THEN v * ln(v / qy[i]) ELSE 0.0 END)) AS k FROM {name}_n) GROUP BY ALL),"""
 
 
@@ -242,3 +245,83 @@ ORACLES["token_chunks"] = """WITH RECURSIVE e AS (SELECT user_id, event_id, cost
 f AS (SELECT user_id, event_id, rn, 0 AS chunk, cost::BIGINT AS used FROM e WHERE rn = 1
   UNION ALL SELECT e.user_id, e.event_id, e.rn, CASE WHEN used > 0 AND used + cost > 5000 THEN chunk + 1 ELSE chunk END, CASE WHEN used > 0 AND used + cost > 5000 THEN cost ELSE used + cost END FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)
 SELECT user_id, event_id, chunk FROM f"""
+
+# Records
+TITLES = f"""
+titles AS (SELECT bn_id, nk, printf('wiki_%05d', nk) AS source_id, n_name AS title, r_name AS domain, CASE WHEN nk % 4 = 0 THEN '' ELSE 'Text of ' || n_name END AS generated_text
+  FROM bn JOIN nation ON n_nationkey = nk % {NATIONS} JOIN region ON n_regionkey = r_regionkey),"""
+VALIDATED = """
+validated AS (SELECT bn_id, node, names, CASE WHEN abs(list_sum(f) - 1) > 0.02 THEN v ELSE f END AS w FROM shared),"""
+COUNTS = """
+counts AS (SELECT bn_id, 7 AS n_nodes, (SELECT count(DISTINCT (parent, child)) FROM dag d WHERE d.bn_id = bn.bn_id)::INT AS n_edges FROM bn),"""
+PLACES = """
+places AS (SELECT bn_id, child, parent, row_number() OVER (PARTITION BY bn_id, child ORDER BY edge_pos) - 1 AS parent_pos FROM dag),"""
+ORACLES["final_record"] = end(corpus(DAG, LEVELS, GRID, nullable(0.01), MARG, TITLES, VALIDATED, COUNTS, PLACES, recursive=True)) + f"""
+SELECT bn_id, source_id, title, domain, n_nodes, n_edges, node_pos, node, level, NULL::INT AS parent_pos, NULL AS parent, NULL::INT AS ps_pos, NULL AS parent_state, i - 1 AS state_pos, names[i] AS state, {r('w[i]', 4)} AS p
+FROM titles JOIN counts USING (bn_id) JOIN lv USING (bn_id) JOIN validated USING (bn_id, node), unnest(range(1, len(names) + 1)) AS u(i)
+WHERE NOT EXISTS (SELECT 1 FROM dag d WHERE d.bn_id = lv.bn_id AND d.child = lv.node)
+UNION ALL SELECT bn_id, source_id, title, domain, n_nodes, n_edges, node_pos, node, level, parent_pos, parent, ps_pos, parent_state, state_pos, state, p
+FROM titles JOIN counts USING (bn_id) JOIN lv USING (bn_id) JOIN places ON places.bn_id = lv.bn_id AND places.child = lv.node JOIN pair ON pair.bn_id = lv.bn_id AND pair.parent = places.parent AND pair.child = places.child"""
+ORACLES["final_record"] = ORACLES["final_record"].replace("level, parent_pos, parent, ps_pos", "level, parent_pos, pair.parent, ps_pos").replace("SELECT bn_id, source_id, title, domain, n_nodes, n_edges, node_pos, node, level, parent_pos", "SELECT titles.bn_id, source_id, title, domain, n_nodes, n_edges, node_pos, node, level, parent_pos")
+ORACLES["subgraph_record"] = end(corpus(DAG, SETS, INDUCED, GRID, nullable(0.001), MARG, TITLES, VALIDATED, """
+named AS (SELECT *, bn_id || '_sub_' || printf('%03d', row_number() OVER (PARTITION BY bn_id ORDER BY size, m)) AS id FROM subs),
+swalk AS (SELECT sub_id, unnest(m) AS node, 0 AS d FROM subs UNION SELECT w.sub_id, e.child, d + 1 FROM swalk w JOIN ind e ON e.sub_id = w.sub_id AND e.parent = w.node),
+deep AS (SELECT sub_id, max(d) AS deepest FROM swalk GROUP BY sub_id),
+mem AS (SELECT sub_id, bn_id, unnest(m) AS node FROM subs),
+heads AS (SELECT * FROM mem WHERE NOT EXISTS (SELECT 1 FROM ind i WHERE i.sub_id = mem.sub_id AND i.child = mem.node)),
+hp AS (SELECT sub_id, CASE WHEN EXISTS (SELECT 1 FROM dag e WHERE e.bn_id = h.bn_id AND e.child = h.node) THEN list_transform(v2.w, lambda x: x) ELSE NULL END AS cutv, v2.w, h.bn_id, h.node FROM heads h JOIN validated v2 USING (bn_id, node)),
+hv AS (SELECT sub_id, len(w) AS n, CASE WHEN cutv IS NULL THEN list_transform(w, lambda x: floor(x * 1e4 + 0.5) / 1e4) ELSE list_transform(list_transform(w, lambda x: greatest(0.001, x)), lambda x, i: x) END AS a, cutv IS NOT NULL AS cut FROM hp),
+hs AS (SELECT sub_id, n, CASE WHEN cut THEN list_transform(a, lambda x: floor(x / list_sum(a) * 1e6 + 0.5) / 1e6) ELSE a END AS a FROM hv),
+hm AS (SELECT sub_id, sum(n)::BIGINT AS prior_rows, sum(list_sum(list_transform(a, lambda x: floor(x * 1e6 + 0.5)::BIGINT)))::BIGINT AS micro FROM hs GROUP BY sub_id),
+cm AS (SELECT sub_id, count(*) AS cells, coalesce(sum(floor(p * 1e6 + 0.5)::BIGINT), 0)::BIGINT AS micro FROM (SELECT DISTINCT sub_id, bn_id, parent, child FROM ind) k JOIN pair USING (bn_id, parent, child) GROUP BY sub_id),
+em AS (SELECT sub_id, count(DISTINCT (parent, child))::INT AS n_edges FROM ind GROUP BY sub_id)""", recursive=True)) + """
+SELECT id, bn_id AS parent_id, title, domain, generated_text, size::INT AS n_nodes, coalesce(n_edges, 0) AS n_edges, deepest, prior_rows, coalesce(cells, 0) AS cells, (hm.micro + coalesce(cm.micro, 0))::BIGINT AS micro
+FROM named JOIN titles USING (bn_id) JOIN deep USING (sub_id) JOIN hm USING (sub_id) LEFT JOIN cm USING (sub_id) LEFT JOIN em USING (sub_id)"""
+ORACLES["corpus_metadata"] = end(corpus(TITLES)) + " SELECT count(*) AS total, count(*) FILTER (generated_text <> '') AS generated_total, 'star schema' AS source, 2 AS cpd_dp FROM titles"
+ORACLES["missing_texts"] = end(corpus(TITLES)) + " SELECT bn_id, source_id, generated_text <> '' AS done FROM titles"
+ORACLES["final_with_marginals"] = end(corpus()) + """ SELECT bn.bn_id, CASE WHEN nk % 3 <> 0 THEN count(DISTINCT node) ELSE 0 END::INT AS n_nodes, CASE WHEN nk % 3 <> 0 THEN count(m.state) ELSE 0 END::INT AS n_states
+FROM bn JOIN marginal m USING (bn_id) GROUP BY bn.bn_id, nk"""
+ORACLES["strict_status"] = end(corpus(GRID, nullable(0.2))) + f""", bad AS (SELECT DISTINCT bn_id FROM (SELECT bn_id, parent, child, parent_state, list_sum(list(coalesce(p, 0.0) ORDER BY state_pos)) AS t FROM pair WHERE child IN {SINGLE} GROUP BY ALL) WHERE abs(t - 1) > 0.01),
+told AS (SELECT CASE WHEN bad.bn_id IS NULL THEN 'ok' ELSE 'warn' END AS status FROM bn LEFT JOIN bad USING (bn_id))
+SELECT status, count(*) AS n FROM told GROUP BY status UNION ALL SELECT 'kept by strict', count(*) FILTER (status = 'ok') FROM told"""
+ORACLES["subgraph_options"] = end(corpus(DAG, """
+und AS (SELECT bn_id, parent AS a, child AS b FROM dag UNION SELECT bn_id, child, parent FROM dag),
+need AS (SELECT bn_id, ['line status', 'return flag'] AS m FROM bn WHERE nk % 2 = 1 UNION SELECT s.bn_id, list_sort(list_append(s.m, u.b)) FROM need s JOIN und u ON u.bn_id = s.bn_id AND list_contains(s.m, u.a) AND NOT list_contains(s.m, u.b) AND len(s.m) < 5),
+allsets AS (SELECT bn_id, [node] AS m FROM bn, nodes WHERE nk % 5 = 0 UNION SELECT s.bn_id, list_sort(list_append(s.m, u.b)) FROM allsets s JOIN und u ON u.bn_id = s.bn_id AND list_contains(s.m, u.a) AND NOT list_contains(s.m, u.b))""", recursive=True)) + """
+SELECT bn_id, array_to_string(m, ',') AS members, len(m)::INT AS size, 'grown' AS kind FROM need
+UNION ALL SELECT bn_id, 'market segment,return flag', 2, 'alone' FROM bn UNION ALL SELECT bn_id, array_to_string(m, ','), len(m)::INT, 'must' FROM allsets WHERE len(m) >= 7"""
+ORACLES["row_slice"] = "WITH p AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders), m AS (SELECT max(pos) // 2 AS m FROM p) SELECT id, pos FROM p, m WHERE pos >= m AND pos < m + 100"
+ORACLES["title_collection"] = r"""WITH d AS (SELECT source, doc_id, array_to_string(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:3], ' ') AS title FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+q AS (SELECT source AS domain, dense_rank() OVER (ORDER BY source) AS dp, doc_id % 5 AS sp, doc_id AS rp, title FROM d WHERE NOT contains(title, ':')),
+f AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY title ORDER BY dp, sp, rp, domain) = 1),
+e AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY domain ORDER BY sp, rp, title) <= 60)
+SELECT domain, title, row_number() OVER (PARTITION BY domain ORDER BY md5(title || ':42'), title) AS rank FROM e QUALIFY rank <= 20"""
+
+# The evaluation run
+RUN = f"""
+kinds AS (SELECT bn_id AS sg_id, nk, CASE WHEN (nk + 1) % 11 = 2 THEN 'no_generated_text' WHEN nk % 11 = 2 THEN 'pass1_failed' WHEN nk % 11 = 3 THEN 'no_nodes_extracted' WHEN nk % 11 = 4 THEN 'node_judge_failed' WHEN nk % 11 = 5 THEN 'no_node_matches' END AS error FROM bn),
+seen AS (SELECT bn_id, node, list_sort(list(DISTINCT lower(state))) AS s FROM marginal_e GROUP BY ALL),
+per AS (SELECT bn.bn_id AS sg_id, n.node, node_pos, (SELECT count(*) FROM states s WHERE s.node = n.node) AS g, coalesce(s, []) AS s FROM bn JOIN nodes n ON n.node <> 'order status' LEFT JOIN seen ON seen.bn_id = bn.bn_id AND seen.node = n.node),
+pq AS (SELECT sg_id, g, len(s) + 1 + CASE WHEN node = 'part type' THEN 1 + CASE WHEN list_contains(s, 'economy') THEN 0 ELSE 1 END ELSE 0 END AS q,
+  CASE WHEN node_pos % 2 = 1 THEN greatest(len(s) - 1, 0) ELSE len(s) + 1 + CASE WHEN node = 'part type' AND NOT list_contains(s, 'economy') THEN 1 ELSE 0 END END AS m FROM per),
+st AS (SELECT sg_id, m, g, {prf('m', 'g', 'q')[0]} AS f1, {prf('m', 'g', 'q')[1]} AS p, {prf('m', 'g', 'q')[2]} AS c FROM pq),
+state_m AS (SELECT sg_id, {r('sum(round(f1 * 10000)::BIGINT) / 10000.0::DOUBLE / count(*)', 4)} AS state_f1, {r('sum(round(p * 10000)::BIGINT) / 10000.0::DOUBLE / count(*)', 4)} AS state_precision,
+  {r('sum(round(c * 10000)::BIGINT) / 10000.0::DOUBLE / count(*)', 4)} AS state_recall, {r('sum(m) * 100.0::DOUBLE / sum(g)', 1)} AS pct_states_matched FROM st GROUP BY sg_id),
+kl_m AS (SELECT f.bn_id AS sg_id, {r('sum(floor(f.kl * 1e6 + 0.5)) / 1e6 / count(*)')} AS cpd_kl, {r('sum(floor((f.kl + b.kl) / 2 * 1e6 + 0.5)) / 1e6 / count(*)')} AS cpd_kl_symmetric, count(*) AS n_cpd_evaluated
+  FROM fwd f JOIN bwd b USING (bn_id, parent, child) JOIN gt ON gt.sg_id = f.bn_id AND gt.parent = f.parent AND gt.child = f.child JOIN pe ON pe.sg_id = gt.sg_id AND pe.parent = gt.parent AND pe.child = gt.child GROUP BY 1),
+total_states AS (SELECT count(*)::BIGINT AS n_total_states FROM states),
+keep AS (SELECT sg_id, error IS NULL OR error = 'no_node_matches' AS scored, error IS NULL AS done, error FROM kinds),
+zeroes AS (SELECT sg_id, n_gt, n_pred, CASE WHEN done THEN n_matched ELSE 0 END AS n_matched, CASE WHEN done THEN n_extra ELSE 0 END AS n_extra, CASE WHEN done THEN n_pred_eff ELSE n_pred END AS n_pred_eff FROM nm JOIN keep USING (sg_id) WHERE scored),
+node_r AS (SELECT sg_id, n_gt, n_pred, n_matched, n_extra, {prf('n_matched', 'n_gt', 'n_pred_eff')[0]} AS node_f1, {prf('n_matched', 'n_gt', 'n_pred_eff')[1]} AS node_precision, {prf('n_matched', 'n_gt', 'n_pred_eff')[2]} AS node_recall, {r('n_matched * 100.0::DOUBLE / n_gt', 1)} AS pct_nodes_matched FROM zeroes),
+final AS (SELECT k.sg_id, title, domain, 7::BIGINT AS n_nodes, coalesce(ge.n, 0)::BIGINT AS n_edges, n_total_states, k.error, n_gt AS n_gt_nodes, n_pred AS n_pred_nodes, n_matched AS n_matched_nodes, n_extra AS n_extra_nodes, node_f1, node_precision, node_recall, pct_nodes_matched,
+  CASE WHEN done THEN s.state_f1 END AS state_f1, CASE WHEN done THEN s.state_precision END AS state_precision, CASE WHEN done THEN s.state_recall END AS state_recall, CASE WHEN done THEN s.pct_states_matched END AS pct_states_matched,
+  CASE WHEN done THEN e.n_gt_edges END AS n_gt_edges, CASE WHEN done THEN e.n_pred_edges END AS n_pred_edges, CASE WHEN done THEN e.n_correct_edges END AS n_correct_edges, CASE WHEN done THEN e.n_spurious_edges END AS n_spurious_edges,
+  CASE WHEN done THEN e.edge_f1 END AS edge_f1, CASE WHEN done THEN e.edge_precision END AS edge_precision, CASE WHEN done THEN e.edge_recall END AS edge_recall, CASE WHEN done THEN e.pct_correct_edges END AS pct_correct_edges, CASE WHEN done THEN e.pct_spurious_edges END AS pct_spurious_edges,
+  CASE WHEN done THEN cpd_kl END AS cpd_kl, CASE WHEN done THEN cpd_kl_symmetric END AS cpd_kl_symmetric, CASE WHEN done THEN n_cpd_evaluated END AS n_cpd_evaluated
+  FROM keep k JOIN titles t ON t.bn_id = k.sg_id CROSS JOIN total_states LEFT JOIN node_r USING (sg_id) LEFT JOIN state_m s USING (sg_id) LEFT JOIN edge_m e USING (sg_id) LEFT JOIN kl_m USING (sg_id)
+  LEFT JOIN (SELECT sg_id, count(*) AS n FROM gt GROUP BY sg_id) ge USING (sg_id)),"""
+RUNS = TWO.replace("WITH", "WITH RECURSIVE", 1) + DAG + TITLES + node_metrics() + EDGE_M + RUN
+ORACLES["eval_run"] = end(RUNS) + f" SELECT * REPLACE ({r('cpd_kl', 4)} AS cpd_kl, {r('cpd_kl_symmetric', 4)} AS cpd_kl_symmetric) FROM final"
+ORACLES["eval_run_variant"] = end(RUNS) + f" SELECT sg_id, error, node_f1, edge_f1, n_cpd_evaluated, {r('cpd_kl', 4)} AS cpd_kl FROM final"
+PLOTTED = ["node_f1", "node_recall", "pct_nodes_matched", "state_f1", "state_recall", "pct_states_matched", "edge_f1", "edge_recall", "pct_correct_edges", "pct_spurious_edges", "n_extra_nodes"]
+ORACLES["eval_plot_data"] = end(RUNS) + " " + " UNION ALL ".join(f"SELECT '{m}' AS metric, n_nodes, {r(m, 4)} AS value, count(*) AS n FROM final WHERE {m} IS NOT NULL GROUP BY ALL" for m in PLOTTED)
