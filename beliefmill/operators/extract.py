@@ -76,36 +76,102 @@ def edge_chunks(edges: DataFrame, size: int = 10) -> DataFrame:
     return edges.withColumn("chunk", F.floor(order / size))
 
 
-def extract(articles: DataFrame, ask: Ask, model: str, chunk_size: int = 10) -> SimpleNamespace:
-    """articles (bn_id, text) to validated nodes, node_state, edges, marginal, joint and multi_joint tables.
+def _asker(ask: Ask, model: str) -> Callable[[str, DataFrame], DataFrame]:
+    def asked(step: str, prompts: DataFrame) -> DataFrame:
+        rows = prompts.select("bn_id", F.lit(model).alias("model"), P.system("extract", step).alias("system"), "user")
+        return written(ask(rows), f"replies-{step}")
+
+    return asked
+
 
-    Every pass is written before the next asks, so no plan asks twice. Networks that a pass has nothing
-    for are in none of the later tables.
+def family_chunks(families: DataFrame, node_state: DataFrame, targets: DataFrame | None = None, budget: int = 5000, leaf: int = 25) -> DataFrame:
+    """(bn_id, chunk, families, n_combos): families of two or three parents, in the children's order, in chunks of at most `budget` reply tokens.
+
+    A family costs `leaf` tokens a combination of all its states; families is an array of structs
+    (child, child_states, parents, parent_states). targets (bn_id, child): only these.
+    """
+    lists = prob.state_lists(node_state)
+    some = families.where(F.size("parents").between(2, 3))
+    if targets is not None:
+        some = some.join(targets.select("bn_id", "child").distinct(), ["bn_id", "child"], "left_semi")
+    each = some.select("bn_id", "child", "parents", F.posexplode("parents").alias("pos", "node")).join(lists, ["bn_id", "node"])
+    each = each.groupBy("bn_id", "child", "parents").agg(prob.ordered("pos", "states").alias("parent_states"))
+    each = each.join(lists.select("bn_id", F.col("node").alias("child"), F.col("states").alias("child_states")), ["bn_id", "child"])
+    combos = N.combination_count(F.transform("parent_states", lambda s: F.size(s).cast("long")))
+    each = each.withColumns({"n_combos": combos, "cost": combos * F.size("child_states") * leaf})
+    one = each.groupBy("bn_id").agg(F.array_sort(F.collect_list(F.struct("child", "child_states", "parents", "parent_states", "n_combos", "cost"))).alias("f"))
+    rows = one.select("bn_id", F.posexplode(F.arrays_zip(F.col("f"), N.greedy_chunks(F.col("f.cost"), budget).alias("chunk"))).alias("pos", "x"))
+    met = rows.groupBy("bn_id", F.col("x.chunk").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("pos", "x.f"))).alias("g"))
+    shown = F.transform("g", lambda x: F.struct(*(x["f"][c].alias(c) for c in ("child", "child_states", "parents", "parent_states"))))
+    return met.select("bn_id", "chunk", shown.alias("families"), F.aggregate("g", F.lit(0).cast("long"), lambda s, x: s + x["f"]["n_combos"]).alias("n_combos"))
+
+
+def patch(articles: DataFrame, edges: DataFrame, node_state: DataFrame, ask: Ask, model: str, targets: DataFrame | None = None, budget: int = 5000) -> DataFrame:
+    """(bn_id, child, combo, child_state, p): the validated joints of families of two or three parents, asked for in chunks.
+
+    A network without such families, or whose replies give nothing, has no rows; it isn't an error.
     """
+    families = prob.parent_map(edges)
+    chunks = family_chunks(families, node_state, targets, budget)
+    prompts = chunks.join(articles.select("bn_id", "text"), "bn_id").select("bn_id", P.multi_joints_prompt(F.col("text"), F.col("families"), F.col("n_combos")).alias("user"))
+    found = parse_multi_joints(_asker(ask, model)("multi_joints", prompts))
+    given = families.join(found.select("bn_id", "child").distinct(), ["bn_id", "child"], "left_semi")
+    return prob.validate_multi_joints(found, given, node_state).select("bn_id", "child", "combo", F.col("state").alias("child_state"), "p")
 
-    def asked(step: str, prompts: DataFrame) -> DataFrame:
-        return written(ask(prompts.select("bn_id", F.lit(model).alias("model"), P.system("extract", step).alias("system"), "user")), f"replies-{step}")
-
-    nodes, states = parse_nodes(asked("nodes", articles.select("bn_id", P.nodes_prompt(F.col("text")).alias("user"))))
-    listed = prob.state_lists(states).join(nodes, ["bn_id", "node"]).groupBy("bn_id").agg(F.array_sort(F.collect_list(F.struct("node_pos", F.col("node").alias("name"), "states"))).alias("n"))
-    listed = articles.join(listed.select("bn_id", F.transform("n", lambda x: F.struct(x["name"].alias("name"), x["states"].alias("states"))).alias("nodes")), "bn_id")
-    edges = graph.validate_dag(parse_edges(asked("edges", listed.select("bn_id", P.edges_prompt(F.col("text"), F.col("nodes")).alias("user")))), nodes, keep_duplicates=False)
-    edges = written(edges, "edges")
-    alive = listed.join(edges.select("bn_id").distinct(), "bn_id", "left_semi")
-    marginal = parse_marginals(asked("marginals", alive.select("bn_id", P.marginals_prompt(F.col("text"), F.col("nodes")).alias("user"))))
-    marginal = prob.validate_marginals(marginal, states).select("bn_id", "node", "state", "p")
+
+def extract(articles: DataFrame, ask: Ask, model: str, chunk_size: int = 10, multi_joints: bool = True) -> SimpleNamespace:
+    """articles (bn_id, text) to validated nodes, node_state, edges, marginal, joint and multi_joint tables, and outcome.
+
+    Every pass is written before the next asks, so no plan asks twice. A network for which nodes, edges,
+    marginals or joints give nothing ends there and is in none of the tables; outcome (bn_id, status)
+    says which pass failed, or ok. Multi-parent joints are a further pass, whose failure costs nothing else.
+    """
+    asked = _asker(ask, model)
+    having = lambda df: df.select("bn_id").distinct()
+
+    nodes, states = map(lambda df: written(df, "nodes"), parse_nodes(asked("nodes", articles.select("bn_id", P.nodes_prompt(F.col("text")).alias("user")))))
     lists = prob.state_lists(states)
+    listed = lists.join(nodes, ["bn_id", "node"]).groupBy("bn_id").agg(F.array_sort(F.collect_list(F.struct("node_pos", F.col("node").alias("name"), "states"))).alias("n"))
+    shown = F.transform("n", lambda x: F.struct(x["name"].alias("name"), x["states"].alias("states")))
+    listed = articles.join(listed.select("bn_id", shown.alias("nodes")), "bn_id")
+    edges = parse_edges(asked("edges", listed.select("bn_id", P.edges_prompt(F.col("text"), F.col("nodes")).alias("user"))))
+    edges = written(graph.validate_dag(edges, nodes, keep_duplicates=False), "edges")
+
+    alive = listed.join(having(edges), "bn_id", "left_semi")
+    marginal = parse_marginals(asked("marginals", alive.select("bn_id", P.marginals_prompt(F.col("text"), F.col("nodes")).alias("user"))))
+    marginal = written(prob.validate_marginals(marginal, states).select("bn_id", "node", "state", "p"), "marginals")
+
+    alive = alive.join(having(marginal), "bn_id", "left_semi")
     of = lambda end: lists.select("bn_id", F.col("node").alias(end), F.col("states").alias(f"{end}_states"))
     grids = edge_chunks(edges, chunk_size).join(of("parent"), ["bn_id", "parent"]).join(of("child"), ["bn_id", "child"])
     grids = grids.groupBy("bn_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("edge_pos", "parent", "child", "parent_states", "child_states"))).alias("g"))
     joint = parse_joints(asked("joints", grids.join(alive, "bn_id").select("bn_id", P.joints_prompt(F.col("text"), F.col("g")).alias("user"))))
-    joint = prob.validate_joints(joint, edges.join(joint.select("bn_id", "parent", "child").distinct(), ["bn_id", "parent", "child"], "left_semi"), states).select("bn_id", "parent", "child", "parent_state", "child_state", "p")
-    families = prob.parent_map(edges).where(F.size("parents").between(2, 3))
-    sized = families.select("bn_id", "child", "parents", F.explode("parents").alias("node")).join(lists, ["bn_id", "node"]).groupBy("bn_id", "child", "parents").agg(F.collect_list(F.size("states").cast("long")).alias("sizes"))
-    sized = sized.groupBy("bn_id").agg(F.collect_list(F.struct("child", "parents")).alias("f"), F.sum(N.combination_count(F.col("sizes"))).alias("n_combos"))
-    multi = parse_multi_joints(asked("multi_joints", sized.join(alive, "bn_id").select("bn_id", P.multi_joints_prompt(F.col("text"), F.col("f"), F.col("n_combos")).alias("user"))))
-    multi = prob.validate_multi_joints(multi, families.join(multi.select("bn_id", "child").distinct(), ["bn_id", "child"], "left_semi"), states).select("bn_id", "child", "combo", F.col("state").alias("child_state"), "p")
-    return SimpleNamespace(nodes=nodes, node_state=states, edges=edges, marginal=marginal, joint=joint, multi_joint=multi)
+    told = edges.join(joint.select("bn_id", "parent", "child").distinct(), ["bn_id", "parent", "child"], "left_semi")
+    joint = written(prob.validate_joints(joint, told, states).select("bn_id", "parent", "child", "parent_state", "child_state", "p"), "joints")
+
+    done = having(joint)
+    flags = {"nodes": having(nodes), "edges": having(edges), "marginals": having(marginal), "joints": done}
+    outcome, status = articles.select("bn_id"), F.lit("ok")
+    for step, reached in flags.items():
+        outcome = outcome.join(reached.withColumn(step, F.lit(True)), "bn_id", "left")
+    for step in reversed(flags):
+        status = F.when(F.col(step).isNull(), f"{step} failed").otherwise(status)
+    keep = lambda df: df.join(done, "bn_id", "left_semi")
+    nodes, states, edges, marginal = map(keep, (nodes, states, edges, marginal))
+    multi = patch(articles, edges, states, ask, model) if multi_joints else None
+    return SimpleNamespace(nodes=nodes, node_state=states, edges=edges, marginal=marginal, joint=joint, multi_joint=multi, outcome=outcome.select("bn_id", status.alias("status")))
+
+
+def verbalize(prompts: DataFrame, wanted: DataFrame, ask: Ask, model: str) -> DataFrame:
+    """(bn_id, generated_text, missing) of prompts (bn_id, user): the reply, or '' where there is none, and the names it lacks.
+
+    wanted (bn_id, nodes): an array of structs (node, states) that a text should name; what it lacks is
+    told, not mended.
+    """
+    rows = prompts.select("bn_id", F.lit(model).alias("model"), P.system("verbalize", "text").alias("system"), "user")
+    told = written(ask(rows).select("bn_id", F.coalesce("raw", F.lit("")).alias("generated_text")), "verbalized")
+    met = told.join(wanted, "bn_id", "left")
+    return met.select("bn_id", "generated_text", T.missing_from(F.col("generated_text"), F.col("nodes")).alias("missing"))
 
 
 def verbalization_prompts(nodes: DataFrame, node_state: DataFrame, edges: DataFrame, priors: DataFrame, cpd: DataFrame, titles: DataFrame) -> DataFrame:
@@ -130,6 +196,17 @@ def verbalization_prompts(nodes: DataFrame, node_state: DataFrame, edges: DataFr
                                           part("arrows", "  (no edges — all nodes are roots)"), F.lit(""), F.lit("CONDITIONAL PROBABILITY TABLES:"), part("sections")).alias("user"))
 
 
+#: The domains of the article source and the searches that each begins with.
+SEEDS = {
+    "economics": ["Economic crises", "Inflation", "Unemployment", "Financial crises", "Income inequality"],
+    "environment": ["Effects of climate change", "Deforestation", "Natural disasters", "Air pollution", "Water scarcity"],
+    "geopolitics": ["Wars by cause", "Economic sanctions", "Political crises", "Refugee crises", "Revolutions"],
+    "technology": ["Effects of technology on society", "Automation", "Artificial intelligence", "Social media", "Cybersecurity"],
+    "society": ["Poverty", "Public health", "Social inequality", "Crime", "Education"],
+}
+
+
 def domains() -> Column:
-    """The five domains of the article source."""
-    return F.array(*map(F.lit, ("economics", "environment", "geopolitics", "technology", "society")))
+    """An array of (domain, domain_pos, seed_pos, query): the searches of the article source."""
+    rows = [(d, i, j, q) for i, (d, qs) in enumerate(SEEDS.items()) for j, q in enumerate(qs)]
+    return F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(i).alias("domain_pos"), F.lit(j).alias("seed_pos"), F.lit(q).alias("query")) for d, i, j, q in rows))

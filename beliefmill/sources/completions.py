@@ -6,6 +6,8 @@ tasks, and its replies are written to such a table, so that no plan asks twice.
 
 from __future__ import annotations
 
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -19,15 +21,32 @@ SCHEMA = "prompt_hash string, model string, status string, finish_reason string,
 
 @dataclass(frozen=True)
 class Retry:
-    """Attempts, and seconds to wait after a reply that isn't JSON, a rate limit, or another failure."""
+    """Attempts, and seconds to wait after a reply that isn't JSON, a rate limit, or another failure; `growth` times longer each time."""
 
     attempts: int = 3
     bad_reply: float = 1.0
     rate_limit: float = 60.0
     other: float = 2.0
+    growth: float = 1.0
 
-    def wait(self, error: str) -> float:
-        return self.rate_limit if "rate" in error.lower() or "429" in error else self.other
+    def wait(self, error: str, attempt: int = 0) -> float:
+        first = self.bad_reply if error == BAD_REPLY else self.rate_limit if "rate" in error.lower() or "429" in error else self.other
+        return first * self.growth**attempt
+
+
+#: Searches and fetches wait longer each time.
+SEARCH, FETCH = Retry(4, 5.0, 5.0, 5.0, 2.0), Retry(4, 3.0, 3.0, 3.0, 2.0)
+BAD_REPLY = "not JSON"
+
+
+def holds_json(raw: str) -> bool:
+    """Whether a reply has an object between fences, or from its first to its last brace."""
+    fenced = re.search(r"(?s)```(?:json)?\s*(\{.*?\})\s*```", raw or "")
+    text = fenced[1] if fenced else (raw or "")[(raw or "").find("{"):(raw or "").rfind("}") + 1]
+    try:
+        return isinstance(json.loads(text), dict)
+    except ValueError:
+        return False
 
 
 def prompt_hash(system: Column, user: Column) -> Column:
@@ -43,8 +62,12 @@ def replay(prompts: DataFrame, completions: DataFrame) -> DataFrame:
     return met.withColumn("status", status).withColumn("raw", F.when(F.col("status") == "ok", F.col("raw"))).drop("finish_reason")
 
 
-def complete(prompts: DataFrame, call: Callable[[str, str, str], tuple[str, str]], retry: Retry = Retry(), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Ask `call(model, system, user) -> (text, finish_reason)` for each distinct prompt within tasks."""
+def complete(prompts: DataFrame, call: Callable[[str, str, str], tuple[str, str]], retry: Retry = Retry(), sleep: Callable[[float], None] = time.sleep, wants_json: bool = True) -> DataFrame:
+    """Ask `call(model, system, user) -> (text, finish_reason)` for each distinct prompt within tasks.
+
+    With wants_json, a reply without a readable JSON object is asked for again like a failed call; the
+    row of one that never came has the status failed and its last reply.
+    """
     asked = prompts.select("model", "system", "user", prompt_hash(F.col("system"), F.col("user")).alias("prompt_hash")).dropDuplicates(["model", "prompt_hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,12 +78,14 @@ def complete(prompts: DataFrame, call: Callable[[str, str, str], tuple[str, str]
                 for attempt in range(retry.attempts):
                     try:
                         raw, reason = call(row["model"], row["system"], row["user"])
-                        status = "ok"
-                        break
+                        if not wants_json or reason == "max_tokens" or holds_json(raw):
+                            status = "ok"
+                            break
+                        reason = BAD_REPLY
                     except Exception as e:  # a service's failures are of any kind; the row records them
                         reason = str(e)[:200]
-                        if attempt + 1 < retry.attempts:
-                            sleep(retry.wait(reason))
+                    if attempt + 1 < retry.attempts:
+                        sleep(retry.wait(reason, attempt))
                 out.append({"prompt_hash": row["prompt_hash"], "model": row["model"], "status": status, "finish_reason": reason, "raw": raw})
             yield pa.RecordBatch.from_pylist(out, pa.schema([(c.split()[0], pa.string()) for c in SCHEMA.split(", ")]))
 

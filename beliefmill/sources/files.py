@@ -6,6 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def existing(spark: SparkSession, *paths: str) -> None:
+    """An error that names the first path that isn't there."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            raise FileNotFoundError(path)
+
+
+def write_corpus(records: DataFrame, about: DataFrame, path: str, key: str = "id", pos: str = "pos") -> None:
+    """{"metadata": {…}, "bayesian_networks": {id: record, …}} as text, a record a line, by position.
+
+    The files of the folder, one after another in name order, are one JSON object: ranges of positions
+    make the tasks, and the head and the foot are the first and the last line. about: one row.
+    """
+    names = [c for c in records.columns if c != pos]
+    body = records.select(F.col(pos).cast("long").alias("pos"), F.to_json(F.struct(F.col(key).cast("string").alias("k"))).alias("k"), F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("v"))
+    name = F.expr("substring(k, 6, length(k) - 6)")  # the quoted key of {"k":"…"}
+    first = body.agg(F.min("pos")).first()[0]
+    line = F.concat(F.when(F.col("pos") == first, F.lit("")).otherwise(F.lit(",")), name, F.lit(": "), "v")
+    head = about.select(F.lit(-2).cast("long").alias("pos"), F.concat(F.lit('{"metadata": '), F.to_json(F.struct(*about.columns), {"ignoreNullFields": "false"}), F.lit(', "bayesian_networks": {')).alias("value"))
+    foot = about.select(F.lit((1 << 62)).cast("long").alias("pos"), F.lit("}}").alias("value"))
+    rows = head.unionByName(body.select("pos", line.alias("value"))).unionByName(foot)
+    rows.repartitionByRange("pos").sortWithinPartitions("pos").select("value").write.mode("overwrite").text(path)
+
+
+def write_evaluation(tables, path: str) -> None:
+    """results, aggregate and plots of an evaluation as JSON lines, each in its folder."""
+    for name in ("results", "aggregate", "plots"):
+        write_json_lines(getattr(tables, name), f"{path}/{name}", "overwrite")
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a schema that is given, not inferred; blank lines are skipped."""
     return spark.read.schema(schema).json(path)

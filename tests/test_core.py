@@ -248,3 +248,141 @@ def test_extraction_passes(spark):
     prior = prob.cells(prob.priors(got.marginal, graph.roots(got.edges, got.nodes), got.node_state), "bn_id", "node")
     prompt = extract.verbalization_prompts(got.nodes, got.node_state, got.edges, prior, cpd, spark.createDataFrame([("b", "T", "society")], "bn_id string, title string, domain string")).first().user
     assert prompt.startswith("TITLE: T\nDOMAIN: society\n\nNODES AND STATES:\n  A: [x, none]\n") and "  A  →  C\n  B  →  C" in prompt and "  P(A=x) = 0.9000  [strong]" in prompt and "[C | A]" in prompt
+
+
+def test_extraction_ends_where_a_pass_fails(spark):
+    """Each network lacks one pass; none has rows of a later one, and the others are whole."""
+    from beliefmill.functions.prompts import SYSTEM
+    from beliefmill.operators import extract
+
+    steps = ["nodes", "edges", "marginals", "joints", "multi_joints"]
+    rows = [(n, SYSTEM["extract", k], REPLIES[k] if k != n else "no reply") for n in ["ok", *steps] for k in steps]
+    told = spark.createDataFrame(rows, "bn_id string, system string, raw string")
+    articles = spark.createDataFrame([(n, "text") for n in ["ok", *steps]], "bn_id string, text string")
+    got = extract.extract(articles, lambda prompts: prompts.join(told, ["bn_id", "system"]), "m")
+    want = {"ok": "ok", "multi_joints": "ok", **{s: f"{s} failed" for s in steps[:4]}}
+    assert {r.bn_id: r.status for r in got.outcome.collect()} == want
+    for df in (got.nodes, got.node_state, got.edges, got.marginal, got.joint):
+        assert {r.bn_id for r in df.select("bn_id").distinct().collect()} == {"ok", "multi_joints"}
+    assert {r.bn_id for r in got.multi_joint.collect()} == {"ok"}
+
+
+def test_multi_joint_requests_in_chunks(spark):
+    from beliefmill.operators import extract
+
+    states = [("b", n, i, f"{n}{i}") for n in "ABCDE" for i in range(5)]
+    states = spark.createDataFrame(states, "bn_id string, node string, state_pos int, state string")
+    families = spark.createDataFrame([("b", "C", ["A", "B"]), ("b", "D", ["B", "A"]), ("b", "E", ["A"])], "bn_id string, child string, parents array<string>")
+    got = extract.family_chunks(families, states, budget=5000).orderBy("chunk").collect()
+    assert [(r.chunk, [f.child for f in r.families], r.n_combos) for r in got] == [(0, ["C"], 25), (1, ["D"], 25)]
+    assert got[1].families[0].parents == ["B", "A"] and got[1].families[0].parent_states[0][0] == "B0"
+    only = extract.family_chunks(families, states, spark.createDataFrame([("b", "D")], "bn_id string, child string"))
+    assert [[f.child for f in r.families] for r in only.collect()] == [["D"]]
+
+
+def test_verbalizer_tells_what_is_missing(spark):
+    from beliefmill.operators import extract
+
+    prompts = spark.createDataFrame([("a", "p"), ("b", "p")], "bn_id string, user string")
+    wanted = spark.createDataFrame([(i, [("Rain", ["wet", "dry"])]) for i in "ab"], "bn_id string, nodes array<struct<node:string,states:array<string>>>")
+    ask = lambda p: p.withColumn("raw", F.when(F.col("bn_id") == "a", "rain makes it WET"))
+    got = {r.bn_id: (r.generated_text, r.missing) for r in extract.verbalize(prompts, wanted, ask, "m").collect()}
+    assert got == {"a": ("rain makes it WET", ["STATE: Rain=dry"]), "b": ("", ["NODE: Rain", "STATE: Rain=wet", "STATE: Rain=dry"])}
+
+
+def test_replies_that_are_not_json_are_asked_again(spark):
+    prompts = spark.createDataFrame([("m", "s", u) for u in ("late", "never")], "model string, system string, user string")
+    calls: dict = {}
+
+    def call(model, system, user):
+        calls[user] = calls.get(user, 0) + 1
+        return ('so {"a": 1}' if user == "late" and calls[user] == 2 else "sorry"), "end"
+
+    got = {r.raw: r.status for r in completions.complete(prompts.coalesce(1), call, completions.Retry(attempts=2), sleep=lambda s: None).collect()}
+    assert got == {'so {"a": 1}': "ok", "sorry": "failed"}
+    assert [completions.SEARCH.wait("boom", i) for i in range(3)] == [5.0, 10.0, 20.0] and completions.Retry().wait(completions.BAD_REPLY) == 1.0
+
+
+def test_corpus_file_round_trip(spark, tmp_path):
+    from beliefmill.operators import assemble
+
+    df = spark.createDataFrame([(i, f'bn "{i}"', None if i % 2 else "tëxt") for i in range(50)], "pos int, id string, generated_text string")
+    files.write_corpus(df, assemble.metadata(df, source="x"), str(tmp_path / "c"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "c").glob("part-*")))
+    found = json.loads(text)
+    assert found["metadata"] == {"total": 50, "generated_total": 25, "source": "x"}
+    assert list(found["bayesian_networks"]) == [f'bn "{i}"' for i in range(50)] and found["bayesian_networks"]['bn "1"'] == {"id": 'bn "1"', "generated_text": None}
+    (tmp_path / "one.json").write_text(text)
+    back = files.read_corpus(spark, str(tmp_path / "one.json"), "id string, generated_text string").orderBy("bn_pos").collect()
+    assert [(r.id, r.record.generated_text) for r in back[:2]] == [('bn "0"', "tëxt"), ('bn "1"', None)]
+    with pytest.raises(FileNotFoundError):
+        files.existing(spark, str(tmp_path / "c"), str(tmp_path / "nothing"))
+
+
+def test_selection_errors(spark):
+    nodes = spark.createDataFrame([("n", i, x) for i, x in enumerate("abc")], "bn_id string, node_pos int, node string")
+    edges = spark.createDataFrame([("n", 0, "a", "b"), ("n", 1, "b", "c")], "bn_id string, edge_pos int, parent string, child string")
+    required = lambda *x: spark.createDataFrame([("n", list(x))], "bn_id string, members array<string>")
+    with pytest.raises(ValueError, match="zzz"):
+        graph.connected_subsets(edges, nodes, 1, 3, required("a", "zzz"))
+    assert graph.selected_subsets(edges, nodes, 1, 3, ["a", "zzz"]).count() == 0
+    assert [r.members for r in graph.selected_subsets(edges, nodes, 1, 3, ["c", "a"], only_required=True).collect()] == [["a", "c"]]
+    assert sorted(r.members for r in graph.connected_subsets(edges, nodes, 1, 2, required("a")).collect()) == [["a"], ["a", "b"]]
+    found = graph.connected_subsets(edges, nodes, 2, 3)
+    assert graph.enough_subsets(found, 3).count() == 3
+    with pytest.raises(ValueError, match="3 subgraphs"):
+        graph.enough_subsets(found, 4)
+
+
+def test_divergence_normalises_the_prediction(spark):
+    matrix = lambda *x: F.array(*(F.array(F.lit(v).cast("double")) for v in x))
+    got = spark.range(1).select(N.column_kl(matrix(0.5, 0.5, 0.0), matrix(0.4, None, 0.1), F.lit(3), F.lit(1)).alias("k")).first().k
+    assert abs(got - 6.3262) < 5e-4
+
+
+def test_evaluation_passes_ask_and_score(spark):
+    from beliefmill.functions.prompts import SYSTEM
+    from beliefmill.operators import evaluation_run as E
+
+    subgraphs = spark.createDataFrame([("s", "T", "d", "a text"), ("e", "T", "d", "")], "sg_id string, title string, domain string, generated_text string")
+    nodes = spark.createDataFrame([("s", 0, "A", ["x", "none"]), ("s", 1, "B", ["u", "none"]), ("e", 0, "A", ["x"])], "sg_id string, node_pos int, node string, states array<string>")
+    edges = spark.createDataFrame([("s", "A", "B")], "sg_id string, parent string, child string")
+    tables = spark.createDataFrame([("s", "A", "B", [[0.7, 0.2], [0.3, 0.8]])], "sg_id string, parent string, child string, m array<array<double>>")
+    raws = {
+        SYSTEM["evaluate", "nodes"]: '{"nodes": ["a", "a2", "b"]}', SYSTEM["evaluate", "states"]: '{"node_states": [{"node": "a", "states": ["x"]}, {"node": "a2", "states": ["x", "y"]}, {"node": "b", "states": ["u", "None"]}]}',
+        SYSTEM["evaluate", "edges"]: '{"edges": [{"parent": "a", "child": "b"}, {"parent": "b", "child": "q"}]}', SYSTEM["evaluate", "cpd"]: '{"matrix": [[0.7, 0.2], [0.3, 0.8]]}',
+    }
+    match = '{"matches": [{"predicted": "a", "ground_truth": "A", "score": 1}, {"predicted": "a2", "ground_truth": "A", "score": 1}, {"predicted": "b", "ground_truth": "B", "score": 1}]}'
+    states = '{"state_matches": [{"predicted": "x", "ground_truth": "x", "score": 1}, {"predicted": "y", "ground_truth": "none", "score": 0}]}'
+    told = spark.createDataFrame([*raws.items()], "system string, given string")
+    judged = F.when(F.contains("user", F.lit("state_matches")), states).when(F.contains("user", F.lit('"matches"')), match)
+    ask = lambda p: p.join(told, "system", "left").withColumn("raw", F.coalesce("given", judged))
+    replies = E.run_passes(subgraphs, nodes, edges, ask, "m", "judge")
+    assert {r.step for r in replies.collect()} == {"nodes", "node_judge", "states", "state_judge", "edges", "cpd"}
+    got = {r.sg_id: r for r in E.evaluation_rows(subgraphs, nodes, edges, tables, replies).collect()}
+    s, e = got["s"], got["e"]
+    assert (e.error, e.n_total_states, e.node_f1, s.error) == ("no_generated_text", 1, None, None)
+    assert (s.n_matched_nodes, s.n_extra_nodes, s.node_f1, s.n_correct_edges, s.n_pred_edges, s.edge_f1, s.n_cpd_evaluated) == (2, 1, 1.0, 1, 1, 1.0, 1)
+    # A: one of two states, of the three predicted x, y, None; B: one of two of two
+    assert (s.state_recall, s.state_precision, s.pct_states_matched) == (0.5, 0.4167, 50.0) and abs(s.cpd_kl) < 1e-5
+    assert E.evaluation_tables(E.evaluation_rows(subgraphs, nodes, edges, tables, replies)).aggregate.first().total == 2
+
+
+def test_strict_matching_checks_names(spark):
+    from beliefmill.operators import evaluation_run as E
+
+    rows = [("s", i, p, g, 1) for i, (p, g) in enumerate([("a", "A"), ("a", "B"), ("ghost", "A"), ("b", "nowhere"), ("b", "B")])]
+    matches = spark.createDataFrame(rows, "sg_id string, match_pos int, predicted string, ground_truth string, score int")
+    pred = spark.createDataFrame([("s", "a"), ("s", "b")], "sg_id string, predicted string")
+    truth = spark.createDataFrame([("s", "A"), ("s", "B")], "sg_id string, node string")
+    assert sorted((r.predicted, r.ground_truth) for r in E.accepted(matches, pred, truth).collect()) == [("a", "A"), ("b", "B")]
+
+
+def test_final_priors(spark):
+    from beliefmill.operators import assemble
+
+    states = spark.createDataFrame([("b", "A", 0, "x"), ("b", "A", 1, "y"), ("b", "A", 2, "none")], "bn_id string, node string, state_pos int, state string")
+    marginal = spark.createDataFrame([("b", "A", "x", 0.6), ("b", "A", "y", 0.40006)], "bn_id string, node string, state string, p double")
+    nodes = spark.createDataFrame([("b", "A")], "bn_id string, node string")
+    assert assemble.final_prior(marginal, nodes, states).first().prior == [0.6, 0.4001, 0.3333]
+    assert assemble.final_prior(marginal, nodes, states, uniform=True).first().prior == [0.3333] * 3
