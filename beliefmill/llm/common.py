@@ -70,15 +70,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 #: An odd number, whose powers have inverses modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers, n + 1 at least, of BASE and of its inverse, modulo 2**64."""
-    size = 1 << max(10, int(n).bit_length())
-    if size not in _POWERS:
-        _POWERS[size] = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, x, np.uint64), dtype=np.uint64)]) for x in (BASE, pow(BASE, -1, 1 << 64)))
-    return _POWERS[size]
+def powers(n: int) -> list[np.ndarray]:
+    """The first powers, n + 1 at least, of BASE and of its inverse, modulo 2**64; a worker keeps the longest only."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = 1 << max(10, int(n).bit_length())
+        _POWERS[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, x, np.uint64), dtype=np.uint64)]) for x in (BASE, pow(BASE, -1, 1 << 64))]
+    return _POWERS
+
+
+def tidy(run):
+    """run(batches), which at its end gives the memory that the worker no longer uses back to the machine."""
+
+    def work(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return work
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, staged
+from .common import mix64, staged, tidy
 from .shingles import coefficients, window_hashes
 
 #: Words of a window, and how many of them must be no placeholder.
@@ -26,7 +26,7 @@ FILTER_BITS = 1 << 23
 #: Kinds of windows.
 EXACT, TEMPLATE, NAMED = 0, 1, 2
 #: Words that a worker remembers.
-REMEMBER = 200_000
+REMEMBER = 100_000
 #: Words that count as units.
 UNITS = frozenset(
     "% mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "
@@ -152,7 +152,7 @@ def _windows(rows: DataFrame, id_col: str, text_col: str, bits, width: int, lite
     text = rows[text_col].cast("string")
     picked = rows.select(rows[id_col].alias("id"), F.xxhash64(text).alias("k"), text.alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(window_rows(bits, width, literals, short, bits is None), f"id {kind}, k bigint, n_words bigint, n bigint, at bigint, h bigint, kind bigint, slots array<string>")
+    return picked.mapInArrow(tidy(window_rows(bits, width, literals, short, bits is None)), f"id {kind}, k bigint, n_words bigint, n bigint, at bigint, h bigint, kind bigint, slots array<string>")
 
 
 def covered(places: Column, width: Column) -> Column:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, mix64, staged
+from .common import dropped, mix64, staged, tidy
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -281,7 +281,7 @@ def verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, percent: int,
     texts = source.alias("s").join(wanted, F.col("s.id").eqNullSafe(F.col("w.id"))).select("node", "k1", "text")
     of = lambda x: texts.select(F.col("node").alias(x), F.col("k1").alias(f"k{x}"), F.col("text").alias(f"text_{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ka", "kb", "text_a", "text_b")
-    return staged(both.mapInArrow(verify_rows(percent, width), "a bigint, b bigint").distinct(), "jaccard-links")
+    return staged(both.mapInArrow(tidy(verify_rows(percent, width)), "a bigint, b bigint").distinct(), "jaccard-links")
 
 
 def stars(heavy: DataFrame) -> DataFrame:
@@ -338,7 +338,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     bits = ", ".join(f"{p} bigint" for p in BITS)
-    counted = staged(source.mapInArrow(set_rows(width), f"id {kind}, kind tinyint, n bigint, k1 bigint, k2 bigint, {bits}, fine binary"), "jaccard-sets")
+    counted = staged(source.mapInArrow(tidy(set_rows(width)), f"id {kind}, kind tinyint, n bigint, k1 bigint, k2 bigint, {bits}, fine binary"), "jaccard-sets")
     sets = counted.where("kind = 0").drop("kind")
     load = np.zeros(SKETCH, np.int64)
     for r in counted.where("kind = 1").groupBy("n").agg(F.sum("k1").alias("k")).toLocalIterator():  # SKETCH rows at most
@@ -349,11 +349,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reps = staged(reps.withColumn("node", F.monotonically_increasing_id()), "jaccard-reps")
 
     shared = spark.sparkContext.broadcast(load)
-    listed = source.mapInArrow(list_rows(shared, small, percent, width), f"id {kind}, k1 bigint, k2 bigint, sigs array<bigint>").alias("l")
+    listed = source.mapInArrow(tidy(list_rows(shared, small, percent, width)), f"id {kind}, k1 bigint, k2 bigint, sigs array<bigint>").alias("l")
     r = reps.select("id", "k1", "k2", "node").alias("r")
     listed = listed.join(r, F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.k1") == F.col("r.k1")) & (F.col("l.k2") == F.col("r.k2")))
     postings = listed.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
-    scanned = staged(postings.mapInArrow(scan_lists(light), "kind tinyint, a bigint, b bigint"), "jaccard-lists")
+    scanned = staged(postings.mapInArrow(tidy(scan_lists(light)), "kind tinyint, a bigint, b bigint"), "jaccard-lists")
 
     heavy = scanned.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"))
     heavy = staged(heavy.join(heavy.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node"), "jaccard-heavy")

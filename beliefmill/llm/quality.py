@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, staged
+from .common import mix64, staged, tidy
 
 #: Hash buckets of the n-gram models, and what is added to each bucket's count.
 BUCKETS, SMOOTH = 1 << 15, 1.0
@@ -26,7 +26,7 @@ DROP_COST = 5.0
 #: Bins of one histogram in the selection of the k-th largest key.
 BINS = 4096
 #: Tokens that a worker remembers.
-REMEMBER = 200_000
+REMEMBER = 100_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     train = F.broadcast(sample.where("good and pmod(xxhash64(id, 1), 2) = 0").select("id", F.lit(True).alias("is_target")))  # LABELLED rows at most
     counted = rows.join(train, "id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     counts = np.zeros((2, BUCKETS))
-    for r in counted.mapInArrow(count_rows, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toLocalIterator():  # BUCKETS rows
+    for r in counted.mapInArrow(tidy(count_rows), "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toLocalIterator():  # BUCKETS rows
         counts[:, r["bucket"]] = r["raw"], r["target"]
     p = (counts + SMOOTH) / (counts.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS)
     weights = np.log(p[1]) - np.log(p[0])
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     held = F.broadcast(sample.where("not (good and pmod(xxhash64(id, 1), 2) = 0)"))
     shared = spark.sparkContext.broadcast(weights)
     kind = rows.schema["id"].dataType.simpleString()
-    judged = rows.join(held, "id").select("id", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("noise"), "text").mapInArrow(score_rows(shared), f"id {kind}, k bigint, noise double, score double")
+    judged = rows.join(held, "id").select("id", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("noise"), "text").mapInArrow(tidy(score_rows(shared)), f"id {kind}, k bigint, noise double, score double")
     judged = judged.groupBy("id").agg(F.min("score").alias("score")).join(held, "id").select("score", "good").collect()  # LABELLED rows at most
     good, bad = (np.sort([r["score"] for r in judged if r["good"] is flag]) for flag in (True, False))
     if not len(good) or not len(bad):
@@ -155,7 +155,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows = rows.select("id", "k", gumbel(F.col("id"), F.col("k"), seed).alias("noise"), "text")
     kind = rows.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model.weights)
-    out = rows.mapInArrow(score_rows(shared), f"id {kind}, k bigint, noise double, score double")
+    out = rows.mapInArrow(tidy(score_rows(shared)), f"id {kind}, k bigint, noise double, score double")
     return out.withColumn("key", F.col("score") + F.col("noise"))
 
 
@@ -202,4 +202,4 @@ def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return docs
     noise = gumbel(docs[id_col], F.xxhash64(docs[text_col].cast("string")), seed)
     rows = docs.select(*(docs[c] for c in docs.columns), noise.alias("sampling noise"))
-    return rows.mapInArrow(sampled_rows(docs.sparkSession.sparkContext.broadcast(model.weights), least, docs.columns.index(text_col)), docs.schema)
+    return rows.mapInArrow(tidy(sampled_rows(docs.sparkSession.sparkContext.broadcast(model.weights), least, docs.columns.index(text_col))), docs.schema)

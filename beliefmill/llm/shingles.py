@@ -10,7 +10,7 @@ import numpy as np
 from .common import mix64, powers, prefix_sums
 
 #: Bytes of texts that are hashed at a time; longer texts are cut between words.
-CHUNK = 1 << 20
+CHUNK = (1 << 19) - (1 << 14)
 _UPPER, _WHITE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", bytes(range(9, 14))
 #: Lower-cases A-Z and makes the six ASCII white-space characters blanks.
 PLAIN = bytes.maketrans(_UPPER + _WHITE, _UPPER.lower() + b" " * len(_WHITE))

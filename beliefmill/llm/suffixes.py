@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, powers, prefix_sums, staged
+from .common import mix64, powers, prefix_sums, staged, tidy
 
 #: Bytes of the first digit.
 GRAM = 64
@@ -340,7 +340,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     texts = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("k"), text.cast("binary").alias("raw"))
     kind = texts.schema["id"].dataType.simpleString()
-    selected = texts.mapInArrow(anchor_rows(width), f"h bigint, id {kind}, k bigint, places binary").repartition("h").sortWithinPartitions("h")
+    selected = texts.mapInArrow(tidy(anchor_rows(width)), f"h bigint, id {kind}, k bigint, places binary").repartition("h").sortWithinPartitions("h")
     alive = staged(selected.mapInArrow(repeated_rows(block), f"id {kind}, k bigint, places binary, hot boolean"), "suffix-alive")
 
     def contexts(hot: bool):
@@ -350,7 +350,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return met.mapInArrow(context_rows(width), f"h bigint, c bigint, id {kind}, k bigint, begins binary, bytes binary")
 
     light = contexts(False).repartition("h").sortWithinPartitions("h", "c")
-    spans = light.mapInArrow(ordered_groups(width), f"id {kind}, k bigint, begins binary, lo array<bigint>, hi array<bigint>")
+    spans = light.mapInArrow(tidy(ordered_groups(width)), f"id {kind}, k bigint, begins binary, lo array<bigint>, hi array<bigint>")
     if not alive.where("hot").isEmpty():
         # one plan with the light grams: texts are dealt by id once, and every part reads that exchange
         rows = contexts(True)
@@ -375,9 +375,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their own and repeat each other; null ids are kept. Empty tables give empty results; extra columns
     are ignored.
     """
+    if not GRAM < width <= GRAM + 255:
+        raise ValueError(f"width must be over {GRAM} and at most {GRAM + 255}")  # offsets in a window take 8 bits
     texts, spans = repeated_spans(docs, id_col, text_col, width, block)
     kind = texts.schema["id"].dataType.simpleString()
     of = spans.groupBy("id", "k").agg(F.collect_list(F.struct("begins", "lo", "hi")).alias("spans")).alias("s")
     t = texts.alias("t")
     met = t.join(of, F.col("t.id").eqNullSafe(F.col("s.id")) & (F.col("t.k") == F.col("s.k")), "left").select("t.id", "raw", "spans")
-    return met.mapInArrow(cut_rows, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return met.mapInArrow(tidy(cut_rows), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions
+from .common import new_path, partitions, tidy
 
 #: Ids after which a shard is closed; a document is never cut, so one may be longer.
 SHARD_IDS = 1 << 19
@@ -27,7 +27,7 @@ LEAST = 8
 #: Symbols between two entries of a shard's position index.
 INDEX_STEP = 1024
 #: Entries that a worker's caches hold; beyond that they start anew.
-REMEMBER = 300_000
+REMEMBER = 200_000
 #: The settings of the lower-casing word vocabulary, for which words are looked up one by one.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -65,11 +65,14 @@ class Words(dict):
         self.tokenize, self.signs = model.tokenize, dict(enumerate(byte_signs()))
         self.coded = [i.to_bytes(4, "little") for i in range(size)]
 
-    def __missing__(self, word: bytes) -> bytes:
+    def ids(self, word: bytes) -> bytes:
         text = word.decode("latin-1")
         if not word.isascii():
             text = text.encode().decode("latin-1").translate(self.signs)
-        self[word] = ids = b"".join([self.coded[t.id] for t in self.tokenize(text)])
+        return b"".join([self.coded[t.id] for t in self.tokenize(text)])
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = ids = self.ids(word)
         return ids
 
 
@@ -85,7 +88,9 @@ class Parts(dict):
             self.clear()
         if len(self.words) >= REMEMBER:
             self.words.clear()
-        self[part] = ids = b"".join(map(self.words.__getitem__, _WORDS.findall(part)))
+        found = _WORDS.findall(part)
+        # a part that is one word is remembered here alone
+        self[part] = ids = self.words.ids(part) if found == [part] else b"".join(map(self.words.__getitem__, found))
         return ids
 
 
@@ -332,7 +337,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None,
     kind = rows.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    rows.mapInArrow(shard_rows(tokenizer_path, end_id, to_arrow_type(kind)), SHARD.format(kind.simpleString())).write.parquet(path)
+    rows.mapInArrow(tidy(shard_rows(tokenizer_path, end_id, to_arrow_type(kind))), SHARD.format(kind.simpleString())).write.parquet(path)
     return path
 
 
@@ -365,7 +370,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
     bases = shards.select("part", "seq", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("seq_start")).join(parts, "part")
     bases = bases.select("part", "seq", (F.col("part_start") + F.col("seq_start")).alias("shard_start"))
-    docs = shards.drop("n_ids", "index").mapInArrow(read_shards, f"part int, seq int, doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    docs = shards.drop("n_ids", "index").mapInArrow(tidy(read_shards), f"part int, seq int, doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
     return docs.join(bases, ["part", "seq"]).select("doc_id", (F.col("shard_start") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
