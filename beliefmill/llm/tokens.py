@@ -27,7 +27,7 @@ LEAST = 8
 #: Symbols between two entries of a shard's position index.
 INDEX_STEP = 1024
 #: Entries that a worker's caches hold; beyond that they start anew.
-REMEMBER = 200_000
+REMEMBER = 300_000
 #: The settings of the lower-casing word vocabulary, for which words are looked up one by one.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
