@@ -49,3 +49,27 @@ def test_run_gives_a_row_a_taken_document(spark):
     assert set(got.columns) == {"doc_id", "start", "n_tokens", "ids_crc32"} and got.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
     assert all(re.fullmatch(r"[a-z ]+", name) for name, _ in corpus_pipeline.STAGES)
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing names and no rows at all."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "plain words of a text here", "en", "a", 26), (1, "plain words of a text here", "en", "a", 26), (None, "other words of another text there", None, None, None), (2, None, "en", "a", 0),
+            (3, "", None, "a", None), (4, " \t ", "en", None, 3), (5, "long " + "word and more " * 60_000, "en", "b", None), (6, "Tied words of one text again", "en", "b", 1), (7, "tied WORDS of one text again", "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for c in ("id", "k", "node", "key", "size", "noise", "h", "n", "part"):
+        docs = docs.withColumn(c, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), SF)
+        assert none.count() == 0, name
+        out = stage(spark, docs, SF)
+        got = sorted(map(str, (r.doc_id for r in out.select("doc_id").collect())))
+        if name != "tokens":
+            assert out.columns == docs.columns and none.columns == docs.columns
+        if name == "near duplicates":
+            assert got == ["1", "2", "3", "4", "5", "6", "None"]
+        elif name in ("decontamination", "tokens"):
+            assert got == sorted(str(r[0]) for r in rows)
+        elif name == "mixing":
+            assert set(got) <= {str(r[0]) for r in rows} and max(map(got.count, got)) <= 4
