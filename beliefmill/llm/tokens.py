@@ -26,8 +26,10 @@ SHARD_IDS = 1 << 19
 LEAST = 8
 #: Symbols between two entries of a shard's position index.
 INDEX_STEP = 1024
-#: Entries that a worker's caches hold; beyond that they start anew.
+#: Words that a worker remembers; beyond that it starts anew.
 REMEMBER = 300_000
+#: Characters after which a group of texts is closed, for encoding; a text is never cut.
+GROUP_CHARS = 1 << 22
 #: The settings of the lower-casing word vocabulary, for which words are looked up one by one.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -37,14 +39,15 @@ PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
 _UPPER = bytes([*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)])
 _LOWER = bytes.maketrans(_UPPER, bytes(b + 32 for b in _UPPER))
 _SAFE = bytes([9, 10, 13, *range(32, 127), *range(161, 256)])
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _FACTOR = 0x9E3779B97F4A7C15
 _WORKER: dict = {}
 
 
 def latin_words() -> re.Pattern:
-    """WORD_PATTERN for Latin-1 bytes: its classes are written out by the characters' categories."""
+    """WORD_PATTERN or an end of line, for Latin-1 bytes: its classes are written out by the characters' categories."""
     of = lambda kind: "".join(f"\\x{b:02x}" for b in range(256) if unicodedata.category(chr(b))[0] == kind)
-    return re.compile(WORD_PATTERN.replace(r"\p{L}", of("L")).replace(r"\p{N}", of("N")).encode())
+    return re.compile(WORD_PATTERN.replace(r"\p{L}", of("L")).replace(r"\p{N}", of("N")).encode() + rb"|\n")
 
 
 _WORDS = latin_words()
@@ -65,33 +68,18 @@ class Words(dict):
         self.tokenize, self.signs = model.tokenize, dict(enumerate(byte_signs()))
         self.coded = [i.to_bytes(4, "little") for i in range(size)]
 
-    def ids(self, word: bytes) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         text = word.decode("latin-1")
         if not word.isascii():
             text = text.encode().decode("latin-1").translate(self.signs)
-        return b"".join([self.coded[t.id] for t in self.tokenize(text)])
-
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = ids = self.ids(word)
+        self[word] = ids = b"".join([self.coded[t.id] for t in self.tokenize(text)])
         return ids
 
 
-class Parts(dict):
-    """Ids of what stands between white space: those of its words."""
-
-    def __init__(self, words: Words):
-        super().__init__()
-        self.words = words
-
-    def __missing__(self, part: bytes) -> bytes:
-        if len(self) >= REMEMBER:
-            self.clear()
-        if len(self.words) >= REMEMBER:
-            self.words.clear()
-        found = _WORDS.findall(part)
-        # a part that is one word is remembered here alone
-        self[part] = ids = self.words.ids(part) if found == [part] else b"".join(map(self.words.__getitem__, found))
-        return ids
+def taken(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The stretches of `flat` that begin at begin[k] and are size[k] long, for each k of `of`, one after another."""
+    many = size[of]
+    return flat[np.arange(many.sum()) + np.repeat(begin[of] - (np.cumsum(many) - many), many)]
 
 
 def word_by_word(tokenizer) -> bool:
@@ -106,24 +94,63 @@ class Encoder:
     """Ids of whole texts, as the tokenizer gives them, from ids of their words.
 
     The word vocabulary's tokenizer lower-cases a text, cuts it into words that never cross white space,
-    and gives each word ids of its own. Its texts of printable Latin-1 are cut here by the same pattern;
-    all others, and those for a tokenizer with other settings, are given to it whole.
+    and gives each word ids of its own. Texts of printable Latin-1 are cut here by the same pattern, a
+    group of texts at a time: what stands between white space is told apart first, then the words in it,
+    and both are worked out once each. All other texts, and those for a tokenizer with other settings,
+    are given to it whole.
     """
 
     def __init__(self, tokenizer, by_word: bool):
         self.tokenizer, self.by_word = tokenizer, by_word
-        self.parts = Parts(Words(self.tokenizer.model, self.tokenizer.get_vocab_size()))
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if self.by_word and "<|" not in text:  # may be a special token
-            try:
-                raw = text.encode("latin-1").translate(_LOWER)
-            except UnicodeEncodeError:
-                raw = None
-            if raw is not None and not raw.translate(None, _SAFE):
-                return b"".join(map(self.parts.__getitem__, raw.split()))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.words = Words(self.tokenizer.model, self.tokenizer.get_vocab_size())
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        raws = [self.plain(text) for text in texts]
+        found = iter(self.of_plain([raw for raw in raws if raw is not None]))
+        return [self.whole(text) if raw is None else next(found) for text, raw in zip(texts, raws, strict=True)]
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def plain(self, text: str) -> bytes | None:
+        """The lower-cased bytes of a text of printable Latin-1; none if it may hold a special token."""
+        if not self.by_word or "<|" in text:
+            return None
+        try:
+            raw = text.encode("latin-1").translate(_LOWER)
+        except UnicodeEncodeError:
+            return None
+        return None if raw.translate(None, _SAFE) else raw
+
+    def of_plain(self, raws: list[bytes]) -> list[np.ndarray]:
+        data = np.frombuffer(b"\n".join([b"", *raws, b""]), np.uint8)
+        solid = ~_SPACE[data]
+        begin = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
+        if not len(begin):
+            return [np.zeros(0, "<u4")] * len(raws)
+        place = np.append(np.cumsum(solid)[begin] - 1, np.count_nonzero(solid)).astype(np.int64)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(place), pa.py_buffer(data[solid])]).dictionary_encode()
+        part = parts.indices.to_numpy()
+        told = parts.dictionary
+        flat, ends = self.of_lines(np.insert(np.frombuffer(told.buffers()[2], np.uint8), np.frombuffer(told.buffers()[1], np.int64)[1:], 10).tobytes())
+        size = np.diff(ends, prepend=0)
+        ids = taken(flat, ends - size, size, part)
+        stop = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
+        cuts = np.append(0, np.cumsum(size[part]))[np.searchsorted(begin, stop)]
+        return np.split(ids, cuts[:-1])
+
+    def of_lines(self, lines: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all lines, where those of each end)."""
+        if len(self.words) >= REMEMBER:
+            self.words.clear()
+        found = _WORDS.findall(lines)
+        place = {word: k for k, word in enumerate(dict.fromkeys(found))}
+        word = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
+        known = [b"" if w == b"\n" else self.words[w] for w in place]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = taken(np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size, size, word)
+        return flat, np.cumsum(size[word])[word == place[b"\n"]]
 
 
 def encoder(path: str) -> Encoder:
@@ -284,6 +311,21 @@ def read_range(shard: dict, start: int, stop: int) -> np.ndarray:
 SHARD = "part int, seq int, base int, doc_ids array<{0}>, ends binary, n_ids bigint, rules binary, lengths binary, index binary, symbols binary"
 
 
+def groups(batches):
+    """(ids, texts) of the rows of a task, in groups of bounded size; a null text is empty."""
+    names, texts, n = [], [], 0
+    for batch in batches:
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            names.append(name)
+            texts.append(text.as_py() or "")
+            n += len(texts[-1])
+            if n >= GROUP_CHARS:
+                yield names, texts
+                names, texts, n = [], [], 0
+    if names:
+        yield names, texts
+
+
 def shard_rows(path: str, end_id: int, kind: pa.DataType):
     """Shards of the (id, text) rows of a task, in their order."""
 
@@ -292,11 +334,11 @@ def shard_rows(path: str, end_id: int, kind: pa.DataType):
 
         tokenizer, part = encoder(path), TaskContext.get().partitionId()
         base, seq = max(tokenizer.tokenizer.get_vocab_size(), end_id + 1), 0
-        ids, ends, names, end = [], [0], [], np.array([end_id], "<u4").tobytes()
+        ids, ends, names, end = [], [0], [], np.array([end_id], "<u4")
 
         def shard():
             nonlocal ids, ends, names, seq
-            symbols, rules = repair(np.frombuffer(b"".join(ids), "<u4"), base)
+            symbols, rules = repair(np.concatenate(ids), base)
             lengths = expansion_lengths(rules, base)
             size = sizes(symbols, lengths, base)
             index = (np.cumsum(size) - size)[::INDEX_STEP]
@@ -307,11 +349,10 @@ def shard_rows(path: str, end_id: int, kind: pa.DataType):
             ids, ends, names, seq = [], [0], [], seq + 1
             return row
 
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = tokenizer.encode(text.as_py() or "")
+        for some in groups(batches):
+            for name, one in zip(some[0], tokenizer.encode(some[1]), strict=True):
                 ids += [one, end]
-                ends.append(ends[-1] + len(one) // 4 + 1)
+                ends.append(ends[-1] + len(one) + 1)
                 names.append(name)
                 if ends[-1] >= SHARD_IDS:
                     yield shard()
