@@ -84,10 +84,12 @@ def taken(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, of: np.ndarray)
 
 def word_by_word(tokenizer) -> bool:
     """Whether a tokenizer has the word vocabulary's settings and no added token without "<|"."""
-    told = json.loads(tokenizer.to_str())
-    model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False}
-    known = told["normalizer"] == NORMALIZER and told["pre_tokenizer"] == PRE_TOKENIZER and told.get("truncation") is None
-    return known and all(told["model"].get(k) == v for k, v in model.items()) and all("<|" in x["content"] for x in told["added_tokens"])
+    told = lambda step: step and json.loads(step.__getstate__())
+    if told(tokenizer.normalizer) != NORMALIZER or told(tokenizer.pre_tokenizer) != PRE_TOKENIZER or tokenizer.truncation:
+        return False
+    model = tokenizer.model
+    plain = type(model).__name__ == "BPE" and not (model.dropout or model.unk_token or model.continuing_subword_prefix or model.byte_fallback)
+    return plain and all("<|" in x.content for x in tokenizer.get_added_tokens_decoder().values())
 
 
 class Encoder:
@@ -126,10 +128,11 @@ class Encoder:
     def of_plain(self, raws: list[bytes]) -> list[np.ndarray]:
         data = np.frombuffer(b"\n".join([b"", *raws, b""]), np.uint8)
         solid = ~_SPACE[data]
-        begin = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
+        turn = np.flatnonzero(solid[1:] != solid[:-1]) + 1  # data begins and ends with white space
+        begin = turn[::2]
         if not len(begin):
             return [np.zeros(0, "<u4")] * len(raws)
-        place = np.append(np.cumsum(solid)[begin] - 1, np.count_nonzero(solid)).astype(np.int64)
+        place = np.append(0, np.cumsum(turn[1::2] - begin))
         parts = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(place), pa.py_buffer(data[solid])]).dictionary_encode()
         part = parts.indices.to_numpy()
         told = parts.dictionary
