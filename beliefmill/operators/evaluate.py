@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..functions.staging import written
 
 
 def valid_matches(matches: DataFrame) -> DataFrame:
@@ -127,13 +128,37 @@ def by_size(results: DataFrame, metric: str, size: str = "n_nodes") -> DataFrame
     return kept.groupBy(size, N.rounded(F.col(metric), 4).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def running_counts(values: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, n, upto, total): the distinct values of a group with how often they occur, how many rows are no larger, and all.
+
+    Ranges of (group, value) make the tasks, so no task orders a whole group; counts run within ranges and
+    over ranges. The ranges are written before both branches read them.
+    """
+    counted = values.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    spread = written(counted.repartitionByRange(F.col(group), F.col(value)).withColumn("part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(group, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = spread.groupBy(group, "part").agg(F.sum("n").alias("m"))
+    ranges = ranges.select(group, "part", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy(group)).alias("total"))
+    return spread.withColumn("inside", F.sum("n").over(inside)).join(ranges, [group, "part"]).select(group, value, "n", (F.col("before") + F.col("inside")).alias("upto"), "total")
+
+
+def quantile(value: str, share: float) -> Column:
+    """Over the running counts of a group: the value at a share of the way from the first row to the last, between rows linearly."""
+    place = (F.col("total") - 1) * F.lit(share)
+    low, high = (F.min(F.when(F.col("upto") > f(place), F.col(value))) for f in (F.floor, F.ceil))
+    part = F.max(place - F.floor(place))
+    return (1 - part) * low + part * high
+
+
 def box(results: DataFrame, metric: str, size: str = "n_nodes") -> DataFrame:
-    """Quartiles, and whiskers at the last values within 1.5 interquartile ranges, of each size."""
+    """Quartiles, and whiskers at the last values within 1.5 interquartile ranges, of each size; exact, whatever a size's number of results."""
     kept = results.where(F.col(size).isNotNull() & F.col(metric).isNotNull()).select(size, F.col(metric).alias("x"))
-    q = kept.groupBy(size).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(size, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    counts = written(running_counts(kept, size, "x"), "counts")
+    q = counts.groupBy(size).agg(*(quantile("x", share).alias(name) for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    met = kept.join(q, size).groupBy(size, "q1", "median", "q3").agg(
-        F.min(F.when(F.col("x") >= F.col("q1") - reach, F.col("x"))).alias("low"), F.max(F.when(F.col("x") <= F.col("q3") + reach, F.col("x"))).alias("high"), F.count(F.lit(1)).alias("n"))
+    met = counts.join(q, size).groupBy(size, "q1", "median", "q3").agg(
+        F.min(F.when(F.col("x") >= F.col("q1") - reach, F.col("x"))).alias("low"), F.max(F.when(F.col("x") <= F.col("q3") + reach, F.col("x"))).alias("high"), F.sum("n").alias("n"))
     low, high = F.least("low", "q1"), F.greatest("high", "q3")
     r = lambda c, n: N.rounded(c, 6).alias(n)
     return met.select(size, "n", r(F.col("q1"), "q1"), r(F.col("median"), "median"), r(F.col("q3"), "q3"), r(low, "low"), r(high, "high"))

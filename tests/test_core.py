@@ -386,3 +386,20 @@ def test_final_priors(spark):
     nodes = spark.createDataFrame([("b", "A")], "bn_id string, node string")
     assert assemble.final_prior(marginal, nodes, states).first().prior == [0.6, 0.4001, 0.3333]
     assert assemble.final_prior(marginal, nodes, states, uniform=True).first().prior == [0.3333] * 3
+
+
+def test_box_is_exact_with_ties_nulls_and_single_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sizes = {1: rng.integers(0, 5, 400).tolist(), 2: rng.normal(size=301).tolist(), 3: [0.5], 4: [7.0] * 50 + [1.0, 2.0]}
+    rows = [(k, float(x)) for k, xs in sizes.items() for x in xs] + [(1, None), (None, 3.0)]
+    got = {r.n_nodes: r for r in evaluate.box(spark.createDataFrame(rows, "n_nodes int, m double"), "m").collect()}
+    assert set(got) == set(sizes)
+    for k, xs in sizes.items():
+        q1, mid, q3 = np.quantile(xs, [0.25, 0.5, 0.75])
+        reach = 1.5 * (q3 - q1)
+        low, high = min(min(x for x in xs if x >= q1 - reach), q1), max(max(x for x in xs if x <= q3 + reach), q3)
+        assert got[k].n == len(xs)
+        assert np.allclose([got[k].q1, got[k].median, got[k].q3, got[k].low, got[k].high], [q1, mid, q3, low, high], atol=1e-6)
+    assert evaluate.box(spark.createDataFrame([], "n_nodes int, m double"), "m").count() == 0
