@@ -507,3 +507,20 @@ def test_long_text_in_pieces(monkeypatch):
 
 def test_repeats_empty_table(spark):
     assert suffixes.remove_repeats(odd_docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_gives_the_tokenizers_ids(name, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "GROUP_CHARS", 200)
+    monkeypatch.setattr(tokens, "REMEMBER", 20)
+    encode = tokens.encoder(public_tokenizer(name))
+    odd = ["", " ", "\n\n", "'", "don't 'S !!''s a1b2", "\u00dcn\u00ef \u00d7 \u00f7 \u00df\u00ff", "<|endoftext|> x", "\u65e5\u672c", "x\x0by\x0cz", "a\x85b\u00a0c", "", "Word " * 300, "tail"]
+    rng = np.random.default_rng(5)
+    odd += ["".join(rng.choice(list("ab'sLl1 .\n\u00e9"), 90)) for _ in range(40)] + [""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(odd))), pa.array(odd)], names=["id", "text"])
+    got = [(n, x) for names, texts in tokens.groups([batch]) for n, x in zip(names, encode.encode(texts), strict=True)]
+    assert [n for n, _ in got] == list(range(len(odd)))
+    for text, (_, ids) in zip(odd, got, strict=True):
+        assert ids.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, text
