@@ -87,4 +87,31 @@ n AS (SELECT a, count(*) AS n FROM near GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id
 """
 
-ORACLES: dict[str, str] = {"op1_jaccard_join": JACCARD, "op3_vector_dedup": VECTORS, "op2_secret_scan": _secrets(), "op4_url_filter": URLS, "op6_chat_format": CHATS, "op7_source_mix": MIX}
+#: crc32 of the digits of an id: the table's entry for a byte is eight shifts of it, a text is a fold over its bytes.
+CRC = """
+bits AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS t),
+hashed AS (SELECT doc_id, xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+             lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), 4294967295::BIGINT)) AS h FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), bits)"""
+
+#: Runs by their definition: stretches of five words that occur again q words on, in a row, are words that equal those q words on.
+RUNS = rf"""
+WITH {CRC},
+w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, h FROM documents LEFT JOIN hashed USING (doc_id)),
+a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM w),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+d AS (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM p),
+g AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 5], ' ') AS g FROM d, unnest(range(len(w) - 4)) AS u(i)),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g AS x JOIN g AS y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q + 4 AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM e) GROUP BY doc_id, q, part),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat_ws(',', start, length, period) || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY doc_id),
+best AS (SELECT x.* FROM r AS x WHERE NOT EXISTS (FROM r AS y WHERE y.doc_id = x.doc_id AND (y.length * x.period > x.length * y.period
+           OR (y.length * x.period = x.length * y.period AND (y.start, y.period) < (x.start, x.period))))),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT doc_id, coalesce(string_agg(word, ' ' ORDER BY i), '') AS text FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start, best.length, best.period, 1000 * best.length // best.period AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_jaccard_join": JACCARD, "op3_vector_dedup": VECTORS, "op2_secret_scan": _secrets(), "op4_url_filter": URLS, "op6_chat_format": CHATS, "op7_source_mix": MIX, "op11_periodic_runs": RUNS}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, mixing, quality, secrets, suffixes, tokens, urls, vectors
+from . import chat, decontaminate, jaccard, mixing, quality, runs, secrets, suffixes, tokens, urls, vectors
+from .common import WORD
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +102,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, by the hash of the id, the words repeat with a period from some word on."""
+    h = F.crc32(docs["doc_id"].cast("string"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
+    g, n = F.floor(F.col("h") / 10), F.size("w")
+    rows = rows.withColumn("a", F.when(n > 0, g % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("w", place(i)))
+    return rows.select("doc_id", F.when(n > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(planted_runs(table(spark, sf_dir, "documents")))
+    more = lambda a, b: b["length"] * a["period"] > a["length"] * b["period"]
+    best = F.aggregate(F.col("runs"), F.get("runs", F.lit(0)), lambda a, r: F.when(more(a, r), r).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    rows = found.withColumn("best", best)
+    return rows.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                       F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,7 +131,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op3_vector_dedup, op4_url_filter, op5_decontamination, op6_chat_format, op7_source_mix, op8_quality_resample, op9_token_output, op10_suffix_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op3_vector_dedup, op4_url_filter, op5_decontamination, op6_chat_format, op7_source_mix, op8_quality_resample, op9_token_output, op10_suffix_dedup, op11_periodic_runs, pipeline)}
 
 
 def oracle_sql():
