@@ -114,4 +114,23 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start, best.length, best.pe
 FROM d LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_jaccard_join": JACCARD, "op3_vector_dedup": VECTORS, "op2_secret_scan": _secrets(), "op4_url_filter": URLS, "op6_chat_format": CHATS, "op7_source_mix": MIX, "op11_periodic_runs": RUNS}
+#: A gram is text here; blanks sort below letters, and shorter grams first, as their numbers do.
+LANGUAGES = rf"""
+WITH {CRC},
+d AS (SELECT doc_id, lang, coalesce(h % 5 = 0, false) AS held_out, h IS NULL AS unnamed, ' ' || regexp_replace(lower(coalesce(text, '')), '[^\pL]', ' ', 'g') || ' ' AS t FROM documents LEFT JOIN hashed USING (doc_id)),
+z AS (SELECT * EXCLUDE t, string_split(t, '') AS c FROM d),
+y AS (SELECT * EXCLUDE (c, z), z[1] AS a, z[2] AS b, z[3] AS e FROM (SELECT *, unnest(list_zip(c, c[2:], c[3:])) AS z FROM z)),
+g AS (SELECT doc_id, lang, held_out, unnamed, g, count(*) AS n FROM (
+        SELECT *, a AS g FROM y WHERE a <> ' ' UNION ALL SELECT *, a || b AS g FROM y WHERE b IS NOT NULL AND a || b <> '  '
+        UNION ALL SELECT *, a || b || e AS g FROM y WHERE e IS NOT NULL AND b <> ' ') GROUP BY ALL),
+p AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, length(g), g) - 1 AS rank FROM (
+        SELECT lang, g, sum(n) AS n FROM g WHERE lang IS NOT NULL AND NOT held_out AND NOT unnamed GROUP BY lang, g) QUALIFY rank < 400),
+o AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) - 1 AS place FROM g QUALIFY place < 400),
+size AS (SELECT doc_id, count(*) AS m FROM o GROUP BY doc_id),
+met AS (SELECT doc_id, lang, sum(400 - abs(rank - place)) AS saved FROM o JOIN p USING (g) GROUP BY doc_id, lang),
+dist AS (SELECT doc_id, l.lang, m * 400 - coalesce(saved, 0) AS dist, m * 400 AS most FROM size CROSS JOIN (SELECT DISTINCT lang FROM p) AS l LEFT JOIN met USING (doc_id, lang)),
+best AS (SELECT doc_id, lang, dist, most FROM dist QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dist, lang) = 1)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1 - dist::DOUBLE / most, 0) AS score FROM d LEFT JOIN best USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_jaccard_join": JACCARD, "op3_vector_dedup": VECTORS, "op2_secret_scan": _secrets(), "op4_url_filter": URLS, "op6_chat_format": CHATS, "op7_source_mix": MIX, "op11_periodic_runs": RUNS, "op13_language_id": LANGUAGES}
