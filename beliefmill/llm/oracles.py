@@ -133,4 +133,14 @@ best AS (SELECT doc_id, lang, dist, most FROM dist QUALIFY row_number() OVER (PA
 SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1 - dist::DOUBLE / most, 0) AS score FROM d LEFT JOIN best USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_jaccard_join": JACCARD, "op3_vector_dedup": VECTORS, "op2_secret_scan": _secrets(), "op4_url_filter": URLS, "op6_chat_format": CHATS, "op7_source_mix": MIX, "op11_periodic_runs": RUNS, "op13_language_id": LANGUAGES}
+NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+      FROM v AS a JOIN v AS b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_jaccard_join": JACCARD, "op3_vector_dedup": VECTORS, "op2_secret_scan": _secrets(), "op4_url_filter": URLS, "op6_chat_format": CHATS, "op7_source_mix": MIX, "op11_periodic_runs": RUNS, "op12_hard_negatives": NEGATIVES, "op13_language_id": LANGUAGES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, languages, mixing, quality, runs, secrets, suffixes, tokens, urls, vectors
+from . import chat, decontaminate, jaccard, languages, mixing, quality, rtree, runs, secrets, suffixes, tokens, urls, vectors
 from .common import WORD
 
 
@@ -124,6 +124,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors_ = table(spark, sf_dir, "embeddings")
+    vectors_ = vectors_.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return rtree.hard_negatives(vectors_, F.col("vec_id") % 100 == 0)
+
+
 def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rest = lambda c: F.crc32(c.cast("string")) % 5
@@ -139,7 +145,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op3_vector_dedup, op4_url_filter, op5_decontamination, op6_chat_format, op7_source_mix, op8_quality_resample, op9_token_output, op10_suffix_dedup, op11_periodic_runs, op13_language_id, pipeline)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op3_vector_dedup, op4_url_filter, op5_decontamination, op6_chat_format, op7_source_mix, op8_quality_resample, op9_token_output, op10_suffix_dedup, op11_periodic_runs, op12_hard_negatives, op13_language_id, pipeline)}
 
 
 def oracle_sql():
