@@ -81,41 +81,160 @@ def adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select("bn_id", "node", F.coalesce("children", empty).alias("children"), F.coalesce("parents", empty).alias("parents"))
 
 
+#: Nodes of a network whose subsets are made: each is a bit of a long.
+MOST_NODES = 63
+
+
+def bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), i.cast("int"))
+
+
+def networks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(bn_id, names, near): a network's node names in order, and of each the bits of its neighbours."""
+    names = nodes.groupBy("bn_id").agg(F.array_sort(F.collect_set("node")).alias("names"))
+    links = undirected(edges).groupBy("bn_id").agg(F.collect_list(F.struct("node", "neighbour")).alias("links"))
+    met = names.join(links, "bn_id", "left").withColumn("links", F.coalesce("links", F.array().cast("array<struct<node:string,neighbour:string>>")))
+    place = F.map_from_entries(F.transform("names", lambda x, i: F.struct(x, i)))
+    found = met.withColumn("place", place).withColumn("links", F.transform("links", lambda e: F.struct(F.try_element_at("place", e["node"]).alias("a"), F.try_element_at("place", e["neighbour"]).alias("b"))))
+    mask = lambda i: F.aggregate(F.filter("links", lambda e: (e["a"] == i) & e["b"].isNotNull()), F.lit(0).cast("bigint"), lambda m, e: m.bitwiseOR(bit(e["b"])))
+    near = F.transform("names", lambda _, i: mask(i))
+    near = F.when(F.size("names") <= MOST_NODES, near).otherwise(F.raise_error(F.format_string(f"network %s has more than {MOST_NODES} nodes", "bn_id")))
+    return found.select("bn_id", "names", near.alias("near"))
+
+
+def single_seeds(nets: DataFrame) -> DataFrame:
+    """(bn_id, names, near, root, members, open, closed): each node alone, to be grown by later nodes only."""
+    one = nets.select("*", F.posexplode("near").alias("root", "beside")).withColumn("members", bit(F.col("root")))
+    upto = bit(F.col("root")).bitwiseOR(bit(F.col("root")) - 1)  # the node and those before it
+    return one.select("bn_id", "names", "near", "root", "members", F.col("beside").bitwiseAND(F.bitwise_not(upto)).alias("open"), F.col("beside").bitwiseOR(upto).alias("closed"))
+
+
+def given_seeds(nets: DataFrame, required: DataFrame) -> DataFrame:
+    """As single_seeds: of each network one set (bn_id, members), to be grown by any node."""
+    met = nets.join(required.select("bn_id", F.col("members").alias("given")), "bn_id")
+    held = F.aggregate("given", F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(bit(F.array_position("names", x) - 1)))
+    beside = F.aggregate("given", F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(F.get("near", (F.array_position("names", x) - 1).cast("int"))))
+    met = met.withColumn("members", held).withColumn("beside", beside)
+    return met.select("bn_id", "names", "near", F.lit(-1).alias("root"), "members", F.col("beside").bitwiseAND(F.bitwise_not("members")).alias("open"), F.col("beside").bitwiseOR(F.col("members")).alias("closed"))
+
+
+STATE = "struct<members:bigint,open:bigint,closed:bigint,whole:boolean>"
+
+
+def children(s: Column, near: Column) -> Column:
+    """The sets that a set grows to by one of its open nodes each, as an array of states.
+
+    A set opens what is beside the new node and beside no member yet, and keeps open what comes after the new
+    node. So a set's members join in one order only, and every connected set is reached once.
+    """
+    picked = F.filter(F.sequence(F.lit(0), F.size(near) - 1), lambda i: s["open"].bitwiseAND(bit(i)) != 0)
+    upto = lambda i: bit(i).bitwiseOR(bit(i) - 1)
+    return F.transform(picked, lambda i: F.struct(
+        s["members"].bitwiseOR(bit(i)).alias("members"),
+        s["open"].bitwiseAND(F.bitwise_not(upto(i))).bitwiseOR(F.get(near, i).bitwiseAND(F.bitwise_not(s["closed"]))).alias("open"),
+        s["closed"].bitwiseOR(F.get(near, i)).bitwiseOR(bit(i)).alias("closed"), F.lit(False).alias("whole")))
+
+
+def grown(seeds: DataFrame, largest: int, *keep: str) -> DataFrame:
+    """(keep…, members, size): every set that the seeds grow to, with up to `largest` members, as bits.
+
+    Each step turns a row into itself, done, and its children; all steps are one pass without a shuffle,
+    and nothing is written.
+    """
+    state = F.struct("members", "open", "closed", F.lit(False).alias("whole")).cast(STATE)
+    rows = seeds.select(*keep, "near", state.alias("s"))
+    done = lambda s: F.array(F.struct(s["members"].alias("members"), s["open"].alias("open"), s["closed"].alias("closed"), F.lit(True).alias("whole")))
+    for _ in range(largest - 1):
+        s = F.col("s")
+        more = ~s["whole"] & (s["open"] != 0) & (F.bit_count(s["members"]) < largest)
+        rows = rows.select(*keep, "near", F.explode(F.when(more, F.concat(done(s), children(s, F.col("near")))).otherwise(done(s))).alias("s"))
+    return rows.select(*keep, F.col("s.members").alias("members"), F.bit_count("s.members").alias("size"))
+
+
+def named(members: Column, names: Column) -> Column:
+    """The names of a set of bits, in order."""
+    return F.filter(names, lambda _, i: members.bitwiseAND(bit(i)) != 0)
+
+
+def _seeds(edges: DataFrame, nodes: DataFrame, required: DataFrame | None) -> DataFrame:
+    if required is None:
+        return single_seeds(networks(edges, nodes)).repartition("bn_id", "root")
+    unknown = required.select("bn_id", F.explode("members").alias("node")).join(nodes.select("bn_id", "node"), ["bn_id", "node"], "left_anti")
+    if (row := unknown.orderBy("bn_id", "node").first()) is not None:
+        raise ValueError(f"network {row['bn_id']} has no node {row['node']!r}")
+    return given_seeds(networks(edges, nodes), required)
+
+
 def connected_subsets(edges: DataFrame, nodes: DataFrame, smallest: int = 3, largest: int = 9, required: DataFrame | None = None) -> DataFrame:
     """(bn_id, members, size): every connected set of nodes, as a sorted list, with sizes in the bounds.
 
-    One frontier grows from all nodes at once: sets of size k and their neighbours make the sets of size
-    k + 1, kept once each; breadth- and depth-first orders give the same sets. required (bn_id, members)
-    seeds the frontier with one set a network instead (of one node, to start there); it need not be
-    connected, and no smaller set counts. A required name that its network lacks is an error.
+    Breadth- and depth-first orders give the same sets. required (bn_id, members) gives one set a network to
+    grow instead (of one node, to start there); it need not be connected, and no smaller set counts. A
+    required name that its network lacks is an error, as is a network of over 63 nodes.
     """
-    links = undirected(edges)
-    if required is not None:
-        unknown = required.select("bn_id", F.explode("members").alias("node")).join(nodes.select("bn_id", "node"), ["bn_id", "node"], "left_anti")
-        if (row := unknown.orderBy("bn_id", "node").first()) is not None:
-            raise ValueError(f"network {row['bn_id']} has no node {row['node']!r}")
-    if required is None:
-        front, size = nodes.select("bn_id", F.array("node").alias("members")), 1
-    else:
-        front, size = required.select("bn_id", F.array_sort(F.array_distinct("members")).alias("members")), None
+    found = grown(_seeds(edges, nodes, required), largest, "bn_id", "names").where(F.col("size").between(smallest, largest))
+    return found.select("bn_id", named(F.col("members"), F.col("names")).alias("members"), "size")
+
+
+def subset_counts(edges: DataFrame, nodes: DataFrame, smallest: int = 3, largest: int = 9, required: DataFrame | None = None) -> DataFrame:
+    """(bn_id, size, n): how many connected sets of each size there are; tasks count what they make, and only counts move."""
+    found = grown(_seeds(edges, nodes, required), largest, "bn_id").where(F.col("size").between(smallest, largest))
+    return found.groupBy("bn_id", "size").agg(F.count(F.lit(1)).alias("n"))
+
+
+def drawn_ranks(total: Column, k: int, *key: Column) -> Column:
+    """k different numbers below total, every such set as likely; all numbers where there are no more than k."""
+    draw = lambda j: F.pmod(F.xxhash64(*key, j), j + 1)
+    add = lambda got, j: F.array_append(got, F.when(F.array_contains(got, draw(j)), j).otherwise(draw(j)))
+    some = F.aggregate(F.sequence(total - k, total - 1), F.array().cast("array<bigint>"), add)
+    return F.when(total <= 0, F.array().cast("array<bigint>")).when(total <= k, F.sequence(F.lit(0).cast("bigint"), total - 1)).otherwise(some)
+
+
+def drawn_subsets(edges: DataFrame, nodes: DataFrame, k: int, smallest: int = 3, largest: int = 9, seed: int = 42) -> DataFrame:
+    """(bn_id, members, size): k connected sets of each network, drawn evenly without replacement; all where there are fewer.
+
+    Sets are numbered in the order in which they grow, a set before its children. Numbers are drawn, and each
+    is led down the tree of sets: of the branches at hand the one that holds it is found by counts, and
+    counted on. Networks may have very many sets; only counts and the drawn ones are kept.
+    """
+    seeds = single_seeds(networks(edges, nodes))
+    inside = F.col("size").between(smallest, largest)
+
+    def counted(branches: DataFrame, *by: str) -> DataFrame:
+        return grown(branches, largest, *by).where(inside).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+    def led(asked: DataFrame, branches: DataFrame, by: list[str]) -> DataFrame:
+        """asked (by…, rank, …) with the branch (by…, at, s) that holds its rank, and its rank there."""
+        of = branches.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "n", "s"))).alias("b"))  # MOST_NODES entries at most
+        before = F.transform("b", lambda _, i: F.aggregate(F.slice("b", F.lit(1), i), F.lit(0).cast("bigint"), lambda t, x: t + x["n"]))
+        met = asked.join(of, by).withColumn("before", before).withColumn("i", F.size(F.filter("before", lambda x: x <= F.col("rank"))) - 1)
+        return met.withColumns({"rank": F.col("rank") - F.get("before", F.col("i")), "s": F.get("b", F.col("i"))["s"]}).drop("b", "before", "i")
+
+    state = F.struct("members", "open", "closed", F.lit(False).alias("whole")).cast(STATE)
+    counts = counted(seeds.repartition("bn_id", "root"), "bn_id", "root")
+    first = written(seeds.join(counts, ["bn_id", "root"]).select("bn_id", F.col("root").alias("at"), "n", state.alias("s")), "subset-branches")
+    total = first.groupBy("bn_id").agg(F.sum("n").alias("total"))
+    asked = total.select("bn_id", F.explode(drawn_ranks(F.col("total"), k, F.col("bn_id"), F.lit(seed))).alias("rank"))
+    nets = networks(edges, nodes)
+    held = written(led(asked, first, ["bn_id"]).select("bn_id", "rank", "s"), "subset-drawn")
     parts = []
-    sized = front.withColumn("size", F.size("members"))
     for _ in range(largest):
-        sized = written(sized, "subset-front")
-        parts.append(sized.where(F.col("size") >= smallest) if required is None else sized.where(F.col("size").between(smallest, largest)))
-        if size == largest:
-            break
-        grown = sized.where(F.col("size") < largest).select("bn_id", "members", F.explode("members").alias("node")).join(links, ["bn_id", "node"])
-        grown = grown.where(~F.array_contains("members", F.col("neighbour"))).select("bn_id", F.array_sort(F.array_append("members", F.col("neighbour"))).alias("members")).distinct()
-        sized = grown.withColumn("size", F.size("members"))
-        if size is not None:
-            size += 1
-        elif sized.isEmpty():
+        # a set that is counted itself comes before its children
+        own = F.bit_count("s.members") >= smallest
+        parts.append(held.where(own & (F.col("rank") == 0)).select("bn_id", F.col("s.members").alias("members")))
+        rest = held.where(~(own & (F.col("rank") == 0))).withColumn("rank", F.col("rank") - F.when(own, 1).otherwise(0))
+        rest = rest.withColumn("parent", F.col("s.members"))
+        if rest.isEmpty():
             break
+        step = rest.select("bn_id", "parent", "s").distinct().join(nets, "bn_id")
+        step = step.select("bn_id", "near", "parent", F.posexplode(children(F.col("s"), F.col("near"))).alias("at", "s"))
+        counts = counted(step.select("bn_id", "near", "parent", "at", "s.members", "s.open", "s.closed"), "bn_id", "parent", "at")
+        found = led(rest.drop("s"), step.join(counts, ["bn_id", "parent", "at"]), ["bn_id", "parent"])
+        held = written(found.select("bn_id", "rank", "s"), "subset-drawn")
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out if required is None else out.distinct()
+    return out.join(nets, "bn_id").select("bn_id", named(F.col("members"), F.col("names")).alias("members"), F.bit_count("members").alias("size"))
 
 
 def selected_subsets(edges: DataFrame, nodes: DataFrame, smallest: int = 3, largest: int = 9, required: list[str] | None = None,

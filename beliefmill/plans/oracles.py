@@ -157,6 +157,7 @@ und AS (SELECT bn_id, parent AS a, child AS b FROM dag UNION SELECT bn_id, child
 sets AS (SELECT bn_id, [node] AS m FROM bn, nodes UNION SELECT s.bn_id, list_sort(list_append(s.m, u.b)) FROM sets s JOIN und u ON u.bn_id = s.bn_id AND list_contains(s.m, u.a) AND NOT list_contains(s.m, u.b) AND len(s.m) < 7),
 subs AS (SELECT bn_id, m, len(m) AS size, bn_id || ':' || array_to_string(m, ',') AS sub_id FROM sets WHERE len(m) >= 3),"""
 ORACLES["subgraph_enumerate"] = end(corpus(DAG, SETS, recursive=True)) + " SELECT bn_id, array_to_string(m, ',') AS members, size FROM subs"
+ORACLES["subgraph_drawn"] = end(corpus(DAG, SETS, recursive=True)) + " SELECT bn_id, count(*) AS n_sets, least(8, count(*)) AS n_drawn, least(8, count(*)) AS n_different, least(8, count(*)) AS n_right FROM subs GROUP BY bn_id"
 ORACLES["subgraph_counts"] = end(corpus(DAG, SETS, recursive=True)) + " SELECT bn_id, len(m) AS size, count(*) AS n FROM sets WHERE len(m) >= 2 GROUP BY ALL"
 ORACLES["subgraph_required"] = end(corpus(DAG, """
 und AS (SELECT bn_id, parent AS a, child AS b FROM dag UNION SELECT bn_id, child, parent FROM dag),

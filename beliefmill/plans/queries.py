@@ -191,7 +191,21 @@ def subgraph_enumerate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def subgraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _subsets(corpus(spark, sf_dir), 2).groupBy("bn_id", "size").agg(F.count(F.lit(1)).alias("n"))
+    """Counts of connected sets, none of which is written."""
+    c = corpus(spark, sf_dir)
+    return graph.subset_counts(_dag(c), c.nodes, 2, 7)
+
+
+@query
+def subgraph_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight sets a network, drawn by number: how many there are, were drawn, differ, and are connected sets of the network."""
+    c = corpus(spark, sf_dir)
+    dag = _dag(c)
+    drawn = written(graph.drawn_subsets(dag, c.nodes, 8, 3, 7).select("bn_id", joined("members", ",")), "drawn")
+    known = graph.connected_subsets(dag, c.nodes, 3, 7).select("bn_id", joined("members", ","))
+    told = drawn.groupBy("bn_id").agg(F.count(F.lit(1)).alias("n_drawn"), F.count_distinct("members").alias("n_different"))
+    right = drawn.join(known, ["bn_id", "members"], "left_semi").groupBy("bn_id").agg(F.count(F.lit(1)).alias("n_right"))
+    return known.groupBy("bn_id").agg(F.count(F.lit(1)).alias("n_sets")).join(told, "bn_id").join(right, "bn_id")
 
 
 @query
