@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
-from ..functions.staging import written
+from ..functions.staging import shared_folder, written
 from ..operators import assemble, evaluate, evaluation_run, graph, prob, records, render
+from ..sources import files
 from . import empirical
 from .empirical import Corpus, corpus, table
 
@@ -358,6 +361,16 @@ def corpus_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.metadata(_titles(spark, sf_dir, c), source="star schema", cpd_dp=2)
 
 
+@query
+def corpus_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a record of one corpus file, written and read back in the order of the file."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.format_string("doc \"%d\"", "doc_id").alias("id"), "source", F.col("text").alias("generated_text"))
+    path = f"{shared_folder(spark)}/corpus-file-{uuid.uuid4().hex}"
+    files.write_corpus(docs, assemble.metadata(docs, source="documents"), path)
+    back = files.read_corpus(spark, path, "id string, source string, generated_text string")
+    return back.select("bn_pos", "id", F.col("record.source").alias("source"), F.md5("record.generated_text").alias("text_md5"))
+
+
 @query
 def missing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .corpus_file import read_members
+
 
 def existing(spark: SparkSession, *paths: str) -> None:
     """An error that names the first path that isn't there."""
@@ -19,6 +23,8 @@ def write_corpus(records: DataFrame, about: DataFrame, path: str, key: str = "id
 
     The files of the folder, one after another in name order, are one JSON object: ranges of positions
     make the tasks, and the head and the foot are the first and the last line. about: one row.
+    The lines are written beside the path and moved there when all are done, so a write that fails leaves
+    what was there before, and nothing else.
     """
     names = [c for c in records.columns if c != pos]
     body = records.select(F.col(pos).cast("long").alias("pos"), F.to_json(F.struct(F.col(key).cast("string").alias("k"))).alias("k"), F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("v"))
@@ -28,7 +34,18 @@ def write_corpus(records: DataFrame, about: DataFrame, path: str, key: str = "id
     head = about.select(F.lit(-2).cast("long").alias("pos"), F.concat(F.lit('{"metadata": '), F.to_json(F.struct(*about.columns), {"ignoreNullFields": "false"}), F.lit(', "bayesian_networks": {')).alias("value"))
     foot = about.select(F.lit((1 << 62)).cast("long").alias("pos"), F.lit("}}").alias("value"))
     rows = head.unionByName(body.select("pos", line.alias("value"))).unionByName(foot)
-    rows.repartitionByRange("pos").sortWithinPartitions("pos").select("value").write.mode("overwrite").text(path)
+    lines = rows.repartitionByRange("pos").sortWithinPartitions("pos").select("value")
+    spark = records.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{uuid.uuid4().hex}.writing")
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        lines.write.text(beside.toString())
+        store.delete(at, True)
+        if not store.rename(beside, at):
+            raise OSError(f"{beside.toString()} can't be moved to {path}")
+    finally:
+        store.delete(beside, True)
 
 
 def write_evaluation(tables, path: str) -> None:
@@ -43,10 +60,8 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """(bn_pos, id, record) of {"bayesian_networks": {id: record}} files, in the file's order; parsed with a schema, else text."""
-    text = spark.read.text(path, wholetext=True)
-    objects = F.from_json(F.get_json_object("value", "$.bayesian_networks"), "map<string,string>")
-    rows = text.select(F.posexplode(objects).alias("bn_pos", "id", "record"))
+    """(bn_pos, id, record) of a {"bayesian_networks": {id: record}} file or folder, in its order; parsed with a schema, else text as it is written."""
+    rows = read_members(spark, path)
     return rows if schema is None else rows.withColumn("record", F.from_json("record", schema))
 
 
