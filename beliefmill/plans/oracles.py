@@ -328,3 +328,9 @@ PLOTTED = ["node_f1", "node_recall", "pct_nodes_matched", "state_f1", "state_rec
 ORACLES["eval_plot_data"] = end(RUNS) + " " + " UNION ALL ".join(f"SELECT '{m}' AS metric, n_nodes, {r(m, 4)} AS value, count(*) AS n FROM final WHERE {m} IS NOT NULL GROUP BY ALL" for m in PLOTTED)
 
 ORACLES["corpus_roundtrip"] = "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS bn_pos, printf('doc \"%d\"', doc_id) AS id, source, md5(text) AS text_md5 FROM documents"
+
+ORACLES["token_chunks_hot"] = """WITH RECURSIVE e AS (SELECT lang, doc_id, cost, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM (SELECT lang, doc_id, len(regexp_extract_all(coalesce(text, ''), '\\S+'))::BIGINT AS cost FROM documents)),
+f AS (SELECT lang, doc_id, rn, 0::BIGINT AS chunk, cost, cost AS used FROM e WHERE rn = 1
+  UNION ALL SELECT e.lang, e.doc_id, e.rn, CASE WHEN used > 0 AND used + e.cost > 20000 THEN chunk + 1 ELSE chunk END, e.cost, CASE WHEN used > 0 AND used + e.cost > 20000 THEN e.cost ELSE used + e.cost END
+    FROM f JOIN e ON e.lang = f.lang AND e.rn = f.rn + 1)
+SELECT lang, doc_id, cost, chunk FROM f"""

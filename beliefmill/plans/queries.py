@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as T
 from ..functions.staging import shared_folder, written
-from ..operators import assemble, evaluate, evaluation_run, graph, prob, records, render
+from ..operators import assemble, chunks, evaluate, evaluation_run, graph, prob, records, render
 from ..sources import files
 from . import empirical
 from .empirical import Corpus, corpus, table
@@ -604,6 +604,11 @@ def svg_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.get_json_object("props", "$.k").cast("int") * 25).alias("cost")).where("cost is not null")
-    one = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "cost"))).alias("e"))
-    rows = one.select("user_id", F.explode(F.arrays_zip(F.col("e.event_id").alias("event_id"), N.greedy_chunks(F.col("e.cost"), 5000).alias("chunk"))).alias("x"))
-    return rows.select("user_id", "x.event_id", "x.chunk")
+    return chunks.greedy_chunk_rows(e, "user_id", "event_id", "cost", 5000).select("user_id", "event_id", F.col("chunk").cast("int").alias("chunk"))
+
+
+@query
+def token_chunks_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the words of all documents of a language; one language holds most documents, and its ranges are chunked at once."""
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", T.word_count(F.col("text")).alias("cost"))
+    return chunks.greedy_chunk_rows(d, "lang", "doc_id", "cost", 20000)
