@@ -181,7 +181,11 @@ ORACLES["upsert"] = "SELECT o_orderkey AS id, CASE WHEN o_orderkey IN (SELECT l_
 ORACLES["resume_anti"] = "SELECT o_orderkey AS id, o_orderpriority FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)"
 ORACLES["last_event"] = "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
 ORACLES["domain_quota"] = "SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10"
-ORACLES["watch_dedup"] = "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL"
+ORACLES["watch_dedup"] = "SELECT concat_ws(':', user_id, event_type) AS item, min(event_id) AS event_id, 'done' AS status FROM events GROUP BY ALL"
+ORACLES["watch_attempts"] = """SELECT item, event_id, n::INT AS attempt, CASE WHEN value <= 20 THEN 'done' WHEN n = 3 THEN 'given up' ELSE 'failed' END AS status,
+  CASE WHEN value > 20 THEN 'too dear' END AS error, CASE WHEN value <= 20 THEN value * 2 END AS answer
+FROM (SELECT *, count(*) OVER (PARTITION BY item ORDER BY event_id) AS n, count(*) FILTER (value <= 20) OVER (PARTITION BY item ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS good
+      FROM (SELECT concat_ws(':', user_id, event_type) AS item, event_id, value FROM events)) WHERE n <= 3 AND good = 0"""
 
 
 def prf(m: str, g: str, q: str) -> tuple[str, str, str]:

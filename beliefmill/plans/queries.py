@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.staging import shared_folder, written
 from ..operators import assemble, chunks, evaluate, evaluation_run, graph, prob, records, render
 from ..sources import files
+from ..streaming import states
 from . import empirical
 from .empirical import Corpus, corpus, table
 
@@ -296,10 +297,42 @@ def domain_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.per_group_quota(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 10)
 
 
+def _watched(spark: SparkSession, events: DataFrame, ask, most: int) -> DataFrame:
+    """Attempts at the events of (item, event_id, value), which come as files in four parts; after each part the stream is stopped and then resumed."""
+    place = f"{shared_folder(spark)}/watched-{uuid.uuid4().hex}"
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    for i in range(4):
+        part = F.floor((F.col("event_id") - F.lit(low)) * 4 / F.lit((high or 0) - (low or 0) + 1)) == i
+        events.where(part).write.mode("append").json(f"{place}/in")
+        run = states.run_attempts(spark, f"{place}/in", "item string, event_id bigint, value double", f"{place}/out", f"{place}/checkpoint", "item", "event_id", ask, "answer double", most)
+        run.awaitTermination()
+    return spark.read.schema("item string, event_id bigint, attempt int, status string, error string, answer double").parquet(f"{place}/out")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.concat_ws(":", "user_id", "event_type").alias("item"), "event_id", "value")
+
+
+def _never(record: dict) -> dict:
+    return {"answer": record["value"]}
+
+
+def _dear(record: dict) -> dict:
+    if record["value"] > 20:
+        raise ValueError("too dear")
+    return {"answer": record["value"] * 2}
+
+
 @query
 def watch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
-    return e.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    """The first event of each item, from a stream."""
+    return _watched(spark, _events(spark, sf_dir), _never, 1).select("item", "event_id", "status")
+
+
+@query
+def watch_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts at each item until one succeeds or three failed, from a stream that is stopped and resumed."""
+    return _watched(spark, _events(spark, sf_dir), _dear, 3)
 
 
 @query

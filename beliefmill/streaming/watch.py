@@ -33,8 +33,3 @@ def watch(spark: SparkSession, folder: str, schema: str, process: Callable[[Data
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def first_by_key(events: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
-    """A stream without repeats of a key; keys are forgotten `delay` behind the latest time."""
-    return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
