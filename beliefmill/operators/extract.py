@@ -17,6 +17,7 @@ from ..functions import numeric as N
 from ..functions import prompts as P
 from ..functions import text as T
 from ..functions.staging import written
+from ..functions.variants import json_leaves
 from . import graph, prob
 from .render import cpd_sections
 
@@ -58,16 +59,13 @@ def parse_joints(replies: DataFrame) -> DataFrame:
 def parse_multi_joints(replies: DataFrame) -> DataFrame:
     """Tables nested one level a parent, keys parent=state, to rows (bn_id, child, combo, child_state, p); two or three parents."""
     rows = _reply(replies, "multi_joints array<struct<child:string,parents:array<string>,table:string>>").select("bn_id", F.explode("j.multi_joints").alias("t"))
-    rows = rows.where("t.child is not null and size(t.parents) between 2 and 3").select("bn_id", F.col("t.child").alias("child"), F.col("t.parents").alias("parents"), F.col("t.table").alias("left"), F.array().cast("array<string>").alias("combo"))
-    done = None
-    for level in range(3):
-        opened = rows.select("bn_id", "child", "parents", "combo", F.explode(F.from_json("left", "map<string,string>")).alias("key", "left"))
-        prefix = F.concat(F.get("parents", level), F.lit("="))
-        opened = opened.where(F.startswith("key", prefix)).select("bn_id", "child", "parents", F.array_append("combo", F.substr("key", F.length(prefix) + 1)).alias("combo"), "left")
-        leaves = opened.where(F.size("parents") == level + 1)
-        done = leaves if done is None else done.union(leaves)
-        rows = opened.where(F.size("parents") > level + 1)
-    return done.select("bn_id", "child", "combo", F.explode(F.from_json("left", "map<string,string>")).alias("child_state", "v")).withColumn("p", F.col("v").try_cast("double")).drop("v")
+    rows = rows.where("t.child is not null and size(t.parents) between 2 and 3").select("bn_id", F.col("t.child").alias("child"), F.col("t.parents").alias("parents"), F.col("t.table").alias("left"))
+    leaves = json_leaves(rows, "left").where(F.size("path") == F.size("parents") + 1)
+    names = F.slice("path", F.lit(1), F.size("parents"))
+    prefix = F.transform("parents", lambda x: F.concat(x, F.lit("=")))
+    fits = F.forall(F.zip_with(names, prefix, lambda n, p: F.startswith(n, p)), lambda x: x)
+    combo = F.zip_with(names, prefix, lambda n, p: F.substr(n, F.length(p) + 1))
+    return leaves.where(fits).select("bn_id", "child", combo.alias("combo"), F.element_at("path", -1).alias("child_state"), F.col("value").try_cast("double").alias("p"))
 
 
 def edge_chunks(edges: DataFrame, size: int = 10) -> DataFrame:

@@ -338,3 +338,10 @@ f AS (SELECT lang, doc_id, rn, 0::BIGINT AS chunk, cost, cost AS used FROM e WHE
   UNION ALL SELECT e.lang, e.doc_id, e.rn, CASE WHEN used > 0 AND used + e.cost > 20000 THEN chunk + 1 ELSE chunk END, e.cost, CASE WHEN used > 0 AND used + e.cost > 20000 THEN e.cost ELSE used + e.cost END
     FROM f JOIN e ON e.lang = f.lang AND e.rn = f.rn + 1)
 SELECT lang, doc_id, cost, chunk FROM f"""
+
+_VALUES = "l_extendedprice::DOUBLE / 7 AS a, l_discount::DOUBLE / 3 AS b, l_tax::DOUBLE / 9 AS c, l_quantity::DOUBLE / 11 AS d"
+ORACLES["rounding_any_depth"] = f"""SELECT l_orderkey, l_linenumber, concat('{{"id": ', l_orderkey, ', "cpds": [{{"p": ', {r('a', 2)}::VARCHAR, ', "deep": {{"x": [', {r('b', 2)}::VARCHAR, ', 1, "0.12345 \\" 3.14159", ', {r('c', 2)}::VARCHAR,
+  ']}}}}], "new \\\\ 0.555": {{"any": ', {r('d', 2)}::VARCHAR, ', "n": null, "t": true}}}}') AS json FROM (SELECT *, {_VALUES} FROM lineitem)"""
+ORACLES["leaves_any_depth"] = f"""SELECT l_orderkey, l_linenumber, x.path AS path, x.value AS value FROM (SELECT l_orderkey, l_linenumber, unnest([{{'path': 'id', 'value': {r('l_orderkey::DOUBLE', 4)}::VARCHAR}}, {{'path': 'cpds/0/p', 'value': {r('a', 4)}::VARCHAR}},
+  {{'path': 'cpds/0/deep/x/0', 'value': {r('b', 4)}::VARCHAR}}, {{'path': 'cpds/0/deep/x/1', 'value': '1.0'}}, {{'path': 'cpds/0/deep/x/2', 'value': '0.12345 " 3.14159'}}, {{'path': 'cpds/0/deep/x/3', 'value': {r('c', 4)}::VARCHAR}},
+  {{'path': 'new \\ 0.555/any', 'value': {r('d', 4)}::VARCHAR}}, {{'path': 'new \\ 0.555/n', 'value': NULL}}, {{'path': 'new \\ 0.555/t', 'value': 'true'}}]) AS x FROM (SELECT *, {_VALUES} FROM lineitem))"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
+from ..functions import variants as V
 from ..functions.staging import shared_folder, written
 from ..operators import assemble, chunks, evaluate, evaluation_run, graph, prob, records, render
 from ..sources import files
@@ -610,6 +611,26 @@ def json_extract_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replies(spark, sf_dir).select("event_id", T.sliced_json(F.col("raw")).alias("json"))
 
 
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, l_linenumber, json): a record with fields that no schema foresees, for each line of an order."""
+    double = lambda c: F.col(c).cast("double")
+    text = F.concat(F.lit('{"id": '), F.col("l_orderkey"), F.lit(', "cpds": [{"p": '), (double("l_extendedprice") / 7).cast("string"), F.lit(', "deep": {"x": ['), (double("l_discount") / 3).cast("string"), F.lit(', 1, "0.12345 \\" 3.14159", '),
+                    (double("l_tax") / 9).cast("string"), F.lit(']}}], "new \\\\ 0.555": {"any": '), (double("l_quantity") / 11).cast("string"), F.lit(', "n": null, "t": true}}'))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("json"))
+
+
+@query
+def rounding_any_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nested(spark, sf_dir).select("l_orderkey", "l_linenumber", V.rounded_json(F.col("json")).alias("json"))
+
+
+@query
+def leaves_any_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = V.json_leaves(_nested(spark, sf_dir), "json")
+    value = F.when(F.col("value").rlike(r"^[0-9.]+$"), N.rounded(F.col("value").try_cast("double"), 4).cast("string")).otherwise(F.col("value"))
+    return found.select("l_orderkey", "l_linenumber", joined("path", "/"), value.alias("value"))
+
+
 @query
 def text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = F.array(*(F.struct(F.lit(n).alias("node"), F.array(*map(F.lit, ss)).alias("states")) for n, ss in (("Thion", ["And", "of the"]), ("LA", ["que", "nicht"]))))
