@@ -345,3 +345,4 @@ ORACLES["rounding_any_depth"] = f"""SELECT l_orderkey, l_linenumber, concat('{{"
 ORACLES["leaves_any_depth"] = f"""SELECT l_orderkey, l_linenumber, x.path AS path, x.value AS value FROM (SELECT l_orderkey, l_linenumber, unnest([{{'path': 'id', 'value': {r('l_orderkey::DOUBLE', 4)}::VARCHAR}}, {{'path': 'cpds/0/p', 'value': {r('a', 4)}::VARCHAR}},
   {{'path': 'cpds/0/deep/x/0', 'value': {r('b', 4)}::VARCHAR}}, {{'path': 'cpds/0/deep/x/1', 'value': '1.0'}}, {{'path': 'cpds/0/deep/x/2', 'value': '0.12345 " 3.14159'}}, {{'path': 'cpds/0/deep/x/3', 'value': {r('c', 4)}::VARCHAR}},
   {{'path': 'new \\ 0.555/any', 'value': {r('d', 4)}::VARCHAR}}, {{'path': 'new \\ 0.555/n', 'value': NULL}}, {{'path': 'new \\ 0.555/t', 'value': 'true'}}]) AS x FROM (SELECT *, {_VALUES} FROM lineitem))"""
+ORACLES["upsert_slots"] = ORACLES["upsert"]

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions import variants as V
 from ..functions.staging import shared_folder, written
 from ..operators import assemble, chunks, evaluate, evaluation_run, graph, prob, records, render
+from ..operators.keyed_table import KeyedTable
 from ..sources import files
 from ..streaming import states
 from . import empirical
@@ -282,6 +283,18 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.upsert(o, o.join(big, "id").withColumn("status", F.lower("status")))
 
 
+@query
+def upsert_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statuses of all orders in a keyed table, into which those of orders with large lines are put in two batches."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("id")).agg(F.min("o_orderstatus").alias("status"))
+    held = KeyedTable(spark, "id", slots=8, buckets=8).create(o)
+    big = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("id")).distinct()
+    new = o.join(big, "id").withColumn("status", F.lower("status"))
+    held.upsert(new.where("id % 1000 < 10"))
+    held.upsert(new.where("id % 1000 >= 10"))
+    return held.read()
+
+
 @query
 def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
