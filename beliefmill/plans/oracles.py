@@ -346,3 +346,4 @@ ORACLES["leaves_any_depth"] = f"""SELECT l_orderkey, l_linenumber, x.path AS pat
   {{'path': 'cpds/0/deep/x/0', 'value': {r('b', 4)}::VARCHAR}}, {{'path': 'cpds/0/deep/x/1', 'value': '1.0'}}, {{'path': 'cpds/0/deep/x/2', 'value': '0.12345 " 3.14159'}}, {{'path': 'cpds/0/deep/x/3', 'value': {r('c', 4)}::VARCHAR}},
   {{'path': 'new \\ 0.555/any', 'value': {r('d', 4)}::VARCHAR}}, {{'path': 'new \\ 0.555/n', 'value': NULL}}, {{'path': 'new \\ 0.555/t', 'value': 'true'}}]) AS x FROM (SELECT *, {_VALUES} FROM lineitem))"""
 ORACLES["upsert_slots"] = ORACLES["upsert"]
+ORACLES["completions_ledger"] = """SELECT doc_id, 'ok' AS status, CASE WHEN bool_or(doc_id % 2 = 0) OVER (PARTITION BY coalesce(text, '')) THEN 1 ELSE 2 END AS run, length(coalesce(text, '')) AS n_chars FROM documents"""

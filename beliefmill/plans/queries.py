@@ -13,7 +13,7 @@ from ..functions import variants as V
 from ..functions.staging import shared_folder, written
 from ..operators import assemble, chunks, evaluate, evaluation_run, graph, prob, records, render
 from ..operators.keyed_table import KeyedTable
-from ..sources import files
+from ..sources import completions, files, ledger
 from ..streaming import states
 from . import empirical
 from .empirical import Corpus, corpus, table
@@ -599,6 +599,21 @@ def eval_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.box(e, "value")
 
 
+@query
+def completions_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions of all texts in two runs: the first asks for those of even ids, the second for those that the ledger lacks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("m").alias("model"), F.lit("Count.").alias("system"), F.coalesce("text", F.lit("")).alias("user"))
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+
+    def provider(run: int):
+        return lambda model, system, user: (f'{{"run": {run}, "n": {len(user)}}}', "stop")
+
+    ledger.complete_live(docs.where("doc_id % 2 = 0"), provider(1), path)
+    found = ledger.complete_live(docs, provider(2), path)
+    met = completions.replay(docs, found)
+    return met.select("doc_id", "status", F.get_json_object("raw", "$.run").cast("int").alias("run"), F.get_json_object("raw", "$.n").cast("bigint").alias("n_chars"))
+
+
 # Text
 
 

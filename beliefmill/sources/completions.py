@@ -62,6 +62,29 @@ def replay(prompts: DataFrame, completions: DataFrame) -> DataFrame:
     return met.withColumn("status", status).withColumn("raw", F.when(F.col("status") == "ok", F.col("raw"))).drop("finish_reason")
 
 
+REPLY = pa.schema([(c.split()[0], pa.string()) for c in SCHEMA.split(", ")])
+
+
+def answer(row: dict, call, retry: Retry, sleep: Callable[[float], None], wants_json: bool, busy: Callable[[float], None] = lambda _: None) -> dict:
+    """The completion of one prompt, asked for up to retry.attempts times; busy hears of waits after a rate limit."""
+    status, reason, raw = "failed", None, None
+    for attempt in range(retry.attempts):
+        try:
+            raw, reason = call(row["model"], row["system"], row["user"])
+            if not wants_json or reason == "max_tokens" or holds_json(raw):
+                status = "ok"
+                break
+            reason = BAD_REPLY
+        except Exception as e:  # a service's failures are of any kind; the row records them
+            reason = str(e)[:200]
+        if attempt + 1 < retry.attempts:
+            wait = retry.wait(reason, attempt)
+            if wait == retry.rate_limit:
+                busy(wait)
+            sleep(wait)
+    return {"prompt_hash": row["prompt_hash"], "model": row["model"], "status": status, "finish_reason": reason, "raw": raw}
+
+
 def complete(prompts: DataFrame, call: Callable[[str, str, str], tuple[str, str]], retry: Retry = Retry(), sleep: Callable[[float], None] = time.sleep, wants_json: bool = True) -> DataFrame:
     """Ask `call(model, system, user) -> (text, finish_reason)` for each distinct prompt within tasks.
 
@@ -72,21 +95,6 @@ def complete(prompts: DataFrame, call: Callable[[str, str, str], tuple[str, str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                status, reason, raw = "failed", None, None
-                for attempt in range(retry.attempts):
-                    try:
-                        raw, reason = call(row["model"], row["system"], row["user"])
-                        if not wants_json or reason == "max_tokens" or holds_json(raw):
-                            status = "ok"
-                            break
-                        reason = BAD_REPLY
-                    except Exception as e:  # a service's failures are of any kind; the row records them
-                        reason = str(e)[:200]
-                    if attempt + 1 < retry.attempts:
-                        sleep(retry.wait(reason, attempt))
-                out.append({"prompt_hash": row["prompt_hash"], "model": row["model"], "status": status, "finish_reason": reason, "raw": raw})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([(c.split()[0], pa.string()) for c in SCHEMA.split(", ")]))
+            yield pa.RecordBatch.from_pylist([answer(row, call, retry, sleep, wants_json) for row in batch.to_pylist()], REPLY)
 
     return asked.mapInArrow(run, SCHEMA)
