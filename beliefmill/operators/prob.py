@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from . import packed
 
 
 def ordered(pos: str, value: str) -> Column:
@@ -137,23 +138,9 @@ def all_cpds(marginal: DataFrame, joint: DataFrame, multi_joint: DataFrame, edge
     """One table a node: (bn_id, node, kind, combo_pos, combo, state_pos, state, p).
 
     No parents: prior. One: the conditional. More: exact where a multi-parent joint of the child is
-    given, else naive Bayes.
+    given, else naive Bayes. Tables meet in one shuffle by bn_id, after which a network is a row.
     """
-    families = parent_map(edges)
-    nodes = node_state.select("bn_id", "node").distinct()
-    roots = nodes.join(families.select("bn_id", F.col("child").alias("node")), ["bn_id", "node"], "left_anti")
-    many = families.where(F.size("parents") > 1)
-    given = multi_joint.select("bn_id", "child").distinct()
-    empty = F.array().cast("array<string>")
-    parts = [
-        priors(marginal, roots, node_state).select("bn_id", "node", F.lit("prior").alias("kind"), F.lit(0).alias("combo_pos"), empty.alias("combo"), "states", "values"),
-        single_parent(joint, edges, families, node_state).select("bn_id", F.col("child").alias("node"), F.lit("matrix").alias("kind"), "combo_pos", "combo", "states", "values"),
-        exact(multi_joint, many.join(given, ["bn_id", "child"], "left_semi"), node_state).select("bn_id", F.col("child").alias("node"), F.lit("exact").alias("kind"), "combo_pos", "combo", "states", "values"),
-        naive_bayes(joint, marginal, edges, many.join(given, ["bn_id", "child"], "left_anti"), node_state, exponent).select(
-            "bn_id", F.col("child").alias("node"), F.lit("naive_bayes").alias("kind"), "combo_pos", "combo", "states", "values"),
-    ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return cells(rows, "bn_id", "node", "kind", "combo_pos", "combo")
+    return cells(packed.all_cpds(marginal, joint, multi_joint, edges, node_state, exponent), "bn_id", "node", "kind", "combo_pos", "combo")
 
 
 def verify(cpds: DataFrame, families: DataFrame, tolerance: float = 0.01) -> DataFrame:
