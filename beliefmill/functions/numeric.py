@@ -158,10 +158,6 @@ def joint_budget(edges: Column, states: int = 4) -> Column:
     return F.least(F.lit(8000), F.greatest(F.lit(2000), edges * (40 * states * states)))
 
 
-def multi_joint_budget(leaves: Column) -> Column:
-    return F.least(F.lit(8000).cast("long"), F.greatest(F.lit(2000).cast("long"), leaves * 25))
-
-
 def greedy_chunks(costs: Column, budget: int) -> Column:
     """The chunk of each cost in order: a chunk is closed when it isn't empty and the next cost would pass the budget."""
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"))

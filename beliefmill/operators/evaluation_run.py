@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
+from ..functions import numeric as N
 from ..functions import text as T
 from ..functions.staging import written
 from . import evaluate
@@ -32,9 +33,15 @@ class Variant:
     strict_matching: bool = False
 
 
+def edge_key(parent: str, child: str) -> Column:
+    """The key of a request for an edge's table: both names as JSON, whatever they hold."""
+    return F.to_json(F.array(parent, child))
+
+
 def parsed(replies: DataFrame, step: str, schema: str) -> DataFrame:
-    """(sg_id, key, j) of the readable replies of a step; of a repeated (sg_id, key) the last raw by order counts."""
-    rows = replies.where(F.col("step") == step).groupBy("sg_id", "key").agg(F.max("raw").alias("raw"))
+    """(sg_id, key, j) of the readable replies of a step; of a repeated (sg_id, key) the one with the largest pos counts, where replies have one."""
+    last = F.max_by("raw", "pos") if "pos" in replies.columns else F.max("raw")
+    rows = replies.where(F.col("step") == step).groupBy("sg_id", "key").agg(last.alias("raw"))
     return rows.select("sg_id", "key", F.from_json(T.fenced_json(F.col("raw")), schema).alias("j")).where("j is not null")
 
 
@@ -109,7 +116,7 @@ def evaluation_rows(subgraphs: DataFrame, nodes: DataFrame, edges: DataFrame, ta
     of = lambda end: lists.select("sg_id", F.col("node").alias(end), F.size("pred_states").alias(f"n_{end}"), F.size("gt_states").alias(f"t_{end}"))
     matrix = parsed(replies, "cpd", "matrix array<array<double>>").select("sg_id", "key", F.col("j.matrix").alias("q"))
     met = correct.join(tables.where(F.size("m") > 0), ["sg_id", "parent", "child"]).join(of("parent"), ["sg_id", "parent"]).join(of("child"), ["sg_id", "child"])
-    met = met.where("n_parent > 0 and n_child > 0").withColumn("key", F.concat_ws("|", "parent", "child")).join(matrix, ["sg_id", "key"])
+    met = met.where("n_parent > 0 and n_child > 0").withColumn("key", edge_key("parent", "child")).join(matrix, ["sg_id", "key"])
     table_rows = evaluate.table_divergence(met, variant.predicted_dims, variant.need_both)
 
     kept = base.select("sg_id", "title", "domain", "n_gt", F.coalesce("n_edges", F.lit(0).cast("long")).alias("n_edges"), "n_total_states", "error")
@@ -123,10 +130,9 @@ def evaluation_rows(subgraphs: DataFrame, nodes: DataFrame, edges: DataFrame, ta
 
 def evaluation_tables(results: DataFrame) -> SimpleNamespace:
     """results, their aggregate over METRICS, and how often a size has a value, of each metric: what files and plots show."""
-    plots = None
-    for m in METRICS:
-        one = evaluate.by_size(results, m, "n_nodes").select(F.lit(m).alias("metric"), "n_nodes", "value", "n")
-        plots = one if plots is None else plots.unionByName(one)
+    stacked = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS))
+    values = results.select("n_nodes", F.inline(stacked)).where("n_nodes is not null and value is not null")
+    plots = values.groupBy("metric", "n_nodes", N.rounded(F.col("value"), 4).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return SimpleNamespace(results=results, aggregate=evaluate.aggregate(results, METRICS), plots=plots)
 
 
@@ -166,5 +172,5 @@ def run_passes(subgraphs: DataFrame, nodes: DataFrame, edges: DataFrame, ask: Ca
     correct = edges.distinct().join(evaluate.mapped_edges(guesses, named.where("canonical")), ["sg_id", "parent", "child"])
     end = lambda c: lists.select("sg_id", F.col("node").alias(c), F.struct(F.col("predicted").alias("node"), F.col("pred_states").alias("states")).alias(f"of_{c}"))
     met = correct.join(end("parent"), ["sg_id", "parent"]).join(end("child"), ["sg_id", "child"]).join(texts, "sg_id")
-    per_edge = met.select("sg_id", F.concat_ws("|", "parent", "child").alias("key"), recover("cpd", F.to_json(F.array("of_parent", "of_child"))))
+    per_edge = met.select("sg_id", edge_key("parent", "child").alias("key"), recover("cpd", F.to_json(F.array("of_parent", "of_child"))))
     return replies.union(asked("cpd", per_edge, system("cpd"), model))

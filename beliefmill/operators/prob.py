@@ -81,7 +81,7 @@ def combo_rows(multi_joint: DataFrame, families: DataFrame, node_state: DataFram
 
 
 def validate_multi_joints(multi_joint: DataFrame, families: DataFrame, node_state: DataFrame, floor: float = 0.0001) -> DataFrame:
-    """Joints of two or three parents: the full grid of each, floored; every combination's row is shared on its own."""
+    """Joints of two or three parents: the full grid of each, floored and shared over the whole table."""
     rows = combo_rows(multi_joint, families.where(F.size("parents").between(2, 3)), node_state)
     floored = F.transform("values", lambda x: F.greatest(F.lit(floor), F.coalesce(x, F.lit(floor))))
     long = cells(rows.withColumn("values", floored), "bn_id", "child", "combo_pos", "combo")

@@ -24,12 +24,7 @@ def numbered(rows: DataFrame, pos: str, pattern: str = "bn_%05d", name: str = "n
     inside = F.row_number().over(Window.partitionBy("part").orderBy(pos))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = spread.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    return spread.withColumn("n", inside).join(counts, "part").withColumn(name, F.format_string(pattern, (F.col("n") + F.col("before")).cast("int"))).drop("part", "n", "before")
-
-
-def rounded_values(values: Column, places: int = 2) -> Column:
-    """An array of doubles with every value rounded; nulls stay."""
-    return F.transform(values, lambda x: rounded(x, places))
+    return spread.withColumn("n", inside).join(counts, "part").withColumn(name, F.format_string(pattern, F.col("n") + F.col("before"))).drop("part", "n", "before")
 
 
 def final_merge(compact: DataFrame, marginal: DataFrame, generated: DataFrame) -> DataFrame:
@@ -70,11 +65,44 @@ def sample_per_group(rows: DataFrame, group: str, key: str, k: int, seed: int =
     return rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).drop("rn")
 
 
+def first_by_hash(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """The n rows that come first by seeded hash; rows of one key that share the last place fill it up.
+
+    Nothing is sorted: counts by the first digits of the hash tell which digits lie before the n-th row, and
+    the digits that it has are looked at more closely, until the rest is whole.
+    """
+    held = written(rows.withColumn("hash order", hash_order(F.col(key).cast("string"), seed)), "hashes")
+    place, left, taken = F.col("hash order"), n, None
+    low = ""
+    while left > 0:
+        digits = F.substring(place, 1, len(low) + 4)
+        counts = sorted(map(tuple, held.where(F.startswith(place, F.lit(low))).groupBy(digits).count().collect()))  # 16 ** 4 rows at most
+        whole, edge = None, None
+        for prefix, m in counts:
+            if m > left:
+                edge = prefix
+                break
+            left, whole = left - m, prefix
+        if whole is not None:
+            # all that begins as `low` does and isn't beyond the last whole digits
+            inside = F.startswith(place, F.lit(low)) & (digits <= whole)
+            taken = inside if taken is None else taken | inside
+        if edge is None or left == 0:
+            break
+        low = edge
+        if len(low) >= 32:
+            break
+    out = held.where(taken) if taken is not None else held.limit(0)
+    if left and len(low) >= 32:
+        out = out.unionByName(held.where(place == low).limit(left))
+    return out.drop("hash order")
+
+
 def cap_rows(rows: DataFrame, key: str, required: str, cap: int, seed: int = 42) -> DataFrame:
     """Rows marked `required`, all of them, and as many others, by seeded hash, as the cap leaves room for."""
     must = rows.where(required)
     room = max(0, cap - must.count())
-    return must.unionByName(rows.where(~F.coalesce(F.expr(required), F.lit(False))).orderBy(hash_order(F.col(key), seed), key).limit(room))
+    return must.unionByName(first_by_hash(rows.where(~F.coalesce(F.expr(required), F.lit(False))), key, room, seed))
 
 
 def sliced(rows: DataFrame, key: str, pos: str, limit: int | None = None, offset: int = 0, start: str | None = None) -> DataFrame:
@@ -99,9 +127,13 @@ def issue_status(records: DataFrame, issues: DataFrame, key: str = "bn_id") -> D
     return met.withColumn("status", F.when(F.col("n_issues") > 0, "warn").otherwise("ok"))
 
 
+def passes_strict(status: Column) -> Column:
+    return status == "ok"
+
+
 def strict(records: DataFrame) -> DataFrame:
     """Of records with a status, those without issues."""
-    return records.where("status = 'ok'")
+    return records.where(passes_strict(F.col("status")))
 
 
 def collected_titles(found: DataFrame, target: int, seed: int = 42) -> DataFrame:

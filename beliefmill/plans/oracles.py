@@ -328,7 +328,7 @@ final AS (SELECT k.sg_id, title, domain, 7::BIGINT AS n_nodes, coalesce(ge.n, 0)
 RUNS = TWO.replace("WITH", "WITH RECURSIVE", 1) + DAG + TITLES + node_metrics() + EDGE_M + RUN
 ORACLES["eval_run"] = end(RUNS) + f" SELECT * REPLACE ({r('cpd_kl', 4)} AS cpd_kl, {r('cpd_kl_symmetric', 4)} AS cpd_kl_symmetric) FROM final"
 ORACLES["eval_run_variant"] = end(RUNS) + f" SELECT sg_id, error, node_f1, edge_f1, n_cpd_evaluated, {r('cpd_kl', 4)} AS cpd_kl FROM final"
-PLOTTED = ["node_f1", "node_recall", "pct_nodes_matched", "state_f1", "state_recall", "pct_states_matched", "edge_f1", "edge_recall", "pct_correct_edges", "pct_spurious_edges", "n_extra_nodes"]
+PLOTTED = ["node_f1", "node_recall", "pct_nodes_matched", "state_f1", "state_recall", "pct_states_matched", "edge_f1", "edge_recall", "pct_correct_edges", "pct_spurious_edges", "n_extra_nodes", "cpd_kl", "cpd_kl_symmetric"]
 ORACLES["eval_plot_data"] = end(RUNS) + " " + " UNION ALL ".join(f"SELECT '{m}' AS metric, n_nodes, {r(m, 4)} AS value, count(*) AS n FROM final WHERE {m} IS NOT NULL GROUP BY ALL" for m in PLOTTED)
 
 ORACLES["corpus_roundtrip"] = "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS bn_pos, printf('doc \"%d\"', doc_id) AS id, source, md5(text) AS text_md5 FROM documents"
