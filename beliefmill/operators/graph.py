@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions.staging import written
-from . import prob
+from . import prob, wide
 
 
 def greedy_dag(edges: Column) -> Column:
@@ -30,13 +30,20 @@ def greedy_dag(edges: Column) -> Column:
     return F.aggregate(edges, zero, step, lambda acc: acc["kept"])
 
 
+#: Edges of a network that are folded inside an expression, and nodes whose levels are relaxed there; larger networks are
+#: worked on as bit sets, with the same results.
+FOLDED = 64
+
+
 def validate_dag(edges: DataFrame, nodes: DataFrame, keep_duplicates: bool = True) -> DataFrame:
     """(bn_id, edge_pos, parent, child): edges between known nodes, scanned in order, that close no cycle."""
     names = nodes.select("bn_id", "node")
     known = edges.join(names.withColumnRenamed("node", "parent"), ["bn_id", "parent"], "left_semi").join(names.withColumnRenamed("node", "child"), ["bn_id", "child"], "left_semi")
     each = F.struct(F.col("edge_pos").cast("int").alias("edge_pos"), F.col("parent"), F.col("child"))
     one = known.groupBy("bn_id").agg(F.array_sort(F.collect_list(each)).alias("e"))
-    kept = one.select("bn_id", F.explode(greedy_dag(F.col("e"))).alias("e")).select("bn_id", "e.*")
+    few = F.size("e") <= FOLDED
+    kept = one.where(few).select("bn_id", F.explode(greedy_dag(F.col("e"))).alias("e")).select("bn_id", "e.*")
+    kept = kept.unionByName(one.where(~few).mapInArrow(wide.accepted_rows, kept.schema))
     if keep_duplicates:
         return kept
     return kept.groupBy("bn_id", "parent", "child").agg(F.min("edge_pos").alias("edge_pos")).select("bn_id", "edge_pos", "parent", "child")
@@ -47,13 +54,16 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     names = nodes.groupBy("bn_id").agg(F.array_sort(F.collect_list(F.struct("node_pos", "node"))).alias("n"))
     links = edges.groupBy("bn_id").agg(F.collect_set(F.struct("parent", "child")).alias("e"))
     met = names.join(links, "bn_id", "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<parent:string,child:string>>")))
+    few = F.size("n") + F.size("e") <= FOLDED
+    large, met = met.where(~few).select("bn_id", "n", "e"), met.where(few)
     place = lambda x: F.array_position(F.col("n.node"), x)
     parents = F.transform("n", lambda n: F.transform(F.filter("e", lambda e: e["child"] == n["node"]), lambda e: place(e["parent"]).cast("int")))
     met = met.withColumn("up", parents)
     zero = F.transform("n", lambda _: F.lit(0))
     relax = lambda acc: F.transform("up", lambda up: F.coalesce(F.array_max(F.transform(up, lambda i: F.get(acc, i - 1) + 1)), F.lit(0)))
     met = met.withColumn("level", F.aggregate(F.sequence(F.lit(1), F.size("n")), zero, lambda acc, _: relax(acc)))
-    return met.select("bn_id", F.explode(F.arrays_zip("n", "level")).alias("x")).select("bn_id", "x.n.node_pos", "x.n.node", "x.level")
+    out = met.select("bn_id", F.explode(F.arrays_zip("n", "level")).alias("x")).select("bn_id", "x.n.node_pos", "x.n.node", "x.level")
+    return out.unionByName(large.mapInArrow(wide.level_rows, out.schema))
 
 
 def topological(level: DataFrame) -> DataFrame:

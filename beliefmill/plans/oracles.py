@@ -347,3 +347,7 @@ ORACLES["leaves_any_depth"] = f"""SELECT l_orderkey, l_linenumber, x.path AS pat
   {{'path': 'new \\ 0.555/any', 'value': {r('d', 4)}::VARCHAR}}, {{'path': 'new \\ 0.555/n', 'value': NULL}}, {{'path': 'new \\ 0.555/t', 'value': 'true'}}]) AS x FROM (SELECT *, {_VALUES} FROM lineitem))"""
 ORACLES["upsert_slots"] = ORACLES["upsert"]
 ORACLES["completions_ledger"] = """SELECT doc_id, 'ok' AS status, CASE WHEN bool_or(doc_id % 2 = 0) OVER (PARTITION BY coalesce(text, '')) THEN 1 ELSE 2 END AS run, length(coalesce(text, '')) AS n_chars FROM documents"""
+ORACLES["wide_levels"] = """WITH RECURSIVE p AS (SELECT event_type AS bn_id, user_id AS a, lead(user_id) OVER (PARTITION BY event_type ORDER BY event_id) AS b FROM events),
+e AS (SELECT DISTINCT bn_id, least(a, b) AS a, greatest(a, b) AS b FROM p WHERE b IS NOT NULL AND a <> b),
+walk AS (SELECT DISTINCT bn_id, a AS node, 0 AS level FROM p UNION SELECT e.bn_id, e.b, level + 1 FROM walk JOIN e ON e.bn_id = walk.bn_id AND e.a = walk.node)
+SELECT bn_id, node::INT AS node_pos, node::VARCHAR AS node, max(level) AS level FROM walk GROUP BY bn_id, node"""

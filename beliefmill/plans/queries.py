@@ -179,6 +179,17 @@ def bn_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.levels(_dag(c), c.nodes).select("bn_id", "node", "level")
 
 
+@query
+def wide_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of networks as wide as there are users: an edge from the lower to the higher of the users of two events of a type in a row."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("bn_id"), "event_id", F.col("user_id").cast("string").alias("node"), "user_id")
+    nodes = e.groupBy("bn_id", "node").agg(F.min("user_id").cast("int").alias("node_pos"))
+    after = F.lead("user_id").over(Window.partitionBy("bn_id").orderBy("event_id"))
+    pairs = e.select("bn_id", "event_id", F.col("user_id").alias("a"), after.alias("b")).where("b is not null")
+    edges = pairs.select("bn_id", F.col("event_id").alias("edge_pos"), F.least("a", "b").cast("string").alias("parent"), F.greatest("a", "b").cast("string").alias("child"))
+    return graph.levels(graph.validate_dag(edges, nodes), nodes)
+
+
 @query
 def bn_topo(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
