@@ -168,6 +168,9 @@ ORACLES["subgraph_reroot"] = end(corpus(DAG, SETS, INDUCED, MARG, """
 mem AS (SELECT sub_id, bn_id, unnest(m) AS node FROM subs),
 cut AS (SELECT * FROM mem WHERE EXISTS (SELECT 1 FROM dag e WHERE e.bn_id = mem.bn_id AND e.child = mem.node) AND NOT EXISTS (SELECT 1 FROM ind i WHERE i.sub_id = mem.sub_id AND i.child = mem.node))""", recursive=True)) + " " + unnest("sub_id, node", "(SELECT sub_id, node, names, v FROM cut JOIN shared USING (bn_id, node))")
 ORACLES["subgraph_recompute"] = end(corpus(DAG, SETS, INDUCED, GRID, nullable(0.001), "kept AS (SELECT DISTINCT sub_id, bn_id, parent, child FROM ind)", recursive=True)) + f" SELECT sub_id, k.parent, k.child, parent_state, state_pos, state, {r('p')} AS p FROM kept k JOIN pair USING (bn_id, parent, child)"
+_PART = values([(x,) for x in [*dict(NODES)["part type"], "none"]])
+ORACLES["subgraph_recompute_lacking"] = end(corpus(DAG, SETS, INDUCED, GRID, nullable(0.001), MARG, "kept AS (SELECT DISTINCT sub_id, bn_id, parent, child FROM ind)", recursive=True)) + f""" SELECT sub_id, k.parent, k.child, parent_state, state_pos, state, {r('p')} AS p FROM kept k JOIN pair USING (bn_id, parent, child) WHERE NOT (k.parent = 'part type' AND k.child = 'quantity band')
+  UNION ALL SELECT sub_id, parent, node, parent_state, state_pos, state, p FROM (""" + unnest("sub_id, parent, node, parent_state", f"(SELECT sub_id, parent, node, t.parent_state, names, v FROM kept k JOIN shared s ON s.bn_id = k.bn_id AND s.node = k.child, {_PART} AS t(parent_state) WHERE k.parent = 'part type' AND k.child = 'quantity band')") + ")"
 ORACLES["subgraph_sample_cap"] = end(corpus(DAG, SETS, """
 picked AS (SELECT bn_id, sub_id, md5(sub_id || ':42') AS h FROM subs QUALIFY row_number() OVER (PARTITION BY bn_id ORDER BY md5(sub_id || ':42'), sub_id) <= 10)""", recursive=True)) + """ SELECT bn_id, sub_id FROM picked WHERE bn_id = 'bn_00001'
   UNION ALL SELECT bn_id, sub_id FROM (SELECT *, row_number() OVER (ORDER BY h, sub_id) AS rn FROM picked WHERE bn_id <> 'bn_00001') WHERE rn <= 100 - (SELECT count(*) FROM picked WHERE bn_id = 'bn_00001')"""

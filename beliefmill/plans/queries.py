@@ -250,6 +250,14 @@ def subgraph_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.recompute_cpds(_subsets(c), _dag(c), c.joint, c.marginal, c.node_state).select("sub_id", "parent", "child", "parent_state", "state_pos", "state", r6())
 
 
+@query
+def subgraph_recompute_lacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As subgraph_recompute, where the joint of an edge is missing: its tables come from the child's marginal."""
+    c = corpus(spark, sf_dir)
+    joint = c.joint.where("not (parent = 'part type' and child = 'quantity band')")
+    return graph.recompute_cpds(_subsets(c), _dag(c), joint, c.marginal, c.node_state).select("sub_id", "parent", "child", "parent_state", "state_pos", "state", r6())
+
+
 @query
 def subgraph_sample_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = records.sample_per_group(_subsets(corpus(spark, sf_dir)).select("bn_id", "sub_id"), "bn_id", "sub_id", 10)
