@@ -172,6 +172,14 @@ def verbalize(prompts: DataFrame, wanted: DataFrame, ask: Ask, model: str) -> Da
     return met.select("bn_id", "generated_text", T.missing_from(F.col("generated_text"), F.col("nodes")).alias("missing"))
 
 
+#: Headings and remarks of the verbalization prompt, kept word for word so that models are told of networks
+#: as in earlier corpora.
+HEADINGS = {
+    "title": "TITLE: ", "domain": "DOMAIN: ", "states": "NODES AND STATES:", "edges": "CAUSAL CONNECTIONS:", "no edges": "  (no edges — all nodes are roots)",
+    "tables": "CONDITIONAL PROBABILITY TABLES:", "arrow": "  →  ", "root": "  (root — prior distribution)", "bare root": "  (root — no prior available)",
+}
+
+
 def verbalization_prompts(nodes: DataFrame, node_state: DataFrame, edges: DataFrame, priors: DataFrame, cpd: DataFrame, titles: DataFrame) -> DataFrame:
     """(bn_id, user): title and domain, nodes and states, connections, and probability tables, in node order.
 
@@ -181,17 +189,17 @@ def verbalization_prompts(nodes: DataFrame, node_state: DataFrame, edges: DataFr
     gather = lambda rows, line, *order: rows.groupBy("bn_id").agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("l")).select("bn_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("s"))
     states = gather(lists, F.concat(F.lit("  "), "node", F.lit(": ["), F.array_join("states", ", "), F.lit("]")), "node_pos").withColumnRenamed("s", "states")
     links = edges.join(nodes.select("bn_id", F.col("node").alias("child"), "node_pos"), ["bn_id", "child"])
-    arrows = gather(links, F.concat(F.lit("  "), "parent", F.lit("  →  "), "child"), "node_pos", "edge_pos").withColumnRenamed("s", "arrows")
+    arrows = gather(links, F.concat(F.lit("  "), "parent", F.lit(HEADINGS["arrow"]), "child"), "node_pos", "edge_pos").withColumnRenamed("s", "arrows")
     heads = priors.groupBy("bn_id", "node").agg(F.array_sort(F.collect_list(F.struct("state_pos", T.prior_line(F.col("node"), F.col("state"), F.col("p")).alias("line")))).alias("l"))
-    heads = heads.select("bn_id", "node", F.lit(-1).alias("edge_pos"), F.concat(F.lit("["), "node", F.lit("]  (root — prior distribution)\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("section"))
+    heads = heads.select("bn_id", "node", F.lit(-1).alias("edge_pos"), F.concat(F.lit("["), "node", F.lit("]" + HEADINGS["root"] + "\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("section"))
     bare = graph.roots(edges, nodes).join(priors.select("bn_id", "node").distinct(), ["bn_id", "node"], "left_anti")
-    bare = bare.select("bn_id", "node", F.lit(-1).alias("edge_pos"), F.concat(F.lit("["), "node", F.lit("]  (root — no prior available)")).alias("section"))
+    bare = bare.select("bn_id", "node", F.lit(-1).alias("edge_pos"), F.concat(F.lit("["), "node", F.lit("]" + HEADINGS["bare root"])).alias("section"))
     tables = cpd_sections(cpd).join(edges, ["bn_id", "parent", "child"]).select("bn_id", F.col("child").alias("node"), "edge_pos", "section")
     sections = gather(heads.unionByName(bare).unionByName(tables).join(nodes, ["bn_id", "node"]), F.concat(F.lit("\n"), "section"), "node_pos", "edge_pos").withColumnRenamed("s", "sections")
     met = titles.join(states, "bn_id", "left").join(arrows, "bn_id", "left").join(sections, "bn_id", "left")
     part = lambda c, other="": F.coalesce(F.col(c), F.lit(other))
-    return met.select("bn_id", F.concat_ws("\n", F.concat(F.lit("TITLE: "), part("title")), F.concat(F.lit("DOMAIN: "), part("domain")), F.lit(""), F.lit("NODES AND STATES:"), part("states"), F.lit(""), F.lit("CAUSAL CONNECTIONS:"),
-                                          part("arrows", "  (no edges — all nodes are roots)"), F.lit(""), F.lit("CONDITIONAL PROBABILITY TABLES:"), part("sections")).alias("user"))
+    return met.select("bn_id", F.concat_ws("\n", F.concat(F.lit(HEADINGS["title"]), part("title")), F.concat(F.lit(HEADINGS["domain"]), part("domain")), F.lit(""), F.lit(HEADINGS["states"]), part("states"), F.lit(""), F.lit(HEADINGS["edges"]),
+                                          part("arrows", HEADINGS["no edges"]), F.lit(""), F.lit(HEADINGS["tables"]), part("sections")).alias("user"))
 
 
 #: The domains of the article source and the searches that each begins with.
