@@ -52,15 +52,16 @@ def sizes(nodes: Column) -> tuple[Column, Column]:
     return F.size(nodes), F.aggregate(F.map_values(nodes), F.lit(0), lambda s, x: s + F.size(x["parents"]))
 
 
-def final_records(titles: DataFrame, nodes: DataFrame, node_state: DataFrame, edges: DataFrame, marginal: DataFrame, joint: DataFrame, floor: float = 0.01, uniform_prior: bool = False) -> DataFrame:
+def final_records(titles: DataFrame, nodes: DataFrame, node_state: DataFrame, edges: DataFrame, marginal: DataFrame, joint: DataFrame, floor: float = 0.01, uniform_prior: bool = False,
+                  related: DataFrame | None = None) -> DataFrame:
     """titles (bn_id, …) with id, nodes, n_nodes and n_edges: levels, priors of roots, and a nullable matrix a parent.
 
-    marginal: the validated one. A network without a joint for an edge has a matrix of nulls there.
+    marginal: the validated one; related as in prob.pairwise_nullable. A network without a joint for an edge has a matrix of nulls there.
     """
     lists = prob.state_lists(node_state)
     members = graph.levels(edges, nodes).join(lists, ["bn_id", "node"])
     priors = final_prior(marginal, graph.roots(edges, nodes), node_state, uniform_prior)
-    cells = prob.pairwise_nullable(joint, edges, node_state, floor)
+    cells = prob.pairwise_nullable(joint, edges, node_state, floor, related)
     first = edges.groupBy("bn_id", "parent", "child").agg(F.min("edge_pos").alias("edge_pos"))
     tables = matrices(cells, "bn_id").join(first, ["bn_id", "parent", "child"])
     n_nodes, n_edges = sizes(F.col("nodes"))

@@ -53,8 +53,8 @@ def conditional_tables() -> Column:
     return F.zip_with("parents", "lists", lambda p, states: F.transform(states, lambda s: row(p, s)))
 
 
-def all_cpds(marginal: DataFrame, joint: DataFrame, multi_joint: DataFrame, edges: DataFrame, node_state: DataFrame, exponent: int = 1) -> DataFrame:
-    """(bn_id, node, kind, combo_pos, combo, states, values): a row a combination of parents' states, of one table a node."""
+def tables(marginal: DataFrame, joint: DataFrame, multi_joint: DataFrame, edges: DataFrame, node_state: DataFrame, exponent: int = 1) -> DataFrame:
+    """(bn_id, node, kind, states, parents, lists, found): a row a node; found: (combo, values) of each combination of its parents' states."""
     nets = packed(states=(node_state, ["node", "state_pos", "state"]), edges=(edges, ["edge_pos", "parent", "child"]), marginal=(marginal, ["node", "state", "p"]),
                   joint=(joint, ["parent", "child", "parent_state", "child_state", "p"]), multi=(multi_joint, ["child", "combo", "child_state", "p"]))
     rows = families(nets)
@@ -73,4 +73,14 @@ def all_cpds(marginal: DataFrame, joint: DataFrame, multi_joint: DataFrame, edge
         .when(F.size("multi") > 0, F.transform(combos, lambda c: entry(c, N.exact_row(leaf(c)))))
         .otherwise(N.bound(conditional_tables(), lambda t: F.transform(combos, lambda c: entry(c, N.naive_bayes_row(given(t, c), F.col("values"), exponent)))))
     )
-    return rows.select("bn_id", "node", kind.alias("kind"), "states", F.posexplode(found).alias("combo_pos", "r")).select("bn_id", "node", "kind", "combo_pos", "r.combo", "states", "r.values")
+    return rows.select("bn_id", "node", kind.alias("kind"), "states", "parents", "lists", found.alias("found"))
+
+
+def all_cpds(marginal: DataFrame, joint: DataFrame, multi_joint: DataFrame, edges: DataFrame, node_state: DataFrame, exponent: int = 1) -> DataFrame:
+    """(bn_id, node, kind, combo_pos, combo, states, values): a row a combination of parents' states, of one table a node."""
+    return opened(tables(marginal, joint, multi_joint, edges, node_state, exponent))
+
+
+def opened(tables: DataFrame) -> DataFrame:
+    """Tables of a node a row, to a row a combination."""
+    return tables.select("bn_id", "node", "kind", "states", F.posexplode("found").alias("combo_pos", "r")).select("bn_id", "node", "kind", "combo_pos", "r.combo", "states", "r.values")
