@@ -6,12 +6,14 @@ Its key bn_id is its place among the records, as two records may carry one id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import variants as V
+from ..functions.numeric import bound
 from ..functions.staging import written
 from . import extract, graph, packed, prob, render
 
@@ -56,8 +58,8 @@ def tables(records: DataFrame) -> SimpleNamespace:
                            joint=extract.parse_joints(usable), multi_joint=extract.parse_multi_joints(usable))
 
 
-def nested(parents: Column, found: Column) -> Column:
-    """{"parent=state": {"parent=state": [p, …]}} of an array column of (combo, values), one level a parent.
+def nested(parents: Column, found: Column, inner: Callable[[Column], Column] = F.to_json) -> Column:
+    """{"parent=state": {"parent=state": [p, …]}} of an array column of (combo, values), one level a parent; inner: values as JSON.
 
     Combinations come in the order of their states, the last parent's fastest. From one to the next, the
     levels that both share stay open and the others are closed and opened anew.
@@ -70,7 +72,7 @@ def nested(parents: Column, found: Column) -> Column:
         shared = F.when(i == 0, 0).otherwise(shared)
         names = F.zip_with(parents, row["combo"], lambda p, s: quoted(F.concat(p, F.lit("="), s)))
         start = F.when(i == 0, "{").otherwise(F.concat(F.repeat(F.lit("}"), depth - 1 - shared), F.lit(", ")))
-        return F.concat(start, F.array_join(F.slice(names, shared + 1, depth - shared), ": {"), F.lit(": "), F.to_json(row["values"]))
+        return F.concat(start, F.array_join(F.slice(names, shared + 1, depth - shared), ": {"), F.lit(": "), inner(row["values"]))
 
     return F.concat(F.array_join(F.transform(found, leaf), ""), F.repeat(F.lit("}"), depth))
 
@@ -103,6 +105,55 @@ def json_array(parts: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(parts, ", "), F.lit("]"))
 
 
+def _distinct(rows: Column, of: Callable[[Column], Column]) -> Column:
+    return F.array_distinct(F.transform(rows, of))
+
+
+def _as_map(cells: Column, key: str, value: str = "p") -> Column:
+    return F.map_from_entries(F.transform(cells, lambda c: F.struct(c[key], c[value])))
+
+
+def raw_records(titles: DataFrame, t: SimpleNamespace) -> DataFrame:
+    """(bn_id, record): networks of long tables, as `tables` opens them, as records again.
+
+    titles (bn_id, …): the fields that each record begins with. Then come nodes, edges, topological_order, marginals,
+    joints and multi_joints, and the numbers of nodes and edges. All tables meet in one shuffle by bn_id.
+    """
+    order = graph.topological(graph.levels(t.edges, t.nodes))
+    nets = packed.packed(nodes=(t.nodes, ["node_pos", "node"]), states=(t.node_state, ["node", "state_pos", "state"]), edges=(t.edges, ["edge_pos", "parent", "child"]), order=(order, ["topo_pos", "node"]),
+                         marginal=(t.marginal, ["node", "state", "p"]), joint=(t.joint, ["parent", "child", "parent_state", "child_state", "p"]), multi=(t.multi_joint, ["child", "combo", "child_state", "p"]))
+    nets = nets.select("bn_id", *(F.array_sort(c).alias(c) for c in nets.columns[1:]))
+    nodes = F.transform("nodes", lambda n: F.struct(n["node"].alias("name"), F.transform(F.filter("states", lambda s: s["node"] == n["node"]), lambda s: s["state"]).alias("states")))
+    edges = F.transform("edges", lambda e: F.struct(e["parent"].alias("parent"), e["child"].alias("child")))
+
+    def marginal(n: Column) -> Column:
+        return F.struct(n, _as_map(F.filter("marginal", lambda m: m["node"] == n), "state"))
+
+    def joint(e: Column) -> Column:
+        own = F.filter("joint", lambda c: (c["parent"] == e["parent"]) & (c["child"] == e["child"]))
+        return bound(own, lambda own: F.struct(e["parent"].alias("parent"), e["child"].alias("child"), F.map_from_entries(F.transform(
+            _distinct(own, lambda c: c["parent_state"]), lambda s: F.struct(s, _as_map(F.filter(own, lambda c: c["parent_state"] == s), "child_state")))).alias("table")))
+
+    def multi(child: Column) -> Column:
+        parents = _distinct(F.filter("edges", lambda e: e["child"] == child), lambda e: e["parent"])
+        own = F.filter("multi", lambda c: c["child"] == child)
+        rows = bound(own, lambda own: F.transform(_distinct(own, lambda c: c["combo"]), lambda s: F.struct(s.alias("combo"), F.filter(own, lambda c: c["combo"] == s).alias("values"))))
+        table = bound(F.struct(parents.alias("parents"), rows.alias("rows")), lambda x: nested(x["parents"], x["rows"], lambda cells: F.to_json(_as_map(cells, "child_state"))))
+        return F.concat(F.lit('{"child": '), quoted(child), F.lit(', "parents": '), F.to_json(parents), F.lit(', "table": '), table, F.lit("}"))
+
+    fields = {
+        "nodes": F.to_json(nodes), "edges": F.to_json(edges), "topological_order": F.to_json(F.transform("order", lambda o: o["node"])),
+        "marginals": F.to_json(F.map_from_entries(F.transform(_distinct(F.col("marginal"), lambda m: m["node"]), marginal))),
+        "joints": F.to_json(F.transform(_distinct(F.col("joint"), lambda c: F.struct(c["parent"].alias("parent"), c["child"].alias("child"))), joint)),
+        "multi_joints": json_array(F.transform(_distinct(F.col("multi"), lambda c: c["child"]), multi)),
+        "n_nodes": F.size("nodes").cast("string"), "n_edges": F.size("edges").cast("string"),
+    }
+    given = [c for c in titles.columns if c != "bn_id"]
+    made = nets.select("bn_id", with_fields(F.lit("{}"), fields).alias("body"))
+    head = F.regexp_replace(F.to_json(F.struct(*given), {"ignoreNullFields": "false"}), r"\}$", "")
+    return titles.join(made, "bn_id").select("bn_id", F.concat(head, F.lit(", "), F.substring("body", 2, 1 << 30)).alias("record"))
+
+
 def cpd_records(records: DataFrame, drawn: Column) -> tuple[DataFrame, DataFrame]:
     """Parsed records (bn_id, …, record, j) with cpds, cpd_issues and svg_path at their end, and (bn_id, svg).
 

@@ -108,6 +108,10 @@ cpds AS (
 EVERY = corpus(GRID, COND, MARG, NB, MULTI, ALL)
 ORACLES["bn_cpd_all"] = end(EVERY) + " " + unnest("bn_id, node, kind, combo", "cpds")
 ORACLES["compact_record"] = end(EVERY) + f" SELECT replace(bn_id, 'bn_', 'compact_') AS new_id, bn_id AS source_id, node, combo, names[i] AS state, {r('v[i]', 2)} AS p FROM cpds, unnest(range(1, len(names) + 1)) AS u(i)"
+NESTED = "CASE WHEN kind IN ('exact', 'naive_bayes') THEN 'nested' ELSE kind END AS kind"
+ORACLES["cpd_records"] = end(EVERY) + " " + unnest(f"bn_id, 0 AS issues, node, {NESTED}, combo", "cpds")
+ORACLES["compact_file"] = end(EVERY) + f""" SELECT printf('bn_%05d', row_number) AS id, bn_id AS source_id, 'market segment' AS first, node, {NESTED}, combo, i - 1 AS state_pos, names[i] AS state, {r('v[i]', 2)} AS p
+  FROM cpds JOIN (SELECT bn_id, row_number() OVER (ORDER BY nk) AS row_number FROM bn) USING (bn_id), unnest(range(1, len(names) + 1)) AS u(i)"""
 ORACLES["bn_prior"] = end(corpus(MARG)) + " " + unnest("bn_id, node", f"(SELECT * FROM prior WHERE node IN {ROOTS})")
 ORACLES["bn_prior_uniform"] = end(corpus()) + f" SELECT bn_id, node, state_pos, state, {r('1.0::DOUBLE / count(*) OVER (PARTITION BY bn_id, node)')} AS p FROM bn, states WHERE node IN {ROOTS}"
 

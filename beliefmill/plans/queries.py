@@ -11,11 +11,11 @@ from ..functions import numeric as N
 from ..functions import text as T
 from ..functions import variants as V
 from ..functions.staging import shared_folder, written, written_counting
-from ..operators import assemble, chunks, evaluate, evaluation_run, graph, prob, records, render
+from ..operators import assemble, chunks, evaluate, evaluation_run, graph, network_records, prob, records, render
 from ..operators.keyed_table import KeyedTable
 from ..sources import completions, files, ledger
 from ..streaming import states
-from . import empirical
+from . import empirical, jobs
 from .empirical import Corpus, corpus, table
 
 QUERIES: dict = {}
@@ -142,6 +142,53 @@ def compact_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cpds.join(ids, "bn_id").select("new_id", F.col("bn_id").alias("source_id"), "node", joined("combo"), "state", N.rounded(F.col("p"), 2).alias("p"))
 
 
+def _raw_lines(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the empirical corpus as raw records, a JSON line each."""
+    c = corpus(spark, sf_dir)
+    titles = c.bn.select("bn_id", "nk", F.col("bn_id").alias("id"), F.format_string("Network \"%d\"", "nk").alias("title"), F.lit("trade").alias("domain"))
+    made = network_records.raw_records(titles.drop("nk"), c).join(c.bn.select("bn_id", F.col("nk").alias("pos")), "bn_id")
+    path = f"{shared_folder(spark)}/raw-records-{uuid.uuid4().hex}"
+    files.write_lines(made, path)
+    return path
+
+
+def _table_cells(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys…, node, kind, combo, state_pos, state, p) of the tables (entry, JSON) of records."""
+    schema = "node string, node_states array<string>, parents array<struct<name:string>>, prior array<double>, parent_states array<string>, matrix array<array<double>>, cpd string, derivation string"
+    each = rows.withColumn("e", F.from_json("entry", schema))
+    cell = lambda combo, state, i, p: F.struct(combo.alias("combo"), i.cast("int").alias("state_pos"), state.alias("state"), p.alias("p"))
+    prior = F.transform("e.prior", lambda p, i: cell(F.lit(""), F.get("e.node_states", i), i, p))
+    matrix = F.flatten(F.transform("e.matrix", lambda row, i: F.transform(row, lambda p, at: cell(F.get("e.parent_states", at), F.get("e.node_states", i), i, p))))
+    flat = each.where("e.cpd is null").select(*keys, F.col("e.node").alias("node"), F.when(F.col("e.prior").isNull(), "matrix").otherwise("prior").alias("kind"), F.explode(F.coalesce(prior, matrix)).alias("c"))
+    flat = flat.select(*keys, "node", "kind", "c.*")
+    leaves = V.json_leaves(each.where("e.cpd is not null").select(*keys, F.col("e.node").alias("node"), "e.node_states", "e.parents", F.col("e.cpd").alias("cpd")), "cpd")
+    pos = F.element_at("path", -1).cast("int")
+    state = lambda part, p: F.substr(part, F.length(p["name"]) + 2)
+    combo = F.array_join(F.zip_with(F.slice("path", F.lit(1), F.size("parents")), "parents", state), "|")
+    many = leaves.select(*keys, "node", F.lit("nested").alias("kind"), combo.alias("combo"), pos.alias("state_pos"), F.get("node_states", pos).alias("state"), F.col("value").cast("double").alias("p"))
+    return flat.unionByName(many)
+
+
+@query
+def cpd_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All networks as raw records in files, given their tables by the run from file to file, and the tables read back from its output."""
+    out = f"{shared_folder(spark)}/cpd-records-{uuid.uuid4().hex}"
+    jobs.cpds(spark, _raw_lines(spark, sf_dir), f"{out}/records", f"{out}/drawings")
+    back = files.read_json_lines(spark, f"{out}/records", "id string, cpds array<string>, cpd_issues array<string>")
+    return _table_cells(back.select(F.col("id").alias("bn_id"), F.size("cpd_issues").alias("issues"), F.explode("cpds").alias("entry")), "bn_id", "issues")
+
+
+@query
+def compact_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records with tables made short, as one corpus file, and its rounded tables read back."""
+    out = f"{shared_folder(spark)}/compact-{uuid.uuid4().hex}"
+    jobs.cpds(spark, _raw_lines(spark, sf_dir), f"{out}/records", f"{out}/drawings")
+    jobs.compact(spark, f"{out}/records", f"{out}/compact")
+    back = files.read_corpus(spark, f"{out}/compact", "source_id string, topological_order array<string>, cpds array<string>")
+    rows = back.select("id", F.col("record.source_id").alias("source_id"), F.element_at("record.topological_order", 1).alias("first"), F.explode("record.cpds").alias("entry"))
+    return _table_cells(rows, "id", "source_id", "first")
+
+
 # Graphs
 
 
