@@ -2,9 +2,11 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -170,6 +172,39 @@ def test_secrets_and_ledger(spark):
     assert secrets.spans_by_path(*(lambda x: (x[0], x[2]))(secrets.scan_versions(odd_docs(spark, [])))).count() == 0
 
 
+def test_secrets_with_a_ledger_on_storage(spark, tmp_path, monkeypatch):
+    """Runs add to one folder and scan what is new; a run that is lost before its rename leaves nothing behind."""
+    folder = str(tmp_path / "ledger")
+    docs = odd_docs(spark, [(i, t, "s") for i, t in SECRETS])
+    first = odd_docs(spark, [(i, t, "s") for i, t in SECRETS[: len(SECRETS) // 2]])
+    assert secrets.read_ledger(spark, folder)[0].count() == 0
+
+    with monkeypatch.context() as m:
+        def stuck(spark, path, of=secrets._folder):
+            at, store = of(spark, path)
+            return at, SimpleNamespace(rename=lambda a, b: False, delete=store.delete, globStatus=store.globStatus)
+
+        m.setattr(secrets, "_folder", stuck)
+        with pytest.raises(OSError):
+            secrets.scan_into(folder, first)
+    assert secrets.read_ledger(spark, folder)[0].count() == 0 and not [x for x in os.listdir(folder) if "writing" in x]
+
+    _, ledger, _ = secrets.scan_into(folder, first)
+    n = ledger.count()
+    assert n == len({t or "" for _, t in SECRETS[: len(SECRETS) // 2]}) * len(secrets.RULES)
+    scanned = []
+    scan = secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda blobs, rules: scanned.append(blobs.count()) or scan(blobs, rules))
+    paths, ledger, findings = secrets.scan_into(folder, docs)
+    whole = secrets.scan_versions(docs)
+    assert scanned[0] == ledger.count() // len(secrets.RULES) - n // len(secrets.RULES)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(ledger) == rows(whole[1]) and rows(findings) == rows(whole[2])
+    assert sorted(map(str, secrets.spans_by_path(paths, findings).collect())) == sorted(map(str, secrets.spans_by_path(whole[0], whole[2]).collect()))
+    paths, _, findings = secrets.scan_into(folder, docs.union(docs))
+    assert scanned[-1] == 0 and secrets.spans_by_path(paths, findings).count() == 2 * len(SECRETS)
+
+
 def test_secrets_after_a_rule_changed(spark):
     """A new version of a rule is scanned again, and only its findings count; repeated rows and a long text keep theirs."""
     long = "x = 1\n" * 200_000 + "token: abcdef99\n" + "y" * 500_000
