@@ -136,18 +136,18 @@ def strict(records: DataFrame) -> DataFrame:
     return records.where(passes_strict(F.col("status")))
 
 
-def collected_titles(found: DataFrame, target: int, seed: int = 42) -> DataFrame:
+def collected_titles(found: DataFrame, target: int, seed: int = 42, kept: int | None = None) -> DataFrame:
     """(domain, title, rank): of search results (domain, domain_pos, seed_pos, result_pos, title), `target` titles a domain.
 
     Titles with a colon are left out, a title counts in the first domain that has it, collecting stops at
-    three times the target, and a seeded order picks among those.
+    three times the target, and a seeded order picks among those; kept: so many of them instead of `target`.
     """
     plain = found.where(F.col("title").isNotNull() & ~F.contains("title", F.lit(":")))
     place = F.struct("domain_pos", "seed_pos", "result_pos", "domain")
     first = plain.groupBy("title").agg(F.min(place).alias("at")).select("title", "at.*")
     early = first.withColumn("rn", F.row_number().over(Window.partitionBy("domain").orderBy("seed_pos", "result_pos", "title"))).where(F.col("rn") <= 3 * target)
     order = Window.partitionBy("domain").orderBy(hash_order(F.col("title"), seed), "title")
-    return early.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= target).select("domain", "title", "rank")
+    return early.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (kept or target)).select("domain", "title", "rank")
 
 
 def per_group_quota(rows: DataFrame, group: str, pos: str, n: int) -> DataFrame:

@@ -1,18 +1,21 @@
 """From path to path: the runs over corpus files, one function each.
 
-Raw records (JSON lines) get their tables with `cpds`, are made short with `compact`, and meet their texts
+Search results and articles become raw records with `networks`. Raw records (JSON lines) get their tables with `cpds`, are made short with `compact`, and meet their texts
 in `final`. Each run reads files of any number and size, writes beside or over the target when all is
 done, and returns how many records took which way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from types import SimpleNamespace
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.staging import written, written_counting
-from ..operators import assemble, graph, network_records, prob
-from ..operators.records import last_wins, numbered
+from ..operators import assemble, extract, graph, network_records, prob
+from ..operators.records import articles_in_range, collected_titles, last_wins, numbered
 from ..sources import files
 
 
@@ -21,6 +24,49 @@ def _placed(lines: DataFrame) -> DataFrame:
     return network_records.parsed(lines.withColumn("bn_id", F.format_string("%d", "pos")))
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def networks(found: DataFrame, articles: DataFrame, ask: extract.Ask, model: str, target: str, per_domain: int = 10, seed: int = 42, chunk_size: int = 10) -> dict[str, int]:
+    """Search results to raw records: titles, articles of a fit length, extraction, until each domain has `per_domain` networks.
+
+    found: as records.collected_titles takes it; articles (title, url, text), of a repeated title the first by url. A round asks for
+    as many of a domain's next titles as it lacks networks, so a failed article is made up for by the next
+    title; it ends when all domains are full or out of titles, after 3 * per_domain rounds at most. Records are
+    numbered from wiki_00000 by domain and title order. With a ledger behind `ask`, a run that starts again
+    asks only what it hadn't got. Returns how many articles were asked about, failed, and written.
+    """
+    spark = found.sparkSession
+    one = articles.groupBy("title").agg(F.min(F.struct("url", F.trim("text").alias("text"))).alias("a")).select("title", "a.*")
+    fit = articles_in_range(one, F.size(F.split("text", r"\s+")))
+    places = found.groupBy("domain").agg(F.min("domain_pos").alias("domain_pos"))
+    titles = collected_titles(found, per_domain, seed, kept=3 * per_domain)
+    titles = written(titles.join(fit, "title").join(places, "domain").withColumn("bn_id", F.col("title")), "candidates")
+    tried, parts = spark.createDataFrame([], "bn_id string, domain string, status string"), []
+    while True:
+        had = tried.groupBy("domain").agg(F.count(F.when(F.col("status") == "ok", 1)).alias("had"))
+        left = titles.join(tried.select("bn_id"), "bn_id", "left_anti").withColumn("turn", F.row_number().over(Window.partitionBy("domain").orderBy("rank")))
+        now = written(left.join(had, "domain", "left").where(F.col("turn") <= per_domain - F.coalesce("had", F.lit(0))).select("bn_id", "domain", "text"), "round")
+        if now.isEmpty():
+            break
+        got = extract.extract(now.select("bn_id", "text"), ask, model, chunk_size)
+        parts.append(got)
+        tried = written(tried.unionByName(now.select("bn_id", "domain").join(got.outcome, "bn_id")), "tried")
+    done = titles.join(tried.where("status = 'ok'").select("bn_id"), "bn_id", "left_semi")
+    placed = numbered(done.withColumn("place", F.struct("domain_pos", "rank", "title")), "place", "%d", "number").withColumn("pos", F.col("number").cast("long") - 1)
+    placed = written(placed.select("pos", "bn_id", F.format_string("wiki_%05d", "pos").alias("id"), "title", "domain", "url", "text"), "placed")
+    if parts:
+        t = SimpleNamespace(**{name: _all([getattr(p, name) for p in parts]) for name in ("nodes", "node_state", "edges", "marginal", "joint", "multi_joint")})
+        made = network_records.raw_records(placed.drop("pos").withColumn("real", F.lit(1)), t).join(placed.select("bn_id", "pos"), "bn_id")
+    else:
+        made = spark.createDataFrame([], "pos bigint, record string")
+    rows, n = written_counting(made, "raw", {"written": F.lit(True)})
+    files.write_lines(rows, target)
+    asked = tried.count()
+    return {"asked": asked, "failed": asked - n["written"]} | n
+
+
 def cpds(spark: SparkSession, source: str, target: str, svg_dir: str, strict: bool = False) -> dict[str, int]:
     """Raw records to records with cpds, cpd_issues and svg_path, and a drawing a record; statuses ok, warn, skipped.
 

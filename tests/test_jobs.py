@@ -98,3 +98,31 @@ def test_nested_tables_of_any_depth(spark):
     df = spark.createDataFrame([(parents, rows)], "parents array<string>, found array<struct<combo:array<string>,values:array<double>>>")
     text = df.select(R.nested(F.col("parents"), F.col("found"))).first()[0]
     assert json.loads(text) == {f"p={a}": {f"q={b}": {f"r={c}": [3.0, 0.0] for c in lists[2]} for b in lists[1]} for a in lists[0]}
+
+
+def test_from_titles_to_networks(spark, tmp_path):
+    """Failed articles are made up for by the domain's next titles, short ones aren't asked about, and each title is asked about once."""
+    from beliefmill.functions.prompts import SYSTEM
+    from test_core import REPLIES
+
+    found = [(d, i, 0, k, f"{d} {k}") for i, d in enumerate(["late", "early"][::-1]) for k in range(5)] + [("early", 0, 0, 9, "Category:x")]
+    long = "word " * 100
+    articles = [(f"{d} {k}", "u", "short" if (d, k) == ("early", 0) else long) for d in ("late", "early") for k in range(5)] + [("early 1", "v", "short")]
+    told = spark.createDataFrame([(SYSTEM["extract", k], v) for k, v in REPLIES.items()], "system string, raw string")
+    asked = []
+
+    def ask(prompts):
+        asked.append({r.bn_id for r in prompts.select("bn_id").distinct().collect()})
+        return prompts.where("bn_id not in ('early 1', 'early 2', 'late 0', 'late 1', 'late 2', 'late 3')").join(told, "system")
+
+    found = spark.createDataFrame(found, "domain string, domain_pos int, seed_pos int, result_pos int, title string")
+    n = jobs.networks(found, spark.createDataFrame(articles, "title string, url string, text string"), ask, "m", str(tmp_path / "raw"), per_domain=2)
+    rows = lines(tmp_path / "raw")
+    assert [(r["id"], r["domain"]) for r in rows] == [("wiki_00000", "early"), ("wiki_00001", "early"), ("wiki_00002", "late")]
+    assert {r["title"] for r in rows} == {"early 3", "early 4", "late 4"} and n["written"] == 3 and n["failed"] == n["asked"] - 3
+    first = asked[0]
+    assert len(first) == 4 and "early 0" not in set().union(*asked)
+    net = rows[0]
+    assert net["real"] == 1 and net["url"] == "u" and net["text"] == long.strip() and net["n_edges"] == len(net["edges"]) == 2 and net["topological_order"] == ["A", "B", "C"]
+    assert jobs.cpds(spark, str(tmp_path / "raw"), str(tmp_path / "cpds"), str(tmp_path / "svgs")) == {"ok": 3, "warn": 0, "skipped": 0}
+    assert [list(e)[-2] for e in lines(tmp_path / "cpds")[0]["cpds"]] == ["parents", "parents", "cpd"]
