@@ -5,7 +5,8 @@ lists. A partner of a set of n members shares needed(n) of them at least, and it
 many of these it has beside others; so a small set lists its subsets of every size from needed(n) to n,
 and two sets meet in the subset that both have whole. Light lists give their pairs; heavy lists give
 stars, first around the member that is in most heavy lists, and only what the stars leave in different
-components is compared further, in blocks. Sizes and parity signatures, whose length follows the size of
+components is compared further, in blocks; the links that this leaves out are found inside the components
+(links.py). Sizes and parity signatures, whose length follows the size of
 the set, tell unlike pairs apart without their texts; every other candidate is verified on whole texts.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from itertools import combinations
 from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, mix64, staged, tidy
 from .components import connected_components
+from .links import heavy_links, light_links, link_counts
 from .shingles import shingle_sets
 
 #: Buckets of the frequency sketch: its size is fixed, and so is what is broadcast.
@@ -319,21 +322,18 @@ def apart(rest: DataFrame, reps: DataFrame, percent: int, block: int) -> DataFra
     return met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, light: int = LIGHT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(documents, links) of the similarity join.
+class Joined(NamedTuple):
+    """What a join has found: texts, their sets, a row a distinct set, components, links that span them, members of heavy lists."""
 
-    documents (doc_id, n_shingles, component_id): one row a row of docs. links (a, b): pairs of document
-    ids that stand for different sets and hold the components together; copies of a set aren't
-    expanded, and pairs inside a component that heavy lists would give again and again aren't all listed.
+    source: DataFrame
+    sets: DataFrame
+    reps: DataFrame
+    labels: DataFrame
+    links: DataFrame
+    members: DataFrame | None
 
-    A set has the distinct shingles of `width` lower-cased words of the whole text; fewer words are one
-    shingle. Null, empty and white texts have the empty set, size 0, and link with nothing: their
-    component is their own id. Repeated rows have equal sets and so one component; an id that repeats
-    with another text counts as two documents; null ids take part and never become a component_id
-    unless a component has no other. Empty tables give empty results; extra columns are ignored.
 
-    Sets are told apart by 128 bits and shingles by 64. The sketch of member frequencies covers all documents.
-    """
+def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, light: int, block: int, whole: bool) -> Joined:
     spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -345,7 +345,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         load[r["n"]] = r["k"]
     members = max(1, int(load.sum()))
     small = boundary(float((load.astype(float) ** 2).sum() / members - members / SKETCH), percent)
-    reps = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", *BITS, "fine")))
+    reps = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", *BITS, "fine")), F.count(F.lit(1)).alias("w"))
     reps = staged(reps.withColumn("node", F.monotonically_increasing_id()), "jaccard-reps")
 
     shared = spark.sparkContext.broadcast(load)
@@ -363,6 +363,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = verified(pairs, reps, source, percent, width)
     labels = connected_components(links)
 
+    members = staged(heavy.select("node").distinct(), "jaccard-members") if whole else None
     rest = staged(open_lists(heavy, labels), "jaccard-apart")
     dropped(heavy)
     more = candidates(apart(rest, reps, percent, block).join(pairs, ["a", "b"], "left_anti"), reps, percent)
@@ -374,20 +375,49 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         labels = connected_components(links)
     dropped(more)
 
-    joined = reps.join(labels, "node", "left").select("k1", "k2", "id", F.coalesce("component", "node").alias("c"))
+    return Joined(source, sets, reps, labels, links, members)
+
+
+def _documents(found: Joined, counts: DataFrame | None = None) -> DataFrame:
+    joined = found.reps.join(found.labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
     names = joined.groupBy("c").agg(F.min("id").alias("component_id"))
-    named = joined.join(names, "c").select("k1", "k2", "component_id")
-    out = sets.join(named, ["k1", "k2"], "left")
+    more = []
+    if counts is not None:
+        joined = joined.join(counts, "node", "left").withColumn("n_links", F.col("w") - 1 + F.coalesce("k", F.lit(0)))
+        more = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    named = joined.join(names, "c").select("k1", "k2", "component_id", *(["n_links"] if more else []))
+    out = found.sets.join(named, ["k1", "k2"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    documents = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
-    ids = lambda x: reps.select(F.col("node").alias(x), F.col("id").alias(f"id_{x}"))
-    named_links = links.join(ids("a"), "a").join(ids("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    return documents, named_links
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), *more)
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, light: int = LIGHT, block: int = BLOCK, counts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents, links) of the similarity join.
+
+    documents (doc_id, n_shingles, component_id, with counts also n_links): one row a row of docs; n_links
+    are the other rows of docs that a row links with, its copies among them. links (a, b): every pair of
+    different sets that link, once, as the smallest ids of the documents that have them; copies of a set
+    aren't expanded. Links of heavy lists are worked out when links is read; counts makes none of them rows.
+
+    A set has the distinct shingles of `width` lower-cased words of the whole text; fewer words are one
+    shingle. Null, empty and white texts have the empty set, size 0, and link with nothing: their
+    component is their own id. Repeated rows have equal sets and so one component; an id that repeats
+    with another text counts as two documents; null ids take part and never become a component_id
+    unless a component has no other. Empty tables give empty results; extra columns are ignored.
+
+    Sets are told apart by 128 bits and shingles by 64. The sketch of member frequencies covers all documents.
+    """
+    found = _joined(docs, id_col, text_col, percent, width, light, block, True)
+    of = lambda with_counts: heavy_links(found.source, found.reps, found.labels, found.members, percent, width, with_counts, block)
+    documents = _documents(found, staged(link_counts(found.links, found.reps, found.members, of(True)), "jaccard-counts") if counts else None)
+    links = light_links(found.links, found.members).union(of(False))
+    ids = lambda x: found.reps.select(F.col("node").alias(x), F.col("id").alias(f"id_{x}"))
+    return documents, links.join(ids("a"), "a").join(ids("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
     """The rows of docs, all columns, whose id is their component's smallest; of rows that repeat id and text one stays."""
-    documents = staged(jaccard_join(docs, id_col, text_col, percent, width)[0], "jaccard-documents")
+    documents = staged(_documents(_joined(docs, id_col, text_col, percent, width, LIGHT, BLOCK, False)), "jaccard-documents")
     first = documents.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(first, docs[id_col].eqNullSafe(first["doc_id"]), "left_semi")
     if documents.groupBy("doc_id").count().where("count > 1").isEmpty():

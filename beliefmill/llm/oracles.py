@@ -73,10 +73,12 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w),
 h AS (SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS k, s FROM s),
-sets AS (SELECT k, min(doc_id) AS id, any_value(n) AS n, any_value(s) AS s FROM h WHERE n > 0 GROUP BY k),
+sets AS (SELECT k, min(doc_id) AS id, any_value(n) AS n, any_value(s) AS s, count(*) AS w FROM h WHERE n > 0 GROUP BY k),
 m AS (SELECT id, n, unnest(s) AS x FROM sets),
-edges AS (SELECT a.id AS a, b.id AS b FROM m AS a JOIN m AS b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),""" + _REACH + """
-SELECT h.doc_id, h.n::BIGINT AS n_shingles, coalesce(low.component, sets.id, h.doc_id) AS component_id FROM h LEFT JOIN sets USING (k) LEFT JOIN low ON low.a = sets.id
+edges AS (SELECT a.id AS a, b.id AS b FROM m AS a JOIN m AS b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),""" + _REACH + """,
+k AS (SELECT near.a, sum(w) AS k FROM near JOIN sets ON sets.id = near.b GROUP BY near.a)
+SELECT h.doc_id, h.n::BIGINT AS n_shingles, coalesce(low.component, sets.id, h.doc_id) AS component_id, coalesce(w - 1 + coalesce(k.k, 0), 0)::BIGINT AS n_links
+FROM h LEFT JOIN sets USING (k) LEFT JOIN low ON low.a = sets.id LEFT JOIN k ON k.a = sets.id
 """
 
 VECTORS = """

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))[0]
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), counts=True)[0]
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beliefmill.llm import chat, components, decontaminate, jaccard, mixing, quality, secrets, suffixes, tokens, urls, vectors
+from beliefmill.llm.links import similar
 from beliefmill.llm.queries import public_tokenizer
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -81,6 +82,50 @@ def test_jaccard_against_all_pairs(spark, corpus, light, block):
     assert links.where("a = b").count() == 0
 
 
+def brute_links(rows):
+    """(what jaccard_join returns with counts, the links of different sets as the smallest ids of each)."""
+    sets, degree, low, pairs = [shingles(t) for _, t, _ in rows], [0] * len(rows), {}, set()
+    for (d, _, _), s in zip(rows, sets, strict=True):
+        ids = [x for x in (d, low.get(frozenset(s))) if x is not None]
+        low[frozenset(s)] = min(ids) if ids else None
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+            degree[i] += 1
+            degree[j] += 1
+            if sets[i] != sets[j]:
+                pairs.add(frozenset((frozenset(sets[i]), frozenset(sets[j]))))
+    part = {(d, n): c for d, n, c in brute_components(rows)}
+    documents = [(d, len(s), part[d, len(s)], k) for (d, _, _), s, k in zip(rows, sets, degree, strict=True)]
+    return sorted(documents, key=str), sorted((sorted((low[x] for x in p), key=str) for p in pairs), key=str)
+
+
+@pytest.mark.parametrize(("light", "block"), [(1, 3), (4, 2000)])
+def test_jaccard_links_are_whole(spark, corpus, light, block):
+    """Also with near copies of one text, which are in heavy lists together, repeated rows and null ids."""
+    rng = random.Random(3)
+    base = prose(rng, 200).split()
+    texts = [" ".join([*base[:5 * i], "x", *base[5 * i + 1:]]) for i in range(40)]
+    rows = [*corpus[-90:], *((1000 + i, t, None) for i, t in enumerate([*texts, texts[0], texts[0], texts[7]])), (1003, texts[3], None), (None, base[0], None)]
+    got, links = jaccard.jaccard_join(odd_docs(spark, rows), light=light, block=block, counts=True)
+    documents, pairs = brute_links(rows)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == documents
+    found = sorted((sorted(tuple(r), key=str) for r in links.collect()), key=str)
+    assert found == pairs and sum(p[0] >= 1000 for p in pairs if None not in p) == 780
+
+
+def test_jaccard_links_by_size(spark):
+    """Sizes at the threshold itself, one set inside another, in one block or two."""
+    members = np.arange(500, dtype=np.uint64)
+    sets = [members[:n] for n in (100, 80, 79, 125, 126, 64, 156, 157, 1, 1)]
+    want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if min(len(sets[i]), len(sets[j])) * 100 >= 80 * max(len(sets[i]), len(sets[j]))}
+    for first in (np.ones(10, bool), np.arange(10) % 2 == 0):
+        within = bool(first.all())
+        got = [(min(int(i), int(j)), max(int(i), int(j))) for i, others in similar(sets, first, 80, within) for j in others]
+        assert len(got) == len(set(got)) and set(got) == {p for p in want if within or first[p[0]] != first[p[1]]}
+    assert not list(similar(sets[:1], np.ones(1, bool), 80, True)) and not list(similar(sets[:2], np.ones(2, bool), 80, False))
+
+
 def test_jaccard_long_texts_with_a_common_passage(spark):
     """Unlike texts of 3,000 shingles, which share a passage, are told apart by their signatures, and near ones still meet."""
     rng = random.Random(8)
@@ -106,7 +151,7 @@ def test_jaccard_long_texts_with_a_common_passage(spark):
 
 
 def test_jaccard_empty_table(spark):
-    got, links = jaccard.jaccard_join(odd_docs(spark, []))
+    got, links = jaccard.jaccard_join(odd_docs(spark, []), counts=True)
     assert got.count() == 0 and links.count() == 0
 
 
