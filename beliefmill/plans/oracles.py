@@ -275,6 +275,12 @@ WHERE NOT EXISTS (SELECT 1 FROM dag d WHERE d.bn_id = lv.bn_id AND d.child = lv.
 UNION ALL SELECT bn_id, source_id, title, domain, n_nodes, n_edges, node_pos, node, level, parent_pos, parent, ps_pos, parent_state, state_pos, state, p
 FROM titles JOIN counts USING (bn_id) JOIN lv USING (bn_id) JOIN places ON places.bn_id = lv.bn_id AND places.child = lv.node JOIN pair ON pair.bn_id = lv.bn_id AND pair.parent = places.parent AND pair.child = places.child"""
 ORACLES["final_record"] = ORACLES["final_record"].replace("level, parent_pos, parent, ps_pos", "level, parent_pos, pair.parent, ps_pos").replace("SELECT bn_id, source_id, title, domain, n_nodes, n_edges, node_pos, node, level, parent_pos", "SELECT titles.bn_id, source_id, title, domain, n_nodes, n_edges, node_pos, node, level, parent_pos")
+FILED = """
+titles AS (SELECT bn_id, id, bn_id AS source_id, 'Network "' || nk || '"' AS title, 'trade' AS domain, CASE WHEN place % 4 = 0 THEN '' ELSE 'Text of ' || bn_id END AS generated_text
+  FROM (SELECT bn_id, nk, row_number() OVER (ORDER BY nk) - 1 AS place, printf('bn_%05d', row_number() OVER (ORDER BY nk)) AS id FROM bn)),"""
+WHOLE = f"""
+dag AS (SELECT bn_id, nk, edge_pos, parent, child FROM bn, edges WHERE edge_pos < {VALID}),"""
+ORACLES["final_file"] = ORACLES["final_record"].replace(DAG, WHOLE).replace(TITLES, FILED).replace("titles.bn_id, source_id", "bn_id, source_id").replace("SELECT bn_id, source_id, title, domain, n_nodes, n_edges", "SELECT id, source_id, title, domain, generated_text")
 ORACLES["subgraph_record"] = end(corpus(DAG, SETS, INDUCED, GRID, nullable(0.001), MARG, TITLES, VALIDATED, """
 named AS (SELECT *, bn_id || '_sub_' || printf('%03d', row_number() OVER (PARTITION BY bn_id ORDER BY size, m)) AS id FROM subs),
 swalk AS (SELECT sub_id, unnest(m) AS node, 0 AS d FROM subs UNION SELECT w.sub_id, e.child, d + 1 FROM swalk w JOIN ind e ON e.sub_id = w.sub_id AND e.parent = w.node),

@@ -455,6 +455,22 @@ def final_record(spark: SparkSession, sf_dir: str) -> DataFrame:
         "bn_id", "source_id", "title", "domain", "n_nodes", "n_edges", "node_pos", "node", "level", "parent_pos", "parent", "ps_pos", "parent_state", "state_pos", "state", "p")
 
 
+@query
+def final_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs from raw record files to the file of final networks, one after another; three records in four have a text. Its cells are read back."""
+    out, raw = f"{shared_folder(spark)}/final-{uuid.uuid4().hex}", _raw_lines(spark, sf_dir)
+    jobs.cpds(spark, raw, f"{out}/records", f"{out}/drawings")
+    jobs.compact(spark, f"{out}/records", f"{out}/compact")
+    short = files.read_corpus(spark, f"{out}/compact", "source_id string").where("bn_pos % 4 <> 0")
+    texts = short.select(F.col("bn_pos").alias("pos"), "id", F.concat(F.lit("Text of "), "record.source_id").alias("text"))
+    files.write_corpus(texts, assemble.metadata(texts.withColumnRenamed("text", "generated_text"), source="titles"), f"{out}/texts")
+    jobs.final(spark, f"{out}/compact", raw, f"{out}/texts", f"{out}/final")
+    parents = "map<string, struct<parent_states: array<string>, cpd_matrix: array<array<double>>>>"
+    schema = f"source_id string, title string, domain string, actual_text string, generated_text string, nodes map<string, struct<states: array<string>, level: int, parents: {parents}, prior: array<double>>>"
+    back = files.read_corpus(spark, f"{out}/final", schema).select("id", "record.*")
+    return assemble.flattened(back).join(back.drop("nodes", "actual_text"), "id")
+
+
 @query
 def subgraph_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
