@@ -426,9 +426,9 @@ def row_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def title_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("source", "doc_id", F.substring_index(F.trim(F.regexp_replace("text", r"\s+", " ")), " ", 3).alias("title"))
-    domain = F.dense_rank().over(Window.orderBy("source"))
-    places = d.select("source").distinct().where("source is not null").withColumn("domain_pos", domain)
-    found = d.join(F.broadcast(places), "source").select(F.col("source").alias("domain"), "domain_pos", (F.col("doc_id") % 5).alias("seed_pos"), F.col("doc_id").alias("result_pos"), "title")
+    places = records.numbered(d.select("source").distinct().where("source is not null"), "source", "%d", "place")
+    places = places.select("source", F.col("place").cast("long").alias("domain_pos"))
+    found = d.join(places, "source").select(F.col("source").alias("domain"), "domain_pos", (F.col("doc_id") % 5).alias("seed_pos"), F.col("doc_id").alias("result_pos"), "title")
     return records.collected_titles(found, 20)
 
 
