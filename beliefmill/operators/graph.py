@@ -30,32 +30,48 @@ def greedy_dag(edges: Column) -> Column:
     return F.aggregate(edges, zero, step, lambda acc: acc["kept"])
 
 
-#: Edges of a network that are folded inside an expression, and nodes whose levels are relaxed there; larger networks are
-#: worked on as bit sets, with the same results.
+#: Nodes and edges of a network that are folded inside an expression; larger networks are streamed through a task as
+#: numbers, with the same results.
 FOLDED = 64
 
 
+def _parted(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(edges, nodes) of networks that are folded, and the others' bn_id, if there are any."""
+    rows = edges.select("bn_id").unionAll(nodes.select("bn_id"))
+    large = written(rows.groupBy("bn_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FOLDED).select("bn_id"), "wide")
+    if large.isEmpty():
+        return edges, nodes, None
+    few = lambda df: df.join(large, "bn_id", "left_anti")
+    return few(edges), few(nodes), large
+
+
 def validate_dag(edges: DataFrame, nodes: DataFrame, keep_duplicates: bool = True) -> DataFrame:
     """(bn_id, edge_pos, parent, child): edges between known nodes, scanned in order, that close no cycle."""
-    names = nodes.select("bn_id", "node")
-    known = edges.join(names.withColumnRenamed("node", "parent"), ["bn_id", "parent"], "left_semi").join(names.withColumnRenamed("node", "child"), ["bn_id", "child"], "left_semi")
     each = F.struct(F.col("edge_pos").cast("int").alias("edge_pos"), F.col("parent"), F.col("child"))
-    one = known.groupBy("bn_id").agg(F.array_sort(F.collect_list(each)).alias("e"))
-    few = F.size("e") <= FOLDED
-    kept = one.where(few).select("bn_id", F.explode(greedy_dag(F.col("e"))).alias("e")).select("bn_id", "e.*")
-    kept = kept.unionByName(one.where(~few).mapInArrow(wide.accepted_rows, kept.schema))
+    small, own, large = _parted(edges, nodes)
+    names = own.groupBy("bn_id").agg(F.collect_set("node").alias("names"))
+    one = small.groupBy("bn_id").agg(F.array_sort(F.collect_list(each)).alias("e")).join(names, "bn_id")
+    known = F.filter("e", lambda e: F.array_contains("names", e["parent"]) & F.array_contains("names", e["child"]))
+    kept = one.select("bn_id", F.explode(greedy_dag(known)).alias("e")).select("bn_id", "e.*")
+    if large is not None:
+        names = nodes.join(large, "bn_id", "left_semi").select("bn_id", "node")
+        rows = edges.join(large, "bn_id", "left_semi").join(names.withColumnRenamed("node", "parent"), ["bn_id", "parent"], "left_semi").join(names.withColumnRenamed("node", "child"), ["bn_id", "child"], "left_semi")
+        rows = rows.select("bn_id", F.col("edge_pos").cast("int").alias("edge_pos"), "parent", "child").repartition("bn_id").sortWithinPartitions("bn_id", "edge_pos", "parent", "child")
+        kept = kept.unionByName(rows.mapInArrow(wide.accepted_rows, kept.schema))
     if keep_duplicates:
         return kept
     return kept.groupBy("bn_id", "parent", "child").agg(F.min("edge_pos").alias("edge_pos")).select("bn_id", "edge_pos", "parent", "child")
 
 
-def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(bn_id, node_pos, node, level): the longest path from a root, relaxed once for each node of the network."""
-    names = nodes.groupBy("bn_id").agg(F.array_sort(F.collect_list(F.struct("node_pos", "node"))).alias("n"))
-    links = edges.groupBy("bn_id").agg(F.collect_set(F.struct("parent", "child")).alias("e"))
+def levels(edges: DataFrame, nodes: DataFrame, folded: bool = False) -> DataFrame:
+    """(bn_id, node_pos, node, level): the longest path from a root, relaxed once for each node of the network.
+
+    folded: all networks are known to be small, so that none is looked for that isn't.
+    """
+    small, own, large = (edges, nodes, None) if folded else _parted(edges, nodes)
+    names = own.groupBy("bn_id").agg(F.array_sort(F.collect_list(F.struct("node_pos", "node"))).alias("n"))
+    links = small.groupBy("bn_id").agg(F.collect_set(F.struct("parent", "child")).alias("e"))
     met = names.join(links, "bn_id", "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<parent:string,child:string>>")))
-    few = F.size("n") + F.size("e") <= FOLDED
-    large, met = met.where(~few).select("bn_id", "n", "e"), met.where(few)
     place = lambda x: F.array_position(F.col("n.node"), x)
     parents = F.transform("n", lambda n: F.transform(F.filter("e", lambda e: e["child"] == n["node"]), lambda e: place(e["parent"]).cast("int")))
     met = met.withColumn("up", parents)
@@ -63,7 +79,13 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     relax = lambda acc: F.transform("up", lambda up: F.coalesce(F.array_max(F.transform(up, lambda i: F.get(acc, i - 1) + 1)), F.lit(0)))
     met = met.withColumn("level", F.aggregate(F.sequence(F.lit(1), F.size("n")), zero, lambda acc, _: relax(acc)))
     out = met.select("bn_id", F.explode(F.arrays_zip("n", "level")).alias("x")).select("bn_id", "x.n.node_pos", "x.n.node", "x.level")
-    return out.unionByName(large.mapInArrow(wide.level_rows, out.schema))
+    if large is None:
+        return out
+    whole = lambda df: df.join(large, "bn_id", "left_semi")
+    rows = whole(nodes).select("bn_id", "node_pos", "node", F.lit(None).cast("string").alias("other"))
+    rows = rows.union(whole(edges).select("bn_id", F.lit(None).cast(rows.schema["node_pos"].dataType), "parent", "child"))
+    rows = rows.repartition("bn_id").sortWithinPartitions("bn_id", F.col("node_pos").asc_nulls_last(), "node")
+    return out.unionByName(rows.mapInArrow(wide.level_rows, out.schema))
 
 
 def topological(level: DataFrame) -> DataFrame:

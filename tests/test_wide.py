@@ -1,7 +1,9 @@
 """Networks with many nodes."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 
 from beliefmill.operators import graph, wide
@@ -62,3 +64,31 @@ def test_a_thousand_nodes_beside_small_networks(spark, monkeypatch, folded):
     dag = graph.validate_dag(spark.createDataFrame(edges, "bn_id string, edge_pos int, parent string, child string"), n)
     assert sorted(map(tuple, dag.collect())) == sorted(want)
     assert sorted((r.bn_id, r.node, r.level) for r in graph.levels(dag, n).collect()) == sorted(levels)
+
+
+@pytest.mark.parametrize("most", [0, 4096])
+def test_numbers_against_bit_sets(monkeypatch, most):
+    """Edges on no cycle, parts as bit sets, and parts in a kept order give what bit sets of the whole network give."""
+    monkeypatch.setattr(wide, "BITS", most)
+    rng = random.Random(most)
+    for _ in range(300):
+        n = rng.randrange(1, 14)
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(1, 40))]
+        p, c = (np.array(x) for x in zip(*pairs, strict=True))
+        fits = wide.accepted_numbers(n, p, c)
+        assert fits.tolist() == wide.accepted(pairs)
+        kept = [x for x, f in zip(pairs, fits, strict=True) if f]
+        assert wide.waves(n, p[fits], c[fits]).tolist() == wide.longest_paths(list(range(n)), kept)
+
+
+def test_a_network_of_a_hundred_thousand_nodes():
+    """Time and memory grow with the edges: bit sets of these nodes would take 2 GB."""
+    rng = np.random.default_rng(1)
+    n, a, b = 100_000, rng.integers(0, 100_000, 400_000), rng.integers(0, 100_000, 400_000)
+    p, c = np.minimum(a, b), np.maximum(a, b)
+    p, c = np.append(p, n - 1), np.append(c, n - 1)  # a self loop
+    began = time.process_time()
+    assert (wide.accepted_numbers(n, p, c) == (p != c)).all()
+    level = wide.waves(n, p[p != c], c[p != c])
+    assert (level[p] < level[c])[p != c].all() and level.min() == 0
+    assert time.process_time() - began < 20
