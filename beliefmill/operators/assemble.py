@@ -80,17 +80,17 @@ def subgraph_records(subsets: DataFrame, titles: DataFrame, nodes: DataFrame, no
     Titles and texts are those of the network; roots of the network keep their prior.
     """
     keys = subsets.select("sub_id", "bn_id", F.explode("members").alias("node"))
-    own = keys.join(nodes.select("bn_id", "node", "node_pos"), ["bn_id", "node"])
+    own = keys.join(nodes.select("bn_id", "node", "node_pos").join(prob.state_lists(node_state), ["bn_id", "node"], "left").hint("merge"), ["bn_id", "node"])
     kept = graph.induced_edges(subsets, edges)
     renamed = lambda df: df.drop("bn_id").withColumnRenamed("sub_id", "bn_id")
-    level = graph.levels(renamed(kept.select("sub_id", "bn_id", "parent", "child")), renamed(own)).select(F.col("bn_id").alias("sub_id"), "node", "level")
-    members = own.join(level, ["sub_id", "node"]).join(prob.state_lists(node_state), ["bn_id", "node"]).drop("bn_id")
-    cut = graph.reroot(subsets, edges, marginal, node_state).groupBy("sub_id", "node").agg(prob.ordered("state_pos", "p").alias("prior"))
+    level = graph.levels(renamed(kept.select("sub_id", "bn_id", "parent", "child")), renamed(own), folded=True).select(F.col("bn_id").alias("sub_id"), "node", "level")
+    members = own.where("states is not null").join(level, ["sub_id", "node"]).drop("bn_id")
+    cut = graph.rerooted(subsets, edges, marginal, node_state).select("sub_id", "node", F.col("values").alias("prior"))
     roots = final_prior(marginal, graph.roots(edges, nodes), node_state)
     priors = keys.join(roots, ["bn_id", "node"]).select("sub_id", "node", "prior").unionByName(cut)
-    cells = graph.recompute_cpds(subsets, edges, joint, marginal, node_state)
-    first = kept.groupBy("sub_id", "parent", "child").agg(F.min("edge_pos").alias("edge_pos"))
-    tables = matrices(cells, "sub_id").join(first, ["sub_id", "parent", "child"])
+    first = kept.groupBy("sub_id", "bn_id", "parent", "child").agg(F.min("edge_pos").alias("edge_pos"))
+    whole = matrices(graph.edge_cpds(edges, joint, marginal, node_state), "bn_id")
+    tables = first.join(whole.hint("merge"), ["bn_id", "parent", "child"]).drop("bn_id")
     n_nodes, n_edges = sizes(F.col("nodes"))
     found = subsets.select("sub_id", "bn_id").join(titles, "bn_id").join(node_dict("sub_id", members, priors, tables), "sub_id")
     return found.withColumnRenamed("bn_id", "parent_id").withColumnRenamed("sub_id", "id").withColumns({"n_nodes": n_nodes, "n_edges": n_edges})

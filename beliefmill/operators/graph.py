@@ -95,7 +95,7 @@ def topological(level: DataFrame) -> DataFrame:
 
 
 def roots(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    return nodes.join(edges.select("bn_id", F.col("child").alias("node")), ["bn_id", "node"], "left_anti")
+    return nodes.join(edges.select("bn_id", F.col("child").alias("node")), ["bn_id", "node"], "left_anti").hint("merge")
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -305,36 +305,54 @@ def enough_subsets(subsets: DataFrame, k: int) -> DataFrame:
 
 def induced_edges(subsets: DataFrame, edges: DataFrame) -> DataFrame:
     """(sub_id, bn_id, edge_pos, parent, child): the edges with both ends in the subset."""
-    met = subsets.select("sub_id", "bn_id", "members").join(edges, "bn_id")
-    return met.where(F.array_contains("members", F.col("parent")) & F.array_contains("members", F.col("child"))).select("sub_id", "bn_id", "edge_pos", "parent", "child")
-
-
-def reroot(subsets: DataFrame, edges: DataFrame, marginal: DataFrame, node_state: DataFrame) -> DataFrame:
-    """(sub_id, bn_id, node, state_pos, state, p): new priors of nodes that lost all their parents; uniform without a marginal."""
-    members = subsets.select("sub_id", "bn_id", F.explode("members").alias("node"))
-    children = edges.select("bn_id", F.col("child").alias("node")).distinct()
-    still = induced_edges(subsets, edges).select("sub_id", F.col("child").alias("node")).distinct()
-    cut = members.join(children, ["bn_id", "node"], "left_semi").join(still, ["sub_id", "node"], "left_anti")
+    listed = edges.groupBy("bn_id").agg(F.collect_list(F.struct("edge_pos", "parent", "child")).alias("e"))
+    met = subsets.select("sub_id", "bn_id", "members").join(listed.hint("merge"), "bn_id")
+    inside = F.filter("e", lambda e: F.array_contains("members", e["parent"]) & F.array_contains("members", e["child"]))
+    return met.select("sub_id", "bn_id", F.inline(inside))
+
+
+def rerooted(subsets: DataFrame, edges: DataFrame, marginal: DataFrame, node_state: DataFrame) -> DataFrame:
+    """(sub_id, bn_id, node, states, values): the new prior of each node that lost all its parents; uniform without a marginal."""
+    listed = edges.groupBy("bn_id").agg(F.collect_set(F.struct("parent", "child")).alias("e"))
+    met = subsets.select("sub_id", "bn_id", "members").join(listed.hint("merge"), "bn_id")
+    children = F.array_intersect("members", F.col("e.child"))
+    still = F.transform(F.filter("e", lambda e: F.array_contains("members", e["parent"])), lambda e: e["child"])
+    cut = met.select("sub_id", "bn_id", F.explode(F.array_except(children, still)).alias("node"))
     rows = prob.marginal_rows(marginal, node_state)
     none = ~F.exists("values", lambda x: x.isNotNull())
     rows = rows.withColumn("values", F.when(none, N.uniform(F.size("states"))).otherwise(N.rerooted_row(F.col("values"))))
-    return prob.cells(cut.join(rows, ["bn_id", "node"]), "sub_id", "bn_id", "node")
+    return cut.join(rows.hint("merge"), ["bn_id", "node"]).select("sub_id", "bn_id", "node", "states", "values")
 
 
-def recompute_cpds(subsets: DataFrame, edges: DataFrame, joint: DataFrame, marginal: DataFrame, node_state: DataFrame, floor: float = 0.001) -> DataFrame:
-    """(sub_id, bn_id, parent, child, ps_pos, parent_state, state_pos, state, p) of the edges that a subset keeps.
+def reroot(subsets: DataFrame, edges: DataFrame, marginal: DataFrame, node_state: DataFrame) -> DataFrame:
+    """(sub_id, bn_id, node, state_pos, state, p): the rows of rerooted, a row a state."""
+    return prob.cells(rerooted(subsets, edges, marginal, node_state), "sub_id", "bn_id", "node")
+
+
+def edge_cpds(kept: DataFrame, joint: DataFrame, marginal: DataFrame, node_state: DataFrame, floor: float = 0.001) -> DataFrame:
+    """(bn_id, parent, child, ps_pos, parent_state, state_pos, state, p) of each different edge of `kept`.
 
     From the joint, with nulls; where an edge has none, the child's floored marginal repeated for each
     parent state, or a uniform column.
     """
-    kept = induced_edges(subsets, edges)
-    with_joint = joint.select("bn_id", "parent", "child").distinct()
     keys = ["bn_id", "parent", "child"]
-    unique = kept.select(*keys).distinct()
+    with_joint = joint.select(*keys).distinct().hint("merge")
+    unique = kept.select(*keys).distinct().hint("merge")
     have = prob.pairwise_nullable(joint, unique.join(with_joint, keys, "left_semi"), node_state, floor)
     rows = prob.joint_rows(joint.limit(0), unique.join(with_joint, keys, "left_anti"), node_state).drop("values")
     own = prob.marginal_rows(marginal, node_state).select("bn_id", F.col("node").alias("child"), "values")
     none = ~F.exists("values", lambda x: x.isNotNull())
-    rows = rows.join(own, ["bn_id", "child"]).withColumn("values", F.when(none, N.uniform(F.size("states"))).otherwise(N.rerooted_row(F.col("values"))))
-    lack = prob.cells(rows, *keys, "ps_pos", "parent_state")
-    return kept.select("sub_id", *keys).distinct().join(have.unionByName(lack), keys)
+    rows = rows.join(own.hint("merge"), ["bn_id", "child"]).withColumn("values", F.when(none, N.uniform(F.size("states"))).otherwise(N.rerooted_row(F.col("values"))))
+    return have.unionByName(prob.cells(rows, *keys, "ps_pos", "parent_state"))
+
+
+def recompute_cpds(subsets: DataFrame, edges: DataFrame, joint: DataFrame, marginal: DataFrame, node_state: DataFrame, floor: float = 0.001) -> DataFrame:
+    """(sub_id, bn_id, parent, child, ps_pos, parent_state, state_pos, state, p) of the edges that a subset keeps, as edge_cpds tells them.
+
+    A table is made once for all subsets that keep its edge, and travels as one row.
+    """
+    keys = ["bn_id", "parent", "child"]
+    cell = ["ps_pos", "parent_state", "state_pos", "state", "p"]
+    tables = edge_cpds(edges, joint, marginal, node_state, floor).groupBy(*keys).agg(F.collect_list(F.struct(*cell)).alias("c"))
+    met = induced_edges(subsets, edges).select("sub_id", *keys).distinct().join(tables.hint("merge"), keys)
+    return met.select("sub_id", *keys, F.inline("c"))

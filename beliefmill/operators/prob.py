@@ -29,18 +29,29 @@ def cells(rows: DataFrame, *keys: str, states: str = "states", values: str = "va
 
 
 def marginal_rows(marginal: DataFrame, node_state: DataFrame) -> DataFrame:
-    """(bn_id, node, states, values) of every node: values of missing states are null."""
-    grid = node_state.join(marginal, ["bn_id", "node", "state"], "left")
-    return grid.groupBy("bn_id", "node").agg(ordered("state_pos", "state").alias("states"), ordered("state_pos", "p").alias("values"))
+    """(bn_id, node, states, values) of every node: values of missing states are null. States and masses meet in one shuffle."""
+    s = node_state.select("bn_id", "node", F.struct("state_pos", "state").alias("s"), F.lit(None).cast("struct<state:string,p:double>").alias("m"))
+    m = marginal.select("bn_id", "node", F.lit(None).cast(s.schema["s"].dataType).alias("s"), F.struct(F.col("state").cast("string").alias("state"), F.col("p").cast("double").alias("p")).alias("m"))
+    met = s.union(m).groupBy("bn_id", "node").agg(F.array_sort(F.collect_list("s")).alias("s"), F.array_sort(F.collect_list("m")).alias("m")).where("size(s) > 0")
+    return met.select("bn_id", "node", F.col("s.state").alias("states"), F.transform("s", lambda x: F.get(F.filter("m", lambda m: m["state"] == x["state"]), F.lit(0))["p"]).alias("values"))
 
 
 def joint_rows(joint: DataFrame, edges: DataFrame, node_state: DataFrame) -> DataFrame:
-    """(bn_id, parent, child, ps_pos, parent_state, states, values): the full grid of each edge, missing cells null."""
-    ps = node_state.select("bn_id", F.col("node").alias("parent"), F.col("state_pos").alias("ps_pos"), F.col("state").alias("parent_state"))
-    cs = node_state.select("bn_id", F.col("node").alias("child"), "state_pos", F.col("state").alias("child_state"))
-    grid = edges.select("bn_id", "parent", "child").distinct().join(ps, ["bn_id", "parent"]).join(cs, ["bn_id", "child"])
-    grid = grid.join(joint, ["bn_id", "parent", "child", "parent_state", "child_state"], "left")
-    return grid.groupBy("bn_id", "parent", "child", "ps_pos", "parent_state").agg(ordered("state_pos", "child_state").alias("states"), ordered("state_pos", "p").alias("values"))
+    """(bn_id, parent, child, ps_pos, parent_state, states, values): the full grid of each edge, missing cells null.
+
+    An edge is a row with its cells and its nodes' states until the grid is made, so that no cell is moved by its states.
+    """
+    keys = ["bn_id", "parent", "child"]
+    cell = F.struct("parent_state", "child_state", F.col("p").cast("double").alias("p"))
+    c = joint.select(*keys, cell.alias("c"))
+    known = edges.select(*keys, F.lit(None).cast(c.schema["c"].dataType).alias("c"), F.lit(True).alias("known"))
+    one = known.union(c.withColumn("known", F.lit(None).cast("boolean"))).groupBy(*keys).agg(F.max("known").alias("known"), F.array_sort(F.collect_list("c")).alias("cells")).where("known")
+    lists = node_state.groupBy("bn_id", "node").agg(F.array_sort(F.collect_list(F.struct("state_pos", "state"))).alias("l"))
+    of = lambda name, to: lists.select("bn_id", F.col("node").alias(name), F.col("l").alias(to)).hint("merge")
+    met = one.join(of("parent", "ps"), ["bn_id", "parent"]).join(of("child", "cs"), ["bn_id", "child"])
+    value = lambda own: F.transform("cs", lambda x: F.get(F.filter(own, lambda c: c["child_state"] == x["state"]), F.lit(0))["p"])
+    row = lambda ps: F.struct(ps["state_pos"].alias("ps_pos"), ps["state"].alias("parent_state"), N.bound(F.filter("cells", lambda c: c["parent_state"] == ps["state"]), value).alias("values"))
+    return met.select(*keys, F.col("cs.state").alias("states"), F.explode(F.transform("ps", row)).alias("r")).select(*keys, "r.ps_pos", "r.parent_state", "states", "r.values")
 
 
 def zeros(a: Column) -> Column:

@@ -32,6 +32,8 @@ EDGES = [
 VALID = 7
 #: Customer keys of a network, over all nations; networks of a group of keys are numbered NATIONS apart.
 GROUP, NATIONS = 375, 25
+#: Lines of orders that a task counts, about.
+LINES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,19 +47,26 @@ def bn_id(number: Column) -> Column:
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(nk, v0 … v6, n, e): observations, and those of even orders, for each combination of states.
 
-    The only pass over the facts: every table of the corpus is a sum of these rows. The
-    dimension joins are plain equi-joins, so the planner broadcasts what its size allows.
+    The only pass over the facts: every table of the corpus is a sum of these rows. Orders find their customers
+    and lines their parts before the two meet; then lines come together by network, so that a task
+    holds all rows of its networks and what is summed from them later hardly moves. The tasks grow in number with the
+    lines. The joins are plain equi-joins, so the planner broadcasts what its size allows.
     """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_linestatus", "l_returnflag")
-    met = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
-    band = F.when(F.col("l_quantity") < 17, "low").when(F.col("l_quantity") < 34, "mid").otherwise("high")
-    values = ["c_mktsegment", "p_type", "o_orderpriority", "o_orderstatus", band, "l_linestatus", "l_returnflag"]
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = li.count() // LINES + 1
+    spread = lambda df, key: df.repartition(tasks, key) if tasks > least else df
     number = (F.col("c_nationkey") + F.floor(F.col("c_custkey") / GROUP) * NATIONS).cast("long")
-    keys = [number.alias("nk"), *((F.col(v) if isinstance(v, str) else v).alias(f"v{i}") for i, v in enumerate(values))]
-    return met.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("l_orderkey") % 2 == 0).cast("long")).alias("e"))
+    band = F.when(F.col("l_quantity") < 17, "low").when(F.col("l_quantity") < 34, "mid").otherwise("high")
+    orders = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", number.alias("nk"), F.col("c_mktsegment").alias("v0"), F.col("o_orderpriority").alias("v2"), F.col("o_orderstatus").alias("v3"))
+    lines = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.col("p_type").alias("v1"), band.alias("v4"), F.col("l_linestatus").alias("v5"), F.col("l_returnflag").alias("v6"))
+    met = spread(lines, "l_orderkey").join(spread(orders, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    keys = ["nk", *(f"v{i}" for i in range(len(NODES)))]
+    met = met.select(*keys, (F.col("l_orderkey") % 2 == 0).cast("long").alias("even")).repartition(max(tasks, least), "nk")
+    return met.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("even").alias("e"))
 
 
 def _fixed(fields, rows) -> Column:
@@ -84,7 +93,8 @@ class Corpus:
         return written(counted.withColumn("bn_id", bn_id(F.col("nk"))), "corpus-bn")
 
     def _each(self, fields, rows) -> DataFrame:
-        return self.bn.select("bn_id", "nk", _fixed(fields, rows))
+        # the planner takes these for as small as the networks they are made from, and would broadcast them
+        return self.bn.select("bn_id", "nk", _fixed(fields, rows)).hint("merge")
 
     @cached_property
     def nodes(self) -> DataFrame:

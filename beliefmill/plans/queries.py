@@ -211,7 +211,7 @@ def bn_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dag(c: Corpus) -> DataFrame:
-    return written(graph.validate_dag(c.variant, c.nodes), "dag")
+    return written(graph.validate_dag(c.variant, c.nodes), "dag").hint("merge")  # names repeat: the file is far smaller than its rows
 
 
 @query
