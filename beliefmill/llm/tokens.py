@@ -29,7 +29,7 @@ INDEX_STEP = 1024
 #: Words that a worker remembers; beyond that it starts anew.
 REMEMBER = 300_000
 #: Characters after which a group of texts is closed, for encoding; a text is never cut.
-GROUP_CHARS = 1 << 22
+GROUP_CHARS = 1 << 21
 #: The settings of the lower-casing word vocabulary, for which words are looked up one by one.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -72,7 +72,8 @@ class Words(dict):
         text = word.decode("latin-1")
         if not word.isascii():
             text = text.encode().decode("latin-1").translate(self.signs)
-        self[word] = ids = b"".join([self.coded[t.id] for t in self.tokenize(text)])
+        found = self.tokenize(text)
+        self[word] = ids = self.coded[found[0].id] if len(found) == 1 else b"".join([self.coded[t.id] for t in found])
         return ids
 
 
@@ -157,14 +158,14 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """A worker keeps the tokenizer; what it remembers of words goes with the task."""
+    """A worker keeps the tokenizer and what it remembers of words, for its next tasks hold mostly the same ones."""
     if path not in _WORKER:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _WORKER[path] = tokenizer, word_by_word(tokenizer)
-    return Encoder(*_WORKER[path])
+        _WORKER[path] = Encoder(tokenizer, word_by_word(tokenizer))
+    return _WORKER[path]
 
 
 def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -604,3 +604,13 @@ def test_encoder_gives_the_tokenizers_ids(name, monkeypatch):
     assert [n for n, _ in got] == list(range(len(odd)))
     for text, (_, ids) in zip(odd, got, strict=True):
         assert ids.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_a_worker_remembers_words_over_tasks(monkeypatch):
+    """The tokenizer's model is asked once for a word, though its texts lie in several tasks of a worker."""
+    monkeypatch.setattr(tokens, "_WORKER", {})
+    path = public_tokenizer("word_bpe_49k.json")
+    first = tokens.encoder(path).encode(["one two three"])
+    again = tokens.encoder(path)
+    monkeypatch.setattr(again.words, "tokenize", lambda text: pytest.fail(f"asked for {text} again"))
+    assert [x.tolist() for x in again.encode(["three two one"])] == [first[0][::-1].tolist()]
