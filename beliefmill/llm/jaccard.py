@@ -230,6 +230,66 @@ def close_rows(percent: int):
     return run
 
 
+class Fine:
+    """Fine signatures of a group's sets, rows of one length together; folded ones are kept."""
+
+    def __init__(self, fine: list):
+        self.size = np.array([0 if f is None else len(f) for f in fine], np.int64)
+        self.place, self.rows = np.zeros(len(fine), np.int64), {}
+        for x in np.unique(self.size[self.size > 0]).tolist():
+            of = np.flatnonzero(self.size == x)
+            self.place[of] = np.arange(len(of))
+            self.rows[x, x] = np.frombuffer(b"".join(fine[i] for i in of.tolist()), np.uint8).reshape(len(of), x)
+
+    def at(self, of: np.ndarray, x: int, size: int) -> np.ndarray:
+        """The signatures, of x bytes, of the sets `of`, at `size` bytes."""
+        if (x, size) not in self.rows:
+            self.rows[x, size] = fold(self.rows[x, x], size)
+        return self.rows[x, size][self.place[of]]
+
+    def flips(self, i: int, others: np.ndarray) -> np.ndarray:
+        """In how many bits set i differs from each of the others, which have fine signatures as it has."""
+        out, mine = np.zeros(len(others), np.int64), int(self.size[i])
+        for x in np.unique(self.size[others]).tolist():
+            of, least = np.flatnonzero(self.size[others] == x), min(x, mine)
+            one = self.at(np.array([i]), mine, least)
+            for k in range(0, len(of), 500):
+                some = of[k:k + 500]
+                out[some] = np.bitwise_count(one ^ self.at(others[some], x, least)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def apart_rows(percent: int):
+    """Of a group's table: the pairs (a, b) of different components, one of them not the lead's, that sizes and signatures leave.
+
+    A set is compared with all that its size allows, in arrays; only pairs that every bound leaves become rows.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        node, c, lead, n, own, x, y = (table.column(k).to_numpy() for k in ("node", "c", "lead", "n", "own", "x", "y"))
+        order = np.argsort(n, kind="stable")
+        node, c, n, own, lead, within = node[order], c[order], n[order], own[order], lead[0], bool(x[0] == y[0])
+        short = np.stack([table.column(p).to_numpy()[order] for p in BITS], axis=1).view(np.uint64)
+        fine = Fine([table.column("fine")[i].as_py() for i in order.tolist()])
+        ends = [(np.zeros(0, np.int64),) * 2]
+        for i in np.flatnonzero(c != lead).tolist():
+            low, high = np.searchsorted(100 * n, percent * n[i]), np.searchsorted(percent * n, 100 * n[i], "right")
+            met = np.arange(low, high)
+            met = met[(c[low:high] != c[i]) & ((c[low:high] == lead) | (met > i)) & (within | (own[low:high] != own[i]))]
+            allowed = (n[met] + n[i]) * (100 - percent)
+            left = np.bitwise_count(short[met] ^ short[i]).sum(axis=1, dtype=np.int64) * (100 + percent) <= allowed
+            met, allowed = met[left], allowed[left]
+            large = np.minimum(n[met], n[i]) > PARITY
+            if large.any():
+                left = ~large
+                left[large] = fine.flips(i, met[large]) * (100 + percent) <= allowed[large]
+                met = met[left]
+            ends.append((np.minimum(node[i], node[met]), np.maximum(node[i], node[met])))
+        return pa.table({"a": np.concatenate([e[0] for e in ends]), "b": np.concatenate([e[1] for e in ends])})
+
+    return run
+
+
 def verify_rows(percent: int, width: int):
     """The (a, b) rows of (a, b, ka, kb, text_a, text_b) whose sets are the ones meant and similar enough."""
 
@@ -300,26 +360,28 @@ def stars(heavy: DataFrame) -> DataFrame:
 
 
 def open_lists(heavy: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, node, c, lead, size) of the heavy lists whose members aren't all in one component; lead: the first centre's."""
+    """(sig, node, c, lead, size) of the heavy lists whose members aren't all in one component; lead: the first centre's.
+
+    Of lists that have the same members, one stands for all: their pairs are the same.
+    """
     named = heavy.join(labels, "node", "left").select("sig", "node", "degree", F.coalesce("component", "node").alias("c"))
     lead = F.max(F.struct("degree", "node", "c"))["c"].alias("lead")
-    lists = named.groupBy("sig").agg(lead, F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"))
-    return named.join(lists.where("lo < hi").select("sig", "lead", "size"), "sig").select("sig", "node", "c", "lead", "size")
+    who = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"who{i}") for i in range(2)]
+    lists = named.groupBy("sig").agg(lead, F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"), *who)
+    lists = lists.where("lo < hi").groupBy("size", "who0", "who1").agg(F.min(F.struct("sig", "lead")).alias("s"))
+    return named.join(lists.select("s.sig", "s.lead", "size"), "sig").select("sig", "node", "c", "lead", "size")
 
 
 def apart(rest: DataFrame, reps: DataFrame, percent: int, block: int) -> DataFrame:
-    """Distinct pairs (a, b) of open lists' members that are in different components and that the short bounds leave.
+    """Distinct pairs (a, b) of open lists' members that are in different components and that the exact bounds leave.
 
-    Only sets outside the lead's component ask; they meet all blocks of their list, so a long list is
-    dealt to many tasks.
+    A list's members are dealt to blocks; each pair of blocks is a group, so a long list is dealt to many
+    tasks. What cannot link is told apart inside the group and never becomes a row.
     """
     blocks = F.ceil(F.col("size") / block).cast("int")
-    rows = rest.join(reps.select("node", "n", *BITS), "node")
-    a = rows.where("c <> lead").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("a")
-    b = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).alias("b")
-    other = (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.lead")) | (F.col("a.node") < F.col("b.node")))
-    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.block") == F.col("b.block")) & other & _near(percent))
-    return met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+    rows = rest.join(reps.select("node", "n", *BITS, "fine"), "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "c", "lead", "n", *BITS, "fine")
+    return dealt.groupBy("sig", "x", "y").applyInArrow(apart_rows(percent), "a bigint, b bigint").distinct()
 
 
 class Joined(NamedTuple):
@@ -366,8 +428,9 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int, width: in
     members = staged(heavy.select("node").distinct(), "jaccard-members") if whole else None
     rest = staged(open_lists(heavy, labels), "jaccard-apart")
     dropped(heavy)
-    more = candidates(apart(rest, reps, percent, block).join(pairs, ["a", "b"], "left_anti"), reps, percent)
-    dropped(rest, pairs)
+    met = staged(apart(rest, reps, percent, block), "jaccard-met")
+    more = staged(met.join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
+    dropped(rest, pairs, met)
     if not more.isEmpty():
         old = links
         links = staged(old.union(verified(more, reps, source, percent, width)), "jaccard-links")

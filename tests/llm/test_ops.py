@@ -150,6 +150,22 @@ def test_jaccard_long_texts_with_a_common_passage(spark):
     assert left(0, 7) and left(0, 9)
 
 
+@pytest.mark.parametrize("block", [7, 2000])
+def test_jaccard_open_lists_make_no_unlike_pairs(spark, block):
+    """Of large unlike sets in two lists alike, only the near ones become a pair, and once; signatures of 512 bits let all of them pass."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 64, 2000 + i, np.uint64)) for i in range(40)]
+    sets.append(np.unique(np.concatenate([sets[0][:1900], sets[1][:100]])))
+    sets += [sets[2][:400], sets[2][:430]]  # under the short bound alone
+    facts = [(i, len(s), *jaccard.parity(s, jaccard.PARITY).view(np.int64).tolist(), jaccard.fine_parity(s)) for i, s in enumerate(sets)]
+    reps = spark.createDataFrame(facts, f"node bigint, n bigint, {', '.join(f'{p} bigint' for p in jaccard.BITS)}, fine binary")
+    heavy = spark.createDataFrame([(sig, i, 2) for sig in (11, 12) for i in range(len(sets))], "sig bigint, node bigint, degree bigint")
+    labels = spark.createDataFrame([(4, 3), (3, 3)], "node bigint, component bigint")
+    rest = jaccard.open_lists(heavy, labels)
+    assert rest.count() == len(sets)
+    assert sorted(map(tuple, jaccard.apart(rest, reps, 80, block).collect())) == [(0, 40), (41, 42)]
+
+
 def test_jaccard_empty_table(spark):
     got, links = jaccard.jaccard_join(odd_docs(spark, []), counts=True)
     assert got.count() == 0 and links.count() == 0
