@@ -18,6 +18,8 @@ _WHITE[[9, 10, 13, 32]] = True
 _STEP = np.zeros(256, np.int8)
 _STEP[[ord("{"), ord("[")]] = 1
 _STEP[[ord("}"), ord("]")]] = -1
+#: Bytes that are scanned at once, since a scan holds some hundred bytes for each; rows that are taken from a batch at once.
+PIECE, ROWS = 1 << 18, 500
 
 
 @dataclass
@@ -116,19 +118,32 @@ def member(text: str) -> tuple[str, str]:
     return name, text[end:].lstrip().removeprefix(":").strip()
 
 
+def _pieces(batches):
+    """((file, at), bytes) of rows (file, at, value), with the brackets that parted values: pieces of about PIECE bytes at most."""
+    key, held, size = None, [], 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            for file, at, value in zip(*(c.to_pylist() for c in batch.slice(i, ROWS).columns[:3]), strict=True):
+                raw = f"{value}}}".encode()
+                if held and ((file, at) != key or size + len(raw) > PIECE):
+                    yield key, b"".join(held)
+                    held, size = [], 0
+                key, last = (file, at), (len(raw) - 1) // PIECE * PIECE
+                for begin in range(0, last, PIECE):
+                    yield key, raw[begin:begin + PIECE]
+                held.append(raw[last:])
+                size += len(raw) - last
+    if held:
+        yield key, b"".join(held)
+
+
 def _stretches(batches):
-    """((file, at), bytes, whether it is the last stretch of them) of rows (file, at, value), with the brackets that parted values."""
+    """The pieces (file, at), bytes, and whether each is its stretch's last one."""
     held = None
-    for batch in batches:
-        files, ats, values = (batch.column(i).to_pylist() for i in range(3))
-        a = 0
-        for b in range(1, len(files) + 1):
-            if b == len(files) or (files[b], ats[b]) != (files[a], ats[a]):
-                key = files[a], ats[a]
-                raw = ("}".join(values[a:b]) + "}").encode()
-                if held is not None:
-                    yield *held, held[0] != key
-                held, a = (key, raw), b
+    for key, raw in _pieces(batches):
+        if held is not None:
+            yield *held, held[0] != key
+        held = key, raw
     if held is not None:
         yield *held, True
 
@@ -173,9 +188,11 @@ def _members(entries, spurious):
 
 
 def _named(batches):
-    for batch in batches:
-        met = [member(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in met], pa.string()), pa.array([m[1] for m in met], pa.string())], names=["bn_pos", "id", "record"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(at, ROWS)
+            met = [member(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in met], pa.string()), pa.array([m[1] for m in met], pa.string())], names=["bn_pos", "id", "record"])
 
 
 def read_members(spark: SparkSession, path: str, section: str = "bayesian_networks") -> DataFrame:

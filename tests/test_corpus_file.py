@@ -2,7 +2,9 @@
 
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,40 @@ def test_failed_write_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="stop"):
         files.write_corpus(bad, about, str(tmp_path / "c"))
     assert [p.name for p in tmp_path.iterdir()] == ["c"] and files.read_corpus(spark, str(tmp_path / "c"), "v int").first().record.v == 1
+
+
+def test_scans_are_bounded():
+    """What a scan holds follows the piece, not the batch: ten times the rows in a batch, and one record of the same size, need no more."""
+
+    def peak(values):
+        def batches():
+            yield pa.RecordBatch.from_pydict({"file": ["f"] * len(values), "at": [0] * len(values), "value": values})
+
+        tracemalloc.start()
+        rows = [r for b in corpus_file._members({("f", 0): (0, corpus_file.State())}, set())(batches()) for r in b.column("kind").to_pylist()]
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return rows.count(0), top
+
+    def file(n, size):
+        return ('{"bayesian_networks": {' + ",".join(f'"{i}": {{"t": "{"x" * size}"}}' for i in range(n)) + "}}").split("}")[:-1]
+
+    assert peak(file(10_000, 1000))[0] == 10_000
+    assert peak(file(10_000, 1000))[1] < 100 << 20
+    assert peak(file(3, 4_000_000))[1] < 100 << 20
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 64])
+def test_pieces_of_any_size(monkeypatch, piece):
+    """Pieces end anywhere: inside names, after a backslash, between the bytes of a character."""
+    monkeypatch.setattr(corpus_file, "PIECE", piece)
+    what = made(random.Random(piece), 20)
+    what["bayesian_networks"]["ä"] = {"short": {}, "long": "ж" * 2 * piece}
+    text = json.dumps(what, ensure_ascii=False)
+    rows = text.split("}")[:-1]
+    batch = pa.RecordBatch.from_pydict({"file": ["f"] * len(rows), "at": [0] * len(rows), "value": rows})
+    told = next(iter(corpus_file._summaries([batch])))
+    assert told.column("size")[0].as_py() == len(text.encode()) and told.column("depth")[0].as_py()[0] == 0
+    out = [r for b in corpus_file._members({("f", 0): (0, corpus_file.State())}, set())([batch]) for r in b.to_pylist()]
+    records = [corpus_file.member(r["text"]) for r in out if r["kind"] == 0]
+    assert {k: json.loads(v) for k, v in records}.items() >= what["bayesian_networks"].items()
