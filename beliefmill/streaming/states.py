@@ -3,26 +3,26 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DONE, FAILED, GIVEN_UP = "done", "failed", "given up"
 
 
-class Attempts(StatefulProcessor):
-    """Asks for an id's records in order until one answer comes or `most` attempts failed."""
+class Attempts:
+    """Asks for an id's records in order until one answer comes or `most` attempts failed.
 
-    def __init__(self, key: str, order: str, ask: Callable[[dict], dict], fields: list[str], most: int, wait: int | None):
-        self.key, self.order, self.ask, self.fields, self.most, self.wait = key, order, ask, fields, most, wait
+    An id's state comes and goes with its rows, many ids in an Arrow batch, so none asks a state server.
+    """
+
+    STATE = "n int, status string, held binary"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("attempts", "n int, status string")
-        self.held = handle.getValueState("held", "record binary") if self.wait is not None else None
+    def __init__(self, key: str, order: str, ask: Callable[[dict], dict], fields: list[str], most: int, wait: int | None, names: list[str]):
+        self.key, self.order, self.ask, self.fields, self.most, self.wait, self.names = key, order, ask, fields, most, wait, names
 
     def _attempt(self, record: dict, n: int) -> dict:
         row = {self.key: record[self.key], self.order: record[self.order], "attempt": n, "status": DONE, "error": None}
@@ -32,35 +32,27 @@ class Attempts(StatefulProcessor):
         except Exception as e:  # whatever a provider raises is a failed attempt
             return row | dict.fromkeys(self.fields) | {"status": GIVEN_UP if n >= self.most else FAILED, "error": str(e)}
 
-    def _run(self, records: list[dict], now: int):
-        n, status = self.state.get() if self.state.exists() else (0, FAILED)
+    def run(self, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, status, held = state.get if state.exists else (0, FAILED, None)
+        if status != FAILED:
+            return
+        if state.hasTimedOut:
+            records = [pickle.loads(held)]
+        else:
+            rows = (row for f in frames for row in zip(*(f[c].tolist() for c in f), strict=True))
+            records = sorted((dict(zip(self.names, row, strict=True)) for row in rows), key=lambda r: r[self.order])
         out = []
         for record in records:
-            if status != FAILED:
-                break
             n += 1
             out.append(self._attempt(record, n))
             status = out[-1]["status"]
-        if out:
-            self.state.update((n, status))
-            if self.held is not None:
-                if status == FAILED:
-                    self.held.update((pickle.dumps(records[-1]),))
-                    self.handle.registerTimer(now + self.wait)
-                else:
-                    self.held.clear()
-            yield pd.DataFrame(out, columns=[self.key, self.order, "attempt", "status", "error", *self.fields])
-
-    def handleInputRows(self, key, rows, timerValues):
-        records = pd.concat(list(rows)).sort_values(self.order, kind="stable").to_dict("records")
-        yield from self._run(records, timerValues.getCurrentProcessingTimeInMs() if self.wait is not None else 0)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.held.exists():
-            yield from self._run([pickle.loads(self.held.get()[0])], timerValues.getCurrentProcessingTimeInMs())
-
-    def close(self) -> None:
-        pass
+            if status != FAILED:
+                break
+        again = self.wait is not None and status == FAILED
+        state.update((n, status, pickle.dumps(records[-1]) if again else None))
+        if again:
+            state.setTimeoutDuration(self.wait)
+        yield pd.DataFrame(out, columns=[self.key, self.order, "attempt", "status", "error", *self.fields])
 
 
 def attempts(stream: DataFrame, key: str, order: str, ask: Callable[[dict], dict], result: str = "", most: int = 1, wait: int | None = None) -> DataFrame:
@@ -75,7 +67,9 @@ def attempts(stream: DataFrame, key: str, order: str, ask: Callable[[dict], dict
     schema = {f.name: f.dataType.simpleString() for f in stream.schema}
     fields = [f.strip().split()[0] for f in result.split(",") if f.strip()]
     shape = f"{key} {schema[key]}, {order} {schema[order]}, attempt int, status string, error string" + (f", {result}" if fields else "")
-    return stream.groupBy(key).transformWithStateInPandas(Attempts(key, order, ask, fields, most, wait), shape, "append", "none" if wait is None else "ProcessingTime")
+    work = Attempts(key, order, ask, fields, most, wait, stream.columns)
+    timeout = GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout
+    return stream.groupBy(key).applyInPandasWithState(lambda _, frames, state: work.run(frames, state), shape, Attempts.STATE, "append", timeout)
 
 
 def run_attempts(spark: SparkSession, folder: str, schema: str, results: str, checkpoint: str, key: str, order: str, ask: Callable[[dict], dict], result: str = "", most: int = 1,

@@ -91,3 +91,10 @@ def test_asked_again_after_a_wait(spark, tmp_path):
     finally:
         query.stop()
     assert got == [("p", 1, 1, "failed", "busy", None), ("p", 1, 2, "done", None, 1)]
+
+
+def test_state_comes_with_the_rows(spark):
+    """No id asks a state server: state is passed along with its rows, many ids in a batch."""
+    stream = spark.readStream.format("rate").load().selectExpr("cast(value as string) as id", "value as pos")
+    plan = states.attempts(stream, "id", "pos", asker(), "half int")._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan
