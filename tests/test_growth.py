@@ -1,12 +1,15 @@
 """What moves between tasks grows no faster than the tables."""
 
+import math
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from beliefmill.operators import graph
-from beliefmill.plans.empirical import corpus
+from beliefmill.plans import oracles
+from beliefmill.plans.empirical import FAMILIES, NAMES, NODES, corpus
 from beliefmill.plans.queries import _dag
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +33,31 @@ def test_a_network_is_counted_in_one_task(spark):
     c = corpus(spark, SF)
     files = c.cells.select("nk", F.input_file_name().alias("f")).distinct().groupBy("nk").count()
     assert files.count() == 25 and files.where("count > 1").isEmpty()
+
+
+def test_cells_of_a_network_dont_grow_with_its_lines(spark):
+    """600 lines a network here; their seven states together would make about as many cells."""
+    sizes = [len(ss) for _, ss in NODES]
+    most = sum(math.prod(sizes[NAMES.index(x)] for x in family) for family in FAMILIES)
+    c = corpus(spark, "/root/testdata/sf0.01")
+    assert c.cells.groupBy("nk").count().agg(F.max("count")).first()[0] <= most
+
+
+def test_states_that_no_node_names_are_counted(spark, tmp_path):
+    con = duckdb.connect()
+    odd = {
+        "part": "case p_partkey % 7 when 0 then null when 1 then 'ODD' else p_type end as p_type",
+        "orders": "case o_orderkey % 11 when 0 then null when 3 then '9-NEW' else o_orderpriority end as o_orderpriority, case o_orderkey % 13 when 0 then null when 2 then 'Z' else o_orderstatus end as o_orderstatus",
+        "customer": "case c_custkey % 5 when 0 then null when 1 then '' else c_mktsegment end as c_mktsegment",
+        "lineitem": "case when l_linenumber = 2 then null else l_quantity end as l_quantity, case l_partkey % 3 when 0 then null when 1 then 'none' else l_linestatus end as l_linestatus, case l_suppkey % 4 when 0 then null when 1 then 'Q' else l_returnflag end as l_returnflag",
+    }
+    for name, values in odd.items():
+        con.execute(f"COPY (SELECT * REPLACE ({values}) FROM '{SF}/{name}.parquet') TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    c = corpus(spark, str(tmp_path))
+    for n, made in (("n", c), ("e", c.even())):
+        tables = "WITH" + oracles.CELLS + oracles.base(n)
+        for found, columns, name in ((made.marginal, "bn_id, node, state, p", "marginal"), (made.joint, "bn_id, parent, child, parent_state, child_state, p", "joint")):
+            want = con.execute(f"{tables} SELECT {columns.replace('parent_state', 'ps').replace('child_state', 'cs')} FROM {name}").fetchall()
+            got = [tuple(r) for r in found.select(*columns.split(", ")).collect()]
+            assert sorted(map(str, got)) == sorted(map(str, want)) and any(None in r for r in got)
