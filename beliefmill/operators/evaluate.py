@@ -75,12 +75,17 @@ def matrices(cpd: DataFrame) -> DataFrame:
 
 
 def cpd_divergence(truth: DataFrame, predicted: DataFrame, predicted_dims: bool = False, need_both: bool = True) -> DataFrame:
-    """(sg_id, parent, child, kl, kl_symmetric) of the edges that both have.
+    """matrix_divergence of tables of a row a cell."""
+    return matrix_divergence(matrices(truth), matrices(predicted), predicted_dims, need_both)
+
+
+def matrix_divergence(truth: DataFrame, predicted: DataFrame, predicted_dims: bool = False, need_both: bool = True) -> DataFrame:
+    """(sg_id, parent, child, kl, kl_symmetric) of the edges that both have, from matrices (sg_id, parent, child, m).
 
     The reverse divergence uses the true matrix's size, or the predicted one's (predicted_dims); without
     it the symmetric value is null, or the forward one (need_both false).
     """
-    met = matrices(truth).withColumnRenamed("m", "t").join(matrices(predicted).withColumnRenamed("m", "q"), ["sg_id", "parent", "child"])
+    met = truth.withColumnRenamed("m", "t").join(predicted.withColumnRenamed("m", "q"), ["sg_id", "parent", "child"])
     size = lambda m: (F.size(m), F.coalesce(F.size(F.get(F.col(m), 0)), F.lit(0)))
     forward = N.column_kl(F.col("t"), F.col("q"), *size("t"))
     back = N.column_kl(F.col("q"), F.col("t"), *size("q" if predicted_dims else "t"))

@@ -36,10 +36,10 @@ def marginal_rows(marginal: DataFrame, node_state: DataFrame) -> DataFrame:
     return met.select("bn_id", "node", F.col("s.state").alias("states"), F.transform("s", lambda x: F.get(F.filter("m", lambda m: m["state"] == x["state"]), F.lit(0))["p"]).alias("values"))
 
 
-def joint_rows(joint: DataFrame, edges: DataFrame, node_state: DataFrame) -> DataFrame:
-    """(bn_id, parent, child, ps_pos, parent_state, states, values): the full grid of each edge, missing cells null.
+def joint_grids(joint: DataFrame, edges: DataFrame, node_state: DataFrame) -> DataFrame:
+    """(bn_id, parent, child, states, grid): a row an edge; grid holds (ps_pos, parent_state, values) of each parent state, missing cells null.
 
-    An edge is a row with its cells and its nodes' states until the grid is made, so that no cell is moved by its states.
+    An edge is a row with its cells and its nodes' states, so that no cell is moved by its states.
     """
     keys = ["bn_id", "parent", "child"]
     cell = F.struct("parent_state", "child_state", F.col("p").cast("double").alias("p"))
@@ -51,7 +51,13 @@ def joint_rows(joint: DataFrame, edges: DataFrame, node_state: DataFrame) -> Dat
     met = one.join(of("parent", "ps"), ["bn_id", "parent"]).join(of("child", "cs"), ["bn_id", "child"])
     value = lambda own: F.transform("cs", lambda x: F.get(F.filter(own, lambda c: c["child_state"] == x["state"]), F.lit(0))["p"])
     row = lambda ps: F.struct(ps["state_pos"].alias("ps_pos"), ps["state"].alias("parent_state"), N.bound(F.filter("cells", lambda c: c["parent_state"] == ps["state"]), value).alias("values"))
-    return met.select(*keys, F.col("cs.state").alias("states"), F.explode(F.transform("ps", row)).alias("r")).select(*keys, "r.ps_pos", "r.parent_state", "states", "r.values")
+    return met.select(*keys, F.col("cs.state").alias("states"), F.transform("ps", row).alias("grid"))
+
+
+def joint_rows(joint: DataFrame, edges: DataFrame, node_state: DataFrame) -> DataFrame:
+    """(bn_id, parent, child, ps_pos, parent_state, states, values): the full grid of each edge, missing cells null."""
+    keys = ["bn_id", "parent", "child"]
+    return joint_grids(joint, edges, node_state).select(*keys, "states", F.explode("grid").alias("r")).select(*keys, "r.ps_pos", "r.parent_state", "states", "r.values")
 
 
 def zeros(a: Column) -> Column:
@@ -179,3 +185,13 @@ def pairwise_nullable(joint: DataFrame, edges: DataFrame, node_state: DataFrame,
     else:
         rows = rows.withColumn("values", N.nullable_row(zeros(F.col("values")), floor))
     return cells(rows, "bn_id", "parent", "child", "ps_pos", "parent_state")
+
+
+def pairwise_matrices(joint: DataFrame, edges: DataFrame, node_state: DataFrame, floor: float) -> DataFrame:
+    """(bn_id, parent, child, m): pairwise_nullable as a row an edge; rows of m are child states, columns parent states, by position.
+
+    The planner takes a matrix for as small as a number and would broadcast the matrices of all networks.
+    """
+    columns = F.transform("grid", lambda r: N.nullable_row(zeros(r["values"]), floor))
+    turned = N.bound(columns, lambda c: F.transform("states", lambda _, i: F.transform(c, lambda v: F.get(v, i))))
+    return joint_grids(joint, edges, node_state).select("bn_id", "parent", "child", turned.alias("m")).hint("merge")

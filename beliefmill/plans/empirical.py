@@ -161,11 +161,17 @@ class Corpus:
         return written(counts.join(self.bn, "nk").where("c > 0").select("bn_id", *columns, p), name)
 
     def _sums(self, what: list[tuple[int, Column]], *keys: str) -> DataFrame:
-        """(nk, keys…, c): sums over cells, each taken from the cells of one family."""
-        own = lambda f: F.array(*(x for g, x in what if g == f))
-        families = sorted({f for f, _ in what})
-        each = F.explode(reduce(lambda c, f: c.when(F.col("family") == f, own(f)), families[1:], F.when(F.col("family") == families[0], own(families[0]))))
-        return self.cells.select("nk", self.n, each.alias("x")).groupBy("nk", *(f"x.{k}" for k in keys)).agg(F.sum(self.n).alias("c"))
+        """(nk, keys…, c): sums over cells, each taken from the cells of one family; a family of as many nodes as keys name needs no sum."""
+        whole = [(f, x) for f, x in what if 2 * len(FAMILIES[f]) == len(keys)]
+
+        def taken(some: list[tuple[int, Column]]) -> DataFrame:
+            families = sorted({f for f, _ in some})
+            own = [F.array(*(x for g, x in some if g == f)) for f in families]
+            each = F.explode(reduce(lambda c, fx: c.when(F.col("family") == fx[0], fx[1]), zip(families[1:], own[1:], strict=True), F.when(F.col("family") == families[0], own[0])))
+            return self.cells.select("nk", F.col(self.n).alias("c"), each.alias("x")).select("nk", *(f"x.{k}" for k in keys), "c")
+
+        summed = taken([x for x in what if 2 * len(FAMILIES[x[0]]) != len(keys)]).groupBy("nk", *keys).agg(F.sum("c").alias("c"))
+        return taken(whole).union(summed) if whole else summed
 
     @cached_property
     def marginal(self) -> DataFrame:

@@ -7,10 +7,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from beliefmill.operators import graph
+from beliefmill.operators import evaluate, graph, prob
 from beliefmill.plans import oracles
 from beliefmill.plans.empirical import FAMILIES, NAMES, NODES, corpus
-from beliefmill.plans.queries import _dag
+from beliefmill.plans.queries import _dag, _divergence, _matrices
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +61,13 @@ def test_states_that_no_node_names_are_counted(spark, tmp_path):
             want = con.execute(f"{tables} SELECT {columns.replace('parent_state', 'ps').replace('child_state', 'cs')} FROM {name}").fetchall()
             got = [tuple(r) for r in found.select(*columns.split(", ")).collect()]
             assert sorted(map(str, got)) == sorted(map(str, want)) and any(None in r for r in got)
+
+
+def test_matrices_are_made_without_a_row_a_cell_and_not_broadcast(spark):
+    """The rows of a matrix come from one place, so no shuffle is needed to put them together."""
+    c = corpus(spark, SF)
+    assert "Generate explode(transform" not in plan(_matrices(c)) and "posexplode" not in plan(_matrices(c))
+    assert "posexplode" not in plan(_divergence(spark, SF)) and "Broadcast" not in plan(c.bn.select(F.col("bn_id").alias("sg_id")).join(_matrices(c), "sg_id"))
+    long = evaluate.matrices(prob.pairwise_nullable(c.joint, c.edges, c.node_state, 0.001).withColumnRenamed("bn_id", "sg_id"))
+    got, want = (sorted(map(str, df.select("sg_id", "parent", "child", "m").collect())) for df in (_matrices(c), long))
+    assert got == want and len(got) == 175
