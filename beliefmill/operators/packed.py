@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -53,6 +54,22 @@ def conditional_tables() -> Column:
     return F.zip_with("parents", "lists", lambda p, states: F.transform(states, lambda s: row(p, s)))
 
 
+def exact_tables(entry: Callable[[Column, Column], Column]) -> Column:
+    """Of a family's combinations, in order, an entry with the exact row from its joint of all parents.
+
+    Cells are parted by the first parent's state, so that a combination looks through those of its own only.
+    """
+    value = lambda g: F.transform("states", lambda s: _zero(F.get(F.filter(g, lambda m: m["child_state"] == s), F.lit(0))["p"]))
+    row = lambda own, combo: entry(combo, N.exact_row(N.bound(F.filter(own, lambda m: m["combo"] == combo), value)))
+
+    def of(state: Column, rest: Column) -> Column:
+        own = F.filter("multi", lambda m: F.get(m["combo"], F.lit(0)).eqNullSafe(state))
+        return N.bound(own, lambda own: F.transform(rest, lambda r: N.bound(F.array_prepend(r, state), lambda c: row(own, c))))
+
+    others = N.combinations(F.slice("lists", F.lit(2), F.size("lists") - 1))
+    return N.bound(others, lambda rest: F.flatten(F.transform(F.get("lists", F.lit(0)), lambda s: of(s, rest))))
+
+
 def tables(marginal: DataFrame, joint: DataFrame, multi_joint: DataFrame, edges: DataFrame, node_state: DataFrame, exponent: int = 1) -> DataFrame:
     """(bn_id, node, kind, states, parents, lists, found): a row a node; found: (combo, values) of each combination of its parents' states."""
     nets = packed(states=(node_state, ["node", "state_pos", "state"]), edges=(edges, ["edge_pos", "parent", "child"]), marginal=(marginal, ["node", "state", "p"]),
@@ -62,7 +79,6 @@ def tables(marginal: DataFrame, joint: DataFrame, multi_joint: DataFrame, edges:
     kind = F.when(n == 0, "prior").when(n == 1, "matrix").when(F.size("multi") > 0, "exact").otherwise("naive_bayes")
     none = ~F.exists("values", lambda x: x.isNotNull())
     prior = F.when(none, N.uniform(F.size("states"))).otherwise(N.prior_row(F.col("values")))
-    leaf = lambda combo: N.bound(F.filter("multi", lambda m: m["combo"] == combo), lambda g: F.transform("states", lambda s: _zero(F.get(F.filter(g, lambda m: m["child_state"] == s), F.lit(0))["p"])))
     entry = lambda combo, values: F.struct(combo.alias("combo"), values.alias("values"))
     combos = N.combinations(F.col("lists"))
     place = lambda states, s: (F.array_position(states, s) - 1).cast("int")
@@ -70,7 +86,7 @@ def tables(marginal: DataFrame, joint: DataFrame, multi_joint: DataFrame, edges:
     found = (
         F.when(n == 0, F.array(entry(F.array().cast("array<string>"), prior)))
         .when(n == 1, F.zip_with(F.get("lists", F.lit(0)), F.get(conditional_tables(), F.lit(0)), lambda s, v: entry(F.array(s), v)))
-        .when(F.size("multi") > 0, F.transform(combos, lambda c: entry(c, N.exact_row(leaf(c)))))
+        .when(F.size("multi") > 0, exact_tables(entry))
         .otherwise(N.bound(conditional_tables(), lambda t: F.transform(combos, lambda c: entry(c, N.naive_bayes_row(given(t, c), F.col("values"), exponent)))))
     )
     return rows.select("bn_id", "node", kind.alias("kind"), "states", "parents", "lists", found.alias("found"))

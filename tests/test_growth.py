@@ -7,7 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from beliefmill.operators import evaluate, graph, prob
+from beliefmill.functions import numeric as N
+from beliefmill.operators import evaluate, graph, packed, prob
 from beliefmill.plans import oracles
 from beliefmill.plans.empirical import FAMILIES, NAMES, NODES, corpus
 from beliefmill.plans.queries import _dag, _divergence, _matrices
@@ -71,3 +72,16 @@ def test_matrices_are_made_without_a_row_a_cell_and_not_broadcast(spark):
     long = evaluate.matrices(prob.pairwise_nullable(c.joint, c.edges, c.node_state, 0.001).withColumnRenamed("bn_id", "sg_id"))
     got, want = (sorted(map(str, df.select("sg_id", "parent", "child", "m").collect())) for df in (_matrices(c), long))
     assert got == want and len(got) == 175
+
+
+def test_exact_rows_look_through_cells_of_the_first_parents_state_only(spark):
+    """Cells are parted by it first; the rows are those of looking through all of them."""
+    cells = [(c, [a, b], s, p) for c, a, b, s, p in [("C", "a1", "b1", "x", 0.1), ("C", "a1", "b1", "x", 0.9), ("C", None, "b1", "y", 0.2), ("C", "a2", "b2", "x", 0.3), ("C", "a2", None, "y", 0.4), ("C", "other", "b1", "x", 0.5)]]
+    lists = [["a1", None, "a2", "a1"], ["b1", "b2", None]]
+    schema = "lists array<array<string>>, states array<string>, multi array<struct<child:string,combo:array<string>,child_state:string,p:double>>"
+    one = spark.createDataFrame([(lists, ["x", "y"], cells), ([["a1"], ["b1"], ["c1"]], ["x"], [])], schema)
+    entry = lambda combo, values: F.struct(combo.alias("combo"), values.alias("values"))
+    value = lambda c, s: F.coalesce(F.get(F.filter("multi", lambda m: (m["combo"] == c) & (m["child_state"] == s)), F.lit(0))["p"], F.lit(0.0))
+    every = F.transform(N.combinations(F.col("lists")), lambda c: entry(c, N.exact_row(F.transform("states", lambda s: value(c, s)))))
+    for got, want in one.select(packed.exact_tables(entry), every).collect():
+        assert got == want
