@@ -14,6 +14,17 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def runs(rows: Column, of) -> Column:
+    """The stretches of an array in which of(row) stays the same, in order; on sorted rows, the groups by it. None of null."""
+
+    def told(a):
+        changes = lambda i: (i == 0) | ~of(F.get(a, i)).eqNullSafe(of(F.get(a, i - 1)))
+        starts = F.when(F.size(a) > 0, F.filter(F.sequence(F.lit(0), F.size(a) - 1), changes)).otherwise(F.array().cast("array<int>"))
+        return bound(starts, lambda s: F.transform(s, lambda x, k: F.slice(a, x + 1, F.coalesce(F.get(s, k + 1), F.size(a)) - x)))
+
+    return bound(rows, told)
+
+
 def rounded(x: Column, places: int) -> Column:
     """floor(x * 10**places + 0.5) / 10**places: the same operations in any engine, unlike its round()."""
     scale = float(10**places)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import variants as V
-from ..functions.numeric import bound
+from ..functions.numeric import bound, runs
 from ..functions.staging import written
 from . import extract, graph, packed, prob, render
 
@@ -33,8 +33,7 @@ DERIVATIONS = {
 
 def quoted(text: Column) -> Column:
     """A string as JSON."""
-    array = F.to_json(F.array(text))
-    return F.substr(array, F.lit(2), F.length(array) - 2)
+    return bound(F.to_json(F.array(text)), lambda array: F.substr(array, F.lit(2), F.length(array) - 2))
 
 
 def parsed(records: DataFrame) -> DataFrame:
@@ -69,10 +68,13 @@ def nested(parents: Column, found: Column, inner: Callable[[Column], Column] = F
     def leaf(row: Column, i: Column) -> Column:
         before = F.get(found, i - 1)["combo"]
         shared = F.coalesce(F.size(F.filter(F.sequence(F.lit(1), depth), lambda n: F.slice(row["combo"], F.lit(1), n) == F.slice(before, F.lit(1), n))), F.lit(0))
-        shared = F.when(i == 0, 0).otherwise(shared)
-        names = F.zip_with(parents, row["combo"], lambda p, s: quoted(F.concat(p, F.lit("="), s)))
+        return bound(F.when(i == 0, 0).otherwise(shared), lambda shared: written_from(row, i, shared))
+
+    def written_from(row: Column, i: Column, shared: Column) -> Column:
+        opened = lambda a: F.slice(a, shared + 1, depth - shared)
+        names = F.zip_with(opened(parents), opened(row["combo"]), lambda p, s: quoted(F.concat(p, F.lit("="), s)))
         start = F.when(i == 0, "{").otherwise(F.concat(F.repeat(F.lit("}"), depth - 1 - shared), F.lit(", ")))
-        return F.concat(start, F.array_join(F.slice(names, shared + 1, depth - shared), ": {"), F.lit(": "), inner(row["values"]))
+        return F.concat(start, F.array_join(names, ": {"), F.lit(": "), inner(row["values"]))
 
     return F.concat(F.array_join(F.transform(found, leaf), ""), F.repeat(F.lit("}"), depth))
 
@@ -96,9 +98,9 @@ def with_fields(record: Column, fields: dict[str, Column]) -> Column:
     """
     there = F.arrays_overlap(F.json_object_keys(record), F.array(*map(F.lit, fields)))
     other = F.to_json(F.map_filter(F.from_json(record, "map<string,variant>"), lambda k, v: ~k.isin(*fields)))
-    body = F.regexp_replace(F.when(there, other).otherwise(record), r"\s*\}\s*$", "")
     added = F.concat_ws(", ", *(F.concat(F.lit(f'"{name}": '), value) for name, value in fields.items()))
-    return F.concat(body, F.when(body.rlike(r"^\s*\{\s*$"), "").otherwise(", "), added, F.lit("}"))
+    body = F.regexp_replace(F.when(there, other).otherwise(record), r"\s*\}\s*$", "")
+    return bound(body, lambda body: F.concat(body, F.when(body.rlike(r"^\s*\{\s*$"), "").otherwise(", "), added, F.lit("}")))
 
 
 def json_array(parts: Column) -> Column:
@@ -129,23 +131,24 @@ def raw_records(titles: DataFrame, t: SimpleNamespace) -> DataFrame:
     def marginal(n: Column) -> Column:
         return F.struct(n, _as_map(F.filter("marginal", lambda m: m["node"] == n), "state"))
 
-    def joint(e: Column) -> Column:
-        own = F.filter("joint", lambda c: (c["parent"] == e["parent"]) & (c["child"] == e["child"]))
-        return bound(own, lambda own: F.struct(e["parent"].alias("parent"), e["child"].alias("child"), F.map_from_entries(F.transform(
-            _distinct(own, lambda c: c["parent_state"]), lambda s: F.struct(s, _as_map(F.filter(own, lambda c: c["parent_state"] == s), "child_state")))).alias("table")))
+    first = lambda rows: F.get(rows, F.lit(0))
+
+    def joint(own: Column) -> Column:
+        table = F.map_from_entries(F.transform(runs(own, lambda c: c["parent_state"]), lambda cells: F.struct(first(cells)["parent_state"], _as_map(cells, "child_state"))))
+        return F.struct(first(own)["parent"].alias("parent"), first(own)["child"].alias("child"), table.alias("table"))
 
-    def multi(child: Column) -> Column:
+    def multi(own: Column) -> Column:
+        child = first(own)["child"]
         parents = _distinct(F.filter("edges", lambda e: e["child"] == child), lambda e: e["parent"])
-        own = F.filter("multi", lambda c: c["child"] == child)
-        rows = bound(own, lambda own: F.transform(_distinct(own, lambda c: c["combo"]), lambda s: F.struct(s.alias("combo"), F.filter(own, lambda c: c["combo"] == s).alias("values"))))
+        rows = F.transform(runs(own, lambda c: c["combo"]), lambda cells: F.struct(first(cells)["combo"].alias("combo"), cells.alias("values")))
         table = bound(F.struct(parents.alias("parents"), rows.alias("rows")), lambda x: nested(x["parents"], x["rows"], lambda cells: F.to_json(_as_map(cells, "child_state"))))
         return F.concat(F.lit('{"child": '), quoted(child), F.lit(', "parents": '), F.to_json(parents), F.lit(', "table": '), table, F.lit("}"))
 
     fields = {
         "nodes": F.to_json(nodes), "edges": F.to_json(edges), "topological_order": F.to_json(F.transform("order", lambda o: o["node"])),
         "marginals": F.to_json(F.map_from_entries(F.transform(_distinct(F.col("marginal"), lambda m: m["node"]), marginal))),
-        "joints": F.to_json(F.transform(_distinct(F.col("joint"), lambda c: F.struct(c["parent"].alias("parent"), c["child"].alias("child"))), joint)),
-        "multi_joints": json_array(F.transform(_distinct(F.col("multi"), lambda c: c["child"]), multi)),
+        "joints": F.to_json(F.transform(runs(F.col("joint"), lambda c: F.struct(c["parent"], c["child"])), joint)),
+        "multi_joints": json_array(F.transform(runs(F.col("multi"), lambda c: c["child"]), multi)),
         "n_nodes": F.size("nodes").cast("string"), "n_edges": F.size("edges").cast("string"),
     }
     given = [c for c in titles.columns if c != "bn_id"]
@@ -174,7 +177,7 @@ def cpd_records(records: DataFrame, drawn: Column) -> tuple[DataFrame, DataFrame
     status = F.when(F.col("entries").isNull(), "error").when(F.size(found) > 0, "warn").otherwise("ok")
     told = met.withColumns({"status": status, "record": F.when(F.col("entries").isNotNull(), text).otherwise(F.col("record"))})
     titles = records.where("j.nodes is not null").select("bn_id", F.col("j.title").alias("title"), F.col("j.id").alias("id"))
-    kept = graph.validate_dag(t.edges, t.nodes)
+    kept = written(graph.validate_dag(t.edges, t.nodes), "record-dag").hint("merge")  # levels and drawings read it three times
     svgs = render.drawings(graph.levels(kept, t.nodes), kept, titles)
     return told.drop("j", "entries", "issues"), svgs
 

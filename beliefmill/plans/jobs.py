@@ -118,7 +118,8 @@ def final(spark: SparkSession, compact: str, marginal: str, generated: str, targ
     related = related.groupBy("bn_id", "parent", "parent_state", "child").agg(F.every("has_relationship").alias("has_relationship"))
     valid = prob.validate_marginals(t.marginal, t.node_state).select("bn_id", "node", "state", "p")
     titles = met.select("bn_id", "id", "source_id", "title", "domain", F.coalesce("j.text", F.lit("")).alias("actual_text"), "generated_text", "pos")
-    made = assemble.final_records(titles, t.nodes, t.node_state, graph.validate_dag(t.edges, t.nodes), valid, t.joint, related=related).drop("bn_id", "n_nodes", "n_edges")
+    kept = written(graph.validate_dag(t.edges, t.nodes), "final-dag").hint("merge")  # read for levels, roots, grids and places
+    made = assemble.final_records(titles, t.nodes, t.node_state, kept, valid, t.joint, related=related).drop("bn_id", "n_nodes", "n_edges")
     rows, n = written_counting(made, "final-rows", {"ok": F.lit(True)})
     sources = F.struct(F.lit(compact).alias("compact"), F.lit(marginal).alias("marginal"), F.lit(generated).alias("generated"))
     files.write_corpus(rows, spark.range(1).select(F.lit(n["ok"]).alias("total"), sources.alias("sources")), target)

@@ -148,7 +148,7 @@ def _raw_lines(spark: SparkSession, sf_dir: str) -> str:
     titles = c.bn.select("bn_id", "nk", F.col("bn_id").alias("id"), F.format_string("Network \"%d\"", "nk").alias("title"), F.lit("trade").alias("domain"))
     made = network_records.raw_records(titles.drop("nk"), c).join(c.bn.select("bn_id", F.col("nk").alias("pos")), "bn_id")
     path = f"{shared_folder(spark)}/raw-records-{uuid.uuid4().hex}"
-    files.write_lines(made, path)
+    files.write_lines(written(made, "raw-made"), path)  # else the pass that looks for ranges makes all records once more
     return path
 
 

@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from beliefmill.functions import numeric as N
-from beliefmill.operators import evaluate, graph, packed, prob
+from beliefmill.operators import evaluate, graph, network_records, packed, prob
 from beliefmill.plans import oracles
 from beliefmill.plans.empirical import FAMILIES, NAMES, NODES, corpus
-from beliefmill.plans.queries import _dag, _divergence, _matrices
+from beliefmill.plans.queries import _dag, _divergence, _matrices, _raw_lines
+from beliefmill.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +86,23 @@ def test_exact_rows_look_through_cells_of_the_first_parents_state_only(spark):
     every = F.transform(N.combinations(F.col("lists")), lambda c: entry(c, N.exact_row(F.transform("states", lambda s: value(c, s)))))
     for got, want in one.select(packed.exact_tables(entry), every).collect():
         assert got == want
+
+
+def test_runs_are_the_groups_of_sorted_rows(spark):
+    rows = spark.createDataFrame([([1, 1, None, None, 2, 1],), ([],), (None,)], "a array<int>")
+    assert [r[0] for r in rows.select(N.runs(F.col("a"), lambda x: x)).collect()] == [[[1, 1], [None, None], [2], [1]], [], []]
+
+
+def test_raw_records_are_made_once(spark, monkeypatch):
+    """Files in order of position take a pass that looks for ranges; it reads made records."""
+    seen = []
+    monkeypatch.setattr(files, "write_lines", lambda rows, path: seen.append(plan(rows)))
+    _raw_lines(spark, SF)
+    assert "Scan parquet" in seen[0] and "Join" not in seen[0] and "Aggregate" not in seen[0]
+
+
+def test_graphs_of_records_are_worked_out_once(spark):
+    """The fold that accepts edges, which carries what can be reached, isn't part of the plan that draws."""
+    lines = spark.createDataFrame([("0", '{"id": "x", "nodes": [{"name": "A", "states": ["t", "f"]}, {"name": "B", "states": ["t"]}], "edges": [{"parent": "A", "child": "B"}]}')], "bn_id string, record string")
+    _, svgs = network_records.cpd_records(network_records.parsed(lines), F.lit("p"))
+    assert "reach" not in plan(svgs) and svgs.count() == 1
