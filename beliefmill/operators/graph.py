@@ -125,7 +125,7 @@ def networks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(bn_id, names, near): a network's node names in order, and of each the bits of its neighbours."""
     names = nodes.groupBy("bn_id").agg(F.array_sort(F.collect_set("node")).alias("names"))
     links = undirected(edges).groupBy("bn_id").agg(F.collect_list(F.struct("node", "neighbour")).alias("links"))
-    met = names.join(links, "bn_id", "left").withColumn("links", F.coalesce("links", F.array().cast("array<struct<node:string,neighbour:string>>")))
+    met = names.join(links.hint("merge"), "bn_id", "left").withColumn("links", F.coalesce("links", F.array().cast("array<struct<node:string,neighbour:string>>")))
     place = F.map_from_entries(F.transform("names", lambda x, i: F.struct(x, i)))
     found = met.withColumn("place", place).withColumn("links", F.transform("links", lambda e: F.struct(F.try_element_at("place", e["node"]).alias("a"), F.try_element_at("place", e["neighbour"]).alias("b"))))
     mask = lambda i: F.aggregate(F.filter("links", lambda e: (e["a"] == i) & e["b"].isNotNull()), F.lit(0).cast("bigint"), lambda m, e: m.bitwiseOR(bit(e["b"])))
@@ -227,28 +227,29 @@ def drawn_subsets(edges: DataFrame, nodes: DataFrame, k: int, smallest: int = 3,
 
     Sets are numbered in the order in which they grow, a set before its children. Numbers are drawn, and each
     is led down the tree of sets: of the branches at hand the one that holds it is found by counts, and
-    counted on. Networks may have very many sets; only counts and the drawn ones are kept.
+    counted on. Networks may have very many sets; only counts and the drawn ones are kept. A number takes its
+    network's bits along, and joins are by merging: written tables of numbers and networks look far smaller to
+    the planner than their rows are.
     """
-    seeds = single_seeds(networks(edges, nodes))
-    inside = F.col("size").between(smallest, largest)
+    nets = written(networks(edges, nodes), "subset-networks").hint("merge")
+    state = F.struct("members", "open", "closed", F.lit(False).alias("whole")).cast(STATE)
 
     def counted(branches: DataFrame, *by: str) -> DataFrame:
-        return grown(branches, largest, *by).where(inside).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-
-    def led(asked: DataFrame, branches: DataFrame, by: list[str]) -> DataFrame:
-        """asked (by…, rank, …) with the branch (by…, at, s) that holds its rank, and its rank there."""
-        of = branches.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "n", "s"))).alias("b"))  # MOST_NODES entries at most
+        """(by…, b) of branches (by…, at, s): those that hold sets that count, in order, with how many (at, n, s), MOST_NODES entries at most."""
+        keys = [*by, "at", "branch"]
+        each = branches.withColumn("branch", F.col("s")).select(*keys, "s.members", "s.open", "s.closed")
+        n = grown(each, largest, *keys).where(F.col("size").between(smallest, largest)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        return n.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "n", F.col("branch").alias("s")))).alias("b"))
+
+    def led(asked: DataFrame) -> DataFrame:
+        """asked (bn_id, near, rank, b) with the branch s that holds its rank, and its rank there."""
         before = F.transform("b", lambda _, i: F.aggregate(F.slice("b", F.lit(1), i), F.lit(0).cast("bigint"), lambda t, x: t + x["n"]))
-        met = asked.join(of, by).withColumn("before", before).withColumn("i", F.size(F.filter("before", lambda x: x <= F.col("rank"))) - 1)
-        return met.withColumns({"rank": F.col("rank") - F.get("before", F.col("i")), "s": F.get("b", F.col("i"))["s"]}).drop("b", "before", "i")
+        met = asked.withColumn("before", before).withColumn("i", F.size(F.filter("before", lambda x: x <= F.col("rank"))) - 1)
+        return written(met.select("bn_id", "near", (F.col("rank") - F.get("before", F.col("i"))).alias("rank"), F.get("b", F.col("i"))["s"].alias("s")), "subset-drawn")
 
-    state = F.struct("members", "open", "closed", F.lit(False).alias("whole")).cast(STATE)
-    counts = counted(seeds.repartition("bn_id", "root"), "bn_id", "root")
-    first = written(seeds.join(counts, ["bn_id", "root"]).select("bn_id", F.col("root").alias("at"), "n", state.alias("s")), "subset-branches")
-    total = first.groupBy("bn_id").agg(F.sum("n").alias("total"))
-    asked = total.select("bn_id", F.explode(drawn_ranks(F.col("total"), k, F.col("bn_id"), F.lit(seed))).alias("rank"))
-    nets = networks(edges, nodes)
-    held = written(led(asked, first, ["bn_id"]).select("bn_id", "rank", "s"), "subset-drawn")
+    seeds = single_seeds(nets).repartition("bn_id", "root").select("bn_id", "near", F.col("root").alias("at"), state.alias("s"))
+    total = F.aggregate("b", F.lit(0).cast("bigint"), lambda t, x: t + x["n"])
+    held = led(counted(seeds, "bn_id", "near").select("*", F.explode(drawn_ranks(total, k, F.col("bn_id"), F.lit(seed))).alias("rank")))
     parts = []
     for _ in range(largest):
         # a set that is counted itself comes before its children
@@ -258,11 +259,9 @@ def drawn_subsets(edges: DataFrame, nodes: DataFrame, k: int, smallest: int = 3,
         rest = rest.withColumn("parent", F.col("s.members"))
         if rest.isEmpty():
             break
-        step = rest.select("bn_id", "parent", "s").distinct().join(nets, "bn_id")
+        step = rest.select("bn_id", "near", "parent", "s").repartition("bn_id", "parent").distinct()
         step = step.select("bn_id", "near", "parent", F.posexplode(children(F.col("s"), F.col("near"))).alias("at", "s"))
-        counts = counted(step.select("bn_id", "near", "parent", "at", "s.members", "s.open", "s.closed"), "bn_id", "parent", "at")
-        found = led(rest.drop("s"), step.join(counts, ["bn_id", "parent", "at"]), ["bn_id", "parent"])
-        held = written(found.select("bn_id", "rank", "s"), "subset-drawn")
+        held = led(rest.select("bn_id", "parent", "rank").join(counted(step, "bn_id", "parent", "near").hint("merge"), ["bn_id", "parent"]))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -265,11 +265,11 @@ def subgraph_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight sets a network, drawn by number: how many there are, were drawn, differ, and are connected sets of the network."""
     c = corpus(spark, sf_dir)
     dag = _dag(c)
-    drawn = written(graph.drawn_subsets(dag, c.nodes, 8, 3, 7).select("bn_id", joined("members", ",")), "drawn")
-    known = graph.connected_subsets(dag, c.nodes, 3, 7).select("bn_id", joined("members", ","))
-    told = drawn.groupBy("bn_id").agg(F.count(F.lit(1)).alias("n_drawn"), F.count_distinct("members").alias("n_different"))
-    right = drawn.join(known, ["bn_id", "members"], "left_semi").groupBy("bn_id").agg(F.count(F.lit(1)).alias("n_right"))
-    return known.groupBy("bn_id").agg(F.count(F.lit(1)).alias("n_sets")).join(told, "bn_id").join(right, "bn_id")
+    known, drawn = graph.connected_subsets(dag, c.nodes, 3, 7), graph.drawn_subsets(dag, c.nodes, 8, 3, 7)
+    each = [df.select("bn_id", joined("members", ","), F.lit(k).alias("k"), F.lit(1 - k).alias("d")) for k, df in ((1, known), (0, drawn))]
+    sets = each[0].union(each[1]).groupBy("bn_id", "members").agg(F.sum("k").alias("k"), F.sum("d").alias("d"))
+    over = lambda met, n: F.sum(F.when(met, n).otherwise(0))
+    return sets.groupBy("bn_id").agg(F.sum("k").alias("n_sets"), F.sum("d").alias("n_drawn"), over(F.col("d") > 0, 1).alias("n_different"), over(F.col("k") > 0, F.col("d")).alias("n_right"))
 
 
 @query

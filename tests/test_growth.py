@@ -11,7 +11,7 @@ from beliefmill.functions import numeric as N
 from beliefmill.operators import evaluate, graph, network_records, packed, prob
 from beliefmill.plans import oracles
 from beliefmill.plans.empirical import FAMILIES, NAMES, NODES, corpus
-from beliefmill.plans.queries import _dag, _divergence, _matrices, _raw_lines
+from beliefmill.plans.queries import QUERIES, _dag, _divergence, _matrices, _raw_lines
 from beliefmill.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +106,18 @@ def test_graphs_of_records_are_worked_out_once(spark):
     lines = spark.createDataFrame([("0", '{"id": "x", "nodes": [{"name": "A", "states": ["t", "f"]}, {"name": "B", "states": ["t"]}], "edges": [{"parent": "A", "child": "B"}]}')], "bn_id string, record string")
     _, svgs = network_records.cpd_records(network_records.parsed(lines), F.lit("p"))
     assert "reach" not in plan(svgs) and svgs.count() == 1
+
+
+def test_draws_are_led_without_broadcasts(spark, monkeypatch):
+    """Written numbers, networks and sets look far smaller than their rows; what is written on the way counts too."""
+    plans, kept = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: plans.append(plan(df)) or kept(df, name))
+    plans.append(plan(QUERIES["subgraph_drawn"](spark, SF)))
+    plans.append(plan(graph.networks(*(spark.createDataFrame([], s) for s in ("bn_id string, parent string, child string", "bn_id string, node string")))))
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_sets_are_listed_once_to_count_and_check_draws(spark):
+    """All sets grow in one place of the plan, six steps up to seven members."""
+    p = plan(QUERIES["subgraph_drawn"](spark, SF))
+    assert p.count("Generate explode(CASE WHEN") == 6 and "Join LeftSemi" not in p
